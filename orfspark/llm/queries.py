@@ -5,16 +5,20 @@ from __future__ import annotations
 from .chat import op7_chat
 from .decontaminate import op3_decontaminate
 from .embeddings import op10_embeddings
+from .licences import op5_licences
 from .packing import op8_packing
+from .quality import op1_quality
 from .simhash import op4_simhash
 from .substrings import op9_substrings
 from .toxicity import op6_toxicity
 from .urls import op2_urls
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_urls": op2_urls,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op5_licences": op5_licences,
     "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
     "op8_packing": op8_packing,
