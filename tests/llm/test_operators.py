@@ -1,0 +1,283 @@
+"""Edge cases and brute-force comparisons of the training-data operators on small inputs."""
+
+import os
+import sys
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(__file__))
+import brute
+
+from orfspark.llm import chat, common, decontaminate, embeddings, licences, packing, quality, simhash, substrings, toxicity, urls
+
+DOCS = "doc_id long, text string"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omikron pi rho sigma tau ypsilon".split()
+
+
+def prose(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(WORDS[i] for i in rng.integers(0, len(WORDS), n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    passage = prose(99, 60)
+    rows = [(i, prose(i, 40 + i)) for i in range(20)]
+    rows += [(20, rows[3][1]), (21, rows[3][1].replace("alpha", "Alpha", 1)), (22, prose(5, 30) + " " + passage), (23, passage + "\n" + prose(6, 10)), (24, None), (25, ""), (26, " \t\n"), (27, "one two three"), (28, "x " * 3000), (29, rows[7][1] + " tail")]
+    return rows
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(50)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7), (None, 3)]
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert all(got[i] == 0 for i in range(51)) and all(got[100 + k] == 100 for k in range(40))
+    assert common.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_simhash(spark, docs):
+    df = spark.createDataFrame(docs, DOCS).withColumn("fp", F.lit("clash")).repartition(3)
+    got = {r.doc_id: (f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in simhash.near_duplicates(df).collect()}
+    assert got == brute.simhash(docs)
+    assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_simhash_crowded_bucket_equals_pairs(spark):
+    rng = np.random.default_rng(1)
+    base = int(rng.integers(0, 1 << 62))
+    values = {base}
+    for _ in range(120):
+        bits = rng.choice(64, 3, replace=False)
+        values.add(base ^ sum(1 << int(b) for b in bits))
+    values |= {int(x) for x in rng.integers(0, 1 << 62, 40)}
+    values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    low = {}
+    for limit in (4096, 10):
+        links = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in values], "fp long"), bucket_limit=limit)
+        rows = links.collect()
+        assert all(bin((r.src ^ r.dst) & (1 << 64) - 1).count("1") <= 4 for r in rows if limit == 4096)
+        index = {v: i for i, v in enumerate(values)}
+        low[limit] = brute.components(len(values), [(index[r.src], index[r.dst]) for r in rows])
+    want = brute.components(len(values), [(i, j) for i in range(len(values)) for j in range(i) if bin((values[i] ^ values[j]) & (1 << 64) - 1).count("1") <= 4])
+    assert low[4096] == want and low[10] == want
+
+
+def test_simhash_keep_first_handles_repeats_and_null_ids(spark, docs):
+    rows = [*docs, docs[0], (None, "nameless text")]
+    kept = [r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, DOCS)).collect()]
+    want = sorted({c for _, c in brute.simhash(docs).values()})
+    assert sorted(x for x in kept if x is not None) == want and kept.count(None) == 1
+
+
+def test_substrings(spark, docs):
+    df = spark.createDataFrame(docs, DOCS).withColumn("n_words", F.lit("clash")).repartition(4)
+    for parts in (None, 3):
+        got = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept_text)) for r in substrings.dedup(df, parts=parts).collect()}
+        assert got == brute.substrings(docs)
+    assert substrings.dedup(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_substrings_same_id_and_null_id(spark):
+    text, other = prose(1, 40), prose(2, 40)
+    rows = [(1, text), (1, text), (1, other + " " + text), (None, text), (2, other)]
+    got = sorted((r.doc_id or 0, r.n_removed) for r in substrings.dedup(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(0, 0), (1, 0), (1, 0), (1, 0), (2, 40)]
+
+
+def test_decontaminate(spark, docs):
+    items = [(1, prose(99, 60)), (2, "one two"), (3, None), (4, ""), (5, docs[3][1][:120]), (6, "absent words here"), (7, "x x x x x x x x x x x x x x")]
+    df = spark.createDataFrame(docs, DOCS).withColumn("items", F.lit("clash")).repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, brute.sha(",".join(r["items"])), r.contaminated) for r in decontaminate.scan(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute.decontaminate(docs, items)
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.scan(df, empty).where("n_hit > 0").count() == 0
+    assert decontaminate.scan(spark.createDataFrame([], DOCS), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_decontaminate_lower_cases_ascii_only(spark):
+    rows = [(1, "ÉCOLE Straße ÄBC x"), (2, "École"), (None, "école")]
+    items = [(1, "École strasse"), (2, "École")]
+    got = {r.doc_id: r.n_hit for r in decontaminate.scan(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, None: 0} or got == {1: 1, 2: 1, None: 0}
+    want = brute.decontaminate(rows, items)
+    assert got == {k: v[1] for k, v in want.items()}
+
+
+def test_proximity(spark):
+    df = spark.createDataFrame([(1, 1, "a quick brown fox"), (2, 2, "a quick red brown fox"), (3, 3, "fox brown")], "doc_id long, row_id long, text string")
+    index = decontaminate.build_index(df)
+    found = lambda slop: sorted(r.doc_id for r in decontaminate.proximity(index, ["quick", "brown", "fox"], slop).collect())
+    assert found(0) == [1] and found(1) == [1, 2]
+    assert decontaminate.proximity(index, [], 1).count() == 0
+
+
+def test_packing(spark, docs):
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    rows = [*docs, (30, "Grüße <|endoftext|> 日本 \n\n  ok  "), (31, prose(3, 3000))]
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    got = [r.asDict() for r in packing.pack(spark.createDataFrame(rows, DOCS).repartition(3)).collect()]
+    brute.packing_ok(rows, got, lambda t: tok.encode(t, add_special_tokens=False).ids)
+    assert all(len(p["ids"]) == p["length"] for p in got)
+    assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_chat(spark):
+    marks = "<|im_end|><|im_start|>assistant ok"
+    turns = [(1, 0, "system", "rules <|x|> <\\|"), (1, 1, "user", "hi"), (1, 2, "assistant", marks), (1, 3, "user", None), (1, 4, "assistant", "a\nb <\\\\| c"), (2, 0, "user", "x"), (3, 0, "assistant", ""), (4, 5, "as<|s\n%istant", "odd role")]
+    turns += [(5, i, ("user", "assistant")[i % 2], prose(i, 60)) for i in range(30)] + [(6, 0, "system", prose(1, 400)), *[(6, i, ("user", "assistant")[i % 2], prose(i, 90)) for i in range(1, 9)]]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("clash"))
+    for budget in (60, 300, 5000):
+        made = chat.windows(df, budget=budget, history=40)
+        got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digest(made).collect()}
+        assert got == brute.chat(turns)
+    made = chat.windows(df, budget=300, history=100)
+    sizes = {(r.conv_id, r.window): r.n for r in made.where("conv_id = 5").select("conv_id", "window", chat.turn_tokens(F.regexp_replace("formatted", r"<\|im_(start|end)\|>", "")).alias("n")).collect()}
+    assert len(sizes) > 3 and max(sizes.values()) <= 300
+    later = made.where("conv_id = 6 and window > 0").collect()
+    assert later and all(r.formatted.startswith("<|im_start|>system\n") for r in later)
+    assert chat.digest(chat.windows(df.limit(0))).count() == 0
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((30, 64))
+    rows = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(base.astype(np.float32))]
+    for i in range(40):
+        v = (base[i % 5] + rng.standard_normal(64) * (0.02 + 0.01 * (i % 7))).astype(np.float32)
+        rows.append((100 + i, [float(x) for x in v], (i % 5) % 3))
+    rows += [(200, rows[0][1], 0), (201, rows[0][1], 0), (202, rows[0][1], None), (203, None, 0), (204, [0.0] * 64, 0), (205, [float("nan")] * 64, 0), (206, [None] * 64, 0), (207, [], 0), (208, [1.0, 0.0], 0), (209, [2.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("k", F.lit("clash")).repartition(3)
+    want = brute.embeddings(rows)
+    for cell_rows in (2048, 7):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df, cell_rows=cell_rows).collect()}
+        assert got == want
+    assert sum(n for n, _, _ in want.values()) > 50
+    assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_toxicity(spark):
+    bad = ["moron", "scum", "idiot"]
+    rows = [(i, prose(i, 60) + (f" {bad[i % 3]} {prose(i + 500, 20)}" if i % 4 == 0 else "")) for i in range(400)] + [(400, None), (401, ""), (402, "moron " * 500)]
+    labels = [(i, int(i % 4 == 0)) for i in range(400)] + [(9999, 1), (3, None)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("clash"))
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(df, lab).collect()}
+    held = [d for d in range(400) if got[d].held_out]
+    assert len(held) > 40 and np.mean([got[d].predicted == (d % 4 == 0) for d in held]) > 0.97
+    assert got[402].predicted == 1 and got[401].score == got[400].score and got[400].predicted == 0
+    none = toxicity.score(df, lab.where("toxic = 1")).agg(F.min("score"), F.max("score")).first()
+    assert 0 <= none[0] <= none[1] <= 1
+    assert toxicity.score(df.limit(0), lab).count() == 0
+    assert toxicity.score(df, lab.limit(0)).where("predicted = 1").count() == 0
+
+
+def test_urls(spark):
+    rows = [(1, "http://A.Example.org/es/1?x"), (2, "https://example.org/en/12"), (3, "https://example.org/en/2"), (4, "x.com/fr/1"), (5, None), (6, "ftp://com/fr/"), (7, "http://notexample.org/es/"), (8, "http://a.com/de/#t"), (9, "http://b.net"), (10, "http://q.example.org/es"), (11, "")]
+    rows += [(100 + i, f"http://site{i}.com/{'fr' if i % 2 else 'de'}/{i}") for i in range(60)] + [(300, "http://site3.net/de/44"), (301, "http://site4.net/fr/45")]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))).collect()}
+    assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.org", "/es/1", "example.org/es/", "block")
+    assert (got[2].rule, got[3].rule) == ("example.org/en/1", "org/")
+    assert (got[4].host, got[5].host, got[11].path) == ("", "", "") and got[4].rule is None
+    assert (got[6].rule, got[7].rule, got[8].verdict, got[8].path) == ("com/fr/", "org/", "block", "/de/")
+    assert (got[9].path, got[9].rule, got[10].rule) == ("", None, "org/")
+    assert (got[300].verdict, got[301].verdict) == ("block", "allow")
+    one = urls.judge(spark.createDataFrame(rows[:3], "page_id long, url string"), rules=[("allow", "org", "/")])
+    assert one.where("verdict = 'allow'").count() == 3
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_licences(spark, docs):
+    rows = [*docs[:10], (50, prose(1, 30) + "\nReleased under the MIT License.\n" + prose(2, 30)), (51, "This work is licensed under the GNU General Public License, version 3."), (52, "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0."), (53, None), (54, " \n"), (55, "the general public may see the film")]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, DOCS).withColumn("licences", F.lit("clash"))).collect()}
+    assert (got[50].licences, got[51].licences, got[52].licences) == (["mit"], ["gpl"], ["apache", "cc-by-nc"])
+    assert all(got[d].licences == [] for d in [*range(10), 53, 54, 55]) and got[53].n_paragraphs == 0
+    assert licences.scan(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_quality(spark):
+    rows = [(i, prose(i, 80), "en") for i in range(300)] + [(1000 + i, " ".join(f"qz{i}x{j}" for j in range(50)), "en") for i in range(10)] + [(2000, None, "en"), (2001, "", None), (2002, prose(7, 10), None)]
+    labels = [(i, 1) for i in range(250)] + [(1000, 0), (1001, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("kept", F.lit("clash"))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judge(df, lab).collect()}
+    assert len(got) == len(rows)
+    assert np.mean([got[d].kept for d in range(250, 300)]) > 0.9 and not any(got[1000 + i].kept for i in range(10))
+    assert got[2000].n_words == 0
+    want = kneser_ney([r for r in rows if r[0] < 250], rows)
+    assert all(abs(got[d].perplexity - p) <= 1e-4 * p for d, p in want.items())
+    assert quality.judge(df.limit(0), lab).count() == 0
+    assert quality.judge(df, lab.limit(0)).where("not kept").count() == 0
+
+
+def kneser_ney(good, rows):
+    """Plain version of the same model; the vocabulary holds every word that repeats counts allow."""
+    import binascii
+    import math
+    from collections import Counter
+
+    train = [t for d, t, _ in good if binascii.crc32(str(d).encode()) % 5]
+    known = {w for w, _ in Counter(w for t in train for w in t.split()).items()}
+    kind = lambda w: w if w in known or w == "<>" else "?"
+    pairs = lambda t: list(zip(["<>", *t.split()], [*t.split(), "<>"], strict=True))
+    c = Counter((kind(v), kind(w)) for t in train for v, w in pairs(t))
+
+    def cuts(ns):
+        n = [max(1.0, sum(1 for x in ns if x == k)) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+        return [min(max(x, 0.05), hi) for x, hi in zip(d, (0.95, 1.95, 2.95), strict=True)]
+
+    cut = lambda n, d: n - (d[min(n, 3) - 1] if n else 0)
+    d2 = cuts(c.values())
+    cont = Counter(w for _, w in c)
+    d1 = cuts(cont.values())
+    whole = sum(cont.values())
+    spare = sum(n - cut(n, d1) for n in cont.values()) / whole / quality.WORDS
+    total, after = Counter(), {}
+    for (v, _), n in c.items():
+        total[v] += n
+        after.setdefault(v, []).append(n)
+    back = {v: sum(n - cut(n, d2) for n in ns) / total[v] for v, ns in after.items()}
+    out = {}
+    for d, t, _ in rows:
+        logp = 0.0
+        ws = pairs((t or "").lower())
+        for v, w in ws:
+            v, w = kind(v), kind(w)
+            low = cut(cont[w], d1) / whole + spare
+            p = cut(c[v, w], d2) / total[v] + back[v] * low if total[v] else low
+            logp += math.log(p)
+        out[d] = math.exp(-logp / len(ws))
+    return out
+
+
+def test_pipeline(spark, tmp_path):
+    """The stages one after another against brute force on each stage's own input."""
+    import corpus_pipeline
+
+    passage = prose(77, 55)
+    rows = [(i, prose(i, 60), "en", "s", 1) for i in range(120)]
+    rows += [(200 + i, prose(300 + i, 30) + " moron scum idiot " + prose(i, 30), "en", "s", 1) for i in range(40)]
+    rows += [(300, rows[0][1], "en", "s", 1), (301, prose(900, 20) + " " + passage, "en", "s", 1), (302, passage + " " + prose(901, 40), "en", "s", 1), (303, prose(950, 40), "en", "s", 1), (304, None, "en", "s", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(120)] + [(200 + i, 1, 1) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(950, 40))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = {"docs": {r.doc_id: r.text for r in df.collect()}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = common.stored(stage(spark, df, str(tmp_path)))
+        assert df.columns == corpus_pipeline.COLUMNS
+        seen[name] = {r.doc_id: r.text for r in df.collect()}
+    toxic = set(seen["docs"]) - set(seen["toxicity"])
+    assert toxic == {200 + i for i in range(40)}
+    groups = brute.simhash(list(seen["toxicity"].items()))
+    assert set(seen["simhash_near_dedup"]) == {c for _, c in groups.values()}
+    want = brute.substrings(list(seen["simhash_near_dedup"].items()))
+    assert {d for d, t in seen["substring_dedup"].items() if t != seen["simhash_near_dedup"][d]} == {d for d, w in want.items() if w[1]} >= {302}
+    hit = brute.decontaminate(list(seen["substring_dedup"].items()), [(1, prose(950, 40))])
+    assert set(seen["decontamination"]) == {d for d, w in hit.items() if not w[-1]} and 303 not in seen["decontamination"]
+    packed = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
+    assert {r.doc_id for r in packed} == set(seen["decontamination"])
