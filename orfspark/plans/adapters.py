@@ -34,8 +34,8 @@ PSM = """psm AS (SELECT l_suppkey AS spectrum_file, l_orderkey AS scan,
  CASE WHEN l_linenumber > 3 THEN l_tax / 2 END AS lfdr, l_linestatus AS sample, l_shipdate AS seen_at FROM lineitem)"""
 
 
-def sequences(spark: SparkSession, sf_dir: str, keep: int = 2000) -> DataFrame:
-    """Letters of documents as residues. The whole text is used; keep is no row or prefix limit of a query but the view's length of a protein."""
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of whole documents as residues."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
 

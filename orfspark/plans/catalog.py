@@ -353,3 +353,5 @@ add("m5_score_to_p", lambda s, d: r6(ml.score_to_p(labelled(s, d).withColumn("sc
     f"WITH {V.PSM}, h AS (SELECT CAST(floor(mq_score / 0.1) AS BIGINT) AS bin, count(*) FILTER (is_decoy) AS f, count(*) AS n FROM psm GROUP BY 1), e AS (SELECT unnest(range(min(bin), max(bin) + 1)) AS bin FROM h) SELECT e.bin, round(sum(coalesce(f, 0)) OVER w / greatest(sum(coalesce(n, 0)) OVER w, 1), 6) AS p FROM e LEFT JOIN h USING (bin) WINDOW w AS (ORDER BY e.bin DESC)")
 add("m7_feature_stats", lambda s, d: r6(ml.feature_stats(labelled(s, d), FEATS), "mean", "sd", "low", "high"),
     f"WITH {V.PSM}, l AS (SELECT CAST(NOT is_decoy AS INT) AS label, unnest([{', '.join(f'{chr(39)}{c}{chr(39)}' for c in FEATS)}]) AS feature, unnest([mq_score, delta, length]) AS x FROM psm) SELECT feature, label, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, round(min(x), 6) AS low, round(max(x), 6) AS high FROM l GROUP BY 1, 2")
+
+from . import catalog_more  # noqa: E402,F401  the rest of the registrations
