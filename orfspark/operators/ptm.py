@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,8 +65,6 @@ def compare_ptm_rates(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def chi2_p(chi2: DataFrame, column: str = "chi2") -> DataFrame:
     """P of one degree of freedom; Spark has no erfc, so it is a vectorised function."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p(x: pd.Series) -> pd.Series:
         import math

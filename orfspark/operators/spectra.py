@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,8 +80,6 @@ def consensus_bins(peaks: DataFrame, width: float = 0.1) -> DataFrame:
 
 def consensus(bins: DataFrame, reach: int = 3, width: float = 0.1) -> DataFrame:
     """Greedy step per key: the strongest bin absorbs its neighbours within `reach`, and so on; a key is one peptide."""
-    import pandas as pd
-
     def absorb(pdf: pd.DataFrame) -> pd.DataFrame:
         left = {int(b): (v, n) for b, v, n in zip(pdf["bin"], pdf["intensity"], pdf["spectra"], strict=True)}
         rows = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,9 +113,6 @@ def read_ms2(spark: SparkSession, path: str) -> DataFrame:
 
 def read_mzxml(spark: SparkSession, path: str) -> DataFrame:
     """Peaks are base64 pairs of 32-bit floats in network order."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<struct<mz:double,intensity:double>>")
     def decode(data: pd.Series) -> pd.Series:
         def one(b):

@@ -20,7 +20,7 @@ def stream_histogram(stream: DataFrame, keys: list[str], value: str, width: floa
 
 def stream_discovery(stream: DataFrame, key: str, ts: str = "ts", late: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Keys first seen, per window of event time; a key counts again only after the watermark has passed it."""
-    first = stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+    first = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
     return first.groupBy(F.window(ts, window)).agg(F.count("*").alias("new_keys")).select(F.col("window.start").alias("start"), "new_keys")
 
 
