@@ -26,4 +26,30 @@ QUERIES = {
     "op10_embeddings": op10_embeddings,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Letters of the ASCII alphabet.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TERMS = rf"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Of the others, fingerprints need XXH64, packing a tokenizer, and models a fit.
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": f"""WITH d AS (SELECT doc_id, coalesce({TERMS}, []) AS ws FROM documents), b AS (SELECT DISTINCT item_id, {TERMS} AS ws FROM benchmark),
+ k AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[p:p + 12], ' ') AS k FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS p FROM b WHERE len(ws) > 0)),
+ g AS (SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS k FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM k))),
+ m AS (SELECT doc_id, item_id, g.n, p FROM g JOIN k ON k.n = g.n AND k.k = g.k),
+ h AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS w FROM m) GROUP BY 1),
+ i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY 1)
+ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
+ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op9_substrings": r"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+ w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+ k AS (SELECT *, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM w),
+ f AS (SELECT *, CASE WHEN p <= n - 12 THEN CAST(doc_id > min(CASE WHEN p <= n - 12 THEN doc_id END) OVER (PARTITION BY k) AS INT) ELSE 0 END AS s FROM k),
+ r AS (SELECT doc_id, p, word, max(s) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+ c AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM r GROUP BY 1)
+ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)""",
+    "op10_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+ t AS (SELECT a, b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a)
+ SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, least(vec_id, coalesce((SELECT min(b) FROM t WHERE a = vec_id), vec_id)) AS component_id,
+ vec_id = least(vec_id, coalesce((SELECT min(b) FROM t WHERE a = vec_id), vec_id)) AS kept FROM v""",
+}
