@@ -2,27 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranges
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a table in the folder of spark.checkpoint.dir, or a checkpoint where the session set one itself."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="orfspark-"))
-        return df.checkpoint()
-    path = f"{folder.rstrip('/')}/orfspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+from .ranges import stored
 
 
 def select_proteins(pep_protein: DataFrame, min_peptides: int = 1, max_rounds: int = 200) -> DataFrame:

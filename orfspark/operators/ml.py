@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running_above
+
 
 def scale_features(df: DataFrame, cols: list[str]) -> DataFrame:
     """M1: (x - median) over the 2.5 to 97.5 percentile range, per column; constant columns become 0."""
@@ -101,8 +103,7 @@ def fit_paired(df: DataFrame, cols: list[str], share: float = 0.2):
 def ranked(df: DataFrame, score: str = "score") -> DataFrame:
     """Per distinct score the positives and negatives, and those above it."""
     g = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    return g.withColumn("pos_above", F.coalesce(F.sum("pos").over(w), F.lit(0))).withColumn("neg_above", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    return running_above(g, "score", ["pos", "neg"])
 
 
 def roc_auc(df: DataFrame, score: str = "score") -> DataFrame:
@@ -113,7 +114,8 @@ def roc_auc(df: DataFrame, score: str = "score") -> DataFrame:
 
 def sensitivity_at_fdr(df: DataFrame, score: str = "score", levels: tuple = (0.01, 0.03, 0.05, 0.07, 0.10)) -> DataFrame:
     """(fdr, sensitivity): largest share of positives whose cut has at most that share of negatives."""
-    r = ranked(df, score).select((F.col("pos_above") + F.col("pos")).alias("tp"), (F.col("neg_above") + F.col("neg")).alias("fp"), F.sum("pos").over(Window.partitionBy(F.lit(0))).alias("all"))
+    total = df.where(F.col("label") == 1).count()
+    r = ranked(df, score).select((F.col("pos_above") + F.col("pos")).alias("tp"), (F.col("neg_above") + F.col("neg")).alias("fp"), F.lit(total).alias("all"))
     r = r.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
     return r.groupBy(F.col("level").alias("fdr")).agg(F.coalesce(F.max(F.when(F.col("fp") / (F.col("tp") + F.col("fp")) <= F.col("level"), F.col("tp") / F.col("all"))), F.lit(0.0)).alias("sensitivity"))
 

@@ -47,9 +47,9 @@ def peptide_features(psm: DataFrame, best: int = 100) -> DataFrame:
 def ptm_counts(sites: DataFrame, fdr: float = 0.05) -> DataFrame:
     """Sites kept by the walk over sorted p-values (decoys over all up to the row <= fdr at some row behind),
     counted by mass and by (mass, residue)."""
-    w = Window.orderBy("p", "db_pos", "mass").rowsBetween(Window.unboundedPreceding, 0)
     bins = sites.groupBy("p").agg(F.count_if("is_decoy").alias("d"), F.count("*").alias("n"))
-    walk = bins.withColumn("rate", F.sum("d").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)))
+    below = ranges.running_above(bins.withColumn("_o", -F.col("p")), "_o", ["d", "n"])
+    walk = below.withColumn("rate", (F.col("d_above") + F.col("d")) / (F.col("n_above") + F.col("n")))
     cut = walk.where(F.col("rate") <= fdr).agg(F.max("p").alias("cut"))
     kept = sites.join(F.broadcast(cut)).where((F.col("p") <= F.col("cut")) & ~F.col("is_decoy"))  # one row
     return kept.groupingSets([["mass"], ["mass", "residue"]], "mass", "residue").agg(F.count("*").alias("sites"), F.sum("spectra").alias("spectra"))

@@ -6,10 +6,43 @@ equality (a bin or a k-mer) so that the join shuffles on it instead.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage: a table in the folder of spark.checkpoint.dir, or a checkpoint where the session set one itself."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            import tempfile
+
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="orfspark-"))
+        return df.checkpoint()
+    path = f"{folder.rstrip('/')}/orfspark/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def running_above(df: DataFrame, order: str, sums: list[str]) -> DataFrame:
+    """df with `<c>_above`: the sum of c over rows of larger `order`, without one task for all rows.
+
+    Rows are dealt by ranges of `order`; each range adds the totals of those above it (a row per range is broadcast).
+    """
+    placed = stored(df.repartitionByRange(F.desc(order)).withColumn("_p", F.spark_partition_id()))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    per = placed.groupBy("_p").agg(*[F.sum(c).alias(c) for c in sums])
+    before = per.select("_p", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    inside = Window.partitionBy("_p").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(before), "_p")
+    for c in sums:
+        out = out.withColumn(f"{c}_above", F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    return out.drop("_p", *[f"_b_{c}" for c in sums])
+
+
 def exploded_bins(df: DataFrame, start: str, stop: str, width: float, name: str = "_bin") -> DataFrame:
     """One row per bin that [start, stop] touches."""
     bins = F.sequence(F.floor(F.col(start) / width), F.floor(F.col(stop) / width))

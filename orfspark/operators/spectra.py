@@ -101,14 +101,18 @@ def crosslink_candidates(peptides: DataFrame, spectra: DataFrame, linker: float,
     """(scan, a, b) of peptide pairs whose masses and the linker meet the precursor within 1 Da at charge 2 or 3;
     the `top` per scan by the smaller abundance. Peptides: id, mass, abundance; spectra: scan, mz.
 
-    The pair sum is matched from the precursor's side: each (scan, charge, first
-    peptide) asks for the second peptide's mass bin.
+    Whole daltons meet first: a target's bin and a first peptide's bin leave four
+    bins for the second. Bins are as many as the mass range has daltons.
     """
-    want = spectra.select("scan", F.explode(F.array(F.lit(2), F.lit(3))).alias("z"), "mz").select("scan", X.parent_mass(F.col("mz"), F.col("z")).alias("target"))
+    want = spectra.select("scan", F.explode(F.array(F.lit(2), F.lit(3))).alias("z"), "mz").select("scan", (X.parent_mass(F.col("mz"), F.col("z")) - linker).alias("target"))
+    want = want.withColumn("t", F.floor("target"))
     bins = peptides.select("id", "mass", "abundance", F.floor("mass").alias("bin"))
-    first = bins.select(F.col("id").alias("a"), F.col("mass").alias("am"), F.col("abundance").alias("aa"))
-    ask = want.join(first, F.col("am") * 2 <= F.col("target") - linker + 1).select("scan", "target", "a", "am", "aa", F.explode(F.sequence(F.floor(F.col("target") - linker - F.col("am")).cast("long") - 1, F.floor(F.col("target") - linker - F.col("am")).cast("long") + 1)).alias("bin"))
-    met = ask.join(bins.select(F.col("id").alias("b"), F.col("mass").alias("bm"), F.col("abundance").alias("ba"), "bin"), "bin").where((F.abs(F.col("am") + F.col("bm") + linker - F.col("target")) <= 1) & (F.col("a") <= F.col("b")))
+    firsts = bins.select(F.col("bin").alias("i")).distinct()
+    combos = want.select("t").distinct().join(F.broadcast(firsts))  # daltons of the mass range
+    combos = combos.select("t", "i", F.explode(F.sequence(F.col("t") - F.col("i") - 2, F.col("t") - F.col("i") + 1)).alias("j")).join(bins.select(F.col("bin").alias("j")).distinct(), "j", "left_semi")
+    first = bins.select(F.col("id").alias("a"), F.col("mass").alias("am"), F.col("abundance").alias("aa"), F.col("bin").alias("i"))
+    second = bins.select(F.col("id").alias("b"), F.col("mass").alias("bm"), F.col("abundance").alias("ba"), F.col("bin").alias("j"))
+    met = combos.join(want, "t").join(first, "i").join(second, "j").where((F.abs(F.col("am") + F.col("bm") - F.col("target")) <= 1) & (F.col("a") <= F.col("b")))
     w = Window.partitionBy("scan").orderBy(F.desc("least"), "a", "b")
     return met.select("scan", "a", "b", F.least("aa", "ba").alias("least")).distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
 

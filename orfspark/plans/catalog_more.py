@@ -131,7 +131,7 @@ add("p10_localize", lambda s, d: spectra.localize(words(s, d).where("length(t) b
 add("j21_search", lambda s, d: spectra.search_spectra(V.table(s, d, "embeddings").select(F.col("vec_id").alias("spectrum"), (400.0 + F.col("vec_id") % 900).alias("mass")), V.peaks(s, d).withColumn("mz", F.col("mz") * 15), words(s, d).where("length(t) between 4 and 12").select(F.col("t").alias("aminos"))))
 add("j5_splice_novelty", lambda s, d: genome.splice_novelty(words(s, d).where("conv_id % 2 = 0 and length(t) > 5").select(F.col("t").alias("aminos")), words(s, d).where("conv_id % 2 = 1 and length(t) > 5").select(F.col("t").alias("aminos"))))
 add("a37_summary_report", lambda s, d: (lambda rows: pipelines.summary_report(rows.select("aminos", F.col("seq_id").alias("protein"), (F.col("pos") % 2 == 0).alias("is_modified")), rows, V.sequences(s, d)).select("protein", "peptides", "spectra", "modified_peptides", "covered"))(inference.stored(ranges.map_peptides(words(s, d).where("length(t) > 7").select(F.col("t").alias("aminos")), V.sequences(s, d)))))
-add("p9_run_ptm", lambda s, d: pipelines.run_ptm(V.psm(s, d).withColumn("annotation", F.col("aminos").cast("string")).withColumn("residue", F.col("aminos") % 20).withColumn("mass", F.col("charge")))["counts"])
+add("p9_run_ptm", lambda s, d: pipelines.run_ptm(V.psm(s, d).withColumn("annotation", F.col("aminos").cast("string")).withColumn("residue", F.col("aminos") % 20).withColumn("mass", F.col("charge")), 0.5)["counts"])
 add("m4_svm", lambda s, d: ml.predict_svm(ml.fit_svm(labelled(s, d), ["mq_score", "delta"]), labelled(s, d), ["mq_score", "delta"]).select(*key, F.round("score", 3).alias("score")))
 add("m7_select_features", lambda s, d: s.createDataFrame([(i, c) for i, c in enumerate(ml.select_features(labelled(s, d), ["mq_score", "delta", "length"], 2))], "place int, feature string"))
 add("m9_offset_histogram", lambda s, d: spectra.offset_histogram(V.peaks(s, d), V.table(s, d, "embeddings").select(F.col("vec_id").alias("spectrum"), (F.col("vec_id") % 64).cast("double").alias("anchor")), 10.0),

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import stored
+
 PSM_COLUMNS = [
     ("spectrum_file", "string"), ("scan", "int"), ("annotation", "string"), ("protein", "string"), ("charge", "int"), ("mq_score", "double"), ("length", "double"),
     ("total_prm", "double"), ("median_prm", "double"), ("fraction_y", "double"), ("fraction_b", "double"), ("intensity", "double"), ("ntt", "double"), ("p_value", "double"),
@@ -61,8 +63,10 @@ def write_fasta(df: DataFrame, path: str) -> None:
 
 def read_trie(spark: SparkSession, trie: str, index: str) -> DataFrame:
     """S3: (seq_id, name, seq) of residues joined by ``*`` and 92-byte index records (offset long, database long as int, name)."""
-    seqs = spark.read.option("lineSep", "*").text(trie).select("value", F.monotonically_increasing_id().alias("i")).where("value <> ''")
-    numbered = seqs.withColumn("seq_id", F.row_number().over(Window.orderBy("i")) - 1)  # one file, read in order
+    seqs = stored(spark.read.option("lineSep", "*").text(trie).where("value <> ''").select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")))
+    # numbers within each block of the file, and the blocks' sizes before it (a row per block)
+    before = seqs.groupBy("p").agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
+    numbered = seqs.join(F.broadcast(before), "p").withColumn("seq_id", F.col("b") + F.row_number().over(Window.partitionBy("p").orderBy("i")) - 1)
     records = spark.read.format("binaryFile").load(index).select(F.explode(F.sequence(F.lit(0), (F.length("content") / 92).cast("int") - 1)).alias("seq_id"), "content")
     name = F.regexp_extract(F.decode(F.substr("content", F.col("seq_id") * 92 + 13, F.lit(80)), "ISO-8859-1"), "^([^\\x00]*)", 1)
     return numbered.join(records.select("seq_id", name.alias("name")), "seq_id").select("seq_id", "name", F.col("value").alias("seq"))
