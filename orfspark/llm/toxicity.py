@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 ORDERS = (3, 4, 5, 6)
-HASH_BITS = 22
+HASH_BITS = 21
 #: Labelled documents of each class used to fit, and n-grams in the model.
-SAMPLE, FEATURES = 2500, 1 << 14
+SAMPLE, FEATURES = 2000, 1 << 13
 #: Code points handled together.
-CHUNK = 1_000_000
+CHUNK = 400_000
 #: Odd multipliers of the n-gram hash (arbitrary).
 PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -91,7 +91,7 @@ def presence(texts: list[str], slot: np.ndarray, n: int) -> tuple[np.ndarray, np
             keys.append((own[hit] + at) * n + f[hit])
         found.append(np.unique(np.concatenate(keys)))
     keys = np.concatenate(found) if found else np.zeros(0, np.int64)
-    return keys // n, keys % n
+    return (keys // n).astype(np.int32), (keys % n).astype(np.int32)
 
 
 def logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, n: int, penalty: float = 1e-3, steps: int = 80, memory: int = 8) -> tuple[np.ndarray, float]:
@@ -141,14 +141,14 @@ def fit_local(texts: list[str], y: np.ndarray, features: int = FEATURES) -> Mode
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
         return Model(slot, np.zeros(1), float(np.log(share / (1 - share))) if 0 < share < 1 else -20.0)
-    counts = np.zeros((2, size))
+    counts = np.zeros((2, size), dtype=np.float32)
     for at, some in pieces(texts):
         keys = np.unique(np.concatenate([own * size + h for own, h in grams(some)]))
         own, h = keys // size + at, keys % size
         for c in (0, 1):
             counts[c] += np.bincount(h[y[own] == c], minlength=size)
     rate = [(counts[c] + 1) / ((y == c).sum() + 2) for c in (0, 1)]
-    ratio = np.log(rate[1]) - np.log(rate[0])
+    ratio = (np.log(rate[1]) - np.log(rate[0])).astype(np.float32)
     strength = np.abs(ratio) * np.sqrt(np.abs(rate[1] - rate[0]))
     strength[counts.sum(0) < 3] = 0
     chosen = np.argsort(-strength, kind="stable")[:features]
@@ -157,6 +157,7 @@ def fit_local(texts: list[str], y: np.ndarray, features: int = FEATURES) -> Mode
         return Model(slot, np.zeros(1), float(np.log(y.mean() / (1 - y.mean()))))
     slot[chosen] = np.arange(len(chosen))
     row, col = presence(texts, slot, len(chosen))
+    del counts, rate, strength
     w, b = logistic(row, col, ratio[chosen][col], y, len(chosen))
     return Model(slot, w * ratio[chosen], b)
 
