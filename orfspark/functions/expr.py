@@ -121,8 +121,12 @@ def reverse_complement(dna: Column) -> Column:
 def translate_dna(dna: Column) -> Column:
     """Residues of whole codons; a codon that is not known reads as stop."""
     codes = literal_map(dict(zip(CODONS, CODE, strict=True)))
-    places = F.when(F.length(dna) >= 3, F.sequence(F.lit(0), F.floor(F.length(dna) / 3).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(places, lambda i: F.coalesce(F.try_element_at(codes, F.substr(dna, i * 3 + 1, F.lit(3))), F.lit("*"))), "")
+    return F.array_join(F.transform(codons(dna), lambda c: F.coalesce(F.try_element_at(codes, c), F.lit("*"))), "")
+
+
+def codons(dna: Column) -> Column:
+    """Array of whole codons, in one pass over the text."""
+    return F.regexp_extract_all(dna, F.lit("..."), F.lit(0))
 
 
 def gc_percent(dna: Column) -> Column:

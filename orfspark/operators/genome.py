@@ -281,6 +281,4 @@ def context_stats(starts: DataFrame) -> DataFrame:
 
 def codon_usage(dna: DataFrame) -> DataFrame:
     """(chrom, codon, n) over whole codons."""
-    n = F.floor(F.length("seq") / 3).cast("int")
-    rows = dna.where(F.length("seq") >= 3).select("chrom", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    return rows.groupBy("chrom", F.substr(F.col("seq"), F.col("i") * 3 + 1, F.lit(3)).alias("codon")).agg(F.count("*").alias("n"))
+    return dna.select("chrom", F.explode(X.codons(F.col("seq"))).alias("codon")).groupBy("chrom", "codon").agg(F.count("*").alias("n"))

@@ -76,8 +76,9 @@ def tolerance_join(a: DataFrame, b: DataFrame, keys: list[str], left: str, right
 
 def kmers(seqs: DataFrame, seq: str, k: int, carry: list[str]) -> DataFrame:
     """(carry..., kmer, pos from 1) of every k-mer."""
-    n = F.length(seq) - k + 1
-    return seqs.where(n > 0).select(*carry, F.explode(F.sequence(F.lit(1), n)).alias("pos"), seq).select(*carry, "pos", F.substr(F.col(seq), F.col("pos"), F.lit(k)).alias("kmer"))
+    # a look-ahead finds overlapping stretches in one pass; the sequence is not copied per row
+    found = F.regexp_extract_all(F.col(seq), F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
+    return seqs.select(*carry, F.posexplode(found).alias("pos", "kmer")).withColumn("pos", F.col("pos") + 1)
 
 
 def map_peptides(peptides: DataFrame, sequences: DataFrame, k: int = 5) -> DataFrame:
@@ -88,18 +89,17 @@ def map_peptides(peptides: DataFrame, sequences: DataFrame, k: int = 5) -> DataF
     shorter peptides are looked up under themselves. Overlapping places count.
     """
     wanted = peptides.select("aminos").where("aminos is not null and aminos <> ''").distinct()
-    lengths = wanted.where(F.length("aminos") < k).select(F.length("aminos").alias("n")).distinct()
+    lengths = sorted(r.n for r in wanted.where(F.length("aminos") < k).select(F.length("aminos").alias("n")).distinct().collect())  # at most k - 1
     long = wanted.where(F.length("aminos") >= k)
     index = kmers(sequences, "seq", k, ["seq_id"])
     of_long = kmers(long, "aminos", k, ["aminos"]).withColumnRenamed("pos", "offset")
     counts = index.join(of_long.select("kmer").distinct(), "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("n"))
     rare = of_long.join(counts, "kmer").groupBy("aminos").agg(F.min(F.struct("n", "offset", "kmer")).alias("r")).select("aminos", "r.offset", "r.kmer")
     begin = rare.join(index, "kmer").select("aminos", "seq_id", (F.col("pos") - F.col("offset") + 1).alias("pos")).where("pos > 0")
-    # the few lengths below k: substrings of exactly these lengths
-    spread = sequences.select("seq_id", "seq", F.explode(F.sequence(F.lit(1), F.greatest(F.length("seq"), F.lit(1)))).alias("pos"))
-    short = spread.join(F.broadcast(lengths)).select("seq_id", "pos", F.substr(F.col("seq"), F.col("pos"), F.col("n")).alias("aminos"), "n")  # at most k - 1 lengths
-    short = short.where(F.length("aminos") == F.col("n")).join(wanted, "aminos", "left_semi").select("aminos", "seq_id", "pos")
-    found = begin.unionByName(short).join(sequences.select("seq_id", "seq"), "seq_id")
+    for n in lengths:
+        short = kmers(sequences, "seq", n, ["seq_id"]).withColumnRenamed("kmer", "aminos").join(wanted, "aminos", "left_semi")
+        begin = begin.unionByName(short.select("aminos", "seq_id", "pos"))
+    found = begin.join(sequences.select("seq_id", "seq"), "seq_id")
     found = found.where(F.substr(F.col("seq"), F.col("pos"), F.length("aminos")) == F.col("aminos"))
     stop = F.col("pos") + F.length("aminos")
     prefix = F.when(F.col("pos") > 1, F.substr(F.col("seq"), F.col("pos") - 1, F.lit(1)))
