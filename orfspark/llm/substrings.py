@@ -8,8 +8,8 @@ window starts.
 Pass 1: each partition builds a sketch (two rows of counters, saturating at 2)
 and emits it in shards; shards are merged by addition, each in a task of its
 own, and shrink to one bit per counter: "two or more".
-Pass 2: windows whose bits are set in both rows are grouped exactly, under 128
-bits of their word sequence. Each partition first settles its own windows (one
+Pass 2: windows whose bits are set in both rows are grouped exactly, under 96
+bits of hash of their word sequence. Each partition first settles its own windows (one
 row per window and partition leaves it), so a passage in a third of all
 documents makes no large group.
 Pass 3: documents are joined with the spans to remove.
@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import read_table
 
 #: Odd multipliers of the rolling hashes and of the two sketch rows (arbitrary).
 ROLL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 ROWS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 SHARD_BITS = 22
 #: Words handled together.
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 600_000
 U64 = (1 << 64) - 1
 
 
@@ -197,7 +197,7 @@ def repeated_windows(size: int, log_width: int, part: int, parts: int, sketch):
                 continue
             k1, k2 = (mix(rolled(hashes, size, base)[start]) for base in ROLL)
             number = np.array([x if x is not None else 0 for x in ids], dtype=np.int64)
-            row_id = np.array(rows, dtype=np.int64)
+            row_id = np.array(rows, dtype=np.int32)
             local = start - (np.cumsum(counts) - counts)[doc]
             order = np.lexsort((local, doc, number[doc], k2, k1))
             k1, k2, doc, local = k1[order], k2[order], doc[order], local[order].astype(np.int32)
@@ -215,7 +215,7 @@ def repeated_windows(size: int, log_width: int, part: int, parts: int, sketch):
             yield pa.RecordBatch.from_pydict(
                 {
                     "k1": pa.array(k1[first].view(np.int64)),
-                    "k2": pa.array(k2[first].view(np.int64)),
+                    "k2": pa.array((k2[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     "doc_id": pa.array(own[first]),
                     "row_id": pa.array(row_id[doc[first]]),
                     "starts": binaries(local[open_], cut),
@@ -230,8 +230,8 @@ def repeated_windows(size: int, log_width: int, part: int, parts: int, sketch):
                 at = doc[done][cut[:-1]]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "k1": pa.array(row_id[at] ^ number[at]),
-                        "k2": pa.array(number[at]),
+                        "k1": pa.array(number[at]),
+                        "k2": pa.array(row_id[at]),
                         "doc_id": pa.array(number[at]),
                         "row_id": pa.array(row_id[at]),
                         "starts": binaries(local[done], cut),
@@ -276,7 +276,7 @@ def cut_spans(columns: list[str], size: int):
 
 
 def removed_spans(docs: DataFrame, size: int = 13, bits_per_gram: int = 6, max_sketch_bits: int = 1 << 30, parts: int | None = None) -> DataFrame:
-    """(doc_id, row_id, starts): windows to remove. docs: doc_id, row_id (long), text."""
+    """(doc_id, row_id, starts): windows to remove. docs: doc_id, row_id (int), text."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     grams = total // 20 + 1  # about a word in six bytes; a window in four brings a new gram
@@ -293,7 +293,7 @@ def removed_spans(docs: DataFrame, size: int = 13, bits_per_gram: int = 6, max_s
             at = (x.shard & ((1 << 40) - 1)) << (SHARD_BITS - 3)
             bits[x.shard >> 40][at : at + len(own)] = own
         sketch = spark.sparkContext.broadcast(bits)
-        rows = docs.mapInArrow(repeated_windows(size, log_width, part, parts, sketch), "k1 long, k2 long, doc_id long, row_id long, starts binary, settled boolean")
+        rows = docs.mapInArrow(repeated_windows(size, log_width, part, parts, sketch), "k1 long, k2 int, doc_id long, row_id int, starts binary, settled boolean")
         first = rows.withColumn("first", F.min("doc_id").over(Window.partitionBy("k1", "k2")))
         hit = first.where("settled or doc_id > first").select("doc_id", "row_id", "starts")
         found = hit if found is None else found.union(hit)
@@ -310,7 +310,7 @@ def dedup(docs: DataFrame, size: int = 13, **sketch) -> DataFrame:
     each other's words; rows without doc_id stay whole and remove nothing.
     """
     columns = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")]
-    docs = docs.select(*columns, F.xxhash64("text").alias("_row"))
+    docs = docs.select(*columns, F.shiftright(F.xxhash64("text"), 32).cast("int").alias("_row"))  # tells rows of one doc_id apart
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("_row").alias("row_id"), "text")
     spans = removed_spans(narrow, size, **sketch)
     spans = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("row_id").alias("_key")).agg(F.collect_list("starts").alias("_removed"))
