@@ -226,15 +226,14 @@ def repeated_windows(size: int, log_width: int, part: int, parts: int, sketch):
             done = np.flatnonzero(own != lowest)
             done = done[np.lexsort((local[done], doc[done]))]
             if len(done):
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(doc[done])) + 1, [len(done)]])
-                at = doc[done][cut[:-1]]
+                values, at, cut = runs_of(doc[done], local[done])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "k1": pa.array(number[at]),
                         "k2": pa.array(row_id[at]),
                         "doc_id": pa.array(number[at]),
                         "row_id": pa.array(row_id[at]),
-                        "starts": binaries(local[done], cut),
+                        "starts": binaries(values, cut),
                         "settled": pa.array(np.ones(len(at), dtype=bool)),
                     }
                 )
@@ -242,6 +241,30 @@ def repeated_windows(size: int, log_width: int, part: int, parts: int, sketch):
     return run
 
 
+def runs_of(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted (document, start) pairs as values, documents and cuts between documents. A run of starts is its first
+    one, followed by minus its length if that is above one."""
+    head = np.ones(len(doc), dtype=bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(head)
+    length = np.diff(np.append(first, len(doc)))
+    place = np.cumsum(1 + (length > 1)) - (1 + (length > 1))
+    values = np.zeros(int((1 + (length > 1)).sum()), dtype=np.int32)
+    values[place] = start[first]
+    values[place[length > 1] + 1] = -length[length > 1]
+    new = np.ones(len(first), dtype=bool)
+    new[1:] = doc[first][1:] != doc[first][:-1]
+    return values, doc[first][new], np.append(place[new], len(values))
+
+
+def starts_and_lengths(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    long = np.flatnonzero(values < 0)
+    length = np.ones(len(values), dtype=np.int64)
+    length[long - 1] = -values[long]
+    keep = values >= 0
+    return values[keep].astype(np.int64), length[keep]
+
+
 def binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """One binary for each stretch of 32-bit values between cuts."""
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 4).astype(np.int32).tobytes()), pa.py_buffer(values.astype("<i4").tobytes())])
@@ -259,10 +282,10 @@ def cut_spans(columns: list[str], size: int):
                 spans = removed.as_py()
                 gone = 0
                 if spans:
-                    starts = np.frombuffer(b"".join(spans), dtype="<i4")
+                    starts, lengths = starts_and_lengths(np.frombuffer(b"".join(spans), dtype="<i4"))
                     edge = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + size, -1)
+                    np.add.at(edge, starts + lengths - 1 + size, -1)
                     stay = np.cumsum(edge)[:-1] <= 0
                     gone = int(len(words) - stay.sum())
                     words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
@@ -276,7 +299,7 @@ def cut_spans(columns: list[str], size: int):
 
 
 def removed_spans(docs: DataFrame, size: int = 13, bits_per_gram: int = 6, max_sketch_bits: int = 1 << 30, parts: int | None = None) -> DataFrame:
-    """(doc_id, row_id, starts): windows to remove. docs: doc_id, row_id (int), text."""
+    """(doc_id, row_id, starts): windows to remove, as `runs_of` writes them. docs: doc_id, row_id (int), text."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     grams = total // 20 + 1  # about a word in six bytes; a window in four brings a new gram
