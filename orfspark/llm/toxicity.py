@@ -4,8 +4,10 @@ Fit: a bounded, hash-ordered sample of labelled documents of each class
 (`sample` rows of each) gives, per hashed n-gram, the document counts of both
 classes; the `features` n-grams with the largest log-count ratios (weighted by
 support) are kept, a document's feature is presence times ratio, and a logistic
-regression with L2 penalty is fitted on those. Score: one narrow pass over the
-whole texts with the bounded model broadcast.
+regression with L2 penalty is fitted on those. The n-grams are hashed in tasks
+and counted by groupBy; the driver gets the kept ones and a bitmap of them per
+sampled document, no text. Score: one narrow pass over the whole texts with the
+bounded model broadcast.
 """
 
 from __future__ import annotations
@@ -15,17 +17,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, stored
 
 ORDERS = (3, 4, 5, 6)
-HASH_BITS = 21
+HASH_BITS = 22
 #: Labelled documents of each class used to fit, and n-grams in the model.
-SAMPLE, FEATURES = 2000, 1 << 13
-#: Code points handled together.
+SAMPLE, FEATURES = 2500, 1 << 14
+#: Code points handled together; features of documents that the solver handles together.
 CHUNK = 400_000
+BLOCK = 1 << 18
 #: Odd multipliers of the n-gram hash (arbitrary).
 PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -94,15 +98,25 @@ def presence(texts: list[str], slot: np.ndarray, n: int) -> tuple[np.ndarray, np
     return (keys // n).astype(np.int32), (keys % n).astype(np.int32)
 
 
-def logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, n: int, penalty: float = 1e-3, steps: int = 80, memory: int = 8) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression on sparse rows by limited-memory quasi-Newton steps; classes weigh the same."""
+def logistic(size: np.ndarray, col: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 80, memory: int = 8) -> tuple[np.ndarray, float]:
+    """L2-penalised logistic regression by limited-memory quasi-Newton steps; classes weigh the same.
+
+    Row i has the next size[i] features of col; a feature's value is its ratio.
+    """
+    n, ends = len(ratio), np.concatenate([[0], np.cumsum(size)])
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1] + 1, BLOCK)), [0, len(y)]))
 
     def cost(x: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, value * x[col], len(y)) + x[n]
-        g = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        loss = (share * (np.logaddexp(0, z) - y * z)).sum() + penalty / 2 * (x[:n] @ x[:n])
-        return loss, np.append(np.bincount(col, g[row] * value, n) + penalty * x[:n], g.sum())
+        loss, own, bias, scaled = penalty / 2 * (x[:n] @ x[:n]), np.zeros(n), 0.0, ratio * x[:n]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            c, row = col[ends[a] : ends[b]], np.repeat(np.arange(b - a), size[a:b])
+            z = np.bincount(row, scaled[c], b - a) + x[n]
+            g = share[a:b] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[a:b])
+            loss += (share[a:b] * (np.logaddexp(0, z) - y[a:b] * z)).sum()
+            own += np.bincount(c, g[row], n)
+            bias += g.sum()
+        return loss, np.append(ratio * own + penalty * x[:n], bias)
 
     x = np.zeros(n + 1)
     loss, grad = cost(x)
@@ -134,32 +148,45 @@ def logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray,
     return x[:n], float(x[n])
 
 
-def fit_local(texts: list[str], y: np.ndarray, features: int = FEATURES) -> Model:
-    """Fit on the sample. One class alone (or no row) gives a model that scores everything with that class's share."""
-    size = 1 << HASH_BITS
-    slot = np.full(size, -1, dtype=np.int32)
-    if len(y) == 0 or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
-        return Model(slot, np.zeros(1), float(np.log(share / (1 - share))) if 0 < share < 1 else -20.0)
-    counts = np.zeros((2, size), dtype=np.float32)
-    for at, some in pieces(texts):
-        keys = np.unique(np.concatenate([own * size + h for own, h in grams(some)]))
-        own, h = keys // size + at, keys % size
-        for c in (0, 1):
-            counts[c] += np.bincount(h[y[own] == c], minlength=size)
-    rate = [(counts[c] + 1) / ((y == c).sum() + 2) for c in (0, 1)]
+def strengths(n0: np.ndarray, n1: np.ndarray, rows: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Log-count ratio and strength of n-grams that are in n0 and n1 of the `rows` documents of the classes."""
+    rate = [(n + 1) / (r + 2) for n, r in zip((n0, n1), rows, strict=True)]
     ratio = (np.log(rate[1]) - np.log(rate[0])).astype(np.float32)
-    strength = np.abs(ratio) * np.sqrt(np.abs(rate[1] - rate[0]))
-    strength[counts.sum(0) < 3] = 0
-    chosen = np.argsort(-strength, kind="stable")[:features]
-    chosen = chosen[strength[chosen] > 0]
-    if not len(chosen):
-        return Model(slot, np.zeros(1), float(np.log(y.mean() / (1 - y.mean()))))
-    slot[chosen] = np.arange(len(chosen))
-    row, col = presence(texts, slot, len(chosen))
-    del counts, rate, strength
-    w, b = logistic(row, col, ratio[chosen][col], y, len(chosen))
-    return Model(slot, w * ratio[chosen], b)
+    return ratio, np.where(n0 + n1 < 3, 0, np.abs(ratio) * np.sqrt(np.abs(rate[1] - rate[0])))
+
+
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (gram, n0, n1) of a partition's (text, label): the documents of each class that hold the n-gram."""
+    size = 1 << HASH_BITS
+    counts = np.zeros((2, size), dtype=np.int32)
+    for batch in batches:
+        y = batch.column(1).to_numpy(zero_copy_only=False)
+        for at, some in pieces(batch.column(0).to_pylist()):
+            keys = np.unique(np.concatenate([own * size + h for own, h in grams(some)]))
+            own, h = keys // size + at, keys % size
+            for c in (0, 1):
+                seen, n = np.unique(h[y[own] == c], return_counts=True)
+                counts[c, seen] += n.astype(np.int32)
+    seen = np.flatnonzero(counts[0] | counts[1])
+    for some in np.array_split(seen, len(seen) // 100_000 + 1):
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(counts[c][some].astype(np.int64)) for c in (0, 1))], names=["gram", "n0", "n1"])
+
+
+def bitmaps(slot, n: int):
+    """(place, label, text) -> (place, label, bits): which of the n features the text holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            row, col = presence(texts, slot.value, n)
+            bits = []
+            for own in np.split(col, np.searchsorted(row, np.arange(1, len(texts)))) if texts else []:
+                flags = np.zeros(n, dtype=np.uint8)
+                flags[own] = 1
+                bits.append(np.packbits(flags).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["place", "label", "bits"])
+
+    return run
 
 
 def score_texts(model: Model, texts: list[str]) -> np.ndarray:
@@ -171,12 +198,41 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
 def fit(labelled: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
     """Fit on at most 2 * sample rows of (text, label 0 or 1), in order of the text's hash.
 
-    Rows whose text is null or whose label is neither do not count.
+    Rows whose text is null or whose label is neither do not count. One class
+    alone (or no row) gives a model that scores everything with that class's share.
     """
+    spark = labelled.sparkSession
     rows = labelled.where("text is not null and label in (0, 1)").select("text", F.col("label").cast("int").alias("label"))
-    rows = rows.orderBy(F.xxhash64("text"), "text", "label").limit(2 * sample).collect()
-    texts, y = [r.text for r in rows], [r.label for r in rows]
-    return fit_local(texts, np.array(y, dtype=np.int64), features)
+    rows = stored(rows.select("text", "label", F.xxhash64("text").alias("place"), F.monotonically_increasing_id().alias("row")))
+    first = rows.select("place", "label", "row").orderBy("place", "label", "row").limit(2 * sample)
+    rows = rows.join(F.broadcast(first.select("row")), "row", "left_semi")  # at most 2 * sample numbers
+    n = dict(rows.groupBy("label").agg(F.count("*")).collect())
+    slot = np.full(1 << HASH_BITS, -1, dtype=np.int32)
+    if len(n) < 2:
+        share = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1) if n else 0.0
+        return Model(slot, np.zeros(1), float(np.log(share / (1 - share))) if 0 < share < 1 else -20.0)
+
+    @F.pandas_udf("double")
+    def strength(n0: pd.Series, n1: pd.Series) -> pd.Series:
+        return pd.Series(strengths(n0.to_numpy(), n1.to_numpy(), (n[0], n[1]))[1])
+
+    counted = rows.select("text", "label").mapInArrow(count_grams, "gram int, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    ranked = counted.where("n0 + n1 >= 3").withColumn("strength", strength("n0", "n1")).where("strength > 0")
+    chosen = ranked.orderBy(F.desc("strength"), "gram").limit(features).collect()
+    if not chosen:
+        return Model(slot, np.zeros(1), float(np.log(n[1] / n[0])))
+    slot[[r.gram for r in chosen]] = np.arange(len(chosen))
+    ratio, _ = strengths(np.array([r.n0 for r in chosen]), np.array([r.n1 for r in chosen]), (n[0], n[1]))
+    held = spark.sparkContext.broadcast(slot)
+    found = rows.select("place", "label", "text").mapInArrow(bitmaps(held, len(chosen)), "place long, label int, bits binary").collect()
+    found.sort(key=lambda r: (r.place, r.label))
+    size, col = [], []
+    for r in found:
+        own = np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8), count=len(chosen)))
+        size.append(len(own))
+        col.append(own.astype(np.min_scalar_type(len(chosen))))
+    w, b = logistic(np.array(size), np.concatenate(col), ratio, np.array([r.label for r in found]))
+    return Model(slot, w * ratio, b)
 
 
 def scorer(spark: SparkSession, model: Model):

@@ -174,6 +174,36 @@ def test_toxicity(spark):
     assert toxicity.score(df, lab.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_fit_keeps_rare_wordings_and_collects_no_text(spark, monkeypatch):
+    """A vocabulary with more than 8,192 telling n-grams, against a plain fit on one machine."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 7))
+    telling = [[word() for _ in range(700)] for _ in (0, 1)]
+    texts = [" ".join(telling[i % 2][k] for k in rng.choice(700, 30, replace=False)) for i in range(300)]
+    y = np.arange(300) % 2
+    df = spark.createDataFrame([(t, int(c)) for t, c in zip(texts, y, strict=True)] + [(None, 1), ("x", 7), ("y", None)], "text string, label long").repartition(3)
+    sent, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: (sent.append(self.columns), collect(self))[1])
+    model = toxicity.fit(df)
+    assert (toxicity.SAMPLE, toxicity.FEATURES, len(model.slot)) == (2500, 1 << 14, 1 << 22)
+    assert sent and not any("text" in columns for columns in sent)
+    counts = np.zeros((2, 1 << 22))
+    held = [np.unique(np.concatenate([h for _, h in toxicity.grams([t])])) for t in texts]
+    for c, h in zip(y, held, strict=True):
+        counts[c, h] += 1
+    ratio, strength = toxicity.strengths(counts[0], counts[1], (150, 150))
+    best = np.argsort(-strength, kind="stable")[: 1 << 14]
+    best = best[strength[best] > 0]
+    assert len(best) > 8192 and np.array_equal(np.flatnonzero(model.slot >= 0), np.sort(best))
+    assert np.array_equal(model.slot[best], np.arange(len(best)))
+    present = np.array([np.isin(best, h) for h in held])
+    slope = 1e-3 * model.weight / ratio[best]  # the gradient of the penalised loss is next to 0
+    error = (1 / (1 + np.exp(-(present @ model.weight + model.bias))) - y) / 300
+    assert np.abs(slope + ratio[best] * (error @ present)).max() < 2e-3 and abs(error.sum()) < 2e-3
+    few = toxicity.fit(df, sample=40, features=50)
+    assert len(few.weight) == 50
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.org/es/1?x"), (2, "https://example.org/en/12"), (3, "https://example.org/en/2"), (4, "x.com/fr/1"), (5, None), (6, "ftp://com/fr/"), (7, "http://notexample.org/es/"), (8, "http://a.com/de/#t"), (9, "http://b.net"), (10, "http://q.example.org/es"), (11, "")]
     rows += [(100 + i, f"http://site{i}.com/{'fr' if i % 2 else 'de'}/{i}") for i in range(60)] + [(300, "http://site3.net/de/44"), (301, "http://site4.net/fr/45")]
