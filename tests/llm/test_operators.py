@@ -242,6 +242,14 @@ def test_quality(spark):
     assert quality.judge(df, lab.limit(0)).where("not kept").count() == 0
 
 
+def test_quality_vocabulary_cuts_above_100000(spark, monkeypatch):
+    """More words beyond a count of 100,000 than the vocabulary has room for: the most frequent ones stay known."""
+    monkeypatch.setattr(quality, "WORDS", 4)
+    rows = [("a b c " * 1000,)] * 100 + [("a a a b b c rare",)]
+    assert quality.vocabulary(spark.createDataFrame(rows, "text string")) == (["a", "b"], 2)
+    assert quality.vocabulary(spark.createDataFrame([("a b c " * 10,)], "text string")) == ([], 3)
+
+
 def kneser_ney(good, rows):
     """Plain version of the same model; the vocabulary holds every word that repeats counts allow."""
     import binascii
