@@ -1,16 +1,18 @@
 """Operator 5, licence scans: a trained paragraph classifier with an unknown class, confirmed by templates.
 
-Every paragraph (line) of every document is scored by a multinomial logistic
-regression on sparse, hashed word n-grams. It is trained on licence notices,
-composed from the names and openings below, and on a bounded sample of corpus
-paragraphs as the unknown class. Probabilities are calibrated by a temperature
-fitted on rows held out of the fit; below `least` a paragraph is unknown. A
-predicted family counts only if a template of that family is found in the
-paragraph (share of the template's word n-grams).
+Paragraphs end at blank lines. Every paragraph of every document is scored, in
+overlapping windows of bounded length, by a multinomial logistic regression on
+sparse, hashed word n-grams. It is trained on licence notices, composed from
+the names and openings below, on the licences' own texts, and on a bounded
+sample of corpus windows as the unknown class. Probabilities are calibrated by
+a temperature fitted on rows held out of the fit. A window can hold several
+families: each counts whose probability against unknown is `least` or more and
+of which a template is found in the window (share of the template's word pairs).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,10 +43,22 @@ NAMES = {
 }
 #: Openings of such notices.
 OPENINGS = ["Licensed under the", "Licensed under", "Released under the", "Released under", "This work is licensed under the", "This work is licensed under", "Distributed under the terms of the", "This program is distributed under the", "SPDX-License-Identifier:", "License:", "This file is subject to the terms of the", "You may use this file under the"]
+#: Passages of the licences' own texts that do not name them and that no other family here has.
+BODIES = {
+    "apache": ["you may not use this file except in compliance with the License", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
+    "cc0": ["The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
+    "mpl": ["If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "unlicense": ["This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
+}
 FAMILIES = sorted(NAMES)
 UNKNOWN = len(FAMILIES)
 HASH_BITS = 16
-#: Corpus documents whose paragraphs train the unknown class (a bound), and paragraphs of each.
+#: Words of a window, between the starts of two windows, and of a template from a licence's own text (at most STEP + 1).
+WINDOW, STEP, STRETCH = 16, 8, 9
+#: Corpus documents whose windows train the unknown class (a bound), and windows of each.
 SAMPLE, PER_DOC = 1500, 4
 #: Words handled together.
 CHUNK = 500_000
@@ -59,10 +73,15 @@ class Model:
 
 
 def paragraphs(text: str | None) -> list[list[bytes]]:
-    """Words of each paragraph that has some: ASCII letters lower-cased, other ASCII signs as blanks."""
+    """Words of each paragraph (up to a line without words) that has some: ASCII letters lower-cased, other ASCII signs as blanks."""
     if not text:
         return []
-    return [ws for line in text.encode("utf-8", "surrogatepass").translate(TABLE).split(b"\n") if (ws := line.split())]
+    return [ws for part in re.split(rb"\n *\n", text.encode("utf-8", "surrogatepass").translate(TABLE)) if (ws := part.split())]
+
+
+def windows(words: list[bytes]) -> list[slice]:
+    """Windows that hold every stretch of STEP + 1 words whole; a short paragraph is one."""
+    return [slice(a, a + WINDOW) for a in range(0, max(len(words) - STEP, 1), STEP)]
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -100,6 +119,17 @@ def fit_local(unknown: list[list[bytes]], steps: int = 120) -> Model:
                 tail = ["", "see the file LICENSE for details", "all rights reserved"][k % 3]
                 rows.append(paragraphs(f"{opening} {name} {tail}")[0])
                 y.append(c)
+        for body in BODIES.get(family, []):
+            ws = paragraphs(body)[0]
+            cuts = [*windows(ws), *(slice(a, a + STRETCH) for a in range(len(ws) - STRETCH + 1))]
+            rows += [ws[cut] for cut in cuts]
+            y += [c] * len(cuts)
+    # the same inside other text
+    for k in range(len(rows) if unknown else 0):
+        room = max(WINDOW - len(rows[k]), 0)
+        left, other = k % (room + 1), unknown[k % len(unknown)]
+        rows.append(other[:left] + rows[k] + other[left:room])
+        y.append(y[k])
     # openings alone and common mentions are no licence
     plain = [paragraphs(o + " following terms")[0] for o in OPENINGS] + [paragraphs(t)[0] for t in ("all rights reserved", "see the file for details", "public license", "the general public", "copyright notice")]
     few = plain * 4 + unknown
@@ -144,33 +174,39 @@ def pairs_of(words: list[bytes]) -> set:
     return set(zip(words, words[1:], strict=False)) if len(words) > 1 else {(words[0],)}
 
 
-TEMPLATES = {f: [paragraphs(n)[0] for n in names] for f, names in NAMES.items()}
+def stretches(words: list[bytes]) -> list[list[bytes]]:
+    last = max(len(words) - STRETCH, 0)
+    return [words[a : a + STRETCH] for a in {*range(0, last, 3), last}]
+
+
+TEMPLATES = {f: [pairs_of(paragraphs(n)[0]) for n in NAMES[f]] + [pairs_of(t) for b in BODIES.get(f, []) for t in stretches(paragraphs(b)[0])] for f in FAMILIES}
 
 
 def confirmed(family: str, words: list[bytes], least: float) -> bool:
-    """Whether a template of the family is in the paragraph: at least that share of its word pairs (one word: itself)."""
+    """Whether a template of the family is in the words: at least that share of its word pairs (one word: itself)."""
     own = set(zip(words, words[1:], strict=False)) | {(w,) for w in words}
-    return any(len(t & own) >= least * len(t) for t in map(pairs_of, TEMPLATES[family]))
+    return any(len(t & own) >= least * len(t) for t in TEMPLATES[family])
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Unknown paragraphs come from at most `sample` documents in order of the text's hash.
+    """Unknown windows come from at most `sample` documents in order of the text's hash.
 
-    A sampled paragraph that holds some template whole is left out, since it may be a notice.
+    A sampled window that holds some template whole is left out, since it may be a notice.
     """
     texts = docs.where("text is not null").select("text").orderBy(F.xxhash64("text"), "text").limit(sample).collect()
     unknown = []
     for r in texts:
-        own = sorted(paragraphs(r.text), key=lambda ws: xxhash.xxh3_64_intdigest(b" ".join(ws)))[:PER_DOC]
-        unknown += [ws[:60] for ws in own if not any(confirmed(f, ws, 1.0) for f in FAMILIES)]
+        own = sorted((ws[cut] for ws in paragraphs(r.text) for cut in windows(ws)), key=lambda ws: xxhash.xxh3_64_intdigest(b" ".join(ws)))[:PER_DOC]
+        unknown += [ws for ws in own if not any(confirmed(f, ws, 1.0) for f in FAMILIES)]
     return fit_local(unknown)
 
 
 def scan(docs: DataFrame, model: Model | None = None, least: float = 0.5, similarity: float = 0.8, sample: int = SAMPLE) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_paragraphs, licences, unconfirmed.
 
-    licences: sorted distinct families predicted with calibrated probability
-    `least` and confirmed by a template; unconfirmed: those predicted only.
+    licences: sorted distinct families with calibrated probability `least`
+    against unknown in some window and confirmed there by a template;
+    unconfirmed: those that are only the likeliest class of a window at `least`.
     Null, empty and blank texts have no paragraphs and no licence; repeated rows
     are judged each; other columns are ignored; an empty table gives an empty one.
     """
@@ -183,31 +219,35 @@ def scan(docs: DataFrame, model: Model | None = None, least: float = 0.5, simila
             sure: list[set] = [set() for _ in range(len(batch))]
             maybe: list[set] = [set() for _ in range(len(batch))]
             number = np.zeros(len(batch), dtype=np.int64)
-            held: list[tuple[int, list[bytes]]] = []
+            held: list[tuple[int, list[bytes], np.ndarray]] = []
             size = 0
 
             def flush() -> None:
                 if not held:
                     return
-                counts = np.array([len(ws) for _, ws in held])
-                z = logits(model, hashes([w for _, ws in held for w in ws]), counts)
+                counts = np.array([len(ws) for _, ws, _ in held])
+                z = logits(model, np.concatenate([h for *_, h in held]), counts) / model.temperature
+                each = 1 / (1 + np.exp(np.clip(z[:, [UNKNOWN]] - z[:, :UNKNOWN], -40, 40)))
                 best = z[:, :UNKNOWN].argmax(axis=1)
-                p = softmax(z / model.temperature)
-                for i in np.flatnonzero(p[np.arange(len(best)), best] >= least):
-                    doc, ws = held[i]
-                    family = FAMILIES[best[i]]
-                    (sure if confirmed(family, ws, similarity) else maybe)[doc].add(family)
+                p = softmax(z)[np.arange(len(best)), best]
+                for i in np.flatnonzero(each.max(axis=1) >= least):
+                    doc, ws, _ = held[i]
+                    sure[doc].update(FAMILIES[f] for f in np.flatnonzero(each[i] >= least) if confirmed(FAMILIES[f], ws, similarity))
+                    if p[i] >= least:
+                        maybe[doc].add(FAMILIES[best[i]])
                 held.clear()
 
             for i, text in enumerate(batch.column(1)):
                 own = paragraphs(text.as_py())
                 number[i] = len(own)
                 for ws in own:
-                    held.append((i, ws))
-                    size += len(ws)
-                if size >= CHUNK:
-                    flush()
-                    size = 0
+                    h = hashes(ws)
+                    for cut in windows(ws):
+                        held.append((i, ws[cut], h[cut]))
+                        size += WINDOW
+                        if size >= CHUNK:
+                            flush()
+                            size = 0
             flush()
             strings = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(

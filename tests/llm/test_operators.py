@@ -227,6 +227,16 @@ def test_licences(spark, docs):
     assert licences.scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_licences_bodies_wraps_two_in_one_and_long_lines(spark):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software")'
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    rows = [(i, prose(i, 80)) for i in range(40)]
+    rows += [(50, mit), (51, bsd), (52, "Licensed under the Apache License,\nVersion 2.0"), (53, "MIT License or Apache License 2.0"), (54, prose(60, 900) + " Released under the Mozilla Public License, version 2.0. " + prose(61, 900)), (55, "one\ntwo\n \nthree")]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[d].licences for d in range(50, 56)] == [["mit"], ["bsd"], ["apache"], ["apache", "mit"], ["mpl"], []]
+    assert got[55].n_paragraphs == 2 and all(got[d].licences == [] for d in range(40))
+
+
 def test_quality(spark):
     rows = [(i, prose(i, 80), "en") for i in range(300)] + [(1000 + i, " ".join(f"qz{i}x{j}" for j in range(50)), "en") for i in range(10)] + [(2000, None, "en"), (2001, "", None), (2002, prose(7, 10), None)]
     labels = [(i, 1) for i in range(250)] + [(1000, 0), (1001, 0)]
