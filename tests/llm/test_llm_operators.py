@@ -72,8 +72,8 @@ def test_simhash_keep_first_handles_repeats_and_null_ids(spark, docs):
 
 def test_substrings(spark, docs):
     df = spark.createDataFrame(docs, DOCS).withColumn("n_words", F.lit("clash")).repartition(4)
-    for parts in (None, 3):
-        got = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept_text)) for r in substrings.dedup(df, parts=parts).collect()}
+    for more in ({}, {"shard_bytes": 50}, {"least_shards": 1}):  # 64, hundreds and one shard
+        got = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept_text)) for r in substrings.dedup(df, **more).collect()}
         assert got == brute.substrings(docs)
     assert substrings.dedup(spark.createDataFrame([], DOCS)).count() == 0
 
