@@ -1,20 +1,22 @@
 """Operator 7, chat formatting in budgeted windows. DataFrame functions only.
 
-A running sum of turn tokens cuts a conversation at turn boundaries: a turn that
-crosses a multiple of the step starts a new window, and the step is half of the
-budget that the system turn and the history leave, so a window keeps to the
-budget unless single turns are larger than a step (turns are never cut). Each
-window after the first repeats the system turn and up to `history_turns` turns
-of at most `history` tokens in all; the loss mask covers assistant texts only,
-and of those only the ones that are not repeats.
+Turns are packed greedily by their running sum of tokens: a window starts at the
+first turn that no longer fits behind the turns of the window before it. In front
+of its own turns it repeats the system turn and up to `history_turns` turns of
+at most `history` tokens in all, nearest first, as far as they fit beside the
+window's first own turn (the system turn goes first). So a window keeps to the
+budget unless a single turn exceeds it: turns are never cut. The loss mask covers
+assistant texts only, and of those only the ones that are not repeats.
 
 Template: ``<|im_start|>`` role newline text ``<|im_end|>`` newline. In a text,
 ``<``, any backslashes and ``|`` get one backslash more, so no control string
 is left inside and one backslash less gives the text back. In a role ``%``,
 ``<`` and newline are percent-encoded.
 
-Sums, marks and repeats are window functions (sorted and spilled by Spark); only
-the turns of one window are ever gathered.
+Sums and repeats are window functions (sorted and spilled by Spark). For the
+greedy walk a conversation is cut where its running sum passes a multiple of
+`STRETCH` budgets (a window ends there too), so only a bounded number of turns is
+ever gathered.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Tokens that the template adds to a turn.
+#: Tokens that the template adds to a turn; budgets in a stretch of turns that are gathered.
 OVERHEAD = 4
+STRETCH = 128
 
 
 def escape(text: Column) -> Column:
@@ -67,23 +70,42 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, history_tu
     rows = rows.select("conv_id", "turn", "role", "text", one.alias("t"), "tokens", (F.row_number().over(by) - 1).alias("no"))
     by = Window.partitionBy("conv_id").orderBy("no")
     first = F.first("t").over(by)
-    rows = rows.withColumn("system", F.when((first["role"] == "system") & (F.col("no") > 0), first)).withColumn("to", F.sum("tokens").over(by))
-    kept = F.coalesce(F.least(F.col("system.tokens"), F.lit(budget // 2)), F.lit(0))
-    step = F.greatest(F.floor((budget - history - kept) / 2), F.lit(1))
-    crosses = F.floor((F.col("to") - F.col("tokens")) / step) != F.floor((F.col("to") - 1) / step)
-    rows = rows.withColumn("starts", (F.col("no") == 0) | crosses)
-    before = [F.when(F.lag("no", d).over(by) >= F.when(F.col("system").isNotNull(), 1).otherwise(0), F.lag("t", d).over(by)) for d in range(1, history_turns + 1)]
+    rows = rows.withColumn("first", first).withColumn("to", F.sum("tokens").over(by))
+    is_led = (F.col("first.role") == "system") & (F.col("no") > 0)
+    system = F.when(is_led & (F.col("tokens") + F.col("first.tokens") <= budget), F.col("first"))
+    room = F.least(F.lit(history), F.lit(budget) - F.col("tokens") - F.coalesce(system["tokens"], F.lit(0)))
+    before = [F.when(F.lag("no", d).over(by) >= F.when(is_led, 1).otherwise(0), F.lag("t", d).over(by)) for d in range(1, history_turns + 1)]
     # nearest first, as long as their tokens fit
     fits, total = [], F.lit(0)
     for t in before:
         total = total + F.coalesce(t["tokens"], F.lit(0))
-        fits.append(F.when(total <= history, t))
-    shown = F.filter(F.array(F.col("system"), *reversed(fits)), lambda t: t.isNotNull())
-    rows = rows.withColumn("repeats", F.when(F.col("starts") & (F.col("no") > 0), shown))
-    rows = rows.withColumn("window", F.sum(F.col("starts").cast("int")).over(by) - 1)
-    whole = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(F.struct("no", "t", "repeats"))).alias("own"))
-    repeats = F.coalesce(F.col("own")[0]["repeats"], F.array().cast(rows.schema["repeats"].dataType))
-    whole = whole.select("conv_id", "window", repeats.alias("r"), F.col("own.t").alias("o"))
+        fits.append(F.when(total <= room, t))
+    repeats = F.filter(F.array(system, *reversed(fits)), lambda t: t.isNotNull())
+    n_before = sum((F.when(t.isNotNull(), 1).otherwise(0) for t in fits), F.lit(0))
+    rows = rows.withColumn("stretch", F.floor((F.col("to") - F.col("tokens")) / (STRETCH * budget)))
+    rows = rows.withColumn("led", system.isNotNull()).withColumn("n_before", n_before).withColumn("lead", F.aggregate(repeats, F.lit(0), lambda n, t: n + t["tokens"]))
+    # inside a stretch the turns before are at hand; its first turn brings its repeats along
+    rows = rows.withColumn("brought", F.when(F.coalesce(F.lag("stretch").over(by) != F.col("stretch"), F.lit(True)), repeats))
+    turn = F.struct("no", "t", "led", "n_before", "lead", "brought")
+    gathered = rows.groupBy("conv_id", "stretch").agg(F.array_sort(F.collect_list(turn)).alias("all"), F.first("first").alias("first"))
+    walk = F.aggregate(
+        "all",
+        F.struct(F.lit(budget + 1).alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda s, x: F.struct(
+            F.when(s["used"] + x["t"]["tokens"] <= budget, s["used"]).otherwise(x["lead"]).__add__(x["t"]["tokens"]).alias("used"),
+            (s["at"] + 1).alias("at"),
+            F.when(s["used"] + x["t"]["tokens"] <= budget, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["at"]))).alias("starts"),
+        ),
+    )
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("all")))
+    cut = gathered.withColumn("starts", walk["starts"]).select("conv_id", "stretch", "all", "first", F.posexplode(F.arrays_zip(F.col("starts").alias("a"), ends.alias("z"))).alias("k", "cut"))
+    head = F.get("all", F.col("cut.a"))
+    shown = F.filter(F.array(F.when(head["led"], F.col("first"))), lambda t: t.isNotNull())
+    near = F.slice("all", F.col("cut.a") - head["n_before"] + 1, head["n_before"])
+    r = F.when(F.col("cut.a") == 0, head["brought"]).otherwise(F.concat(shown, F.transform(near, lambda x: x["t"])))
+    cut = cut.select("conv_id", "stretch", "k", r.alias("r"), F.transform(F.slice("all", F.col("cut.a") + 1, F.col("cut.z") - F.col("cut.a")), lambda x: x["t"]).alias("o"))
+    order = Window.partitionBy("conv_id").orderBy("stretch", "k")
+    whole = cut.select("conv_id", (F.row_number().over(order) - 1).alias("window"), "r", "o")
     lines = F.concat("r.line", "o.line")
     lead = F.aggregate("r", F.lit(0), lambda s, t: s + F.length(t["line"]))
     spans = F.aggregate(
