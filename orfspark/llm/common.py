@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,11 @@ def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def broadcast_cells(df: DataFrame, cells: Column, max_cells: int) -> DataFrame:
+    """Mark df, a stored table, for broadcast if its rows have at most max_cells cells in all; else leave the join to shuffle."""
+    return F.broadcast(df) if (df.agg(F.sum(cells)).first()[0] or 0) <= max_cells else df
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) of every node with an edge; component is the smallest node reachable.
 

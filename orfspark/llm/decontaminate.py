@@ -1,13 +1,17 @@
 """Operator 3, benchmark decontamination over a distributed positional inverted index.
 
 Everything runs on DataFrame functions. The index holds (term, doc_id, row_id,
-pos). A phrase is found by intersecting the posting lists of its two rarest
-terms after shifting each by its place in the phrase; what is left are
-diagonals (document, item, shift), which are verified word by word.
-
-Neighbouring windows of an item share their rarest pair, so pairs are few; only
-the terms of such pairs are posted when the index serves one benchmark (about
-one word in a hundred), while `build_index` without terms posts every word.
+pos). A window of item words is found by intersecting the posting lists of its
+two rarest terms, adjusted by their offset; what meets are places where a window
+may start, and there the document's words are compared with the windows' own.
+
+Equal windows are one, whatever the items they stand in, and windows that share
+their rarest pair at one distance share a pattern, so patterns are few and
+candidates are at most a few for each posting of a rare term, also in texts of
+one word. Only the patterns' terms are posted when the index serves one
+benchmark (about one word in a hundred), while `build_index` without terms posts
+every word. Texts are shuffled nowhere unless documents with candidates are too
+many to be broadcast by number.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_within, read_table, stored
+from .common import broadcast_cells, broadcast_within, read_table, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,6 +33,11 @@ def words(text: str | Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
+def n_words(text: str | Column) -> Column:
+    """How many words `words` finds; capitals need no lower-casing to be counted."""
+    return F.regexp_count(text, F.lit(WORD.replace("\\x60", "\\x40\\x5B-\\x60")))
+
+
 def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Postings (term, doc_id, row_id, pos from 0) of (doc_id, row_id, text); terms: (term) to restrict to."""
     posted = docs.select("doc_id", "row_id", F.posexplode(words("text")).alias("pos", "term"))
@@ -44,47 +53,41 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return terms.select("term").distinct().join(seen, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def rarest_pairs(items: DataFrame, counts: DataFrame, size: int) -> DataFrame:
-    """(item_id, slot, place, term): per window of `size` item words the places of its two rarest terms.
+def item_windows(items: DataFrame, size: int) -> DataFrame:
+    """(item_id, w): the distinct windows of `size` words of (item_id, item); an item of fewer words is one window."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size("item") - size + 1, F.lit(1)))
+    cut = items.where("size(item) > 0").select("item_id", "item", F.explode(starts).alias("s"))
+    return cut.select("item_id", F.slice("item", F.col("s"), size).alias("w")).distinct()
 
-    Windows with the same two places are one pair (pair_id). An item of fewer
-    words is one window; a window of one word has one place for both slots.
-    """
-    spread = items.select("item_id", "item", F.posexplode("item").alias("place", "term")).join(counts, "term")
-    ranked = spread.groupBy("item_id").agg(F.first("item").alias("item"), F.array_sort(F.collect_list(F.struct("place", "n", "term"))).alias("ws"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("ws") - size, F.lit(0)))
-    window = ranked.select("item_id", F.explode(starts).alias("s"), "ws").select("item_id", F.slice("ws", F.col("s") + 1, size).alias("w"))
-    rare = window.select("item_id", F.array_sort(F.transform("w", lambda x: F.struct(x["n"].alias("n"), x["place"].alias("place"), x["term"].alias("term")))).alias("r"))
-    pair = rare.select("item_id", F.col("r")[0].alias("a"), F.coalesce(F.try_element_at("r", F.lit(2)), F.col("r")[0]).alias("b"))
-    pair = pair.select("item_id", F.struct(F.col("a.place").alias("pa"), F.col("b.place").alias("pb")).alias("pair"), "a", "b").distinct()
-    both = pair.select("item_id", "pair", F.explode(F.array(F.struct(F.lit(1).alias("slot"), "a.place", "a.term"), F.struct(F.lit(2).alias("slot"), "b.place", "b.term"))).alias("x"))
-    return both.select("item_id", "pair", "x.slot", "x.place", "x.term")
-
-
-def diagonals(index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, row_id, item_id, shift): both terms of some pair stand at their places, item place + shift = document place."""
-    met = index.join(broadcast_within(pairs, MAX_BROADCAST), "term")
-    met = met.select("doc_id", "row_id", "item_id", "pair", (F.col("pos") - F.col("place")).alias("shift"), "slot")
-    both = met.groupBy("doc_id", "row_id", "item_id", "pair", "shift").agg(F.bit_or("slot").alias("slots")).where("slots = 3")
-    return both.select("doc_id", "row_id", "item_id", "shift").distinct()
-
-
-def runs(doc_words: Column, item: Column, shift: Column, size: int) -> Column:
-    """Array of (lo, hi): stretches of document places that match the item along the diagonal for a window at least."""
-    least = F.least(F.lit(size), F.size(item))
-    first = F.greatest(F.lit(0), -shift)
-    count = F.least(F.size(item), F.size(doc_words) - shift) - first
-    same = F.zip_with(
-        F.slice(doc_words, first + shift + 1, F.greatest(count, F.lit(0))), F.slice(item, first + 1, F.greatest(count, F.lit(0))), lambda x, y: x == y
-    )
-    # ends of matching stretches: places that differ, with one before and one behind
-    gaps = F.concat(
-        F.array(F.lit(-1)),
-        F.filter(F.transform(same, lambda x, i: F.when(x, F.lit(None).cast("int")).otherwise(i)), lambda x: x.isNotNull()),
-        F.array(F.size(same)),
-    )
-    spans = F.transform(F.slice(gaps, 2, F.size(gaps) - 1), lambda hi, i: F.struct((F.get(gaps, i) + 1 + first + shift).alias("lo"), (hi + first + shift).alias("hi")))
-    return F.filter(spans, lambda s: s["hi"] - s["lo"] >= least)
+
+def patterns(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(pattern, pa, n, a, b, delta) of distinct windows (w): term b stands delta places behind term a, the rarest one,
+    which stands pa places behind the start of a window of n words. A window of one word has it for both terms."""
+    spread = windows.select("w", F.posexplode("w").alias("place", "term")).join(broadcast_within(counts, MAX_BROADCAST), "term")
+    ranked = spread.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("n", "term", "place"))).alias("r"))
+    a, b = F.col("r")[0], F.coalesce(F.try_element_at("r", F.lit(2)), F.col("r")[0])
+    out = ranked.select(a["term"].alias("a"), b["term"].alias("b"), (b["place"] - a["place"]).alias("delta"), a["place"].alias("pa"), F.size("w").alias("n"))
+    return out.select(F.xxhash64("a", "b", "delta").alias("pattern"), "*").distinct()
+
+
+def candidates(index: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, row_id, s, n): places from 0 where a window of n words may start."""
+    slots = F.array(F.struct(F.lit(1).alias("slot"), F.col("a").alias("term"), F.lit(0).alias("shift")), F.struct(F.lit(2).alias("slot"), F.col("b").alias("term"), F.col("delta").alias("shift")))
+    pairs = found.select("pattern", "a", "b", "delta").distinct().select("pattern", F.explode(slots).alias("x")).select("pattern", "x.slot", "x.term", "x.shift")
+    met = index.join(broadcast_within(pairs, MAX_BROADCAST), "term").select("doc_id", "row_id", "pattern", (F.col("pos") - F.col("shift")).alias("at"), "slot")
+    both = met.groupBy("doc_id", "row_id", "pattern", "at").agg(F.bit_or("slot").alias("slots")).where("slots = 3")
+    starts = both.join(broadcast_within(found.select("pattern", "pa", "n").distinct(), MAX_BROADCAST), "pattern")
+    return starts.select("doc_id", "row_id", (F.col("at") - F.col("pa")).alias("s"), "n").where("s >= 0").distinct()
+
+
+def verified(docs: DataFrame, candidate: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, row_id, s, n, wid): the candidates whose words are those of a window (wid, w). docs: doc_id, row_id, text."""
+    places = stored(candidate.groupBy(F.col("doc_id").alias("_doc"), F.col("row_id").alias("_key")).agg(F.collect_list(F.struct("s", "n")).alias("places")))
+    hit = docs.join(broadcast_within(places.select("_key").distinct(), MAX_BROADCAST), F.col("row_id") == F.col("_key"), "left_semi")
+    joined = hit.join(places, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row_id") == F.col("_key"))).select("doc_id", "row_id", "places", words("text").alias("ws"))
+    cut = F.transform("places", lambda p: F.struct(p["s"].alias("s"), p["n"].alias("n"), F.slice("ws", p["s"] + 1, p["n"]).alias("w")))
+    rows = joined.select("doc_id", "row_id", F.explode(cut).alias("c")).select("doc_id", "row_id", "c.s", "c.n", "c.w")
+    return rows.join(broadcast_within(windows, MAX_BROADCAST // 5), "w").select("doc_id", "row_id", "s", "n", "wid").distinct()
 
 
 def covered(spans: Column) -> Column:
@@ -105,32 +108,32 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
     whole item if it has fewer, but not none). A document is contaminated if it
     has a hit and a twentieth of its words at least are hit. Null and empty
     texts have no words and are clean; repeated rows and rows without doc_id are
-    judged each on their own text; repeated item rows count once by item_id.
-    Columns of docs that have the result's names are replaced.
+    judged each on their own text. Several texts of one item_id are texts of one
+    item; items without item_id hit words and are not listed. Empty tables give
+    an empty table or clean documents. Columns of docs that have the result's
+    names are replaced.
     """
     result = ["n_words", "n_hit", "n_items", "items", "contaminated"]
     columns = [c for c in docs.columns if c not in result]
-    named = docs.select(*columns, F.xxhash64("doc_id", "text").alias("_row"))
-    narrow = named.select(F.col("doc_id"), F.col("_row").alias("row_id"), "text")
-    items = stored(items.select("item_id", words("text").alias("item")).where("size(item) > 0").distinct())
-    vocabulary = items.select(F.explode("item").alias("term")).distinct()
-    counts = stored(term_counts(narrow, vocabulary))
-    pairs = stored(rarest_pairs(items, counts, size))
-    index = build_index(narrow, pairs)
-    found = diagonals(index, pairs).join(broadcast_within(items, MAX_BROADCAST // 10), "item_id")
-    found = found.groupBy("row_id").agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("_found"))
-    joined = named.join(found, named._row == found.row_id, "left").select(*columns, "_found", words("text").alias("_words"))
-    hits = F.transform(
-        F.coalesce("_found", F.array()), lambda c: F.struct(c["item_id"].cast("string").alias("item_id"), runs(F.col("_words"), c["item"], c["shift"], size).alias("spans"))
-    )
-    judged = joined.withColumn("_hits", F.when(F.col("_found").isNotNull(), F.filter(hits, lambda h: F.size(h["spans"]) > 0)))
-    judged = judged.select(
-        *columns,
-        F.size("_words").cast("long").alias("n_words"),
-        F.coalesce(covered(F.flatten(F.col("_hits.spans"))), F.lit(0)).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.coalesce("_hits.item_id", F.array().cast("array<string>")))).alias("items"),
-    )
-    return judged.select(
+    named = docs.select(*columns, F.xxhash64("doc_id", "text").alias("_row"), F.coalesce(n_words("text"), F.lit(0)).cast("long").alias("n_words"))
+    narrow = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_id"), "text")
+    own = stored(item_windows(items.select(F.col("item_id").cast("string").alias("item_id"), words("text").alias("item")), size))
+    windows = stored(own.select("w").distinct().select(F.monotonically_increasing_id().alias("wid"), "w"))
+    counts = stored(term_counts(narrow, windows.select(F.explode("w").alias("term"))))
+    found = stored(patterns(windows, counts))
+    terms = found.select(F.explode(F.array("a", "b")).alias("term"))
+    hits = stored(verified(narrow, candidates(build_index(narrow, terms), found), windows))
+    key = [F.col("doc_id").alias("_doc"), F.col("row_id").alias("_key")]
+    spans = hits.groupBy(*key).agg(covered(F.collect_set(F.struct(F.col("s").alias("lo"), (F.col("s") + F.col("n")).alias("hi")))).alias("_hit"))
+    in_items = own.where("item_id is not null").join(windows, "w").select("wid", "item_id")
+    listed = hits.select(*key, "wid").distinct().join(broadcast_within(stored(in_items), MAX_BROADCAST), "wid").select("_doc", "_key", "item_id").distinct()
+    listed = listed.groupBy("_doc", "_key").agg(F.array_sort(F.collect_list("item_id")).alias("_items"))
+    same = F.col("s._doc").eqNullSafe(F.col("l._doc")) & (F.col("s._key") == F.col("l._key"))
+    judged = stored(spans.alias("s").join(listed.alias("l"), same, "left").select("s._doc", "s._key", "_hit", "_items"))
+    joined = named.join(broadcast_cells(judged, F.coalesce(F.size("_items"), F.lit(0)) + 1, MAX_BROADCAST), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_key")), "left")
+    none = F.array().cast("array<string>")
+    joined = joined.select(*columns, "n_words", F.coalesce("_hit", F.lit(0)).cast("long").alias("n_hit"), F.when(F.size("_items") > 0, F.col("_items")).otherwise(none).alias("items"))
+    return joined.select(
         *columns, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
     )
 
