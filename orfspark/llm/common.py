@@ -16,16 +16,27 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset (local tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset a session on this machine alone gets a temporary one; on
+    a cluster that would lose rows (each executor would write to its own disk), so it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = getattr(spark.sparkContext, "_orfspark_shared", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="orfspark-")
         spark.sparkContext._orfspark_shared = folder
     return folder.rstrip("/")
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of at most `rows` rows for the rest of the session, unless it has chosen a number
+    itself: with Spark's 10,000, a batch of whole documents is tens of MB in the JVM and again in each worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back."""
     spark = df.sparkSession

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, short_batches
 
 #: Names under which licence families are cited.
 NAMES = {
@@ -211,6 +211,7 @@ def scan(docs: DataFrame, model: Model | None = None, least: float = 0.5, simila
     are judged each; other columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     shared = spark.sparkContext.broadcast(model or fit(docs, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

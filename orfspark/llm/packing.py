@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import read_table, short_batches
 
 #: Documents encoded together; bounds the memory of a task.
 CHUNK_CHARS = 2_000_000
@@ -104,6 +104,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_length: int = 2048,
     """
     if max_length & (max_length - 1) or max_length < 1:
         raise ValueError("max_length must be a power of two")
+    short_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
     schema = PIECES if with_ids else T.StructType(PIECES.fields[:-1])
 

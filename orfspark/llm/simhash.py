@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, read_table, stored
+from .common import connected_components, read_table, short_batches, stored
 
 SEED = 42
 MAX_BITS = 4
@@ -226,6 +226,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, bucket_limit: int = 4096) ->
     and gets the component's smallest id (null if it has none). An empty table
     gives an empty table. Other columns are ignored.
     """
+    short_batches(docs.sparkSession)
     of = stored(docs.select(F.col("doc_id").cast("long"), fingerprint(size)("text").alias("fp")))
     fps = stored(of.groupBy("fp").agg(F.min("doc_id").alias("first")))
     parts = connected_components(fingerprint_links(fps.select("fp"), bucket_limit))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import read_table, short_batches, stored
 
 #: Odd multipliers of the rolling hashes and of the two sketch rows (arbitrary).
 ROLL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -371,6 +371,7 @@ def dedup(docs: DataFrame, size: int = 13, shard_bytes: int = SHARD_BYTES, least
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    short_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")]
     docs = docs.select(*columns)
     blocks = stored(docs.mapInArrow(to_blocks, "block long, bytes long, payload binary"))

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import read_table, short_batches, stored
 
 ORDERS = (3, 4, 5, 6)
 HASH_BITS = 22
 #: Labelled documents of each class used to fit, and n-grams in the model.
 SAMPLE, FEATURES = 2500, 1 << 14
 #: Code points handled together; features of documents that the solver handles together.
-CHUNK = 400_000
+CHUNK = 200_000
 BLOCK = 1 << 18
 #: Odd multipliers of the n-gram hash (arbitrary).
 PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -202,6 +202,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, features: int = FEATURES) ->
     alone (or no row) gives a model that scores everything with that class's share.
     """
     spark = labelled.sparkSession
+    short_batches(spark)
     rows = labelled.where("text is not null and label in (0, 1)").select("text", F.col("label").cast("int").alias("label"))
     rows = stored(rows.select("text", "label", F.xxhash64("text").alias("place"), F.monotonically_increasing_id().alias("row")))
     first = rows.select("place", "label", "row").orderBy("place", "label", "row").limit(2 * sample)
