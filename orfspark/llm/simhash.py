@@ -8,9 +8,9 @@ equal keys meet through a shuffle, and every meeting is verified on all bits.
 Copies share one fingerprint and are grouped (with a partial aggregation)
 before anything is joined. Inside a bucket of equal keys only a spanning forest
 of the verified links is kept, never all pairs; a bucket beyond ``bucket_limit``
-is resolved exactly, in linear work, by meeting in the middle: two fingerprints
-differ by at most four bits if and only if some word lies within two bits of
-both.
+(at 2**16, some 6e10 distinct fingerprints spread over 2**20 keys) is resolved
+exactly, in linear work, by meeting in the middle: two fingerprints differ by at
+most four bits if and only if some word lies within two bits of both.
 """
 
 from __future__ import annotations
@@ -35,6 +35,9 @@ MASKS = [sum(1 << b for b in range(a, z)) for a, z in itertools.pairwise(SEGMENT
 #: Shingles whose bits are counted together.
 CHUNK = 100_000
 SMALL = 8
+#: Fingerprints of a bucket that are compared in one task, and rows of buckets handled together.
+BUCKET_LIMIT = 1 << 16
+ROWS = 20_000
 
 
 def shingle_hashes(text: str, size: int) -> list[int]:
@@ -127,6 +130,19 @@ def owned(x: np.ndarray, wild: np.ndarray) -> np.ndarray:
     return first == wild
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in larger ones of ROWS rows or more."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= ROWS:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def bucket_links(limit: int):
     """Sorted (wild, bits, fp) rows -> (src, dst, hot): verified links, or members of a bucket beyond limit."""
 
@@ -158,7 +174,7 @@ def bucket_links(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
         spilling = None
-        for b in itertools.chain(batches, [None]):
+        for b in itertools.chain(gathered(batches), [None]):
             if b is not None:
                 new = [b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)]
                 kept = [np.concatenate([x, y]) for x, y in zip(kept, new, strict=True)]
@@ -189,7 +205,7 @@ def bucket_links(limit: int):
     return run
 
 
-def fingerprint_links(fps: DataFrame, bucket_limit: int = 4096) -> DataFrame:
+def fingerprint_links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(src, dst): links that connect exactly what distance <= 4 connects, over distinct fingerprints (fp long)."""
     variants = []
     for mask, (a, z) in zip(MASKS, itertools.pairwise(SEGMENTS), strict=True):
@@ -217,7 +233,20 @@ def midpoint_links(fps: DataFrame) -> DataFrame:
     return low.where("fp <> low").select(F.col("fp").alias("src"), F.col("low").alias("dst")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, bucket_limit: int = 4096) -> DataFrame:
+def components(docs: DataFrame, size: int, bucket_limit: int) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id) for each row of (doc_id, text); root tells components apart."""
+    short_batches(docs.sparkSession)
+    of = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), fingerprint(size)("text").alias("fp")))
+    fps = stored(of.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    parts = connected_components(fingerprint_links(fps.select("fp"), bucket_limit))
+    rooted = fps.join(parts, fps.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    rooted = stored(rooted)
+    low = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = stored(rooted.join(low, "root").select("fp", "root", "component_id"))
+    return of.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(doc_id, fp, component_id) for each row of (doc_id, text).
 
     component_id is the smallest doc_id reachable over links of at most four
@@ -226,27 +255,21 @@ def near_duplicates(docs: DataFrame, size: int = 4, bucket_limit: int = 4096) ->
     and gets the component's smallest id (null if it has none). An empty table
     gives an empty table. Other columns are ignored.
     """
-    short_batches(docs.sparkSession)
-    of = stored(docs.select(F.col("doc_id").cast("long"), fingerprint(size)("text").alias("fp")))
-    fps = stored(of.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    parts = connected_components(fingerprint_links(fps.select("fp"), bucket_limit))
-    rooted = fps.join(parts, fps.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    rooted = stored(rooted)
-    low = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = stored(rooted.join(low, "root").select("fp", "component_id"))
-    return of.join(named, "fp").select("doc_id", "fp", "component_id")
+    return components(docs, size, bucket_limit).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, size: int = 4) -> DataFrame:
     """The documents that are the first of their component (all columns kept).
 
-    Of repeated rows with the smallest doc_id one stays; rows without doc_id stay.
+    Of several rows of a component with its smallest doc_id the one with the least
+    hash of its text stays, once; texts of one doc_id in different components are
+    judged each; rows without doc_id stay.
     """
-    groups = stored(near_duplicates(docs, size).where("doc_id is null or doc_id = component_id").select("doc_id").distinct())
-    named = docs.withColumn("_rank", F.xxhash64("doc_id", "text"))
-    kept = named.join(groups, "doc_id", "left_semi")
-    nameless = docs.where("doc_id is null")
-    return kept.dropDuplicates(["doc_id"]).drop("_rank").unionByName(nameless)
+    found = components(docs, size, BUCKET_LIMIT).where("doc_id = component_id")
+    first = stored(found.groupBy("doc_id", "root").agg(F.min("text_hash").alias("_hash")).select("doc_id", "_hash").distinct())
+    named = docs.where("doc_id is not null").withColumn("_hash", F.xxhash64("text"))
+    kept = named.join(first.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of")), (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_of")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash").unionByName(docs.where("doc_id is null"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
