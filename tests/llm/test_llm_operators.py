@@ -68,6 +68,10 @@ def test_simhash_keep_first_handles_repeats_and_null_ids(spark, docs):
     kept = [r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, DOCS)).collect()]
     want = sorted({c for _, c in brute.simhash(docs).values()})
     assert sorted(x for x in kept if x is not None) == want and kept.count(None) == 1
+    # two unrelated texts of one id, one of them a copy of a smaller id's text
+    shared = [(1, prose(70, 50)), (5, prose(71, 50)), (5, prose(70, 50)), (5, prose(72, 50)), (5, prose(72, 50))]
+    got = sorted((r.doc_id, r.text) for r in simhash.keep_first(spark.createDataFrame(shared, DOCS)).collect())
+    assert got == sorted({shared[0], shared[1], shared[3]})
 
 
 def test_substrings(spark, docs):
@@ -259,13 +263,32 @@ def test_embeddings(spark):
     rows += [(200, rows[0][1], 0), (201, rows[0][1], 0), (202, rows[0][1], None), (203, None, 0), (204, [0.0] * 64, 0), (205, [float("nan")] * 64, 0), (206, [None] * 64, 0), (207, [], 0), (208, [1.0, 0.0], 0), (209, [2.0, 0.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("k", F.lit("clash")).repartition(3)
     want = brute.embeddings(rows)
-    for cell_rows in (2048, 7):
+    for cell_rows in (2048, 7, 2):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df, cell_rows=cell_rows).collect()}
         assert got == want
     assert sum(n for n, _, _ in want.values()) > 50
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_split_labels_compare_less(spark):
+    """Compared pairs (homes by visits) per vector grow far slower than the label."""
+    rng = np.random.default_rng(8)
+    per = []
+    for n in (1000, 4000):
+        v = rng.standard_normal((n, 64)).astype(np.float32)
+        classes = spark.createDataFrame([(i, 1, 0, 64, [float(x) for x in r]) for i, r in enumerate(v)], "k long, m long, label int, dim int, v array<float>").repartition(4)
+        met = embeddings.with_planes(classes, 16, 100).mapInArrow(embeddings.meeting_cells(0.04, 16), "k long, m long, label int, dim int, v array<float>, block int, cell long, home boolean")
+        cells = met.groupBy("block", "cell").agg(F.count_if("home").alias("h"), F.count("*").alias("r"))
+        per.append(cells.agg(F.sum(F.col("h") * F.col("r"))).first()[0] / n)
+    assert per[1] < 2.7 * per[0] and per[1] < 4000  # of four times the vectors; fewer than the plain join of one label
+
+
+def test_embeddings_null_ids_and_repeated_rows(spark):
+    rows = [(None, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (None, None, 1), (5, [0.0, 1.0], 1)]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(0, 0, 0, False), (0, 2, 3, False), (3, 2, 3, True), (3, 2, 3, True), (5, 0, 5, True)]
+
+
 def test_toxicity(spark):
     bad = ["moron", "scum", "idiot"]
     rows = [(i, prose(i, 60) + (f" {bad[i % 3]} {prose(i + 500, 20)}" if i % 4 == 0 else "")) for i in range(400)] + [(400, None), (401, ""), (402, "moron " * 500)]
