@@ -119,9 +119,17 @@ def reverse_complement(dna: Column) -> Column:
 
 
 def translate_dna(dna: Column) -> Column:
-    """Residues of whole codons; a codon that is not known reads as stop."""
-    codes = literal_map(dict(zip(CODONS, CODE, strict=True)))
-    return F.array_join(F.transform(codons(dna), lambda c: F.coalesce(F.try_element_at(codes, c), F.lit("*"))), "")
+    """Residues of whole codons; a codon that is not known reads as stop.
+
+    Bases are written as digits, so a codon is a number that indexes an array.
+    """
+    at = {c: int(c.translate(str.maketrans("ACGT", "0123"))) for c in CODONS}
+    table = ["*"] * 445
+    for c, a in zip(CODONS, CODE, strict=True):
+        table[at[c]] = a
+    digits = F.translate(F.regexp_replace(dna, "[^ACGT]", "N"), "ACGTN", "01234")
+    code = F.array(*[F.lit(a) for a in table])
+    return F.array_join(F.transform(codons(digits), lambda c: F.get(code, c.cast("int"))), "")
 
 
 def codons(dna: Column) -> Column:
@@ -153,10 +161,14 @@ def is_contaminant(name: Column, words: list[str]) -> Column:
 
 
 def hydropathy_plot(seq: Column, width: int = 5) -> Column:
-    """X11: mean hydropathy of each stretch of `width` residues."""
+    """X11: mean hydropathy of each stretch of `width` residues, to six places."""
+    table = literal_map(HYDROPATHY)
+    values = F.transform(letters(seq), lambda c: F.coalesce(F.try_element_at(table, c), F.lit(0.0)))
     n = F.length(seq) - width + 1
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: sum_of(F.substr(seq, i, F.lit(width)), HYDROPATHY) / width)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    # the array around the values keeps them from being made anew at each place
+    plot = F.transform(F.array(values), lambda v: F.transform(places, lambda i: F.round(sum((F.get(v, i + k) for k in range(1, width)), F.get(v, i)) / width, 6)))
+    return F.get(plot, F.lit(0))
 
 
 def hydrophobic_patch(plot: Column, least: float = 0.5, run: int = 8) -> Column:

@@ -18,11 +18,15 @@ def six_frame(contigs: DataFrame, min_aa: int = 7) -> DataFrame:
     both = contigs.select("chrom", F.length("seq").alias("n"), F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("dna")), F.struct(F.lit("-").alias("strand"), X.reverse_complement(F.col("seq")).alias("dna")))).alias("s")).select("chrom", "n", "s.strand", "s.dna")
     frames = both.select("chrom", "n", "strand", "dna", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("frame"))
     aa = frames.select("chrom", "n", "strand", "frame", F.split(X.translate_dna(F.substr("dna", F.col("frame"))), r"\*").alias("parts"))
-    w = Window.partitionBy("chrom", "strand", "frame").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = aa.select("chrom", "n", "strand", "frame", F.posexplode("parts").alias("i", "seq"))
-    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("seq") + 1).over(w), F.lit(0)))
-    start = F.col("frame") + 3 * F.col("at")
-    return rows.where(F.length("seq") >= min_aa).select("chrom", "strand", "frame", F.when(F.col("strand") == "+", start).otherwise(F.col("n") - start + 1).alias("start_nuc"), F.length("seq").alias("length"), "seq")
+    # residues ahead of each part, its stop included: a running sum inside the row
+    ahead = F.aggregate(
+        F.transform("parts", lambda p: F.length(p) + 1),
+        F.struct(F.lit(0).alias("to"), F.array().cast("array<int>").alias("at")),
+        lambda s, n: F.struct((s["to"] + n).alias("to"), F.concat(s["at"], F.array(s["to"])).alias("at")),
+    )["at"]
+    rows = aa.select("chrom", "n", "strand", "frame", F.explode(F.filter(F.arrays_zip(ahead.alias("at"), F.col("parts").alias("seq")), lambda x: F.length(x["seq"]) >= min_aa)).alias("x"))
+    start = F.col("frame") + 3 * F.col("x.at")
+    return rows.select("chrom", "strand", "frame", F.when(F.col("strand") == "+", start).otherwise(F.col("n") - start + 1).alias("start_nuc"), F.length("x.seq").alias("length"), F.col("x.seq").alias("seq"))
 
 
 def six_frame_chunked(chunks: DataFrame, min_aa: int = 7) -> DataFrame:
@@ -76,17 +80,24 @@ def decoys(seqs: DataFrame, mode: str = "shuffle", copies: int = 1, avoid_k: int
 def digest(seqs: DataFrame, missed: int = 1, shortest: int = 6, longest: int = 40) -> DataFrame:
     """Tryptic peptides (seq_id, pos from 1, aminos) with up to `missed` uncut sites."""
     parts = F.filter(F.split("seq", r"(?<=[KR])(?!P)"), lambda p: p != "")
-    rows = seqs.select("seq_id", parts.alias("p")).where(F.size("p") > 0)
-    rows = rows.select("seq_id", "p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("i"), ).select("seq_id", "p", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(missed + 1), F.size("p") - F.col("i") + 1))).alias("n"))
-    before = F.aggregate(F.slice("p", F.lit(1), F.col("i") - 1), F.lit(0), lambda s, x: s + F.length(x))
-    out = rows.select("seq_id", (before + 1).alias("pos"), F.array_join(F.slice("p", F.col("i"), F.col("n")), "").alias("aminos"))
-    return out.where(F.length("aminos").between(shortest, longest))
+    ahead = F.aggregate("p", F.struct(F.lit(1).alias("to"), F.array().cast("array<int>").alias("at")), lambda s, x: F.struct((s["to"] + F.length(x)).alias("to"), F.concat(s["at"], F.array(s["to"])).alias("at")))["at"]
+    rows = seqs.select("seq_id", parts.alias("p")).where(F.size("p") > 0).withColumn("at", ahead)
+    of = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(missed + 1), F.size("p") - i)), lambda n: F.struct(F.get("at", i).alias("pos"), F.array_join(F.slice("p", i + 1, n), "").alias("aminos")))
+    cut = F.flatten(F.transform(F.sequence(F.lit(0), F.size("p") - 1), of))
+    fit = F.filter(cut, lambda x: F.length(x["aminos"]).between(shortest, longest))
+    return rows.select("seq_id", F.explode(fit).alias("x")).select("seq_id", "x.pos", "x.aminos")
 
 
-def fabricate(seqs: DataFrame, n: int = 20_000, shortest: int = 100, longest: int = 1000) -> DataFrame:
-    """N random proteins (seq_id, seq) with the residue frequencies of seqs, from hashes of (protein, place)."""
+def fabricate(seqs: DataFrame, n: int = 20_000, shortest: int = 100, longest: int = 1000, suppressed: dict[str, float] | None = None) -> DataFrame:
+    """N random proteins (seq_id, seq) with the residue frequencies of seqs, from hashes of (protein, place).
+
+    suppressed: letters and the share of their frequency that stays.
+    """
     spark = seqs.sparkSession
     counts = seqs.select(F.explode(X.letters(F.col("seq"))).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    for letter_, share in (suppressed or {}).items():
+        counts = counts.withColumn("n", F.when(F.col("c") == letter_, F.col("n") * share).otherwise(F.col("n")))
+    counts = counts.where("n > 0")
     w = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, 0)  # an alphabet's rows
     steps = counts.withColumn("to", F.sum("n").over(w) / F.sum("n").over(Window.partitionBy(F.lit(0)))).agg(F.array_sort(F.collect_list(F.struct("to", "c"))).alias("steps"))
     unit = lambda *cs: F.pmod(F.xxhash64(*cs), F.lit(1 << 40)) / float(1 << 40)
@@ -143,6 +154,13 @@ def first_peptide(located: DataFrame, unique_only: bool = False) -> DataFrame:
     return rows.groupBy("orf_name").agg(F.min_by(F.struct("aminos", "start", "stop", "strand"), along).alias("p")).select("orf_name", "p.*")
 
 
+def observed_region(located: DataFrame, orfs: DataFrame, unique_only: bool = False) -> DataFrame:
+    """(orf_name, start, stop): from the 5'-most (unique) peptide to the ORF's stop, along the strand."""
+    first = first_peptide(located, unique_only).select("orf_name", F.col("start").alias("_a"), F.col("stop").alias("_z"))
+    minus = F.col("strand") == "-"
+    return orfs.join(first, "orf_name").select("orf_name", F.when(minus, F.col("start")).otherwise(F.col("_a")).alias("start"), F.when(minus, F.col("_z")).otherwise(F.col("stop")).alias("stop"))
+
+
 def filter_orfs(located: DataFrame, least: int = 2, far: int = 750) -> DataFrame:
     """(orf_name, killed_by, peptides) of the filter chain complexity, distance, unique, tryptic, peptides.
 
@@ -201,9 +219,8 @@ def upstream_starts(orfs: DataFrame) -> DataFrame:
     orfs: orf_name, dna (along the strand), until (0-based offset of the first
     peptide). At the first position only ATG counts.
     """
-    n = F.floor(F.col("until") / 3)
-    rows = orfs.where("until >= 0").select("orf_name", "dna", F.explode(F.sequence(F.lit(0), n.cast("int"))).alias("k"))
-    rows = rows.select("orf_name", (F.col("k") * 3).alias("at"), F.substr(F.col("dna"), F.col("k") * 3 + 1, F.lit(3)).alias("codon"))
+    rows = orfs.where("until >= 0").select("orf_name", F.posexplode(X.codons(F.substr(F.col("dna"), F.lit(1), (F.floor(F.col("until") / 3) * 3 + 3).cast("int")))).alias("k", "codon"))
+    rows = rows.select("orf_name", (F.col("k") * 3).alias("at"), "codon")
     return rows.where("codon = 'ATG' or (at > 0 and codon in ('GTG', 'TTG'))")
 
 
@@ -230,6 +247,70 @@ def n_terminal(mapped: DataFrame, least: int = 2) -> DataFrame:
     return first.where(F.col("peptides") >= least).select("seq_id", "first_pos", "peptides", ((F.col("first_pos") == 2) & (F.col("before") == "M")).alias("after_met"))
 
 
+def n_terminal_evidence(mapped: DataFrame, sequences: DataFrame, least: int = 2, reach: int = 5) -> DataFrame:
+    """P5: `n_terminal` with start_met (the protein begins with M and is seen from there), the motif area (up to
+    `reach` residues on either side of the first observed place), and whether the residues ahead of it hold a
+    hydrophobic patch and end in the cleavage motif."""
+    rows = n_terminal(mapped, least).join(sequences.select("seq_id", "seq"), "seq_id")
+    ahead = F.substr(F.col("seq"), F.lit(1), F.col("first_pos") - 1)
+    begin = F.greatest(F.col("first_pos") - reach, F.lit(1))
+    area = F.concat(F.substr(F.col("seq"), begin, F.col("first_pos") - begin), F.lit(":"), F.substr(F.col("seq"), F.col("first_pos"), F.lit(reach)))
+    start_met = (F.col("first_pos") == 1) & F.col("seq").startswith("M")
+    return rows.select("seq_id", "first_pos", "peptides", "after_met", start_met.alias("start_met"), area.alias("area"), X.signal_motif(ahead).alias("motif"), (X.hydrophobic_patch(X.hydropathy_plot(ahead)) >= 0).alias("patch"))
+
+
+def cleavages(mapped: DataFrame) -> DataFrame:
+    """(seq_id, pos, cuts, over, cover_n, cover_c, before, at): places where unique peptides begin or (one behind
+    their last residue) end, with the spectra that end or begin there, those that run over the place, and those over
+    the residues on either side (before, at: the letters; null outside). mapped may have spectra (else one a row)."""
+    spectra = F.col("spectra") if "spectra" in mapped.columns else F.lit(1)
+    good = mapped.where("is_unique").select("seq_id", "pos", F.length("aminos").alias("n"), "aminos", "prefix", "suffix", spectra.alias("spectra"))
+    letter = lambda i: F.substr(F.col("aminos"), i, F.lit(1))
+    begin = good.select("seq_id", "pos", "spectra", F.col("prefix").alias("before"), letter(F.lit(1)).alias("at"))
+    end = good.select("seq_id", (F.col("pos") + F.col("n")).alias("pos"), "spectra", letter(F.col("n")).alias("before"), F.col("suffix").alias("at"))
+    cuts = begin.unionByName(end).groupBy("seq_id", "pos").agg(F.sum("spectra").alias("cuts"), F.first("before", True).alias("before"), F.first("at", True).alias("at"))
+
+    def depth(first: Column, last: Column) -> DataFrame:
+        spans = good.select("seq_id", first.alias("start"), last.alias("stop"), "spectra").where("start <= stop")
+        ends = spans.select("seq_id", F.col("start").alias("x"), F.col("spectra").alias("d")).unionByName(spans.select("seq_id", (F.col("stop") + 1).alias("x"), (-F.col("spectra")).alias("d")))
+        return ends.groupBy("seq_id", "x").agg(F.sum("d").alias("d"))
+
+    def at(points: DataFrame, steps: DataFrame, shift: int, name: str) -> DataFrame:
+        """The running sum of steps at each point (moved by shift): points and steps of a sequence in one order."""
+        rows = points.select("seq_id", (F.col("pos") + shift).alias("x"), F.lit(0).cast("long").alias("d"), "pos").unionByName(steps.select("seq_id", "x", F.col("d").cast("long").alias("d"), F.lit(None).cast("int").alias("pos")))
+        dealt = ranges.carried(ranges.placed(rows, ["seq_id"], ["x"]), ["seq_id"], _before=(F.sum("d"), F.sum))
+        total = F.sum("d").over(ranges.inside(["seq_id"], ["x"]).rangeBetween(Window.unboundedPreceding, 0)) + F.coalesce("_before", F.lit(0))
+        return dealt.withColumn(name, total).where("pos is not null").select("seq_id", "pos", name)
+
+    cuts = ranges.stored(cuts)
+    whole, open_ = ranges.stored(depth(F.col("pos"), F.col("pos") + F.col("n") - 1)), depth(F.col("pos") + 1, F.col("pos") + F.col("n") - 1)
+    out = cuts
+    for steps, shift, name in ((open_, 0, "over"), (whole, -1, "cover_n"), (whole, 0, "cover_c")):
+        out = out.join(at(cuts, steps, shift, name), ["seq_id", "pos"])
+    return out
+
+
+def categorized_endpoints(cuts: DataFrame, rate: float = 0.1, least: int = 2, signal: int = 50) -> DataFrame:
+    """`cleavages` with rate cuts / (cuts + over) and count at the cuts' limits: Trypsin, C-term, N-term, Met, Signal
+    (within `signal` residues, the side ahead seen in a tenth of the spectra behind), Other."""
+    share = F.col("cuts") / (F.col("cuts") + F.col("over"))
+    tryptic = F.col("before").isin("K", "R") & (F.coalesce("at", F.lit("*")) != "P")
+    kind = F.when(tryptic, "Trypsin").when(F.col("at").isNull() | F.col("at").isin("X", "*", "O", "U"), "C-term").when(F.col("pos") == 1, "N-term").when(F.col("pos") == 2, "Met")
+    kind = kind.when((F.col("pos") <= signal) & (F.col("cover_n") < F.col("cover_c") * 0.1), "Signal").otherwise("Other")
+    return cuts.withColumn("rate", share).where((F.col("rate") >= rate) & (F.col("cuts") >= least)).withColumn("kind", kind)
+
+
+def cleavage_classes(cuts: DataFrame, least: int = 5) -> DataFrame:
+    """Places with `least` cuts or more: Tryptic, Stop, Decay (a neighbour is cut more often), Suffix (a tenth of the
+    spectra go on behind), Prefix (a tenth came before), Internal."""
+    rows = neighbour_counts(cuts.select("seq_id", "pos", "cuts")).select("seq_id", "pos", "decay")
+    both = cuts.join(rows, ["seq_id", "pos"]).where(F.col("cuts") >= least)
+    tryptic = F.col("before").isin("K", "R") & (F.coalesce("at", F.lit("*")) != "P")
+    stop = F.col("at").isNull() | F.col("at").isin("X", "*") | (F.col("at").isin("U", "O") & (F.col("cover_c") < 5))
+    kind = F.when(tryptic, "Tryptic").when(stop, "Stop").when(F.col("decay"), "Decay")
+    return both.withColumn("kind", kind.when(F.col("cover_c") < F.col("cover_n") * 0.1, "Suffix").when(F.col("cover_n") < F.col("cover_c") * 0.1, "Prefix").otherwise("Internal")).drop("decay")
+
+
 def endpoints(mapped: DataFrame, rate: float = 0.1, least: int = 2) -> DataFrame:
     """N-side cuts (seq_id, pos, cuts, over, kind) of unique peptides with cuts >= least and cuts / (cuts + uncut
     spectra over the place) >= rate."""
@@ -265,7 +346,7 @@ def augment(db: DataFrame, extra: DataFrame, k: int = 5) -> DataFrame:
 
 def splice_novelty(old: DataFrame, new: DataFrame) -> DataFrame:
     """New peptides not among the old ones (I = L, Q = K), flagged when an old one shares their first or last half."""
-    canon = lambda df: df.select(X.canonical_il(F.col("aminos")).alias("c"), "aminos").dropDuplicates(["c"])
+    canon = lambda df: df.groupBy(X.canonical_il(F.col("aminos")).alias("c")).agg(F.min("aminos").alias("aminos"))
     fresh = canon(new).join(canon(old), "c", "left_anti")
     half = F.greatest(F.floor(F.length("c") / 2), F.lit(1)).cast("int")
     halves = fresh.select("aminos", F.explode(F.array(F.substr(F.col("c"), F.lit(1), half), F.substr(F.col("c"), F.length("c") - half + 1))).alias("aminos_half"))
@@ -279,6 +360,12 @@ def context_stats(starts: DataFrame) -> DataFrame:
     return starts.groupBy("context").agg(F.count("*").alias("n"), F.avg(X.gc_percent(F.col("dna"))).alias("mean_gc"), F.avg(F.length("dna")).alias("mean_length"))
 
 
+def context_codons(starts: DataFrame) -> DataFrame:
+    """(context, codon, n, share) over whole codons of (context, dna)."""
+    n = starts.select("context", F.explode(X.codons(F.col("dna"))).alias("codon")).groupBy("context", "codon").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("context")))
+
+
 def codon_usage(dna: DataFrame) -> DataFrame:
     """(chrom, codon, n) over whole codons."""
     return dna.select("chrom", F.explode(X.codons(F.col("seq"))).alias("codon")).groupBy("chrom", "codon").agg(F.count("*").alias("n"))

@@ -2,48 +2,94 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranges
-from .ranges import stored
+from .ranges import small, stored
+
+
+def cover_in_order(pairs: pd.DataFrame, min_peptides: int) -> list[tuple]:
+    """(protein, aminos, place) of the greedy cover of a bounded number of pairs, one protein at a time."""
+    of, within, spectra = defaultdict(set), defaultdict(set), {}
+    for a, p, n in zip(pairs["aminos"], pairs["protein"], pairs["spectra"], strict=True):
+        of[p].add(a)
+        within[a].add(p)
+        spectra[p, a] = n
+    total = {p: sum(spectra[p, a] for a in own) for p, own in of.items()}
+    heap = [(-len(own), -total[p], p) for p, own in of.items()]
+    heapq.heapify(heap)
+    out, place = [], 0
+    while heap:
+        n, t, p = heapq.heappop(heap)
+        if (n, t) != (-len(of[p]), -total[p]):  # it has lost peptides since
+            if of[p]:
+                heapq.heappush(heap, (-len(of[p]), -total[p], p))
+            continue
+        if -n < max(min_peptides, 1):
+            break
+        own = sorted(of[p])
+        out += [(p, a, place) for a in own]
+        place += 1
+        for a in own:
+            for q in within.pop(a):
+                of[q].discard(a)
+                total[q] -= spectra[q, a]
+    return out
 
 
-def select_proteins(pep_protein: DataFrame, min_peptides: int = 1, max_rounds: int = 200) -> DataFrame:
+def select_proteins(pep_protein: DataFrame, min_peptides: int = 1, local_pairs: int = 2_000_000) -> DataFrame:
     """Parsimonious proteins by greedy cover: (protein, aminos, round); each peptide has one owner.
 
     pep_protein: (aminos, protein, spectra). The order is (peptides, spectra)
-    descending, then protein. Each round takes every protein that no better
-    protein shares a peptide with, which is what taking the best one at a time
-    comes to. Peptides count once per protein.
+    descending, then protein. Each round on Spark takes every protein that no
+    better protein shares a peptide with, which is what taking the best one at a
+    time comes to; rounds shrink the pairs, and what is left at `local_pairs` or
+    fewer is finished one at a time in a task (as a broadcast, behind a check of
+    its size; rounds go on in its numbers). Peptides count once per protein.
     """
     left = stored(pep_protein.groupBy("aminos", "protein").agg(F.max("spectra").alias("spectra")))
-    chosen = None
-    for number in range(max_rounds):
+    chosen, number, before = None, 0, None
+    kinds = dict(left.dtypes)
+    shape = f"protein {kinds['protein']}, aminos {kinds['aminos']}, round long"
+    while (n := left.count()) != before:
+        before = n
+        if n <= local_pairs:
+
+            def finish(batches, first=number):
+                pairs = pd.concat(list(batches), ignore_index=True)
+                rows = cover_in_order(pairs, min_peptides)
+                yield pd.DataFrame(rows, columns=["protein", "aminos", "round"]).assign(round=lambda x: x["round"] + first)
+
+            taken = left.coalesce(1).mapInPandas(finish, shape) if n else left.select("protein", "aminos", F.lit(0).cast("long").alias("round"))
+            return taken if chosen is None else chosen.union(taken)
         size = left.groupBy("protein").agg(F.count("*").alias("peptides"), F.sum("spectra").alias("total")).where(F.col("peptides") >= min_peptides)
-        # larger is better; the protein's name in reverse order decides ties
-        scored = left.join(size, "protein").withColumn("key", F.struct(-F.col("peptides"), -F.col("total"), F.col("protein")))
+        # larger is better; the protein's name decides ties
+        scored = stored(left.join(size, "protein").select("aminos", "protein", F.struct(-F.col("peptides"), -F.col("total"), F.col("protein")).alias("key")))
         best = scored.groupBy("aminos").agg(F.min("key").alias("best"))
         wins = scored.join(best, "aminos").groupBy("protein").agg(F.every(F.col("key") == F.col("best")).alias("wins")).where("wins").select("protein")
-        taken = stored(left.join(wins, "protein", "left_semi").select("protein", "aminos", F.lit(number).alias("round")))
-        if taken.isEmpty():
-            break
+        taken = stored(left.join(wins, "protein", "left_semi").select("protein", "aminos", F.lit(number).cast("long").alias("round")))
         chosen = taken if chosen is None else chosen.union(taken)
         left = stored(left.join(taken.select("aminos").distinct(), "aminos", "left_anti"))
-    else:
-        raise RuntimeError("the cover did not end")
-    return chosen if chosen is not None else left.select("protein", "aminos", F.lit(0).alias("round"))
+        number += 1
+    return chosen
 
 
 def indistinguishable(pep_protein: DataFrame, least: int = 2) -> DataFrame:
-    """(proteins, n_proteins, n_peptides) of identical peptide sets.
+    """(protein, set_of, n_proteins, n_peptides) of proteins that share their whole peptide set with others;
+    set_of is the least of them.
 
     Sets are compared by counts and two order-free digests of their members, so no set is gathered.
     """
     pairs = pep_protein.select("aminos", "protein").distinct()
     sets = pairs.groupBy("protein").agg(F.count("*").alias("n_peptides"), F.expr("bit_xor(xxhash64(aminos))").alias("x"), F.expr("bit_xor(xxhash64(aminos, 1))").alias("y")).where(F.col("n_peptides") >= least)
-    groups = sets.groupBy("n_peptides", "x", "y").agg(F.array_join(F.array_sort(F.collect_list(F.col("protein").cast("string"))), ",").alias("proteins"), F.count("*").alias("n_proteins"))
-    return groups.where("n_proteins > 1").select("proteins", "n_proteins", "n_peptides")
+    sets = stored(sets)
+    groups = stored(sets.groupBy("n_peptides", "x", "y").agg(F.min("protein").alias("set_of"), F.count("*").alias("n_proteins")).where("n_proteins > 1"))
+    return sets.join(groups, ["n_peptides", "x", "y"]).select("protein", "set_of", "n_proteins", "n_peptides")
 
 
 def protein_report(pep_protein: DataFrame) -> DataFrame:
@@ -61,6 +107,37 @@ def residue_coverage(mapped: DataFrame, sequences: DataFrame) -> DataFrame:
     return out.select("seq_id", "length", F.coalesce("covered", F.lit(0)).alias("covered"), (100 * F.coalesce("covered", F.lit(0)) / F.col("length")).alias("percent"))
 
 
+def modified_coverage(mapped: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Per sequence the residues covered by any peptide, by unmodified and by modified ones, and by both kinds.
+
+    mapped: (seq_id, pos, stop, is_modified). |A and B| is |A| + |B| - |A or B|.
+    """
+    part = lambda df, name: residue_coverage(df, sequences).select("seq_id", F.col("covered").alias(name))
+    bare, mod = mapped.where(~F.col("is_modified")), mapped.where("is_modified")
+    out = residue_coverage(mapped, sequences).join(part(bare, "unmodified"), "seq_id").join(part(mod, "modified"), "seq_id")
+    return out.withColumn("both", F.col("unmodified") + F.col("modified") - F.col("covered"))
+
+
+def coverage_histogram(coverage: DataFrame) -> DataFrame:
+    """(decile, proteins): sequences by tenths of the share that is covered, 10 for the whole."""
+    decile = F.least(F.floor(F.col("percent") / 10), F.lit(10))
+    return coverage.where("length > 0").groupBy(decile.alias("decile")).agg(F.count("*").alias("proteins"))
+
+
+def sister_proteins(pep_protein: DataFrame, report: DataFrame) -> DataFrame:
+    """(protein, sister, shared): for proteins without a peptide of their own, the one that has most of their
+    peptides (ties: the least name). report is `protein_report`.
+
+    Peptides of the proteins in need are joined with their other proteins; pairs are summed before they meet.
+    """
+    alone = report.where("unique_peptides = 0").select("protein")
+    wanted = pep_protein.select("aminos", "protein").distinct()
+    mine = wanted.join(small(alone), "protein", "left_semi")
+    shared = mine.join(wanted.select("aminos", F.col("protein").alias("sister")), "aminos").where("protein <> sister").groupBy("protein", "sister").agg(F.count("*").alias("shared"))
+    best = shared.groupBy("protein").agg(F.min(F.struct((-F.col("shared")).alias("n"), F.col("sister"))).alias("b"))
+    return best.select("protein", "b.sister", (-F.col("b.n")).alias("shared"))
+
+
 def unique_shared_hist(report: DataFrame) -> DataFrame:
     """Proteins by classes (0, 1, 2-4, 5+) of unique against shared peptides."""
     def bucket(c: str) -> Column:
@@ -93,6 +170,11 @@ def quant_summary(q: DataFrame, keys: list[str]) -> DataFrame:
     return q.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ratio").alias("low"), F.max("ratio").alias("high"), F.avg("ratio").alias("mean"), F.median("ratio").alias("median"))
 
 
+def join_abundance(summary: DataFrame, absolute: DataFrame, key: str) -> DataFrame:
+    """Ratios with the absolute abundance (key, amount) of their protein; fold_amount is amount times mean ratio."""
+    return summary.join(absolute, key, "left").withColumn("fold_amount", F.col("amount") * F.col("mean"))
+
+
 def compare_groups(psm: DataFrame, groups: list[str], least: int = 2) -> DataFrame:
     """Proteins with at least `least` peptides in some group: peptides and spectra per group."""
     n = psm.groupBy("protein", "group").agg(F.count_distinct("aminos").alias("peptides"), F.count("*").alias("spectra"))
@@ -100,12 +182,27 @@ def compare_groups(psm: DataFrame, groups: list[str], least: int = 2) -> DataFra
     return n.join(keep, "protein", "left_semi").groupBy("protein").pivot("group", groups).agg(F.max("peptides").alias("peptides"), F.max("spectra").alias("spectra")).na.fill(0)
 
 
+def compare_modified(psm: DataFrame, groups: list[str], least: int = 2) -> DataFrame:
+    """Modified sites (protein, db_pos) with at least `least` modified spectra in all: per group the modified
+    spectra and all spectra over the place."""
+    n = psm.groupBy("protein", "db_pos", "group").agg(F.count_if("is_modified").alias("modified"), F.count("*").alias("total"))
+    keep = n.groupBy("protein", "db_pos").agg(F.sum("modified").alias("m")).where(F.col("m") >= least)
+    return n.join(keep, ["protein", "db_pos"], "left_semi").groupBy("protein", "db_pos").pivot("group", groups).agg(F.max("modified").alias("modified"), F.max("total").alias("total")).na.fill(0)
+
+
 def list_peptides(psm: DataFrame, groups: list[str]) -> DataFrame:
     """Spectra per peptide and group; a file belongs to each group whose name it contains."""
     match = F.filter(F.array(*[F.lit(g) for g in groups]), lambda g: F.col("spectrum_file").contains(g))
     return psm.withColumn("group", F.explode(match)).groupBy("group", "aminos").agg(F.count("*").alias("spectra"))
 
 
+def merge_listed(listed: DataFrame, stripped: DataFrame) -> DataFrame:
+    """A24 after X6: peptides whose modification is needless (aminos, new_aminos) count under the longer peptide."""
+    new = stripped.where("new_aminos is not null").groupBy("aminos").agg(F.min("new_aminos").alias("new_aminos"))
+    merged = listed.join(new, "aminos", "left").withColumn("aminos", F.coalesce("new_aminos", "aminos"))
+    return merged.groupBy("group", "aminos").agg(F.sum("spectra").alias("spectra"))
+
+
 def modified_overlap(psm: DataFrame) -> DataFrame:
     """One row: peptides seen modified, unmodified, and both."""
     by = psm.groupBy("aminos").agg(F.max("is_modified").alias("m"), F.min("is_modified").alias("u"))
@@ -120,6 +217,12 @@ def nonredundant(psm: DataFrame) -> DataFrame:
     return best.join(n, "aminos")
 
 
+def localized_sites(psm: DataFrame, certain: float = 13.0) -> DataFrame:
+    """(protein, db_pos, peptides, best, certain): modified places by their best localisation score."""
+    by = psm.where("is_modified").groupBy("protein", "db_pos").agg(F.count_distinct("aminos").alias("peptides"), F.max("localization").alias("best"))
+    return by.withColumn("certain", F.coalesce(F.col("best") >= certain, F.lit(False)))
+
+
 def gel_spots(psm: DataFrame, contaminants: list | None = None, top: int = 3) -> DataFrame:
     """The `top` proteins of each spot by spectra; contaminants are flagged."""
     n = psm.groupBy("spot", "protein").agg(F.count("*").alias("spectra"))
@@ -134,6 +237,21 @@ def gel_pairs(spots: DataFrame, least: int = 3) -> DataFrame:
     return pairs.groupBy("major", "minor").agg(F.count_distinct("gel").alias("gels")).where(F.col("gels") >= least)
 
 
+def spot_coverage(psm: DataFrame, spots: int = 2) -> DataFrame:
+    """For proteins in at least `spots` spots the covered stretches in each spot: (protein, spot, first, last,
+    covered), first and last residue seen and residues covered."""
+    many = psm.groupBy("protein").agg(F.count_distinct("spot").alias("n")).where(F.col("n") >= spots)
+    rows = psm.join(small(many.select("protein")), "protein", "left_semi").select("protein", "spot", "start", "stop")
+    runs = ranges.coverage_of(rows, ["protein", "spot"], "start", "stop")
+    return runs.groupBy("protein", "spot").agg(F.min("start").alias("first"), F.max("stop").alias("last"), F.sum(F.col("stop") - F.col("start") + 1).alias("covered"))
+
+
+def pair_weights(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Pairs (major, minor) with the difference of their weights (protein, weight)."""
+    w = lambda c: weights.select(F.col("protein").alias(c), F.col("weight").alias(f"{c}_weight"))
+    return pairs.join(w("major"), "major", "left").join(w("minor"), "minor", "left").withColumn("difference", F.abs(F.col("major_weight") - F.col("minor_weight")))
+
+
 def sticky_proteins(spots: DataFrame, least: int = 2) -> DataFrame:
     """(spot_no, protein) with `least` spectra in this spot and in the one before; spots are numbered in order."""
     good = spots.where(F.col("spectra") >= least)
@@ -141,6 +259,30 @@ def sticky_proteins(spots: DataFrame, least: int = 2) -> DataFrame:
     return good.withColumn("_b", before).where(F.col("_b") == F.col("spot_no") - 1).select("spot_no", "protein")
 
 
+def best_n(df: DataFrame, keys: list[str], order: list[Column | str], n: int = 3) -> DataFrame:
+    """O3: the first n rows of each key in the given order, numbered by n."""
+    return df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= n)
+
+
+def report_order(report: DataFrame, protein: str = "protein") -> DataFrame:
+    """A report by falling numbers of peptides and spectra, then by name: a range sort on Spark."""
+    return report.orderBy(F.desc("peptides"), F.desc("spectra"), protein)
+
+
+def union_all(*parts: DataFrame) -> DataFrame:
+    """The rows of all parts, matched by column name; columns that a part lacks are null."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def peptide_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(aminos, in_a, in_b): the distinct peptides of two results and where they are."""
+    both = a.select("aminos").distinct().withColumn("in_a", F.lit(True)).join(b.select("aminos").distinct().withColumn("in_b", F.lit(True)), "aminos", "full_outer")
+    return both.na.fill(False, ["in_a", "in_b"])
+
+
 def annotate(psm: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Left join to a lookup table; Spark broadcasts it where its size allows."""
     return psm.join(table, key, "left")
@@ -153,6 +295,44 @@ def peptide_gaps(located: DataFrame) -> DataFrame:
     return located.withColumn("gap", gap)
 
 
+def gap_summary(gaps: DataFrame, width: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(orf_name, largest) per protein, and the histogram (bin, n) of all gaps."""
+    largest = gaps.where("gap is not null").groupBy("orf_name").agg(F.max("gap").alias("largest"))
+    return largest, gaps.where("gap is not null").groupBy(F.floor(F.col("gap") / width).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def runner_up_chains(psm: DataFrame) -> DataFrame:
+    """(protein, behind, peptides): each protein with the better one that has most of its peptides.
+
+    Better: more peptides, then the lesser name. A protein that heads its peptides has null.
+    """
+    pairs = stored(psm.select("aminos", "protein").distinct())
+    size = stored(pairs.groupBy("protein").agg(F.count("*").alias("n")))
+    ranked = pairs.join(small(size), "protein")
+    best = ranked.groupBy("aminos").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("protein"))).alias("top")).select("aminos", F.col("top.protein").alias("head"))
+    met = pairs.join(best, "aminos").where("protein <> head").groupBy("protein", "head").agg(F.count("*").alias("peptides"))
+    behind = met.groupBy("protein").agg(F.min(F.struct((-F.col("peptides")).alias("n"), F.col("head"))).alias("b"))
+    return size.select("protein").join(behind, "protein", "left").select("protein", F.col("b.head").alias("behind"), F.coalesce(-F.col("b.n"), F.lit(0)).alias("peptides"))
+
+
+def merge_half_overlaps(candidates: DataFrame, share: float = 0.5) -> DataFrame:
+    """(region, chrom, start, stop, n): candidates (chrom, name, start, stop) that overlap one before them by at
+    least `share` of the shorter one are one region; the region's name is its first candidate's number."""
+    one = candidates.select("chrom", F.col("name").alias("a"), F.col("start").alias("s1"), F.col("stop").alias("e1"))
+    two = candidates.select("chrom", F.col("name").alias("b"), F.col("start").alias("s2"), F.col("stop").alias("e2"))
+    met = ranges.overlap_join(one, two, ["chrom"], ("s1", "e1"), ("s2", "e2"))
+    common = F.least("e1", "e2") - F.greatest("s1", "s2") + 1
+    shorter = F.least(F.col("e1") - F.col("s1"), F.col("e2") - F.col("s2")) + 1
+    links = met.where((F.col("a") != F.col("b")) & (common >= share * shorter)).select("chrom", "a", F.struct("s2", "e2", "b").alias("other"))
+    earlier = links.join(candidates.select("chrom", F.col("name").alias("a"), F.struct("start", "stop", "name").alias("own")), ["chrom", "a"]).where(F.col("other") < F.col("own"))
+    joined = earlier.select("chrom", F.col("a").alias("name")).distinct().withColumn("joins", F.lit(True))
+    rows = candidates.join(joined, ["chrom", "name"], "left").withColumn("head", F.when(F.col("joins"), 0).otherwise(1))
+    order = ["start", "stop", "name"]
+    dealt = ranges.carried(ranges.placed(rows, ["chrom"], ["start"]), ["chrom"], _heads=(F.sum("head"), F.sum))
+    region = F.sum("head").over(ranges.inside(["chrom"], order).rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_heads", F.lit(0))
+    return dealt.withColumn("region", region).groupBy("chrom", "region").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n"))
+
+
 def candidate_summary(psm: DataFrame) -> DataFrame:
     """Per protein the score sum(-ln(best p) / (i + 1)) over its peptides; the best p stands in every term."""
     per = psm.groupBy("protein", "aminos").agg(F.min("p_value").alias("p"))

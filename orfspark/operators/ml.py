@@ -89,6 +89,23 @@ def score_to_p(df: DataFrame, width: float = 0.1) -> DataFrame:
     return full.select("bin", (F.sum("f").over(w) / F.greatest(F.sum("n").over(w), F.lit(1))).alias("p"))
 
 
+def interpolated_p(df: DataFrame, prior: float, width: float = 0.1, least: float = 1e-4) -> DataFrame:
+    """M5: (bin, p) for every bin between the ends: P(false | score at or above), by Bayes' theorem from the prior, at
+    least `least`; bins without rows lie on the line between their neighbours.
+
+    The sums are over one row per bin.
+    """
+    hist = df.groupBy(F.round(F.col("score") / width).cast("long").alias("bin")).agg(F.count_if(F.col("label") == 0).alias("f"), F.count("*").alias("n"))
+    above = running_above(hist, "bin", ["f", "n"])
+    total = hist.agg(F.sum("f").alias("all_f"), F.sum("n").alias("all_n"))
+    ratio = (F.col("f_above") + F.col("f")) * F.col("all_n") / (F.greatest("all_f", F.lit(1)) * (F.col("n_above") + F.col("n")))
+    known = above.join(F.broadcast(total)).select("bin", F.greatest(ratio * prior, F.lit(least)).alias("p"))  # one row
+    w = Window.orderBy("bin")  # a row per bin
+    nxt = known.withColumn("to", F.lead("bin").over(w)).withColumn("to_p", F.lead("p").over(w))
+    rows = nxt.select("bin", "p", "to", "to_p", F.explode(F.sequence(F.col("bin"), F.coalesce(F.col("to") - 1, F.col("bin")))).alias("b"))
+    return rows.select(F.col("b").alias("bin"), F.when(F.col("b") == F.col("bin"), F.col("p")).otherwise(F.col("p") + (F.col("to_p") - F.col("p")) * (F.col("b") - F.col("bin")) / (F.col("to") - F.col("bin"))).alias("p"))
+
+
 def fit_paired(df: DataFrame, cols: list[str], share: float = 0.2):
     """M6: per kind (constitutive, facultative) a model trained on the top and bottom share of the given score."""
     models = {}

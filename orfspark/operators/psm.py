@@ -117,8 +117,7 @@ def fdr_table(hist: DataFrame, decoy_fraction: float = 0.5, retain: bool = False
 
 def assign_pvalue(scored: DataFrame, table: DataFrame) -> DataFrame:
     """A4: p-values by bin; clamped to [1e-5, 0.99999], and by the bin's sign where the table has no bin."""
-    # a row per class and tenth of score
-    hit = scored.drop("p_value").join(F.broadcast(table.select("charge_class", "bin", "odds")), ["charge_class", "bin"], "left")
+    hit = scored.drop("p_value").join(ranges.small(table.select("charge_class", "bin", "odds")), ["charge_class", "bin"], "left")
     odds = F.greatest(F.lit(1e-5), F.least(F.lit(0.99999), F.coalesce("odds", F.when(F.col("bin") < 0, 1e-5).otherwise(0.99999))))
     return hit.withColumn("p_value", 1 - odds).drop("odds")
 
@@ -221,6 +220,18 @@ def engine_consensus(psm: DataFrame, k: int = 2) -> DataFrame:
     return both.select("spectrum_file", "scan", "engines", (F.col("peptides") > 1).alias("conflict"), (F.col("witnesses") >= k).alias("agreed"))
 
 
+def engine_venn(psm: DataFrame) -> DataFrame:
+    """(engines, spectra): spectra by the set of engines that identified them."""
+    by = psm.groupBy("spectrum_file", "scan").agg(F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines"))
+    return by.groupBy("engines").agg(F.count("*").alias("spectra"))
+
+
+def missed_by(psm: DataFrame, engine: str, k: int = 2) -> DataFrame:
+    """(spectrum_file, scan, aminos, witnesses): peptides that k other engines agree on and this engine lacks."""
+    votes = psm.groupBy("spectrum_file", "scan", "aminos").agg(F.count_distinct(F.when(F.col("engine") != engine, F.col("engine"))).alias("witnesses"), F.max(F.col("engine") == engine).alias("has"))
+    return votes.where((F.col("witnesses") >= k) & ~F.col("has")).select("spectrum_file", "scan", "aminos", "witnesses")
+
+
 def competing_search(x: DataFrame, y: DataFrame, ratio: float = 0.75, margin: float = 0.5, p: float = 0.12) -> DataFrame:
     """Drop spectra that the other search explains better than their first row; of the rest keep p below the cut."""
     best = top_hit(y).select("spectrum_file", "scan", F.col("p_value").alias("_p"), F.col("mq_score").alias("_s"))

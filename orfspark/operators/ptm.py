@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -34,6 +33,11 @@ def ptm_features(psm: DataFrame) -> DataFrame:
     return own.withColumn("modded_fraction", share).withColumn("log_spectra", F.log("spectra"))
 
 
+def with_protein_coverage(features: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Features with a protein column and the covered percent (protein, percent) of that protein; 0 if unknown."""
+    return features.join(coverage.select("protein", F.col("percent").alias("protein_coverage")), "protein", "left").na.fill(0.0, ["protein_coverage"])
+
+
 def peptide_features(psm: DataFrame, best: int = 100) -> DataFrame:
     """Features of (annotation, charge) over its best spectra."""
     w = Window.partitionBy("annotation", "charge").orderBy(F.desc("f_score"), "spectrum_file", "scan", "rank")
@@ -55,6 +59,37 @@ def ptm_counts(sites: DataFrame, fdr: float = 0.05) -> DataFrame:
     return kept.groupingSets([["mass"], ["mass", "residue"]], "mass", "residue").agg(F.count("*").alias("sites"), F.sum("spectra").alias("spectra"))
 
 
+#: Masses and residues (any where none is named) of modifications that handling is known to cause, and of
+#: known biological ones.
+ADDUCTS = [(57, ""), (-17, "NQ"), (16, "MW"), (32, "MW"), (-48, "M"), (58, "M"), (-57, "C"), (-18, "DEST"), (22, "DEST")]
+BIOLOGICAL = [(161, "Q"), (-43, "C"), (42, ""), (80, "STY"), (14, "KR"), (28, "KR")]
+
+
+def classify_ptm_counts(counts: DataFrame, top: int = 25) -> tuple[DataFrame, DataFrame]:
+    """Counts by (mass, residue) as classes (class, kinds, sites, spectra): adduct, biological, unknown; and the
+    `top` unknown ones by sites."""
+
+    def among(table: list[tuple[int, str]]):
+        out = F.lit(False)
+        for mass, residues in table:
+            out = out | ((F.col("mass") == mass) & (F.col("residue").isin(*residues) if residues else F.lit(True)))
+        return out
+
+    named = counts.where("residue is not null").withColumn("class", F.when(among(ADDUCTS), "adduct").when(among(BIOLOGICAL), "biological").otherwise("unknown"))
+    classes = named.groupBy("class").agg(F.count("*").alias("kinds"), F.sum("sites").alias("sites"), F.sum("spectra").alias("spectra"))
+    return classes, named.where("class = 'unknown'").orderBy(F.desc("sites"), "mass", "residue").limit(top).drop("class")
+
+
+def choose_known(sites: DataFrame, known: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """Each site (site, mass, p) with a known explanation (site, known_mass, known_p) instead of its own where the
+    logarithms of the p-values differ by less than `tolerance` or the known one is better; ties: the least mass."""
+    best = known.groupBy("site").agg(F.min(F.struct("known_p", "known_mass")).alias("k"))
+    rows = sites.join(best, "site", "left")
+    log = lambda c: F.when(c.isNotNull(), F.log(F.greatest(c, F.lit(1e-300))))
+    take = F.coalesce(log(F.col("k.known_p")) - log(F.col("p")) < tolerance, F.lit(False))
+    return rows.select("site", F.when(take, F.col("k.known_mass")).otherwise(F.col("mass")).alias("mass"), F.when(take, F.col("k.known_p")).otherwise(F.col("p")).alias("p"), take.alias("known"))
+
+
 def compare_ptm_rates(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two samples (site, modified, total): rates, chi-square and a note (A, B: only there; C: both)."""
     two = a.select("site", F.col("modified").alias("a_mod"), F.col("total").alias("a_all")).join(b.select("site", F.col("modified").alias("b_mod"), F.col("total").alias("b_all")), "site", "full_outer").na.fill(0)
@@ -64,14 +99,17 @@ def compare_ptm_rates(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def chi2_p(chi2: DataFrame, column: str = "chi2") -> DataFrame:
-    """P of one degree of freedom; Spark has no erfc, so it is a vectorised function."""
-    @F.pandas_udf("double")
-    def p(x: pd.Series) -> pd.Series:
-        import math
+    """P of one degree of freedom."""
+    return chi2.withColumn("p", erfc(F.sqrt(F.col(column) / 2)))
 
-        return x.map(lambda v: None if pd.isna(v) else math.erfc(math.sqrt(v / 2)))
 
-    return chi2.withColumn("p", p(F.col(column)))
+def erfc(x: Column) -> Column:
+    """Complementary error function of x >= 0, to about seven digits (a rational fit from a handbook of functions)."""
+    terms = [0.0705230784, 0.0422820123, 0.0092705272, 0.0001520143, 0.0002765672, 0.0000430638]
+    total = F.lit(1.0)
+    for k, a in enumerate(terms, 1):
+        total = total + a * F.pow(x, F.lit(k))
+    return 1 / F.pow(total, F.lit(16))
 
 
 def site_diff(a: DataFrame, b: DataFrame, ratio: float = 2, least: int = 2) -> DataFrame:
@@ -84,11 +122,22 @@ def site_diff(a: DataFrame, b: DataFrame, ratio: float = 2, least: int = 2) -> D
 def explain_ptm(sites: DataFrame, mods: DataFrame, substitutions: DataFrame) -> DataFrame:
     """(site, names): catalogue entries of the site's residue and rounded mass, and substitutions within 1 Da.
 
-    mods: (mass, residue, name); substitutions: (from_aa, to_aa, delta). Both are catalogues of fixed size.
+    mods: (mass, residue, name), and terminus (N, C or null) where the catalogue has it: such an entry needs the site
+    at that end (column terminus of sites) and no residue. A mass that is a residue's fixed modification less the mass
+    itself (columns base and mass of sites; base null if none) is named "unmodified". Catalogues are broadcast if small.
     """
-    exact = sites.join(F.broadcast(mods.select(F.round("mass").alias("mass"), "residue", "name")), ["mass", "residue"]).select("site", "name")
-    close = sites.join(F.broadcast(substitutions), (F.col("residue") == F.col("from_aa")) & (F.abs(F.col("mass") - F.col("delta")) < 1.0)).select("site", F.concat("from_aa", F.lit("->"), "to_aa").alias("name"))
-    return exact.union(close).distinct().groupBy("site").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+    whole = mods.select(F.round("mass").alias("mass"), "residue", "name", *[c for c in ("terminus",) if c in mods.columns])
+    at_end = "terminus" in mods.columns and "terminus" in sites.columns
+    plain = whole.where("terminus is null").drop("terminus") if "terminus" in whole.columns else whole
+    found = sites.join(ranges.small(plain), ["mass", "residue"]).select("site", "name")
+    if at_end:
+        found = found.union(sites.drop("residue").join(ranges.small(whole.where("terminus is not null").drop("residue")), ["mass", "terminus"]).select("site", "name"))
+    if "base" in sites.columns:
+        found = found.union(sites.where("mass = -base").select("site", F.lit("unmodified").alias("name")))
+    subs = substitutions.select(F.col("from_aa").alias("residue"), "to_aa", F.col("delta").cast("double").alias("delta"))
+    close = ranges.tolerance_join(sites.select("site", "residue", F.col("mass").cast("double").alias("_m")), subs, ["residue"], "_m", "delta", 1.0).where(F.abs(F.col("_m") - F.col("delta")) < 1.0)
+    found = found.union(close.select("site", F.concat("residue", F.lit("->"), "to_aa").alias("name")))
+    return found.distinct().groupBy("site").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
 
 
 def ptm_mass(psm: DataFrame, trim: float = 0.5) -> DataFrame:

@@ -6,25 +6,68 @@ equality (a bin or a k-mer) so that the join shuffles on it instead.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a table in the folder of spark.checkpoint.dir, or a checkpoint where the session set one itself."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset a session on this machine alone gets a temporary one; on a
+    cluster that would lose rows (each executor would write to its own disk), so it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            import tempfile
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = getattr(spark.sparkContext, "_orfspark_folder", None) or "file://" + tempfile.mkdtemp(prefix="orfspark-")
+        spark.sparkContext._orfspark_folder = folder
+    return folder.rstrip("/")
+
 
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="orfspark-"))
-        return df.checkpoint()
-    path = f"{folder.rstrip('/')}/orfspark/{uuid.uuid4().hex}"
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage: a table in the shared folder, so that a lost executor costs a re-read."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/orfspark/{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Mark df for broadcast if it has at most max_rows rows; else leave the join to shuffle."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df dealt by ranges of (keys, order), stored, with `_p`, the number of the range: a key's rows are split over
+    tasks, and a later range holds later rows. Rows alike in keys and order stay together."""
+    return stored(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
+
+
+def inside(keys: list[str], order: list[str]) -> Window:
+    """Rows of one range of one key, in order."""
+    return Window.partitionBy(*keys, "_p").orderBy(*order)
+
+
+def carried(df: DataFrame, keys: list[str], **of: Column) -> DataFrame:
+    """Join df (see `placed`) with what the ranges before hold of each key: per name a pair of an aggregate of a range
+    and how ranges add up (F.sum, F.max, ...). Ranges are as many as tasks."""
+    parts = stored(df.groupBy(*keys, "_p").agg(*[x.alias(f"_{n}") for n, (x, _) in of.items()]))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "_p", *[f(f"_{n}").over(before).alias(n) for n, (_, f) in of.items()])
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_p"]]
+    return df.alias("a").join(small(parts).alias("b"), same).select("a.*", *[f"b.{n}" for n in of])
+
+
+def following(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """df (see `placed`) with the next value of `order` of its key, also where that stands in a later range."""
+    first = stored(df.groupBy(*keys, "_p").agg(F.min(order).alias("_f")))
+    nxt = first.withColumn(name, F.lead("_f").over(Window.partitionBy(*keys).orderBy("_p"))).drop("_f")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_p"]]
+    joined = df.alias("a").join(small(nxt).alias("b"), same).select("a.*", F.col(f"b.{name}").alias("_n"))
+    return joined.withColumn(name, F.coalesce(F.lead(order).over(inside(keys, [order])), F.col("_n"))).drop("_n")
 
 
 def running_above(df: DataFrame, order: str, sums: list[str]) -> DataFrame:
@@ -81,30 +124,42 @@ def kmers(seqs: DataFrame, seq: str, k: int, carry: list[str]) -> DataFrame:
     return seqs.select(*carry, F.posexplode(found).alias("pos", "kmer")).withColumn("pos", F.col("pos") + 1)
 
 
-def map_peptides(peptides: DataFrame, sequences: DataFrame, k: int = 5) -> DataFrame:
-    """All exact places (aminos, seq_id, pos from 1, prefix, suffix, n_places, is_unique).
+def varied(aminos: Column, k: int) -> Column:
+    """struct(offset from 1, kmer) of the k-mer with the most different letters, the first of them: an anchor that
+    low-complexity stretches of the sequences seldom meet."""
+    grams = F.transform(F.sequence(F.lit(1), F.length(aminos) - k + 1), lambda i: F.substr(aminos, i, F.lit(k)))
+    keyed = F.transform(grams, lambda g, i: F.struct((-F.size(F.array_distinct(F.split(g, "")))).alias("same"), (i + 1).alias("offset"), g.alias("kmer")))
+    best = F.array_min(keyed)
+    return F.struct(best["offset"].alias("offset"), best["kmer"].alias("kmer"))
 
-    Peptides: aminos. Sequences: seq_id, seq. A peptide is looked up under the
-    rarest of its k-mers (by its count in the sequences), which spreads repeats;
-    shorter peptides are looked up under themselves. Overlapping places count.
+
+def map_peptides(peptides: DataFrame, sequences: DataFrame, k: int = 6) -> DataFrame:
+    """All exact places (aminos, seq_id, pos from 1, prefix, suffix, n_places, is_unique, tryptic_n, tryptic_c).
+
+    Peptides: aminos. Sequences: seq_id, seq. A peptide is looked up under one of
+    its k-mers, or of its 2k-mers if it is that long (one pass over the sequences
+    for either; shorter ones under themselves, a pass for each length), and
+    compared where that stands. Anchors are filtered where they are cut out,
+    unless they are too many to be broadcast. Overlapping places count.
     """
     wanted = peptides.select("aminos").where("aminos is not null and aminos <> ''").distinct()
-    lengths = sorted(r.n for r in wanted.where(F.length("aminos") < k).select(F.length("aminos").alias("n")).distinct().collect())  # at most k - 1
-    long = wanted.where(F.length("aminos") >= k)
-    index = kmers(sequences, "seq", k, ["seq_id"])
-    of_long = kmers(long, "aminos", k, ["aminos"]).withColumnRenamed("pos", "offset")
-    counts = index.join(of_long.select("kmer").distinct(), "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("n"))
-    rare = of_long.join(counts, "kmer").groupBy("aminos").agg(F.min(F.struct("n", "offset", "kmer")).alias("r")).select("aminos", "r.offset", "r.kmer")
-    begin = rare.join(index, "kmer").select("aminos", "seq_id", (F.col("pos") - F.col("offset") + 1).alias("pos")).where("pos > 0")
-    for n in lengths:
-        short = kmers(sequences, "seq", n, ["seq_id"]).withColumnRenamed("kmer", "aminos").join(wanted, "aminos", "left_semi")
-        begin = begin.unionByName(short.select("aminos", "seq_id", "pos"))
-    found = begin.join(sequences.select("seq_id", "seq"), "seq_id")
-    found = found.where(F.substr(F.col("seq"), F.col("pos"), F.length("aminos")) == F.col("aminos"))
-    stop = F.col("pos") + F.length("aminos")
-    prefix = F.when(F.col("pos") > 1, F.substr(F.col("seq"), F.col("pos") - 1, F.lit(1)))
-    suffix = F.when(stop <= F.length("seq"), F.substr(F.col("seq"), stop, F.lit(1)))
-    found = found.select("aminos", "seq_id", "pos", prefix.alias("prefix"), suffix.alias("suffix"))
+    n = F.length("aminos")
+    wanted = stored(wanted.withColumn("k", F.when(n >= 2 * k, 2 * k).when(n >= k, k).otherwise(n)))
+    begin = None
+    for size in sorted(r.k for r in wanted.select("k").distinct().collect()):  # k + 1 sizes at most
+        anchors = wanted.where(F.col("k") == size).select("aminos", varied(F.col("aminos"), size).alias("v")).select("aminos", "v.offset", "v.kmer")
+        met = kmers(sequences, "seq", size, ["seq_id"]).join(small(anchors), "kmer").select("seq_id", "aminos", (F.col("pos") - F.col("offset") + 1).alias("pos")).where("pos > 0")
+        begin = met if begin is None else begin.unionByName(met)
+    if begin is None:
+        begin = sequences.select("seq_id", F.lit("").alias("aminos"), F.lit(0).alias("pos")).where(F.lit(False))
+    begin = stored(begin)
+    spots = sequences.select("seq_id", "seq").join(small(begin.select("seq_id").distinct()), "seq_id", "left_semi")
+    found = spots.join(begin.groupBy("seq_id").agg(F.collect_list(F.struct("aminos", "pos")).alias("at")), "seq_id")
+    letter = lambda i: F.substr(F.col("seq"), i, F.lit(1))
+    stop = lambda x: x["pos"] + F.length(x["aminos"])
+    true = F.filter("at", lambda x: F.substr(F.col("seq"), x["pos"], F.length(x["aminos"])) == x["aminos"])
+    seen = F.transform(true, lambda x: F.struct(x["aminos"].alias("aminos"), x["pos"].alias("pos"), F.when(x["pos"] > 1, letter(x["pos"] - 1)).alias("prefix"), F.when(stop(x) <= F.length("seq"), letter(stop(x))).alias("suffix")))
+    found = stored(found.select("seq_id", F.explode(seen).alias("x")).select("x.aminos", "seq_id", "x.pos", "x.prefix", "x.suffix"))
     n = found.groupBy("aminos").agg(F.count("*").alias("n_places"))
     first, last = F.substr(F.col("aminos"), F.lit(1), F.lit(1)), F.substr(F.col("aminos"), F.length("aminos"), F.lit(1))
     out = found.join(n, "aminos").withColumn("is_unique", F.col("n_places") == 1)
@@ -122,39 +177,51 @@ def nearest_peak(targets: DataFrame, peaks: DataFrame, keys: list[str], target:
 
 
 def group_by_gap(df: DataFrame, keys: list[str], start: str, stop: str, gap: float, tie: list[str]) -> DataFrame:
-    """group_no per key; a feature more than gap behind all before it begins a group."""
-    w = Window.partitionBy(*keys).orderBy(start, stop, *tie)
-    before = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col(start) - before > gap), 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("group_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """group_no per key; a feature more than gap behind all before it begins a group. A key's features are dealt by
+    ranges of start; ranges hand on their largest stop, and then their number of groups."""
+    order = [start, stop, *tie]
+    rows = carried(placed(df, keys, [start]), keys, _far=(F.max(stop), F.max))
+    w = inside(keys, order)
+    before = F.greatest(F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_far"))
+    rows = stored(rows.withColumn("_new", F.when(before.isNull() | (F.col(start) - before > gap), 1).otherwise(0)).drop("_far"))
+    rows = carried(rows, keys, _groups=(F.sum("_new"), F.sum))
+    number = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_groups", F.lit(0))
+    return rows.withColumn("group_no", number).select(*df.columns, "group_no")
 
 
 def runs_above(coverage: DataFrame, keys: list[str], pos: str, n: str, least: float) -> DataFrame:
-    """Stretches of contiguous positions with n above least: (keys, start, stop, top)."""
-    high = coverage.where(F.col(n) > least)
-    w = Window.partitionBy(*keys).orderBy(pos)
-    island = F.col(pos) - F.row_number().over(w)
-    return high.withColumn("_i", island).groupBy(*keys, "_i").agg(F.min(pos).alias("start"), F.max(pos).alias("stop"), F.max(n).alias("top")).drop("_i")
+    """Stretches of contiguous positions with n above least: (keys, start, stop, top). A key's positions (each of
+    them once) are dealt by ranges."""
+    rows = carried(placed(coverage.where(F.col(n) > least), keys, [pos]), keys, _rows=(F.count("*"), F.sum))
+    island = F.col(pos) - F.row_number().over(inside(keys, [pos])) - F.coalesce("_rows", F.lit(0))
+    return rows.withColumn("_i", island).groupBy(*keys, "_i").agg(F.min(pos).alias("start"), F.max(pos).alias("stop"), F.max(n).alias("top")).drop("_i")
 
 
 def coverage_of(intervals: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
-    """(keys, start, stop, n): stretches of equal depth above zero, by sums over interval ends; positions are never exploded."""
+    """(keys, start, stop, n): stretches of equal depth above zero, by sums over interval ends dealt by ranges;
+    positions are never exploded."""
     ends = intervals.select(*keys, F.col(start).alias("at"), F.lit(1).alias("d")).union(intervals.select(*keys, (F.col(stop) + 1).alias("at"), F.lit(-1).alias("d")))
-    steps = ends.groupBy(*keys, "at").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*keys).orderBy("at")
-    depth = F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return steps.select(*keys, F.col("at").alias("start"), (F.lead("at").over(w) - 1).alias("stop"), depth.alias("n")).where("n > 0")
+    steps = following(placed(ends.groupBy(*keys, "at").agg(F.sum("d").alias("d")), keys, ["at"]), keys, "at", "next")
+    steps = carried(steps, keys, _depth=(F.sum("d"), F.sum))
+    depth = F.sum("d").over(inside(keys, ["at"]).rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_depth", F.lit(0))
+    return steps.select(*keys, F.col("at").alias("start"), (F.col("next") - 1).alias("stop"), depth.alias("n")).where("n > 0")
 
 
-def split_disjoint(intervals: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
-    """U4: disjoint pieces of overlapping intervals with the number of intervals over each and the next adjacent piece."""
+def split_disjoint(intervals: DataFrame, keys: list[str], start: str, stop: str, members: list[str] | None = None) -> DataFrame:
+    """U4: disjoint pieces of overlapping intervals: (keys, start, stop, n, piece, next_piece): the number of intervals
+    over each, a number of its own within the key, and that of the piece that begins where it ends. With `members`
+    (columns of the intervals) a row for each piece and interval over it instead, which hands the intervals' links on."""
     cuts = intervals.select(*keys, F.col(start).alias("at")).union(intervals.select(*keys, (F.col(stop) + 1).alias("at"))).distinct()
-    w = Window.partitionBy(*keys).orderBy("at")
-    pieces = cuts.select(*keys, F.col("at").alias("start"), (F.lead("at").over(w) - 1).alias("stop")).where("stop is not null")
-    deep = coverage_of(intervals, keys, start, stop)
-    deep = deep.select(*keys, F.col("start").alias("_a"), F.col("stop").alias("_z"), "n")
+    pieces = following(placed(cuts, keys, ["at"]), keys, "at", "next").where("next is not null")
+    pieces = pieces.select(*keys, F.col("at").alias("start"), (F.col("next") - 1).alias("stop"))
+    over = intervals.select(*keys, F.col(start).alias("_a"), F.col(stop).alias("_z"), *[F.col(m).alias(f"_m_{m}") for m in members or []])
+    if members:
+        return overlap_join(pieces, over, keys, ("start", "stop"), ("_a", "_z")).select(*keys, "start", "stop", *[F.col(f"_m_{m}").alias(m) for m in members])
+    deep = coverage_of(intervals, keys, start, stop).select(*keys, F.col("start").alias("_a"), F.col("stop").alias("_z"), "n")
     found = overlap_join(pieces, deep, keys, ("start", "stop"), ("_a", "_z")).select(*keys, "start", "stop", "n")
-    return found.withColumn("next_start", F.when(F.lead("start").over(Window.partitionBy(*keys).orderBy("start")) == F.col("stop") + 1, F.col("stop") + 1))
+    rows = carried(following(placed(found, keys, ["start"]), keys, "start", "_next"), keys, _rows=(F.count("*"), F.sum))
+    piece = F.row_number().over(inside(keys, ["start"])) + F.coalesce("_rows", F.lit(0))
+    return rows.withColumn("piece", piece.cast("long")).select(*keys, "start", "stop", "n", "piece", F.when(F.col("_next") == F.col("stop") + 1, F.col("piece") + 1).alias("next_piece"))
 
 
 def bin_spine(df: DataFrame, keys: list[str], bin_col: str) -> DataFrame:
@@ -173,3 +240,11 @@ def histogram(df: DataFrame, value: str | Column, width: float, keys: list[str]
     cum = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("n").over(Window.partitionBy(*(keys or [F.lit(0)])))
     return full.withColumn("cum", cum).withColumn("share", F.col("cum") / total)
+
+
+def attribute_histogram(df: DataFrame, value: str, width: float, decoy: str = "is_decoy") -> DataFrame:
+    """(bin, true_hits, false_hits, true_above, false_above) of an attribute: true hits less decoys and decoys in
+    each bin with rows, and in it or any higher one. The running sums are over bins dealt by ranges."""
+    n = df.groupBy(F.floor(F.col(value) / width).alias("bin")).agg(F.count_if(~F.col(decoy)).alias("t"), F.count_if(F.col(decoy)).alias("f"))
+    up = running_above(n, "bin", ["t", "f"])
+    return up.select("bin", (F.col("t") - F.col("f")).alias("true_hits"), F.col("f").alias("false_hits"), (F.col("t_above") + F.col("t") - F.col("f_above") - F.col("f")).alias("true_above"), (F.col("f_above") + F.col("f")).alias("false_above"))

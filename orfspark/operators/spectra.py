@@ -71,30 +71,69 @@ def similarity(peaks: DataFrame, pairs: DataFrame, method: str = "dot", width: f
     return full.select("a", "b", score.alias("score"))
 
 
+def correlation(peaks: DataFrame, pairs: DataFrame, width: float = 1.0) -> DataFrame:
+    """(a, b, score): correlation of two spectra's binned intensities over all bins between the ends of both, from
+    sums; empty bins count as zero. Null where one of them has no spread."""
+    v = peaks.groupBy("spectrum", F.round(F.col("mz") / width).cast("long").alias("bin")).agg(F.sum("intensity").alias("v"))
+    own = v.groupBy("spectrum").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.min("bin").alias("lo"), F.max("bin").alias("hi"))
+    side = lambda c: own.select(F.col("spectrum").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("s", "q", "lo", "hi")])
+    x = pairs.join(v.select(F.col("spectrum").alias("a"), "bin", F.col("v").alias("va")), "a").join(v.select(F.col("spectrum").alias("b"), "bin", F.col("v").alias("vb")), ["b", "bin"])
+    dot = x.groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("dot"))
+    full = pairs.join(dot, ["a", "b"], "left").join(side("a"), "a").join(side("b"), "b")
+    n = F.greatest("a_hi", "b_hi") - F.least("a_lo", "b_lo") + 1
+    cov = F.coalesce("dot", F.lit(0.0)) - F.col("a_s") * F.col("b_s") / n
+    spread = (F.col("a_q") - F.col("a_s") * F.col("a_s") / n) * (F.col("b_q") - F.col("b_s") * F.col("b_s") / n)
+    return full.select("a", "b", F.when(spread > 0, cov / F.sqrt(spread)).alias("score"))
+
+
+def shifted_peaks(peaks: DataFrame, mods: DataFrame, tol: float = 0.5) -> DataFrame:
+    """Peaks as if a spectrum's peptide were unmodified: those at b, y or a ions (or their losses) that carry the
+    modification move down by its mass, so a modified and a bare spectrum can be compared.
+
+    mods: (spectrum, aminos, mod_pos from 0, mod_mass); spectra without one stay as they are.
+    """
+    ions = mods.select("spectrum", "mod_mass", "mod_pos", F.length("aminos").alias("len"), F.explode(X.fragment_ions(F.col("aminos"), F.array(F.struct(F.col("mod_pos").alias("pos"), F.col("mod_mass").alias("mass"))))).alias("i"))
+    prefix = F.col("i.series").startswith("b") | F.col("i.series").startswith("a")
+    carries = F.when(prefix, F.col("i.n") > F.col("mod_pos")).otherwise(F.col("len") - F.col("i.n") <= F.col("mod_pos"))
+    moved = ions.where(carries).select("spectrum", F.col("i.mz").alias("ion"), "mod_mass")
+    near = ranges.tolerance_join(peaks.select("spectrum", "mz"), moved, ["spectrum"], "mz", "ion", tol).groupBy("spectrum", "mz").agg(F.max("mod_mass").alias("shift"))
+    return peaks.join(near, ["spectrum", "mz"], "left").withColumn("mz", F.col("mz") - F.coalesce("shift", F.lit(0.0))).drop("shift")
+
+
 def consensus_bins(peaks: DataFrame, width: float = 0.1) -> DataFrame:
-    """A27, mergeable part: (key, bin, intensity, spectra) of intensities scaled to each spectrum's sum."""
+    """A27, mergeable part: (key, bin, intensity, spectra, near) of intensities scaled to each spectrum's sum; near: the
+    peaks of the bin and of two bins on either side, all summed over the key's spectra."""
     total = Window.partitionBy("key", "spectrum")
-    scaled = peaks.withColumn("_s", F.col("intensity") / F.sum("intensity").over(total))
-    return scaled.groupBy("key", F.round(F.col("mz") / width).cast("long").alias("bin")).agg(F.sum("_s").alias("intensity"), F.count_distinct("spectrum").alias("spectra"))
+    scaled = peaks.withColumn("_s", F.col("intensity") / F.sum("intensity").over(total)).withColumn("bin", F.round(F.col("mz") / width).cast("long"))
+    own = scaled.groupBy("key", "bin").agg(F.sum("_s").alias("intensity"), F.count_distinct("spectrum").alias("spectra"), F.count("*").alias("_peaks"))
+    spread = own.select("key", F.explode(F.array(*[F.col("bin") + k for k in range(-2, 3)])).alias("bin"), "_peaks").groupBy("key", "bin").agg(F.sum("_peaks").alias("near"))
+    return own.join(spread, ["key", "bin"]).select("key", "bin", "intensity", "spectra", "near")
 
 
-def consensus(bins: DataFrame, reach: int = 3, width: float = 0.1) -> DataFrame:
-    """Greedy step per key: the strongest bin absorbs its neighbours within `reach`, and so on; a key is one peptide."""
+def consensus(bins: DataFrame, reach: int = 3, width: float = 0.1, sizes: DataFrame | None = None) -> DataFrame:
+    """Greedy step per key: the strongest bin absorbs its neighbours within `reach`, and so on; a key is one peptide,
+    whose bins are as many as its mass range has. With sizes (key, size: spectra of the key) the peaks of keys of more
+    than four spectra are scaled by the share of spectra with a peak near by."""
+
     def absorb(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = {int(b): (v, n) for b, v, n in zip(pdf["bin"], pdf["intensity"], pdf["spectra"], strict=True)}
+        left = {int(b): (v, n, k) for b, v, n, k in zip(pdf["bin"], pdf["intensity"], pdf["spectra"], pdf["near"], strict=True)}
         rows = []
         for b in sorted(left, key=lambda b: (-left[b][0], b)):
             if b not in left:
                 continue
             own = [x for x in range(b - reach, b + reach + 1) if x in left]
-            v, n = sum(left[x][0] for x in own), max(left[x][1] for x in own)
+            v, n, near = sum(left[x][0] for x in own), max(left[x][1] for x in own), left[b][2]
             for x in own:
                 del left[x]
-            rows.append((pdf["key"].iloc[0], b * width, float(v), int(n)))
-        return pd.DataFrame(rows, columns=["key", "mz", "intensity", "spectra"])
+            rows.append((pdf["key"].iloc[0], b * width, float(v), int(n), int(near)))
+        return pd.DataFrame(rows, columns=["key", "mz", "intensity", "spectra", "near"])
 
     kind = dict(bins.dtypes)["key"]
-    return bins.groupBy("key").applyInPandas(absorb, f"key {kind}, mz double, intensity double, spectra long")
+    out = bins.groupBy("key").applyInPandas(absorb, f"key {kind}, mz double, intensity double, spectra long, near long")
+    if sizes is not None:
+        presence = F.when(F.col("size") > 4, F.least(F.col("near") / F.col("size"), F.lit(1.0))).otherwise(1.0)
+        out = out.join(sizes, "key").withColumn("intensity", F.col("intensity") * presence).drop("size")
+    return out.drop("near")
 
 
 def crosslink_candidates(peptides: DataFrame, spectra: DataFrame, linker: float, top: int = 5) -> DataFrame:
@@ -108,7 +147,9 @@ def crosslink_candidates(peptides: DataFrame, spectra: DataFrame, linker: float,
     want = want.withColumn("t", F.floor("target"))
     bins = peptides.select("id", "mass", "abundance", F.floor("mass").alias("bin"))
     firsts = bins.select(F.col("bin").alias("i")).distinct()
-    combos = want.select("t").distinct().join(F.broadcast(firsts))  # daltons of the mass range
+    # a target's first peptide weighs less than the target: daltons of the mass range, as a range of bins and not a product
+    lightest = firsts.agg(F.min("i").alias("least"))
+    combos = want.select("t").distinct().join(F.broadcast(lightest)).where("t >= least").select("t", F.explode(F.sequence("least", "t")).alias("i")).join(firsts, "i", "left_semi")  # one row
     combos = combos.select("t", "i", F.explode(F.sequence(F.col("t") - F.col("i") - 2, F.col("t") - F.col("i") + 1)).alias("j")).join(bins.select(F.col("bin").alias("j")).distinct(), "j", "left_semi")
     first = bins.select(F.col("id").alias("a"), F.col("mass").alias("am"), F.col("abundance").alias("aa"), F.col("bin").alias("i"))
     second = bins.select(F.col("id").alias("b"), F.col("mass").alias("bm"), F.col("abundance").alias("ba"), F.col("bin").alias("j"))
@@ -133,6 +174,21 @@ def search_spectra(precursors: DataFrame, peaks: DataFrame, peptides: DataFrame,
     return shared.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def open_search(precursors: DataFrame, peaks: DataFrame, peptides: DataFrame, widest: float = 200.0, peak_tol: float = 0.5, k: int = 3) -> DataFrame:
+    """J21 with an open window: candidates whose mass differs by up to `widest`, the difference being one modification
+    at any residue: (spectrum, aminos, delta_mass, shared, place). Peaks shared with the bare ions or with the same ions
+    moved by the difference count; an ion counts once."""
+    masses = peptides.select("aminos").distinct().withColumn("p_mass", X.parent_mass_of(F.col("aminos")))
+    keyed = lambda df: df.withColumn("_one", F.lit(1))
+    pairs = ranges.tolerance_join(keyed(precursors), keyed(masses), ["_one"], "mass", "p_mass", widest).select("spectrum", "aminos", (F.col("mass") - F.col("p_mass")).alias("delta_mass"))
+    ions = masses.select("aminos", F.explode(F.filter(X.fragment_ions(F.col("aminos")), lambda i: i["series"].isin("b", "y"))).alias("i")).select("aminos", F.col("i.series").alias("series"), F.col("i.n").alias("n"), F.col("i.mz").alias("ion"))
+    asked = pairs.join(ions, "aminos").select("spectrum", "aminos", "delta_mass", "series", "n", F.explode(F.array(F.col("ion"), F.col("ion") + F.col("delta_mass"))).alias("ion"))
+    met = ranges.tolerance_join(asked, peaks.select("spectrum", "mz"), ["spectrum"], "ion", "mz", peak_tol)
+    shared = met.select("spectrum", "aminos", "delta_mass", "series", "n").distinct().groupBy("spectrum", "aminos", "delta_mass").agg(F.count("*").alias("shared"))
+    w = Window.partitionBy("spectrum").orderBy(F.desc("shared"), F.abs("delta_mass"), "aminos")
+    return shared.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def localize(psm: DataFrame, peaks: DataFrame, tol: float = 0.3) -> DataFrame:
     """P10: per (spectrum, aminos, n_sites 1 or 2) the best and second placement of phosphates and their score."""
     sites = F.when(F.col("n_sites") == 1, X.alternate_sites(F.col("aminos"), 1)).otherwise(X.alternate_sites(F.col("aminos"), 2))
@@ -150,3 +206,29 @@ def offset_histogram(peaks: DataFrame, anchors: DataFrame, reach: float = 50, wi
     """M9: (bin, n) of peak offsets from series anchors (spectrum, anchor) within reach."""
     met = ranges.tolerance_join(anchors, peaks.select("spectrum", "mz"), ["spectrum"], "anchor", "mz", reach)
     return met.groupBy(F.round((F.col("mz") - F.col("anchor")) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def pick_offsets(peaks: DataFrame, anchors: DataFrame, picks: int = 3, reach: float = 50, width: float = 1.0) -> DataFrame:
+    """M9: the offsets that explain most, one after another: (place, bin, n, intensity).
+
+    Each peak counts at its offsets to the nearest anchors below and above. The bin with the largest share of the
+    unexplained peaks plus share of their intensity (a spectrum's intensities sum to one) is picked; peaks at an offset
+    within two bins of it are explained and leave. A pick is one job whose result is one row.
+    """
+    total = peaks.groupBy("spectrum").agg(F.sum("intensity").alias("_t"))
+    near = ranges.tolerance_join(anchors, peaks.select("spectrum", "mz", "intensity"), ["spectrum"], "anchor", "mz", reach)
+    offset = F.col("mz") - F.col("anchor")
+    below, above = F.min(F.when(offset > 0, offset)), F.max(F.when(offset < 0, offset))
+    best = near.groupBy("spectrum", "mz", "intensity").agg(below.alias("lo"), above.alias("hi")).join(total, "spectrum")
+    bins = F.array_distinct(F.filter(F.array(F.round(F.col("lo") / width).cast("long"), F.round(F.col("hi") / width).cast("long")), lambda b: b.isNotNull()))
+    left = ranges.stored(best.select("spectrum", "mz", (F.col("intensity") / F.greatest("_t", F.lit(1e-4))).alias("v"), bins.alias("bins")).where("size(bins) > 0"))
+    picked = None
+    for place in range(1, picks + 1):
+        all_ = left.agg(F.count("*").alias("_n"), F.sum("v").alias("_v"))
+        spread = left.select("v", F.explode(F.array_distinct(F.flatten(F.transform("bins", lambda b: F.sequence(b - 2, b + 2))))).alias("bin"))
+        score = F.col("n") / F.greatest("_n", F.lit(1)) + F.col("intensity") / F.greatest("_v", F.lit(1e-4))
+        top = spread.groupBy("bin").agg(F.count("*").alias("n"), F.sum("v").alias("intensity")).join(F.broadcast(all_)).orderBy(F.desc(F.round(score, 9)), "bin").limit(1)  # one row
+        top = ranges.stored(top.select(F.lit(place).alias("place"), "bin", "n", "intensity"))
+        picked = top if picked is None else picked.unionByName(top)
+        left = ranges.stored(left.join(F.broadcast(top.select("bin"))).where(~F.exists("bins", lambda b: F.abs(b - F.col("bin")) <= 2)).drop("bin"))
+    return picked

@@ -57,6 +57,31 @@ def multi_partner_ends(junctions: DataFrame) -> DataFrame:
     return d.unionByName(a).where("partners >= 2").select("kind", "chrom", "at", "partners")
 
 
+def alt_ends_by_category(hits: DataFrame, delta: float = -0.1, score: float = -1.0, anchor: int = 7) -> DataFrame:
+    """(kind, category, ends, observed): donors and acceptors with two partners or more among confident junction
+    hits, by the least category seen there, and the hits over them.
+
+    hits: chrom, donor, acceptor, category, delta, score, left_nt, right_nt. Categories 8 and 9, weak scores and short
+    anchor segments do not count.
+    """
+    good = hits.where(~F.col("category").isin(8, 9) & (F.col("delta") >= delta) & (F.col("score") >= score) & (F.least("left_nt", "right_nt") > anchor))
+    side = lambda kind, at, other: good.groupBy("chrom", F.col(at).alias("at")).agg(F.count_distinct(other).alias("partners"), F.min("category").alias("category"), F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+    ends = side("donor", "donor", "acceptor").unionByName(side("acceptor", "acceptor", "donor")).where("partners >= 2")
+    return ends.groupBy("kind", "category").agg(F.count("*").alias("ends"), F.sum("n").alias("observed"))
+
+
+def isoforms_per_gene(exons: DataFrame) -> DataFrame:
+    """(isoforms, genes): genes by the number of transcripts with different exon chains."""
+    n = drop_redundant_transcripts(exons).groupBy("gene_id").agg(F.count("*").alias("isoforms"))
+    return n.groupBy("isoforms").agg(F.count("*").alias("genes"))
+
+
+def exons_per_transcript(exons: DataFrame) -> DataFrame:
+    """(exons, transcripts)."""
+    n = exons.groupBy("gene_id", "transcript_id").agg(F.count("*").alias("exons"))
+    return n.groupBy("exons").agg(F.count("*").alias("transcripts"))
+
+
 def drop_redundant_transcripts(exons: DataFrame) -> DataFrame:
     """One transcript per gene and exon chain, the one with the least name."""
     chain = exons.groupBy("gene_id", "transcript_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("-", F.lpad(F.col("start").cast("string"), 12, "0"), "stop"))), ",").alias("chain"))
@@ -95,22 +120,56 @@ def annotation_level_coverage(genes: DataFrame) -> DataFrame:
     return genes.groupBy(level.alias("level")).agg(F.count("*").alias("genes"), F.count_if(F.col("peptides") > 0).alias("with_evidence"), F.sum("peptides").alias("peptides"))
 
 
+def unexplained_genes(hits: DataFrame, known: tuple = (1, 4)) -> DataFrame:
+    """(gene_id, hits): genes with hits (gene_id, category) of which none is in the known proteins."""
+    by = hits.where("gene_id is not null and category > 0").groupBy("gene_id").agg(F.count("*").alias("hits"), F.count_if(F.col("category").isin(*known)).alias("k"))
+    return by.where("k = 0").select("gene_id", "hits")
+
+
+def known_coverage(coverage: DataFrame, proteins: DataFrame) -> DataFrame:
+    """(level, proteins, seen, residues, covered) of known proteins (seq_id, product) with their coverage
+    (seq_id, length, covered)."""
+    level = F.when(F.lower("product").contains("hypothetical"), "hypothetical").when(F.lower("product").contains("putative"), "putative").otherwise("named")
+    both = proteins.join(coverage, "seq_id")
+    return both.groupBy(level.alias("level")).agg(F.count("*").alias("proteins"), F.count_if(F.col("covered") > 0).alias("seen"), F.sum("length").alias("residues"), F.sum("covered").alias("covered"))
+
+
+def nearest_genes(hits: DataFrame, genes: DataFrame) -> DataFrame:
+    """Hits (hit, chrom, start, stop) with the gene that ends last before the start (left) and the one that begins
+    first behind the stop (right), null if there is none. Places of a chromosome are dealt by ranges, which hand on
+    their last gene."""
+
+    def before(points: DataFrame, ends: DataFrame, name: str) -> DataFrame:
+        rows = points.select("chrom", "at", F.lit(0).alias("is_gene"), "hit", F.lit(None).cast(ends.schema["gene_id"].dataType).alias("gene_id"))
+        rows = rows.unionByName(ends.select("chrom", "at", F.lit(1).alias("is_gene"), F.lit(None).cast(points.schema["hit"].dataType).alias("hit"), "gene_id"))
+        last = F.when(F.col("is_gene") == 1, F.struct("at", "gene_id"))
+        dealt = ranges.carried(ranges.placed(rows.withColumn("g", last), ["chrom"], ["at"]), ["chrom"], far=(F.max("g"), F.max))
+        seen = F.greatest(F.max("g").over(ranges.inside(["chrom"], ["at", "is_gene"]).rowsBetween(Window.unboundedPreceding, 0)), F.col("far"))
+        return dealt.select("is_gene", "hit", seen["gene_id"].alias(name)).where("is_gene = 0").select("hit", name)
+
+    left = before(hits.select("hit", "chrom", F.col("start").alias("at")), genes.select("chrom", F.col("stop").alias("at"), "gene_id"), "left_gene")
+    right = before(hits.select("hit", "chrom", (-F.col("stop")).alias("at")), genes.select("chrom", (-F.col("start")).alias("at"), "gene_id"), "right_gene")
+    return left.join(right, "hit")
+
+
 def categorize_hits(hits: DataFrame, exons: DataFrame) -> DataFrame:
-    """P7 for hits of one or two segments: category 0 for weak or short ones; one segment: 1 inside an exon of its
-    strand with the peptide in the gene's protein, 2 inside without, 3 not inside, 8 with more than one mismatch;
-    two segments: 5 both edges known in one gene, 6 one edge, 7 none, 8 mismatches, 4 if the protein has it; more: 9.
+    """Category 0 for weak or short hits; one segment: 1 inside an exon of its strand with the peptide in the
+    gene's protein, 2 inside without, 3 not inside, 8 with more than one mismatch; two or three segments: 5 all edges
+    known and all segments inside exons of one gene, 6 some edge, 7 none, 8 mismatches, 4 if the protein has it; more: 9.
 
     hits: hit, chrom, strand, segments array of (start, stop), p_value, length, mismatches, in_protein.
     """
     base = hits.withColumn("n", F.size("segments"))
-    seg = base.select("hit", "chrom", "strand", F.posexplode("segments").alias("no", "s")).select("hit", "no", "chrom", "strand", F.col("s.start").alias("s_start"), F.col("s.stop").alias("s_stop"))
+    seg = base.select("hit", "n", "chrom", "strand", F.posexplode("segments").alias("no", "s")).select("hit", "n", "no", "chrom", "strand", F.col("s.start").alias("s_start"), F.col("s.stop").alias("s_stop"))
     inside = ranges.contained_in(seg, exons.select("chrom", "strand", "start", "stop", "gene_id"), ["chrom", "strand"], ("s_start", "s_stop"), ("start", "stop"))
-    fit = inside.groupBy("hit", "gene_id").agg(F.count_distinct("no").alias("fits"), F.max((F.col("no") == 0) & (F.col("s_stop") == F.col("stop"))).alias("donor"), F.max((F.col("no") == 1) & (F.col("s_start") == F.col("start"))).alias("acceptor"))
-    best = fit.groupBy("hit").agg(F.max("fits").alias("fits"), F.max(F.col("donor") & F.col("acceptor")).alias("both"), F.max(F.col("donor") | F.col("acceptor")).alias("edge"))
+    donor = F.when((F.col("no") < F.col("n") - 1) & (F.col("s_stop") == F.col("stop")), F.col("no"))
+    acceptor = F.when((F.col("no") > 0) & (F.col("s_start") == F.col("start")), F.col("no"))
+    fit = inside.groupBy("hit", "n", "gene_id").agg(F.count_distinct("no").alias("fits"), (F.count_distinct(donor) + F.count_distinct(acceptor)).alias("edges"))
+    best = fit.groupBy("hit").agg(F.max("fits").alias("fits"), F.max((F.col("fits") == F.col("n")) & (F.col("edges") == 2 * F.col("n") - 2)).alias("both"), F.max(F.col("edges") > 0).alias("edge"))
     j = base.join(best, "hit", "left").na.fill(0, ["fits"]).na.fill(False, ["both", "edge"])
     one = F.when(F.col("fits") > 0, F.when(F.col("in_protein"), 1).otherwise(2)).when(F.col("mismatches") > 1, 8).when(F.col("in_protein"), 1).otherwise(3)
-    two = F.when(F.col("both"), F.when(F.col("in_protein"), 4).otherwise(5)).when(F.col("edge"), F.when(F.col("in_protein"), 4).otherwise(6)).when(F.col("mismatches") > 1, 8).otherwise(7)
-    c = F.when((F.col("p_value") > 0.05) | (F.col("length") < 8), 0).when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(9)
+    more = F.when(F.col("both"), F.when(F.col("in_protein"), 4).otherwise(5)).when(F.col("edge"), F.when(F.col("in_protein"), 4).otherwise(6)).when(F.col("mismatches") > 1, 8).otherwise(7)
+    c = F.when((F.col("p_value") > 0.05) | (F.col("length") < 8), 0).when(F.col("n") == 1, one).when(F.col("n") <= 3, more).otherwise(9)
     return j.select("hit", c.alias("category"))
 
 
@@ -134,3 +193,10 @@ def ortholog_start_check(alignments: DataFrame, observed: DataFrame) -> DataFram
     """Members of an observed cluster whose aligned row holds only gaps up to the observed column."""
     rows = alignments.join(observed.select("cluster", "column"), "cluster")
     return rows.select("cluster", "genome", "column", F.substr(F.col("row"), F.lit(1), F.col("column") - 1).rlike("^-*$").alias("suspect"))
+
+
+def missing_genomes(alignments: DataFrame) -> DataFrame:
+    """(cluster, genome): genomes of the table that have no member in a cluster. The genomes are one array."""
+    every = alignments.agg(F.array_sort(F.collect_set("genome")).alias("every"))  # one row, a name per genome
+    have = alignments.groupBy("cluster").agg(F.collect_set("genome").alias("have"))
+    return have.join(F.broadcast(every)).select("cluster", F.explode(F.array_except("every", "have")).alias("genome"))
