@@ -99,7 +99,7 @@ add("w1_top_hit", lambda s, d: P.top_hit(V.psm(s, d)).select("spectrum_file", "s
 add("w2_delta_scores", lambda s, d: r6(P.delta_scores(V.psm(s, d)), "delta_any").select(*key, "delta_any"),
     f"""WITH {V.PSM}, o AS (SELECT *, row_number() OVER w AS no, first(mq_score) OVER w AS f, lead(mq_score) OVER w AS n, count(*) OVER (PARTITION BY spectrum_file, scan) AS c FROM psm WINDOW w AS (PARTITION BY spectrum_file, scan ORDER BY mq_score DESC, rank))
  SELECT {KEY}, round(CASE WHEN c = 1 THEN greatest(0.0, mq_score) WHEN no = 1 THEN mq_score - n ELSE mq_score - f END, 6) AS delta_any FROM o""")
-add("o3_best_n", lambda s, d: V.psm(s, d).withColumn("n", F.row_number().over(Window.partitionBy("aminos").orderBy(F.desc("mq_score"), *key))).where("n <= 3").select("aminos", *key, "n"),
+add("o3_best_n", lambda s, d: inference.best_n(V.psm(s, d), ["aminos"], [F.desc("mq_score"), *key]).select("aminos", *key, "n"),
     f"WITH {V.PSM} SELECT aminos, {KEY}, row_number() OVER (PARTITION BY aminos ORDER BY mq_score DESC, {KEY}) AS n FROM psm QUALIFY n <= 3")
 add("a34_searched_scans", lambda s, d: P.searched_scans(V.psm(s, d)), f"WITH {V.PSM} SELECT spectrum_file, count(DISTINCT scan) AS scans, max(scan) AS max_scan, count(*) > count(DISTINCT scan) AS has_repeats FROM psm GROUP BY 1")
 add("w12_discovery_curve", lambda s, d: P.discovery_curve(V.psm(s, d), ["spectrum_file"]), f"WITH {V.PSM}, f AS (SELECT aminos, min(spectrum_file) AS spectrum_file FROM psm GROUP BY 1) SELECT spectrum_file, count(*) AS new_peptides, CAST(sum(count(*)) OVER (ORDER BY spectrum_file) AS BIGINT) AS seen FROM f GROUP BY 1")
@@ -132,7 +132,7 @@ def pep_protein(s, d):
 
 add("a8_select_proteins", lambda s, d: inference.select_proteins(pep_protein(s, d)).groupBy("protein", "round").agg(F.count("*").alias("peptides")))
 add("a9_indistinguishable", lambda s, d: inference.indistinguishable(V.psm(s, d).select((F.col("aminos") % 7).alias("aminos"), F.col("scan").alias("protein"))),
-    f"WITH {V.PSM}, q AS (SELECT scan AS protein, list_sort(list(DISTINCT aminos % 7)) AS s FROM psm GROUP BY 1) SELECT string_agg(CAST(protein AS VARCHAR), ',' ORDER BY CAST(protein AS VARCHAR)) AS proteins, count(*) AS n_proteins, CAST(len(s) AS BIGINT) AS n_peptides FROM q WHERE len(s) >= 2 GROUP BY s HAVING count(*) > 1")
+    f"WITH {V.PSM}, q AS (SELECT scan AS protein, list_sort(list(DISTINCT aminos % 7)) AS s FROM psm GROUP BY 1), g AS (SELECT *, min(protein) OVER (PARTITION BY s) AS set_of, count(*) OVER (PARTITION BY s) AS n_proteins FROM q WHERE len(s) >= 2) SELECT protein, set_of, n_proteins, CAST(len(s) AS BIGINT) AS n_peptides FROM g WHERE n_proteins > 1")
 add("a10_protein_report", lambda s, d: inference.protein_report(pep_protein(s, d)), f"WITH {V.PSM}, {PP}, n AS (SELECT aminos, count(DISTINCT protein) AS n FROM pp GROUP BY 1) SELECT protein, count(*) FILTER (n = 1) AS unique_peptides, count(*) FILTER (n > 1) AS shared_peptides, CAST(sum(spectra) AS BIGINT) AS spectra FROM pp JOIN n USING (aminos) GROUP BY 1")
 add("a12_unique_shared_hist", lambda s, d: inference.unique_shared_hist(inference.protein_report(pep_protein(s, d))),
     f"""WITH {V.PSM}, {PP}, n AS (SELECT aminos, count(DISTINCT protein) AS n FROM pp GROUP BY 1), r AS (SELECT protein, count(*) FILTER (n = 1) AS u, count(*) FILTER (n > 1) AS h FROM pp JOIN n USING (aminos) GROUP BY 1)
@@ -179,9 +179,9 @@ add("a16_mod_type_counts", lambda s, d: ptm.mod_type_counts(V.psm(s, d).select((
     f"WITH {V.PSM} SELECT aminos % 20 AS residue, CAST(floor(length) AS BIGINT) AS mass, count(*) AS spectra, count(DISTINCT aminos) AS sites FROM psm GROUP BY 1, 2")
 add("a17_ptm_sites", lambda s, d: r6(ptm.ptm_sites(V.psm(s, d).select(F.col("aminos").alias("db_pos"), (F.col("charge") % 2).alias("mass"), (F.col("p_value") + 0.5).alias("p"), F.lit(1).alias("spectra"))), "p"),
     f"WITH {V.PSM} SELECT aminos AS db_pos, charge % 2 AS mass, count(*) AS species, count(*) AS spectra, round(exp(sum(ln(p_value + 0.5))), 6) AS p FROM psm GROUP BY 1, 2")
-add("a18_ptm_features", lambda s, d: r6(ptm.ptm_features(V.psm(s, d).withColumn("annotation", F.concat_ws("+", "aminos", "sample"))), "best_score", "modded_fraction", "log_spectra").drop("best_delta"),
-    f"""WITH {V.PSM}, o AS (SELECT aminos || '+' || sample AS annotation, charge, aminos, max(mq_score) AS b, count(*) AS spectra, bool_or(is_modified) AS is_modified FROM psm GROUP BY ALL)
- SELECT annotation, charge, aminos, round(b, 6) AS best_score, spectra, is_modified, round(sum(CASE WHEN is_modified THEN spectra ELSE 0 END) OVER (PARTITION BY aminos) / sum(spectra) OVER (PARTITION BY aminos), 6) AS modded_fraction, round(ln(spectra), 6) AS log_spectra FROM o""")
+add("a18_ptm_features", lambda s, d: r6(ptm.ptm_features(V.psm(s, d).withColumn("annotation", F.concat_ws("+", "aminos", "sample"))), "best_score", "best_delta", "modded_fraction", "log_spectra"),
+    f"""WITH {V.PSM}, o AS (SELECT aminos || '+' || sample AS annotation, charge, aminos, max(mq_score) AS b, max((mq_score, delta)) AS top, count(*) AS spectra, bool_or(is_modified) AS is_modified FROM psm GROUP BY ALL)
+ SELECT annotation, charge, aminos, round(b, 6) AS best_score, round(top[2], 6) AS best_delta, spectra, is_modified, round(sum(CASE WHEN is_modified THEN spectra ELSE 0 END) OVER (PARTITION BY aminos) / sum(spectra) OVER (PARTITION BY aminos), 6) AS modded_fraction, round(ln(spectra), 6) AS log_spectra FROM o""")
 SITE = "(SELECT aminos % 100 AS site, sum(CAST(is_decoy AS INT)) AS m, count(*) AS n FROM psm WHERE sample = '{}' GROUP BY 1)"
 
 
@@ -233,11 +233,11 @@ add("j3_overlaps", lambda s, d: genome.overlaps(orfs(s, d)).select("chrom", "a",
 add("p2_conflicts", lambda s, d: genome.conflicts(orfs(s, d)),
     f"WITH {V.FEATURES}, {ORFS}, {PAIRS} SELECT chrom, a, b, bp, CASE WHEN bp < 10 THEN 1 WHEN bp < 40 THEN 2 WHEN a_n = 0 OR b_n = 0 THEN CASE WHEN (CASE WHEN a_n > 0 THEN bn ELSE an END) THEN 4 ELSE 3 END WHEN s1 <= hi AND e1 >= lo AND s2 <= hi AND e2 >= lo THEN 6 ELSE 5 END AS level FROM pr")
 add("p2_free_pairs", lambda s, d: genome.free_pairs(orfs(s, d), genome.overlaps(orfs(s, d))), f"WITH {V.FEATURES}, {ORFS}, {PAIRS}, n AS (SELECT chrom, count(*) AS n, count(*) FILTER (spectra = 0) AS u FROM orfs GROUP BY 1), h AS (SELECT chrom, count(*) AS h FROM pr GROUP BY 1) SELECT chrom, CAST(n * (n - 1) // 2 - u * (u - 1) // 2 - coalesce(h, 0) AS BIGINT) AS pairs FROM n LEFT JOIN h USING (chrom)")
-GENES = "genes AS (SELECT strand, orf_name AS gene, start - 50 AS g_start, stop + 50 AS g_stop FROM features WHERE event_id % 4 = 0)"
+GENES = "genes AS (SELECT strand, orf_name AS gene, start - 50 AS g_start, stop + 50 AS g_stop FROM features)"
 
 
 def genes(s, d):
-    return V.features(s, d).where("event_id % 4 = 0").select("strand", F.col("orf_name").alias("gene"), (F.col("start") - 50).alias("g_start"), (F.col("stop") + 50).alias("g_stop"))
+    return V.features(s, d).select("strand", F.col("orf_name").alias("gene"), (F.col("start") - 50).alias("g_start"), (F.col("stop") + 50).alias("g_stop"))
 
 
 add("j10_contained_in", lambda s, d: ranges.contained_in(V.features(s, d).select("strand", "event_id", "start", "stop"), genes(s, d), ["strand"], ("start", "stop"), ("g_start", "g_stop"), 10).select("event_id", "gene", "g_start"),
@@ -290,16 +290,19 @@ add("g1_six_frame", lambda s, d: genome.six_frame(V.contigs(s, d), 20).select("c
  SELECT chrom, strand, frame, CAST(CASE WHEN strand = '+' THEN frame + 3 * k0 ELSE n - (frame + 3 * k0) + 1 END AS BIGINT) AS start_nuc, length(seq) AS length, md5(seq) AS digest FROM o WHERE length(seq) >= 20""")
 
 
+def letters_of(s, d, name, key_):
+    return V.table(s, d, name).select(F.col(key_).alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
+
+
 def probes(s, d):
-    """Peptides: stretches of the benchmark's letters."""
-    b = V.table(s, d, "benchmark").select(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("t"))
-    return b.select(F.explode(F.array(*[F.substr("t", F.lit(k), F.lit(n)) for k, n in ((1, 8), (9, 12), (30, 20), (5, 4))])).alias("aminos")).where("aminos <> ''")
+    """Peptides: the tryptic pieces of the benchmark's whole texts."""
+    return genome.digest(letters_of(s, d, "benchmark", "item_id"), 0, 6, 40).select("aminos").distinct()
 
 
-PROBES = "pb AS (SELECT DISTINCT a AS aminos FROM (SELECT unnest([substring(t, 1, 8), substring(t, 9, 12), substring(t, 30, 20), substring(t, 5, 4)]) AS a FROM (SELECT upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS t FROM benchmark)) WHERE a <> '')"
+PROBES = "pb AS (SELECT DISTINCT a AS aminos FROM (SELECT unnest(string_split(regexp_replace(regexp_replace(t, '([KR])([^P])', '\\1|\\2', 'g'), '([KR])([^P|])', '\\1|\\2', 'g'), '|')) AS a FROM (SELECT upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS t FROM benchmark)) WHERE length(a) BETWEEN 6 AND 40)"
 add("j1_map_peptides", lambda s, d: ranges.map_peptides(probes(s, d), V.sequences(s, d)).select("aminos", "seq_id", "pos", "n_places", "is_unique"),
-    f"{SEQ}, {PROBES}, m AS (SELECT aminos, seq_id, unnest(list_filter(range(1, length(seq) - length(aminos) + 2), lambda i: substring(seq, i, length(aminos)) = aminos)) AS pos FROM pb JOIN sequences ON contains(seq, aminos)) SELECT aminos, seq_id, pos, count(*) OVER (PARTITION BY aminos) AS n_places, count(*) OVER (PARTITION BY aminos) = 1 AS is_unique FROM m")
-add("j4_novel_peptides", lambda s, d: genome.novel_peptides(probes(s, d).distinct(), V.sequences(s, d)), f"{SEQ}, {PROBES} SELECT aminos FROM pb WHERE NOT EXISTS (SELECT 1 FROM sequences WHERE contains(seq, aminos))")
+    f"{SEQ}, {PROBES}, k AS (SELECT seq_id, seq, unnest(range(1, length(seq) - 4)) AS pos FROM sequences), m AS (SELECT aminos, seq_id, CAST(pos AS INT) AS pos FROM k JOIN pb ON seq[pos:pos + 5] = aminos[1:6] WHERE seq[pos:pos + length(aminos) - 1] = aminos) SELECT aminos, seq_id, pos, count(*) OVER (PARTITION BY aminos) AS n_places, count(*) OVER (PARTITION BY aminos) = 1 AS is_unique FROM m")
+add("j4_novel_peptides", lambda s, d: genome.novel_peptides(probes(s, d), V.sequences(s, d)), f"{SEQ}, {PROBES} SELECT aminos FROM pb WHERE NOT EXISTS (SELECT 1 FROM sequences WHERE contains(seq, aminos))")
 add("g4_digest", lambda s, d: genome.digest(V.sequences(s, d), 0, 6, 40).groupBy("seq_id").agg(F.count("*").alias("peptides"), F.sum(F.length("aminos")).alias("residues")),
     f"{SEQ}, p AS (SELECT seq_id, unnest(string_split(regexp_replace(seq, '([KR])([^P])', '\\1|\\2', 'g'), '|')) AS a FROM (SELECT seq_id, regexp_replace(seq, '([KR])([^P])', '\\1|\\2', 'g') AS seq FROM sequences)) SELECT seq_id, count(*) AS peptides, CAST(sum(length(a)) AS BIGINT) AS residues FROM p WHERE length(a) BETWEEN 6 AND 40 GROUP BY 1")
 
@@ -322,8 +325,8 @@ add("p11_similarity", lambda s, d: r6(spectra.similarity(V.peaks(s, d), neighbou
     f"{PK}, {SIM}, v AS (SELECT spectrum, CAST(floor(mz / 4) AS BIGINT) AS bin, sum(intensity) AS v FROM peaks GROUP BY 1, 2), n AS (SELECT spectrum, sqrt(sum(v * v)) AS n FROM v GROUP BY 1) SELECT a, b, round(sum(x.v * y.v) / any_value(p.n * q.n), 6) AS score FROM s JOIN v x ON x.spectrum = a JOIN v y ON y.spectrum = b AND y.bin = x.bin JOIN n p ON p.spectrum = a JOIN n q ON q.spectrum = b GROUP BY a, b")
 add("j8_nearest_peak", lambda s, d: r6(ranges.nearest_peak(V.table(s, d, "embeddings").select(F.col("vec_id").alias("spectrum"), F.explode(F.array(F.lit(10.4), F.lit(20.6), F.lit(99.0))).alias("target")), V.peaks(s, d), ["spectrum"], "target", "mz", "intensity", 0.5), "intensity"),
     f"{PK}, t AS (SELECT vec_id AS spectrum, unnest([10.4::DOUBLE, 20.6::DOUBLE, 99.0::DOUBLE]) AS target FROM embeddings) SELECT t.spectrum, target, round(coalesce(arg_min(intensity, abs(mz - target)), 0.0), 6) AS intensity FROM t LEFT JOIN peaks p ON p.spectrum = t.spectrum AND abs(mz - target) <= 0.5 GROUP BY 1, 2")
-add("a27_consensus_bins", lambda s, d: r6(spectra.consensus_bins(V.peaks(s, d).withColumn("key", F.col("charge")), 2.0), "intensity"),
-    f"{PK}, x AS (SELECT charge AS key, spectrum, mz, intensity / sum(intensity) OVER (PARTITION BY charge, spectrum) AS v FROM peaks) SELECT key, CAST(round(mz / 2.0) AS BIGINT) AS bin, round(sum(v), 6) AS intensity, count(DISTINCT spectrum) AS spectra FROM x GROUP BY 1, 2")
+add("a27_consensus_bins", lambda s, d: r6(spectra.consensus_bins(V.peaks(s, d).withColumn("key", F.col("charge")), 2.0), "intensity").select("key", "bin", "intensity", "spectra", "near"),
+    f"{PK}, x AS (SELECT charge AS key, spectrum, mz, intensity / sum(intensity) OVER (PARTITION BY charge, spectrum) AS v FROM peaks) SELECT o.key, o.bin, round(v, 6) AS intensity, spectra, CAST(sum(q.n) AS BIGINT) AS near FROM (SELECT key, CAST(round(mz / 2.0) AS BIGINT) AS bin, sum(v) AS v, count(DISTINCT spectrum) AS spectra FROM x GROUP BY 1, 2) o JOIN (SELECT key, CAST(round(mz / 2.0) AS BIGINT) AS bin, count(*) AS n FROM x GROUP BY 1, 2) q ON q.key = o.key AND q.bin BETWEEN o.bin - 2 AND o.bin + 2 GROUP BY 1, 2, 3, 4")
 add("a27_consensus", lambda s, d: spectra.consensus(spectra.consensus_bins(V.peaks(s, d).withColumn("key", F.col("charge")), 1.0), 2, 1.0))
 
 # --- models ------------------------------------------------------------------------------------------------------
@@ -336,8 +339,13 @@ def labelled(s, d):
 
 
 add("a26_roc_auc", lambda s, d: r6(ml.roc_auc(labelled(s, d), "mq_score"), "auc"), f"WITH {V.PSM}, g AS (SELECT mq_score AS s, count(*) FILTER (NOT is_decoy) AS p, count(*) FILTER (is_decoy) AS n FROM psm GROUP BY 1), r AS (SELECT p, n, coalesce(sum(p) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM g) SELECT round(sum(n * (a + p / 2)) / (sum(p) * sum(n)), 6) AS auc FROM r")
-add("a26_sensitivity", lambda s, d: r6(ml.sensitivity_at_fdr(labelled(s, d).withColumn("label", F.when(F.col("p_value") > 0.07, 0).otherwise(1)), "mq_score"), "sensitivity"))
-add("a31_mutual_information", lambda s, d: r6(ml.mutual_information(V.psm(s, d).select("charge", "sample", "is_decoy"), ["charge", "sample", "is_decoy"]), "h_a", "h_b", "mi", "su"))
+add("a26_sensitivity", lambda s, d: r6(ml.sensitivity_at_fdr(labelled(s, d).withColumn("label", F.when(F.col("p_value") > 0.07, 0).otherwise(1)), "mq_score"), "sensitivity"),
+    f"""WITH {V.PSM}, g AS (SELECT mq_score AS s, count(*) FILTER (p_value <= 0.07) AS p, count(*) FILTER (p_value > 0.07) AS n FROM psm GROUP BY 1), r AS (SELECT sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS a FROM g WINDOW w AS (ORDER BY s DESC))
+ SELECT l AS fdr, round(coalesce(max(tp / a) FILTER (fp / (tp + fp) <= l), 0.0), 6) AS sensitivity FROM r, (SELECT unnest([0.01::DOUBLE, 0.03::DOUBLE, 0.05::DOUBLE, 0.07::DOUBLE, 0.10::DOUBLE]) AS l) GROUP BY 1""")
+add("a31_mutual_information", lambda s, d: r6(ml.mutual_information(V.psm(s, d).select("charge", "sample", "is_decoy"), ["charge", "sample", "is_decoy"]), "h_a", "h_b", "mi", "su"),
+    f"""WITH {V.PSM}, v AS (SELECT CAST(charge AS VARCHAR) AS charge, sample, CAST(is_decoy AS VARCHAR) AS is_decoy FROM psm), j AS (SELECT 'charge' AS a, 'sample' AS b, charge AS x, sample AS y FROM v UNION ALL SELECT 'charge', 'is_decoy', charge, is_decoy FROM v UNION ALL SELECT 'sample', 'is_decoy', sample, is_decoy FROM v),
+ c AS (SELECT a, b, x, y, count(*)::DOUBLE AS n FROM j GROUP BY ALL), p AS (SELECT a, b, n / sum(n) OVER (PARTITION BY a, b) AS p, sum(n) OVER (PARTITION BY a, b, x) / sum(n) OVER (PARTITION BY a, b) AS px, sum(n) OVER (PARTITION BY a, b, y) / sum(n) OVER (PARTITION BY a, b) AS py FROM c),
+ r AS (SELECT a, b, -sum(p * ln(px)) AS h_a, -sum(p * ln(py)) AS h_b, sum(p * ln(p / (px * py))) AS mi FROM p GROUP BY 1, 2) SELECT a, b, round(h_a, 6) AS h_a, round(h_b, 6) AS h_b, round(mi, 6) AS mi, round(2 * mi / (h_a + h_b), 6) AS su FROM r""")
 add("m1_scale_features", lambda s, d: r6(ml.scale_features(labelled(s, d).select(*key, *FEATS), FEATS), *FEATS),
     f"WITH {V.PSM}, q AS (SELECT {', '.join(f'quantile_cont({c}, [0.025, 0.5, 0.975]) AS q_{c}' for c in FEATS)} FROM psm) SELECT {KEY}, {', '.join(f'round(({c} - q_{c}[2]) / (q_{c}[3] - q_{c}[1]), 6) AS {c}' for c in FEATS)} FROM psm, q")
 
@@ -354,4 +362,4 @@ add("m5_score_to_p", lambda s, d: r6(ml.score_to_p(labelled(s, d).withColumn("sc
 add("m7_feature_stats", lambda s, d: r6(ml.feature_stats(labelled(s, d), FEATS), "mean", "sd", "low", "high"),
     f"WITH {V.PSM}, l AS (SELECT CAST(NOT is_decoy AS INT) AS label, unnest([{', '.join(f'{chr(39)}{c}{chr(39)}' for c in FEATS)}]) AS feature, unnest([mq_score, delta, length]) AS x FROM psm) SELECT feature, label, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, round(min(x), 6) AS low, round(max(x), 6) AS high FROM l GROUP BY 1, 2")
 
-from . import catalog_more  # noqa: E402,F401  the rest of the registrations
+from . import catalog_more, catalog_rest  # noqa: E402,F401  the rest of the registrations

@@ -9,44 +9,87 @@ from ..functions import expr as X
 from ..operators import genome, inference, ml, psm as P, ptm, ranges, spectra, splice
 from . import adapters as V
 from . import pipelines
-from .catalog import LOCATED, ALONG, SEQ, add, exons, key, labelled, located, r6
+from .catalog import ALONG, CLASS, DELTA, LOCATED, ORFS, PAIRS, PROBES, SEQ, TOP, add, exons, key, labelled, located, orfs, probes, r6, sites_of
+
+BASE_SCORED = f"WITH {V.PSM}, {TOP}, {DELTA}"
 
 # --- column functions --------------------------------------------------------------------------------------------
 
-WORD = "w AS (SELECT conv_id, turn, upper(regexp_extract(text, '[A-Za-z]+')) AS t FROM conversations)"
+WORD = """w AS (SELECT conv_id, turn, unnest(range(len(ws))) AS pos, upper(unnest(ws)) AS t FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM conversations))"""
 
 
 def words(s, d):
-    """The first word of each turn as a peptide."""
-    return V.table(s, d, "conversations").select("conv_id", "turn", F.upper(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("t")).where("t <> ''")
+    """Every word of each turn as a peptide."""
+    found = F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    return V.table(s, d, "conversations").select("conv_id", "turn", found.alias("pos", "t")).withColumn("t", F.upper("t"))
 
 
 def annotated(s, d):
-    return words(s, d).select("conv_id", "turn", "t", F.concat(F.lit("K."), "t", F.lit("+16"), F.lit(".R")).alias("a"))
-
-
-add("x1_parse_annotation", lambda s, d: annotated(s, d).withColumn("p", X.parse_annotation(F.col("a"))).select("conv_id", "turn", "p.prefix", "p.aminos", "p.suffix", F.size("p.mods").cast("long").alias("mods"), F.col("p.mods")[0]["pos"].cast("long").alias("pos")),
-    f"WITH {WORD} SELECT conv_id, turn, 'K' AS prefix, t AS aminos, 'R' AS suffix, 1::BIGINT AS mods, CAST(length(t) - 1 AS BIGINT) AS pos FROM w WHERE t <> ''")
-add("x2_format_annotation", lambda s, d: annotated(s, d).select("conv_id", "turn", X.format_annotation(X.parse_annotation(F.col("a"))).alias("a")), f"WITH {WORD} SELECT conv_id, turn, 'K.' || t || '+16.R' AS a FROM w WHERE t <> ''")
-add("x3_ntt", lambda s, d: annotated(s, d).select("conv_id", "turn", X.ntt(X.parse_annotation(F.col("a"))).alias("n")), f"WITH {WORD} SELECT conv_id, turn, CASE WHEN t[1] <> 'P' THEN 1 ELSE 0 END + CASE WHEN t[-1] IN ('K', 'R') THEN 1 ELSE 0 END AS n FROM w WHERE t <> ''")
-add("f5_low_complexity", lambda s, d: words(s, d).select("conv_id", "turn", X.low_complexity(F.col("t")).alias("low")), f"WITH {WORD} SELECT conv_id, turn, length(t) < 10 AND length(translate(t, 'GA', '')) < length(t) // 3 AS low FROM w WHERE t <> ''")
-add("x7_add_fixed_mod", lambda s, d: words(s, d).select("conv_id", "turn", X.add_fixed_mod(F.concat(F.lit("K."), "t", F.lit(".R")), "T", 57).alias("a")))
-add("x11_hydrophobic_patch", lambda s, d: V.sequences(s, d).select("seq_id", X.hydrophobic_patch(X.hydropathy_plot(F.substr(F.col("seq"), F.lit(1), F.lit(60))), 0.0, 4).alias("at")))
-add("x14_isoelectric_point", lambda s, d: V.sequences(s, d).select("seq_id", F.round(X.isoelectric_point(F.col("seq")), 5).alias("pi")))
-SIGNALS = "sg AS (SELECT chrom, seq[1:13] AS g FROM contigs WHERE length(seq) >= 13)"
-TERMS = " + ".join(f"CASE seq[{i + 1}] WHEN 'A' THEN ln({a}) WHEN 'C' THEN ln({c}) WHEN 'G' THEN ln({g}) ELSE ln({t}) END" for i, (a, c, g, t) in enumerate(X.SPLICE))
-add("x15_splice_score", lambda s, d: V.contigs(s, d).where(F.length("seq") >= 13).select("chrom", F.round(X.splice_score(F.substr(F.col("seq"), F.lit(1), F.lit(13))), 5).alias("score")), f"WITH {V.CONTIGS} SELECT chrom, round({TERMS}, 5) AS score FROM contigs WHERE length(seq) >= 13")
-add("x16_fragment_ions", lambda s, d: words(s, d).where("length(t) > 1").select("conv_id", "turn", "t", F.explode(X.fragment_ions(F.col("t"))).alias("i")).groupBy("conv_id", "turn").agg(F.count("*").alias("ions"), F.round(F.max(F.when(F.col("i.series") == "y", F.col("i.mz"))), 3).alias("largest_y")))
-add("x18_alternate_sites", lambda s, d: words(s, d).select("conv_id", "turn", F.size(X.alternate_sites(F.col("t"), 2)).cast("long").alias("n")), f"WITH {WORD}, c AS (SELECT conv_id, turn, length(t) - length(translate(t, 'STY', '')) AS k FROM w WHERE t <> '') SELECT conv_id, turn, CAST(k * (k - 1) // 2 AS BIGINT) AS n FROM c")
+    return words(s, d).select("conv_id", "turn", "pos", "t", F.concat(F.lit("K."), "t", F.lit("+16"), F.lit(".R")).alias("a"))
+
+
+add("x1_parse_annotation", lambda s, d: annotated(s, d).withColumn("p", X.parse_annotation(F.col("a"))).select("conv_id", "turn", "pos", "p.prefix", "p.aminos", "p.suffix", F.size("p.mods").cast("long").alias("mods"), F.col("p.mods")[0]["pos"].cast("long").alias("mod_pos"), F.col("p.mods")[0]["name"].alias("mod")),
+    f"WITH {WORD} SELECT conv_id, turn, pos, 'K' AS prefix, t AS aminos, 'R' AS suffix, 1::BIGINT AS mods, CAST(length(t) - 1 AS BIGINT) AS mod_pos, '+16' AS mod FROM w")
+add("x2_format_annotation", lambda s, d: annotated(s, d).select("conv_id", "turn", "pos", X.format_annotation(X.parse_annotation(F.col("a"))).alias("a")), f"WITH {WORD} SELECT conv_id, turn, pos, 'K.' || t || '+16.R' AS a FROM w")
+add("x3_ntt", lambda s, d: annotated(s, d).select("conv_id", "turn", "pos", X.ntt(X.parse_annotation(F.col("a"))).alias("n")), f"WITH {WORD} SELECT conv_id, turn, pos, CASE WHEN t[1] <> 'P' THEN 1 ELSE 0 END + CASE WHEN t[-1] IN ('K', 'R') THEN 1 ELSE 0 END AS n FROM w")
+add("f10_fully_tryptic", lambda s, d: annotated(s, d).where(X.fully_tryptic(X.parse_annotation(F.col("a")))).select("conv_id", "turn", "pos", "t"), f"WITH {WORD} SELECT conv_id, turn, pos, t FROM w WHERE t[1] <> 'P' AND t[-1] IN ('K', 'R')")
+add("f5_low_complexity", lambda s, d: words(s, d).select("conv_id", "turn", "pos", X.low_complexity(F.col("t")).alias("low")), f"WITH {WORD} SELECT conv_id, turn, pos, length(t) < 10 AND length(translate(t, 'GA', '')) < length(t) // 3 AS low FROM w")
+add("x7_add_fixed_mod", lambda s, d: words(s, d).select("conv_id", "turn", "pos", X.add_fixed_mod(F.concat(F.lit("K."), "t", F.lit(".R")), "T", 57).alias("a")), f"WITH {WORD} SELECT conv_id, turn, pos, 'K.' || replace(t, 'T', 'T+57') || '.R' AS a FROM w")
+add("x8_drop_mods", lambda s, d: annotated(s, d).select("conv_id", "turn", "pos", X.format_annotation(X.drop_mods(X.parse_annotation(F.concat(F.col("a").substr(F.lit(1), F.length("a") - 2), F.lit("M+42.R"))), ["+16"])).alias("a")), f"WITH {WORD} SELECT conv_id, turn, pos, 'K.' || t || 'M+42.R' AS a FROM w")
+HYDRO10 = "CASE c " + " ".join(f"WHEN '{c}' THEN {round(10 * v)}" for c, v in X.HYDROPATHY.items()) + " ELSE 0 END"
+PATCH = f"""hl AS (SELECT id, i, sum({HYDRO10}) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS h, n FROM (SELECT id, n, unnest(string_split(seq, '')) AS c, unnest(range(n)) AS i FROM (SELECT id, seq, length(seq) AS n FROM src WHERE seq <> ''))),
+ hr AS (SELECT id, i, i - row_number() OVER (PARTITION BY id ORDER BY i) AS g FROM hl WHERE h > 25 AND i <= n - 5), patch AS (SELECT id, min(a) AS found FROM (SELECT id, min(i) AS a FROM hr GROUP BY id, g HAVING count(*) >= 8) GROUP BY id)"""
+add("x11_hydrophobic_patch", lambda s, d: V.sequences(s, d).select("seq_id", X.hydrophobic_patch(X.hydropathy_plot(F.col("seq"))).alias("at")),
+    f"{SEQ}, src AS (SELECT seq_id AS id, seq FROM sequences), {PATCH} SELECT seq_id, CAST(coalesce(found, -1) AS INT) AS \"at\" FROM sequences LEFT JOIN patch ON id = seq_id")
+CHARGE = " + ".join(f"({sign}) * {1 if len(key) > 1 else f'n_{key}'} * pow(10.0, ({sign}) * ({pka} - ph)) / (pow(10.0, ({sign}) * ({pka} - ph)) + 1)" for key, (pka, sign) in X.PKA.items())
+COUNTS = ", ".join(f"length(seq) - length(replace(seq, '{key}', '')) AS n_{key}" for key in X.PKA if len(key) == 1)
+add("x14_isoelectric_point", lambda s, d: V.sequences(s, d).select("seq_id", F.round(X.isoelectric_point(F.col("seq")), 5).alias("pi")),
+    f"""{SEQ}, n AS (SELECT seq_id, {COUNTS}, unnest(range(1, 13)) AS ph FROM sequences), q AS (SELECT seq_id, ph, {CHARGE} AS q FROM n), r AS (SELECT *, coalesce(lag(q) OVER (PARTITION BY seq_id ORDER BY ph), 99.0) AS p FROM q)
+ SELECT seq_id, round(coalesce(arg_min(ph - 1 + p / (p - q), ph) FILTER (q <= 0), 13.0), 5) AS pi FROM r GROUP BY 1""")
+TERMS = " + ".join(f"CASE g[{i + 1}] WHEN 'A' THEN ln({a}) WHEN 'C' THEN ln({c}) WHEN 'G' THEN ln({g}) ELSE ln({t}) END" for i, (a, c, g, t) in enumerate(X.SPLICE))
+
+
+def splice_signals(s, d):
+    """Every stretch of 13 bases of the contigs, scored."""
+    return ranges.kmers(V.contigs(s, d), "seq", 13, ["chrom"]).select("chrom", "pos", F.round(X.splice_score(F.col("kmer")), 5).alias("score"))
+
+
+SIGNALS = f"sg AS (SELECT chrom, pos, round({TERMS}, 5) AS score FROM (SELECT chrom, pos, seq[pos:pos + 12] AS g FROM (SELECT chrom, seq, unnest(range(1, length(seq) - 11)) AS pos FROM contigs)))"
+add("x15_splice_score", lambda s, d: splice_signals(s, d).groupBy("chrom").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.min_by("pos", F.struct(-F.col("score"), "pos")).alias("at")),
+    f"WITH {V.CONTIGS}, {SIGNALS}, b AS (SELECT chrom, count(*) AS n, max(score) AS best FROM sg GROUP BY 1) SELECT b.chrom, n, best, min(CAST(pos AS INT)) AS at FROM b JOIN sg ON sg.chrom = b.chrom AND sg.score = best GROUP BY ALL")
+add("f11_accept_junctions", lambda s, d: splice.accept_junctions(ranges.kmers(V.contigs(s, d), "seq", 13, ["chrom"]).groupBy("chrom", F.col("kmer").alias("signal")).agg(F.count("*").alias("n"))).groupBy("chrom").agg(F.count("*").alias("accepted"), F.sum("n").alias("witnesses")),
+    f"WITH {V.CONTIGS}, k AS (SELECT chrom, g, count(*) AS n FROM (SELECT chrom, seq[pos:pos + 12] AS g FROM (SELECT chrom, seq, unnest(range(1, length(seq) - 11)) AS pos FROM contigs)) GROUP BY 1, 2) SELECT chrom, count(*) AS accepted, CAST(sum(n) AS BIGINT) AS witnesses FROM k WHERE n >= 2 OR {TERMS} > -12.75 GROUP BY 1")
+MASS = " + ".join(f"{m} * (length({{0}}) - length(replace({{0}}, '{c}', '')))" for c, m in X.RESIDUE_MASS.items())
+
+
+def mass_sql(text: str) -> str:
+    return "(" + MASS.format(text) + ")"
+
+
+add("x16_fragment_ions", lambda s, d: words(s, d).select("conv_id", "turn", "pos", F.explode(X.fragment_ions(F.col("t"))).alias("i")).select("conv_id", "turn", "pos", "i.series", F.col("i.n").cast("long").alias("n"), F.round(F.col("i.mz") * 1_000_000).cast("long").alias("mz_e6")),
+    f"""WITH {WORD}, c AS (SELECT conv_id, turn, pos, t, unnest(range(1, length(t))) AS n FROM w), m AS (SELECT conv_id, turn, pos, n, length(t) - n AS k, {mass_sql("t[1:n]")} AS b, {mass_sql("t[n + 1:]")} AS y FROM c)
+ SELECT conv_id, turn, pos, unnest(['b', 'y', 'a', 'b-h2o', 'b-nh3', 'y-h2o', 'y-nh3']) AS series, unnest([n, k, n, n, n, k, k]) AS n,
+ CAST(round(1000000 * unnest([b + {X.PROTON}, y + {X.WATER} + {X.PROTON}, b + {X.PROTON} - 27.9949, b + {X.PROTON} - {X.WATER}, b + {X.PROTON} - 17.0265, y + {X.PROTON}, y + {X.WATER} + {X.PROTON} - 17.0265])) AS BIGINT) AS mz_e6 FROM m""")
+add("x18_alternate_sites", lambda s, d: words(s, d).select("conv_id", "turn", "pos", F.array_join(F.transform(X.alternate_sites(F.col("t"), 2), lambda x: F.array_join(x.cast("array<string>"), "-")), ",").alias("sites")),
+    f"""WITH {WORD}, p AS (SELECT conv_id, turn, pos, [i FOR i IN range(length(t)) IF t[i + 1] IN ('S', 'T', 'Y')] AS a FROM w), q AS (SELECT conv_id, turn, pos, a, unnest(a) AS i FROM p), r AS (SELECT conv_id, turn, pos, i, unnest([j FOR j IN a IF j > i]) AS j FROM q),
+ g AS (SELECT conv_id, turn, pos, string_agg(i || '-' || j, ',' ORDER BY i, j) AS sites FROM r GROUP BY 1, 2, 3) SELECT p.conv_id, p.turn, p.pos, coalesce(sites, '') AS sites FROM p LEFT JOIN g USING (conv_id, turn, pos)""")
+add("x19_parent_mass", lambda s, d: r6(V.psm(s, d).select(*key, X.parent_mass(F.col("mq_score") * 100, F.col("charge")).alias("mass")), "mass"), f"WITH {V.PSM} SELECT spectrum_file, scan, rank, round(mq_score * 100 * charge - (charge - 1) * {X.PROTON}, 6) AS mass FROM psm")
+add("x20_chi2_p", lambda s, d: ptm.chi2_p(ptm.compare_ptm_rates(sites_of(s, d, "O"), sites_of(s, d, "F"))).select("site", F.round("p", 3).alias("p")))
+add("x23_bp_overlap", lambda s, d: genome.overlaps(orfs(s, d)).join(V.features(s, d).select(F.col("event_id").alias("a"), F.col("start").alias("s1"), F.col("stop").alias("e1")), "a").join(V.features(s, d).select(F.col("event_id").alias("b"), F.col("start").alias("s2"), F.col("stop").alias("e2")), "b").select("a", "b", X.bp_overlap(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")).alias("o")).select("a", "b", "o.start", "o.stop"),
+    f"WITH {V.FEATURES}, {ORFS}, {PAIRS} SELECT a, b, lo AS start, hi AS stop FROM pr")
+add("f6_forward_only", lambda s, d: genome.decoys(V.sequences(s, d).withColumn("name", F.col("seq_id").cast("string")), "reverse").select("name").unionByName(V.sequences(s, d).select(F.col("seq_id").cast("string").alias("name"))).where(~X.is_decoy(F.col("name"))), f"{SEQ} SELECT CAST(seq_id AS VARCHAR) AS name FROM sequences")
+add("f7_no_contaminants", lambda s, d: V.table(s, d, "part").where(~X.is_contaminant(F.col("p_name"), ["1", "brass"])).select("p_partkey"), "SELECT p_partkey FROM part WHERE NOT contains(lower(p_name), '1') AND NOT contains(lower(p_name), 'brass')")
+add("f8_modified_only", lambda s, d: P.modified_only(V.psm(s, d).withColumn("annotation", F.concat_ws("+", "aminos", F.when(F.col("is_modified"), F.lit("phos"))))).select(*key), f"WITH {V.PSM} SELECT spectrum_file, scan, rank FROM psm WHERE is_modified")
 add("x21_base_name", lambda s, d: V.table(s, d, "pages").select("page_id", X.base_name(F.col("url")).alias("name")), "SELECT page_id, regexp_extract(url, '([^/\\\\]*)$', 1) AS name FROM pages")
+add("x21_gel_names", lambda s, d: V.table(s, d, "pages").select("page_id", X.gel_name(F.col("url")).alias("gel"), X.spot_name(F.col("url")).alias("spot")), "SELECT page_id, regexp_extract(n, '^([A-Za-z]+)', 1) AS gel, regexp_extract(n, '^([A-Za-z]+[0-9]+)', 1) AS spot FROM (SELECT page_id, regexp_extract(url, '([^/\\\\]*)$', 1) AS n FROM pages)")
 add("x22_to_genome", lambda s, d: located(s, d).withColumn("g", X.to_genome(F.col("strand"), F.col("start"), F.lit(4), F.lit(9))).select("orf_name", "aminos", F.col("g.start").alias("g_start"), F.col("g.stop").alias("g_stop")),
     f"WITH {V.FEATURES}, {LOCATED} SELECT orf_name, aminos, CASE WHEN strand = '-' THEN start - 12 - 26 ELSE start + 12 END AS g_start, CASE WHEN strand = '-' THEN start - 12 ELSE start + 38 END AS g_stop FROM loc")
 
 # --- sorts, sets and windows -------------------------------------------------------------------------------------
 
 add("o2_five_prime_order", lambda s, d: located(s, d).withColumn("place", F.row_number().over(Window.partitionBy("orf_name").orderBy(*genome.five_prime_keys(located(s, d)), "aminos"))).select("orf_name", "aminos", "place"), f"WITH {V.FEATURES}, {LOCATED} SELECT orf_name, aminos, row_number() OVER (PARTITION BY orf_name ORDER BY {ALONG}) AS place FROM loc")
-add("u2_augment", lambda s, d: genome.augment(V.sequences(s, d).where("seq_id % 2 = 0"), V.table(s, d, "benchmark").select((F.col("item_id") + 1_000_000).alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq")).where("length(seq) > 4")).select("seq_id"),
-    f"{SEQ}, db AS (SELECT * FROM sequences WHERE seq_id % 2 = 0), x AS (SELECT item_id + 1000000 AS seq_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark) SELECT seq_id FROM db UNION ALL SELECT seq_id FROM x WHERE length(seq) > 4 AND NOT EXISTS (SELECT 1 FROM db WHERE contains(db.seq, x.seq))")
+add("u2_augment", lambda s, d: genome.augment(V.sequences(s, d), V.table(s, d, "benchmark").select((F.col("item_id") + 1_000_000).alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))).select("seq_id"),
+    f"{SEQ}, x AS (SELECT item_id + 1000000 AS seq_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark) SELECT seq_id FROM sequences UNION ALL SELECT seq_id FROM x WHERE NOT EXISTS (SELECT 1 FROM sequences WHERE x.seq <> '' AND contains(sequences.seq, x.seq))")
 add("u6_with_decoys", lambda s, d: V.sequences(s, d).select(F.col("seq_id").cast("string").alias("name"), F.md5("seq").alias("digest")).unionByName(genome.decoys(V.sequences(s, d).withColumn("name", F.col("seq_id").cast("string")), "reverse").select("name", F.md5("seq").alias("digest"))), f"{SEQ} SELECT CAST(seq_id AS VARCHAR) AS name, md5(seq) AS digest FROM sequences UNION ALL SELECT 'XXX.' || seq_id, md5(reverse(seq)) FROM sequences")
 add("g3_shuffle_decoys", lambda s, d: genome.decoys(V.sequences(s, d).where("seq <> ''").withColumn("name", F.col("seq_id").cast("string"))).select("seq_id", "name", F.md5("seq").alias("digest")),
     f"{SEQ}, c AS (SELECT seq_id, unnest(string_split(seq, '')) AS c, unnest(range(length(seq))) AS i FROM sequences WHERE seq <> '') SELECT seq_id, 'XXX.' || seq_id AS name, md5(string_agg(c, '' ORDER BY md5(seq_id || ',0,1,' || i), c)) AS digest FROM c GROUP BY seq_id")
@@ -58,19 +101,21 @@ add("w14_best_category", lambda s, d: splice.best_category(V.psm(s, d).select(F.
 
 # --- joins -------------------------------------------------------------------------------------------------------
 
-CDS = "cds AS (SELECT strand AS chrom, start - 30 AS start, stop, '+' AS strand, event_id AS protein_id FROM features WHERE event_id % 3 = 1)"
+CDS = "cds AS (SELECT strand AS chrom, start - 30 AS start, (stop + 30) // 60 * 60 AS stop, '+' AS strand, event_id AS protein_id FROM features), po AS (SELECT strand AS chrom, event_id AS orf_name, start, stop // 60 * 60 AS stop FROM features)"
 
 
 def cds(s, d):
-    return V.features(s, d).where("event_id % 3 = 1").select(F.col("strand").alias("chrom"), (F.col("start") - 30).alias("start"), "stop", F.lit("+").alias("strand"), F.col("event_id").alias("protein_id"))
+    """Every feature as a gene whose end is rounded to the nearest minute."""
+    return V.features(s, d).select(F.col("strand").alias("chrom"), (F.col("start") - 30).alias("start"), F.expr("(stop + 30) div 60 * 60").alias("stop"), F.lit("+").alias("strand"), F.col("event_id").alias("protein_id"))
 
 
 def plus_orfs(s, d):
-    return V.features(s, d).select(F.col("strand").alias("chrom"), F.col("event_id").alias("orf_name"), "start", "stop", F.lit("+").alias("strand"))
+    """Every feature as an ORF whose end is rounded down to a minute."""
+    return V.features(s, d).select(F.col("strand").alias("chrom"), F.col("event_id").alias("orf_name"), "start", F.expr("stop div 60 * 60").alias("stop"), F.lit("+").alias("strand"))
 
 
 add("j2_link_orfs_to_cds", lambda s, d: genome.link_orfs_to_cds(plus_orfs(s, d), cds(s, d)).select("orf_name", "kind", "protein_id", "protein_start"),
-    f"WITH {V.FEATURES}, {CDS}, b AS (SELECT chrom, stop, count(*) AS n, min(protein_id) AS protein_id, arg_min(start, protein_id) AS protein_start FROM cds GROUP BY 1, 2) SELECT event_id AS orf_name, CASE WHEN n IS NULL THEN 'other' WHEN n = 1 THEN 'simple' ELSE 'complex' END AS kind, protein_id, protein_start FROM features f LEFT JOIN b ON b.chrom = f.strand AND b.stop = f.stop")
+    f"WITH {V.FEATURES}, {CDS}, b AS (SELECT chrom, stop, count(*) AS n, min(protein_id) AS protein_id, arg_min(start, protein_id) AS protein_start FROM cds GROUP BY 1, 2) SELECT orf_name, CASE WHEN n IS NULL THEN 'other' WHEN n = 1 THEN 'simple' ELSE 'complex' END AS kind, protein_id, protein_start FROM po LEFT JOIN b ON b.chrom = po.chrom AND b.stop = po.stop")
 add("j7_pair_scans", lambda s, d: spectra.pair_scans(V.table(s, d, "events").select(F.col("event_type").alias("spectrum_file"), F.col("event_id").alias("scan"), F.when(F.col("event_id") % 5 == 0, 1).otherwise(2).alias("ms_level"))),
     """WITH s AS (SELECT event_type AS spectrum_file, event_id AS scan, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 2 END AS ms FROM events), r AS (SELECT *, sum(CAST(ms <> 2 AS INT)) OVER (PARTITION BY spectrum_file ORDER BY scan) AS run FROM s),
  n AS (SELECT *, row_number() OVER w AS no, lead(scan) OVER w AS nx, lag(scan) OVER w AS pv FROM r WHERE ms = 2 WINDOW w AS (PARTITION BY spectrum_file, run ORDER BY scan)) SELECT spectrum_file, scan, CASE WHEN no % 2 = 1 THEN coalesce(nx, scan) ELSE pv END AS partner FROM n""")
@@ -93,45 +138,106 @@ def simple_exons(s, d):
     return e.select(F.col("event_type").alias("chrom"), F.lit("+").alias("strand"), F.unix_timestamp("ts").alias("start"), (F.unix_timestamp("ts") + 60).alias("stop"), "event_id")
 
 
-add("j18_exon_support", lambda s, d: splice.exon_support(simple_exons(s, d).where("event_id % 2 = 0").drop("event_id"), simple_exons(s, d).where("event_id % 3 = 0").drop("event_id")),
-    f"""WITH {EX}, x AS (SELECT DISTINCT chrom, strand, start, stop FROM e WHERE event_id % 2 = 0), i AS (SELECT chrom, start, stop FROM e WHERE event_id % 3 = 0),
- m AS (SELECT x.chrom, x.start, x.stop, max(least(x.stop, i.stop) - greatest(x.start, i.start) + 1) AS b, bool_or(x.start = i.start AND x.stop = i.stop) AS same FROM x JOIN i ON x.chrom = i.chrom AND x.start <= i.stop AND i.start <= x.stop GROUP BY 1, 2, 3)
+add("j18_exon_support", lambda s, d: splice.exon_support(simple_exons(s, d).drop("event_id"), V.features(s, d).select(F.col("strand").alias("chrom"), F.lit("+").alias("strand"), "start", "stop")),
+    f"""WITH {V.FEATURES}, {EX}, x AS (SELECT DISTINCT chrom, strand, start, stop FROM e),
+ m AS (SELECT x.chrom, x.start, x.stop, max(least(x.stop, i.stop) - greatest(x.start, i.start) + 1) AS b, bool_or(x.start = i.start AND x.stop = i.stop) AS same FROM x JOIN features i ON x.chrom = i.strand AND x.start <= i.stop AND i.start <= x.stop GROUP BY 1, 2, 3)
  SELECT x.chrom, x.strand, x.start, x.stop, CASE WHEN same THEN 'covered' WHEN b > 0 THEN 'touched' ELSE 'none' END AS support, coalesce(b, 0) AS bases FROM x LEFT JOIN m USING (chrom, start, stop)""")
 add("a39_alt_splicing", lambda s, d: splice.alt_splicing(exons(s, d)).select("gene_id", "transcripts", "shared_introns"),
     """WITH ex AS (SELECT user_id AS gene_id, event_type AS t, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(floor(epoch(ts)) AS BIGINT) + 60 AS stop FROM events), n AS (SELECT gene_id, count(DISTINCT t) AS transcripts FROM ex GROUP BY 1),
  i AS (SELECT DISTINCT gene_id, t, stop + 1 AS a, s - 1 AS z FROM (SELECT *, lead(start) OVER (PARTITION BY gene_id, t ORDER BY start, stop) AS s FROM ex) WHERE s > stop + 1), k AS (SELECT gene_id, a, z, count(DISTINCT t) AS k FROM i GROUP BY 1, 2, 3)
  SELECT n.gene_id, transcripts, count(*) FILTER (k = transcripts) AS shared_introns FROM n LEFT JOIN k USING (gene_id) GROUP BY 1, 2""")
-add("a40_snp_evidence", lambda s, d: r6(splice.snp_evidence(V.features(s, d).select(F.col("strand").alias("chrom"), "start", "stop", F.when(F.col("event_id") % 2 == 0, "ref").otherwise("alt").alias("allele"), F.abs("value").alias("score")), V.features(s, d).where("event_id % 7 = 0").select(F.col("strand").alias("chrom"), F.col("start").alias("pos"), F.col("event_id").alias("snp"))), "ref_best", "alt_best"),
+add("a40_snp_evidence", lambda s, d: r6(splice.snp_evidence(V.features(s, d).select(F.col("strand").alias("chrom"), "start", "stop", F.when(F.col("event_id") % 2 == 0, "ref").otherwise("alt").alias("allele"), F.abs("value").alias("score")), V.features(s, d).select(F.col("strand").alias("chrom"), F.col("start").alias("pos"), F.col("event_id").alias("snp"))), "ref_best", "alt_best"),
     f"""WITH {V.FEATURES} SELECT s.event_id AS snp, count(*) FILTER (f.event_id % 2 = 0) AS ref_peptides, count(*) FILTER (f.event_id % 2 <> 0) AS alt_peptides, round(max(abs(f.value)) FILTER (f.event_id % 2 = 0), 6) AS ref_best, round(max(abs(f.value)) FILTER (f.event_id % 2 <> 0), 6) AS alt_best
- FROM features s JOIN features f ON s.strand = f.strand AND s.start BETWEEN f.start AND f.stop WHERE s.event_id % 7 = 0 GROUP BY 1""")
+ FROM features s JOIN features f ON s.strand = f.strand AND s.start BETWEEN f.start AND f.stop GROUP BY 1""")
 add("a41_annotation_level", lambda s, d: splice.annotation_level_coverage(V.table(s, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("hypothetical "), "p_name")).otherwise(F.col("p_name")).alias("product"), (F.col("p_size") % 4).alias("peptides"))),
     "WITH g AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'hypothetical ' || p_name ELSE p_name END AS product, p_size % 4 AS n FROM part) SELECT CASE WHEN contains(lower(product), 'hypothetical') THEN 'hypothetical' WHEN contains(lower(product), 'putative') THEN 'putative' ELSE 'named' END AS level, count(*) AS genes, count(*) FILTER (n > 0) AS with_evidence, CAST(sum(n) AS BIGINT) AS peptides FROM g GROUP BY 1")
-add("a19_peptide_features", lambda s, d: r6(ptm.peptide_features(P.with_f_score(V.psm(s, d)).withColumn("annotation", F.col("aminos"))), "best_f", "best_mq", "log_n", "log_n1", "log_length").drop("best_f_delta"))
+add("a19_peptide_features", lambda s, d: r6(ptm.peptide_features(P.with_f_score(V.psm(s, d)).withColumn("annotation", F.col("aminos"))), "best_f", "best_f_delta", "best_mq", "log_n", "log_n1", "log_length"),
+    f"""{BASE_SCORED}, f AS (SELECT aminos AS annotation, charge, 0.3 * mq_score + 1.5 * delta / mean_delta AS f, mq_score, delta, length, row_number() OVER (PARTITION BY aminos, charge ORDER BY 0.3 * mq_score + 1.5 * delta / mean_delta DESC, spectrum_file, scan, rank) AS n FROM psm JOIN md ON {CLASS} = md.charge_class)
+ SELECT annotation, charge, round(max(f), 6) AS best_f, round(arg_min(delta, n), 6) AS best_f_delta, round(max(mq_score), 6) AS best_mq, round(ln(count(*)), 6) AS log_n, round(ln(count(*) + 1), 6) AS log_n1, round(ln(max(length)), 6) AS log_length FROM f WHERE n <= 100 GROUP BY 1, 2""")
 add("a20_ptm_counts", lambda s, d: ptm.ptm_counts(V.psm(s, d).select(F.col("aminos").alias("db_pos"), F.col("charge").alias("mass"), (F.col("aminos") % 5).alias("residue"), F.col("p_value").alias("p"), F.lit(1).alias("spectra"), (F.col("is_decoy") & (F.col("scan") % 5 == 0)).alias("is_decoy")), 0.1),
     f"""WITH {V.PSM}, s AS (SELECT charge AS mass, aminos % 5 AS residue, p_value AS p, is_decoy AND scan % 5 = 0 AS d FROM psm), b AS (SELECT p, count(*) FILTER (d) AS d, count(*) AS n FROM s GROUP BY 1), w AS (SELECT p, sum(d) OVER (ORDER BY p) / sum(n) OVER (ORDER BY p) AS r FROM b), c AS (SELECT max(p) AS c FROM w WHERE r <= 0.1)
  SELECT mass, residue, count(*) AS sites, count(*) AS spectra FROM s, c WHERE p <= c AND NOT d GROUP BY GROUPING SETS ((mass), (mass, residue))""")
 add("a32_context_stats", lambda s, d: r6(genome.context_stats(V.contigs(s, d).select(F.when(F.col("chrom") % 4 == 0, "Novel").when(F.col("chrom") % 4 == 1, "Extension").otherwise("Unchanged").alias("context"), F.col("seq").alias("dna")).where("dna <> ''")), "mean_gc", "mean_length"),
     f"WITH {V.CONTIGS}, c AS (SELECT CASE WHEN chrom % 4 = 0 THEN 'Novel' WHEN chrom % 4 = 1 THEN 'Extension' ELSE 'Unchanged' END AS context, seq, floor(100 * (length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / length(seq)) AS gc FROM contigs WHERE seq <> '') SELECT context, count(*) AS n, round(avg(gc), 6) AS mean_gc, round(avg(length(seq)), 6) AS mean_length FROM c GROUP BY 1")
-STARTS = "o AS (SELECT chrom AS orf_name, seq AS dna, unnest(range(21)) AS k FROM contigs WHERE length(seq) >= 63), st AS (SELECT orf_name, 3 * k AS \"at\", dna[3 * k + 1:3 * k + 3] AS codon FROM o WHERE dna[3 * k + 1:3 * k + 3] = 'ATG' OR (k > 0 AND dna[3 * k + 1:3 * k + 3] IN ('GTG', 'TTG')))"
+STARTS = "o AS (SELECT chrom AS orf_name, seq AS dna, unnest(range(length(seq) // 3)) AS k FROM contigs), st AS (SELECT orf_name, 3 * k AS \"at\", dna[3 * k + 1:3 * k + 3] AS codon FROM o WHERE dna[3 * k + 1:3 * k + 3] = 'ATG' OR (k > 0 AND dna[3 * k + 1:3 * k + 3] IN ('GTG', 'TTG')))"
 
 
 def starts(s, d):
-    return genome.upstream_starts(V.contigs(s, d).where(F.length("seq") >= 63).select(F.col("chrom").alias("orf_name"), F.col("seq").alias("dna"), F.lit(60).alias("until")))
+    """Start codons of whole contigs, the first peptide being the last codon."""
+    return genome.upstream_starts(V.contigs(s, d).select(F.col("chrom").alias("orf_name"), F.col("seq").alias("dna"), (F.length("seq") - 3).alias("until")))
 
 
 add("g2_upstream_starts", starts, f"WITH {V.CONTIGS}, {STARTS} SELECT orf_name, \"at\", codon FROM st")
 add("a33_corrected_starts", lambda s, d: genome.corrected_starts(starts(s, d)), f"WITH {V.CONTIGS}, {STARTS} SELECT orf_name, min(\"at\") AS \"at\", min(codon) AS codon FROM st GROUP BY 1 HAVING count(*) = 1")
-add("p1_filter_orfs", lambda s, d: genome.filter_orfs(located(s, d).withColumn("aminos", F.concat(F.lit("PEPTIDESK"), "aminos")).withColumn("is_unique", F.col("start") % 2 == 0).withColumn("tryptic_n", F.col("start") % 3 == 0).withColumn("tryptic_c", F.lit(True)), 2, 5000))
-add("p3_call_structure", lambda s, d: genome.call_structure(genome.link_orfs_to_cds(plus_orfs(s, d), cds(s, d)), plus_orfs(s, d).select("orf_name", F.lit("PEPTIDE").alias("aminos"), "start", "stop", "strand", F.lit(True).alias("is_unique"))).groupBy("call").agg(F.count("*").alias("n")),
-    f"WITH {V.FEATURES}, {CDS}, b AS (SELECT chrom, stop, min(protein_id) AS protein_id, arg_min(start, protein_id) AS ps FROM cds GROUP BY 1, 2), c AS (SELECT CASE WHEN protein_id IS NULL THEN 'NOVEL' WHEN ps - f.start > 3 OR ps - f.start = 0 THEN 'UNDERPREDICTED' ELSE 'OK' END AS call FROM features f LEFT JOIN b ON b.chrom = f.strand AND b.stop = f.stop) SELECT call, count(*) AS n FROM c GROUP BY 1")
-add("p4_signal_peptides", lambda s, d: genome.signal_peptides(V.sequences(s, d).select(F.col("seq_id").alias("orf_name"), F.substr(F.col("seq"), F.lit(1), (F.col("seq_id") % 60).cast("int")).alias("prefix"), (F.col("seq_id") % 5 == 0).alias("tryptic_n"))))
-add("p6_endpoints", lambda s, d: genome.endpoints(ranges.map_peptides(words(s, d).where("length(t) > 4").select(F.col("t").alias("aminos")), V.sequences(s, d)), 0.0, 1))
-add("p5_n_terminal", lambda s, d: genome.n_terminal(ranges.map_peptides(words(s, d).where("length(t) > 6").select(F.col("t").alias("aminos")), V.sequences(s, d)), 1))
-add("p10_localize", lambda s, d: spectra.localize(words(s, d).where("length(t) between 4 and 12").select(F.col("conv_id").alias("spectrum"), F.col("t").alias("aminos"), F.lit(1).alias("n_sites")).distinct(), V.peaks(s, d).withColumn("mz", F.col("mz") * 20)).select("spectrum", "aminos", "found", F.round("score", 4).alias("score")))
-add("j21_search", lambda s, d: spectra.search_spectra(V.table(s, d, "embeddings").select(F.col("vec_id").alias("spectrum"), (400.0 + F.col("vec_id") % 900).alias("mass")), V.peaks(s, d).withColumn("mz", F.col("mz") * 15), words(s, d).where("length(t) between 4 and 12").select(F.col("t").alias("aminos"))))
-add("j5_splice_novelty", lambda s, d: genome.splice_novelty(words(s, d).where("conv_id % 2 = 0 and length(t) > 5").select(F.col("t").alias("aminos")), words(s, d).where("conv_id % 2 = 1 and length(t) > 5").select(F.col("t").alias("aminos"))))
-add("a37_summary_report", lambda s, d: (lambda rows: pipelines.summary_report(rows.select("aminos", F.col("seq_id").alias("protein"), (F.col("pos") % 2 == 0).alias("is_modified")), rows, V.sequences(s, d)).select("protein", "peptides", "spectra", "modified_peptides", "covered"))(inference.stored(ranges.map_peptides(words(s, d).where("length(t) > 7").select(F.col("t").alias("aminos")), V.sequences(s, d)))))
-add("p9_run_ptm", lambda s, d: pipelines.run_ptm(V.psm(s, d).withColumn("annotation", F.col("aminos").cast("string")).withColumn("residue", F.col("aminos") % 20).withColumn("mass", F.col("charge")), 0.5)["counts"])
+FLAGGED = f"""fl AS (SELECT *, start % 2 = 0 AS is_unique, start % 3 = 0 AS tryptic FROM loc), n AS (SELECT *, abs(start - lag(stop) OVER w) AS b, abs(lead(start) OVER w - stop) AS a FROM fl WINDOW w AS (PARTITION BY orf_name ORDER BY {ALONG})),
+ k AS (SELECT * FROM n WHERE NOT (coalesce(b > 5000, true) AND coalesce(a > 5000, true))), g AS (SELECT orf_name, count(DISTINCT aminos) AS p, bool_or(is_unique) AS u, bool_or(tryptic) AS t FROM k GROUP BY 1)"""
+add("p1_filter_orfs", lambda s, d: genome.filter_orfs(located(s, d).withColumn("aminos", F.concat(F.lit("PEPTIDESK"), "aminos")).withColumn("is_unique", F.col("start") % 2 == 0).withColumn("tryptic_n", F.col("start") % 3 == 0).withColumn("tryptic_c", F.lit(True)), 2, 5000),
+    f"""WITH {V.FEATURES}, {LOCATED.replace("event_id AS aminos", "'PEPTIDESK' || event_id AS aminos")}, {FLAGGED} SELECT o.orf_name, CASE WHEN p IS NULL THEN 'distance' WHEN NOT u THEN 'unique' WHEN NOT t THEN 'tryptic' WHEN p < 2 THEN 'min_peptides' END AS killed_by, coalesce(p, 0) AS peptides FROM (SELECT DISTINCT orf_name FROM loc) o LEFT JOIN g USING (orf_name)""")
+add("p3_call_structure", lambda s, d: genome.call_structure(genome.link_orfs_to_cds(plus_orfs(s, d), cds(s, d)), plus_orfs(s, d).select("orf_name", F.lit("PEPTIDE").alias("aminos"), "start", "stop", "strand", F.lit(True).alias("is_unique"))).select("orf_name", "call"),
+    f"WITH {V.FEATURES}, {CDS}, b AS (SELECT chrom, stop, min(protein_id) AS protein_id, arg_min(start, protein_id) AS ps FROM cds GROUP BY 1, 2) SELECT orf_name, CASE WHEN protein_id IS NULL THEN 'NOVEL' WHEN ps - po.start > 3 OR ps - po.start = 0 THEN 'UNDERPREDICTED' ELSE 'OK' END AS call FROM po LEFT JOIN b ON b.chrom = po.chrom AND b.stop = po.stop")
+PIECES = "src AS (SELECT doc_id || '.' || i AS id, seq FROM (SELECT doc_id, unnest(range(len(x))) AS i, upper(regexp_replace(unnest(x), '[^A-Za-z]', '', 'g')) AS seq FROM (SELECT doc_id, string_split_regex(text, '[.\\n]') AS x FROM documents)))"
+
+
+def pieces(s, d):
+    """Every sentence of the documents as the residues ahead of a peptide."""
+    cut = F.posexplode(F.split("text", r"[.\n]"))
+    return V.table(s, d, "documents").select("doc_id", cut.alias("i", "x")).select(F.concat_ws(".", "doc_id", "i").alias("orf_name"), F.upper(F.regexp_replace("x", "[^A-Za-z]", "")).alias("prefix"))
+
+
+add("p4_signal_peptides", lambda s, d: genome.signal_peptides(pieces(s, d).withColumn("tryptic_n", F.col("prefix").rlike("[KR]$"))),
+    f"""WITH {PIECES}, {PATCH} SELECT src.id AS orf_name, CASE WHEN regexp_matches(seq, '[KR]$') THEN 0 WHEN length(seq) < 15 THEN 1 WHEN length(seq) > 50 THEN 2 WHEN found IS NULL THEN 3
+ WHEN regexp_matches(seq, '[ILVAGS].[AGS]$') AND regexp_matches(seq[1:10], '[KR]') THEN 5 ELSE 4 END AS decision FROM src LEFT JOIN patch ON patch.id = src.id""")
+
+
+def mapped_probes(s, d):
+    return ranges.map_peptides(probes(s, d), V.sequences(s, d))
+
+
+KMER = 6
+MAPPED = f"""kx AS (SELECT seq_id, seq, unnest(range(1, length(seq) - {KMER - 2})) AS pos FROM sequences), mp AS (SELECT aminos, seq_id, pos, length(seq) AS n, CASE WHEN pos > 1 THEN seq[pos - 1] END AS prefix, CASE WHEN pos + length(aminos) <= length(seq) THEN seq[pos + length(aminos)] END AS suffix
+ FROM kx JOIN pb ON seq[pos:pos + {KMER - 1}] = aminos[1:{KMER}] WHERE seq[pos:pos + length(aminos) - 1] = aminos), mq AS (SELECT *, count(*) OVER (PARTITION BY aminos) = 1 AS is_unique FROM mp)"""
+add("p5_n_terminal", lambda s, d: genome.n_terminal(mapped_probes(s, d), 1),
+    f"{SEQ}, {PROBES}, {MAPPED} SELECT seq_id, CAST(min(pos) AS INT) AS first_pos, count(DISTINCT aminos) AS peptides, min(pos) = 2 AND coalesce(arg_min(prefix, pos) = 'M', false) AS after_met FROM mq GROUP BY 1")
+add("p5_n_terminal_evidence", lambda s, d: genome.n_terminal_evidence(mapped_probes(s, d), V.sequences(s, d), 1).select("seq_id", "first_pos", "start_met", "area", "motif"),
+    f"{SEQ}, {PROBES}, {MAPPED}, f AS (SELECT seq_id, min(pos) AS p FROM mq GROUP BY 1) SELECT seq_id, CAST(p AS INT) AS first_pos, p = 1 AND seq[1] = 'M' AS start_met, seq[greatest(p - 5, 1):p - 1] || ':' || seq[p:p + 4] AS area, regexp_matches(CASE WHEN p > 1 THEN seq[1:p - 1] ELSE '' END, '[ILVAGS].[AGS]$') AS motif FROM f JOIN sequences USING (seq_id)")
+CUTS6 = """u AS (SELECT seq_id, pos, pos + length(aminos) AS e, prefix, suffix, aminos FROM mq WHERE is_unique), ct AS (SELECT seq_id, pos, count(*) AS cuts, max(b) AS before, max(a) AS behind FROM (SELECT seq_id, pos, prefix AS b, aminos[1] AS a FROM u UNION ALL SELECT seq_id, e, aminos[-1], suffix FROM u) GROUP BY 1, 2),
+ cv AS (SELECT ct.seq_id, ct.pos, cuts, before, behind, count(*) FILTER (u.pos < ct.pos AND ct.pos < e) AS over, count(*) FILTER (u.pos <= ct.pos - 1 AND ct.pos - 1 < e) AS cover_n, count(*) FILTER (u.pos <= ct.pos AND ct.pos < e) AS cover_c FROM ct JOIN u ON u.seq_id = ct.seq_id GROUP BY 1, 2, 3, 4, 5)"""
+
+
+def cuts6(s, d):
+    return ranges.stored(genome.cleavages(mapped_probes(s, d)))
+
+
+add("p6_cleavages", lambda s, d: genome.cleavages(mapped_probes(s, d)).select("seq_id", "pos", "cuts", "before", "at", "over", "cover_n", "cover_c"), f"{SEQ}, {PROBES}, {MAPPED}, {CUTS6} SELECT seq_id, pos, cuts, before, behind AS \"at\", over, cover_n, cover_c FROM cv")
+add("p6_endpoints", lambda s, d: r6(genome.categorized_endpoints(cuts6(s, d), 0.1, 1), "rate").select("seq_id", "pos", "cuts", "rate", "kind"),
+    f"""{SEQ}, {PROBES}, {MAPPED}, {CUTS6} SELECT seq_id, pos, cuts, round(cuts / (cuts + over), 6) AS rate, CASE WHEN before IN ('K', 'R') AND coalesce(behind, '*') <> 'P' THEN 'Trypsin' WHEN behind IS NULL OR behind IN ('X', '*', 'O', 'U') THEN 'C-term' WHEN pos = 1 THEN 'N-term' WHEN pos = 2 THEN 'Met'
+ WHEN pos <= 50 AND cover_n < cover_c * 0.1 THEN 'Signal' ELSE 'Other' END AS kind FROM cv WHERE cuts / (cuts + over) >= 0.1""")
+add("p6_classes", lambda s, d: genome.cleavage_classes(cuts6(s, d), 1).select("seq_id", "pos", "cuts", "kind"),
+    f"""{SEQ}, {PROBES}, {MAPPED}, {CUTS6}, nb AS (SELECT *, coalesce(CASE WHEN lag(pos) OVER w = pos - 1 THEN lag(cuts) OVER w END, 0) AS b, coalesce(CASE WHEN lead(pos) OVER w = pos + 1 THEN lead(cuts) OVER w END, 0) AS a FROM cv WINDOW w AS (PARTITION BY seq_id ORDER BY pos))
+ SELECT seq_id, pos, cuts, CASE WHEN before IN ('K', 'R') AND coalesce(behind, '*') <> 'P' THEN 'Tryptic' WHEN behind IS NULL OR behind IN ('X', '*') OR (behind IN ('U', 'O') AND cover_c < 5) THEN 'Stop' WHEN a > cuts OR b > cuts THEN 'Decay' WHEN cover_c < cover_n * 0.1 THEN 'Suffix' WHEN cover_n < cover_c * 0.1 THEN 'Prefix' ELSE 'Internal' END AS kind FROM nb""")
+add("p10_localize", lambda s, d: spectra.localize(words(s, d).select(F.col("conv_id").alias("spectrum"), F.col("t").alias("aminos"), F.lit(1).alias("n_sites")).distinct(), V.peaks(s, d).withColumn("mz", F.col("mz") * 20)).select("spectrum", "aminos", "found", F.round("score", 4).alias("score")))
+add("j21_search", lambda s, d: spectra.search_spectra(V.table(s, d, "embeddings").select(F.col("vec_id").alias("spectrum"), (400.0 + F.col("vec_id") % 900).alias("mass")), V.peaks(s, d).withColumn("mz", F.col("mz") * 15), words(s, d).select(F.col("t").alias("aminos"))))
+add("j21_open_search", lambda s, d: r6(spectra.open_search(V.table(s, d, "embeddings").select(F.col("vec_id").alias("spectrum"), (400.0 + F.col("vec_id") % 900).alias("mass")), V.peaks(s, d).withColumn("mz", F.col("mz") * 15), words(s, d).select(F.col("t").alias("aminos")), 20.0), "delta_mass"))
+ROLES = """ow AS (SELECT upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS t FROM conversations WHERE role <> 'assistant'), nw AS (SELECT upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS t FROM conversations WHERE role = 'assistant'),
+ o AS (SELECT DISTINCT translate(t, 'IQ', 'LK') AS c FROM ow), f AS (SELECT translate(t, 'IQ', 'LK') AS c, min(t) AS aminos FROM nw WHERE translate(t, 'IQ', 'LK') NOT IN (SELECT c FROM o) GROUP BY 1), h AS (SELECT aminos, c, greatest(length(c) // 2, 1) AS n FROM f)"""
+
+
+def said_by(s, d, assistant):
+    role = F.col("role") == "assistant"
+    return V.table(s, d, "conversations").where(role if assistant else ~role).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("t")).select(F.upper("t").alias("aminos"))
+
+
+add("j5_splice_novelty", lambda s, d: genome.splice_novelty(said_by(s, d, False), said_by(s, d, True)), f"WITH {ROLES} SELECT aminos, EXISTS (SELECT 1 FROM o WHERE contains(o.c, h.c[1:n]) OR contains(o.c, h.c[length(h.c) - n + 1:])) AS half_known FROM h")
+
+
+def summarized(s, d):
+    rows = inference.stored(mapped_probes(s, d))
+    return pipelines.summary_report(rows.select("aminos", F.col("seq_id").alias("protein"), (F.col("pos") % 2 == 0).alias("is_modified")), rows, V.sequences(s, d))
+
+
+add("a37_summary_report", lambda s, d: summarized(s, d).select("protein", "peptides", "spectra", "modified_peptides", "covered", F.round("weight", 3).alias("weight")))
+add("a37_gene_subset", lambda s, d: pipelines.gene_subset(summarized(s, d), V.table(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("protein"))).select("protein", "peptides", "spectra"))
+add("a37_unique_substrings", lambda s, d: pipelines.unique_substrings(probes(s, d), V.sequences(s, d)), f"{SEQ}, {PROBES}, {MAPPED} SELECT aminos, seq_id, CAST(pos AS INT) AS pos FROM mq WHERE is_unique")
 add("m4_svm", lambda s, d: ml.predict_svm(ml.fit_svm(labelled(s, d), ["mq_score", "delta"]), labelled(s, d), ["mq_score", "delta"]).select(*key, F.round("score", 3).alias("score")))
 add("m7_select_features", lambda s, d: s.createDataFrame([(i, c) for i, c in enumerate(ml.select_features(labelled(s, d), ["mq_score", "delta", "length"], 2))], "place int, feature string"))
 add("m9_offset_histogram", lambda s, d: spectra.offset_histogram(V.peaks(s, d), V.table(s, d, "embeddings").select(F.col("vec_id").alias("spectrum"), (F.col("vec_id") % 64).cast("double").alias("anchor")), 10.0),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import genome, inference, psm as P, ptm, ranges, spectra
+from ..operators import genome, inference, ml, psm as P, ptm, ranges, spectra
 
 
 def run_report(psm: DataFrame, located: DataFrame, calls: DataFrame, signal: DataFrame) -> DataFrame:
@@ -28,6 +28,16 @@ def summary_report(psm: DataFrame, mapped: DataFrame, sequences: DataFrame) -> D
     return counts.join(covered.withColumnRenamed("seq_id", "protein"), "protein", "left").join(weight.withColumnRenamed("seq_id", "protein"), "protein", "left")
 
 
+def gene_subset(report: DataFrame, genes: DataFrame) -> DataFrame:
+    """The report's rows of a list of proteins (protein)."""
+    return report.join(ranges.small(genes.select("protein").distinct()), "protein", "left_semi")
+
+
+def unique_substrings(queries: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(aminos, seq_id, pos) of the queried strings that stand in exactly one place of all sequences."""
+    return ranges.map_peptides(queries, sequences).where("is_unique").select("aminos", "seq_id", "pos")
+
+
 def calibrated(psm: DataFrame, decoy_fraction: float = 0.5, retain: bool = False) -> DataFrame:
     """A2, A3, A1 and A4 in a row."""
     scored = P.with_f_score(psm)
@@ -64,13 +74,36 @@ def run_all(contigs: DataFrame, psm: DataFrame, cds: DataFrame, p: float = 1e-2,
     return {"orfs": supported, "located": held, "conflicts": genome.conflicts(supported), "calls": calls, "signal": signal, "report": run_report(psm, held, calls, signal)}
 
 
-def run_ptm(psm: DataFrame, fdr: float = 0.05) -> dict[str, DataFrame]:
-    """P9 from hits with sites: psm adds residue, mass, db_pos, is_decoy."""
-    rows = calibrated(psm)
-    features = ptm.ptm_features(rows)
-    species = rows.groupBy("db_pos", "mass", "residue", "annotation", "charge").agg(F.count("*").alias("spectra"), F.min("p_value").alias("p"), F.max("is_decoy").alias("is_decoy"))
+def run_ptm(psm: DataFrame, fdr: float = 0.05, second: DataFrame | None = None, points: DataFrame | None = None, known: DataFrame | None = None) -> dict[str, DataFrame]:
+    """P9 from hits with sites: psm adds annotation, residue, mass, db_pos.
+
+    second: hits of the large database (J13); points: (annotation, charge, points) of species for J20; known:
+    (site, known_mass, known_p), explanations of sites "db_pos:mass". Each of them may be missing. A species' p-value
+    is one less the model's probability; species that a better one explains leave before sites are made.
+    """
+    rows = inference.stored(calibrated(psm))
+    best = P.top_hit(rows) if second is None else ptm.bigdb_delta(rows, second)
+    delta = F.col("delta") if second is None else F.coalesce("bigdb_delta", F.lit(0.0))
+    features = inference.stored(ptm.ptm_features(rows))
+    gaps = best.groupBy("annotation", "charge").agg(F.max(delta).alias("gap"), F.max("is_decoy").alias("is_decoy"), F.min("db_pos").alias("db_pos"), F.min("mass").alias("mass"), F.min("residue").alias("residue"))
+    table = features.select("annotation", "charge", "best_score", "modded_fraction", "log_spectra", "spectra").join(gaps, ["annotation", "charge"])
+    table = inference.stored(table.withColumn("label", (~F.col("is_decoy")).cast("int")))
+    scored = ml.fit_peptide_model(table, ["best_score", "modded_fraction", "log_spectra", "gap"])
+    species = scored.select("annotation", "charge", "spectra", "is_decoy", "db_pos", "mass", "residue", F.greatest(1 - F.col("score"), F.lit(1e-12)).alias("p"))
+    if points is not None:
+        named = species.join(points, ["annotation", "charge"]).select(F.concat_ws("/", "annotation", "charge").alias("id"), (1 - F.col("p")).alias("score"), "points")
+        explained = ptm.reconcile_species(named).select(F.col("id").alias("_id")).distinct()
+        species = species.join(explained, F.concat_ws("/", "annotation", "charge") == F.col("_id"), "left_anti")
+    species = inference.stored(species)
     sites = ptm.ptm_sites(species).join(species.groupBy("db_pos", "mass").agg(F.min("residue").alias("residue"), F.max("is_decoy").alias("is_decoy")), ["db_pos", "mass"])
-    return {"features": features, "sites": sites, "counts": ptm.ptm_counts(sites, fdr)}
+    if known is not None:
+        named = sites.withColumn("site", F.concat_ws(":", "db_pos", "mass"))
+        chosen = ptm.choose_known(named.select("site", "mass", "p"), known)
+        sites = named.drop("mass", "p").join(chosen, "site").drop("site")
+    sites = inference.stored(sites)
+    counts = inference.stored(ptm.ptm_counts(sites, fdr))
+    classes, unknown = ptm.classify_ptm_counts(counts)
+    return {"features": features, "species": species, "sites": sites, "counts": counts, "classes": classes, "unknown": unknown}
 
 
 def consensus_of(peaks: DataFrame) -> DataFrame:
