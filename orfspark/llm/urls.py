@@ -45,8 +45,9 @@ def grams(host: Column, path: Column) -> Column:
     """Character n-grams of the host (marked h) and of the path (marked p), each with its ends marked."""
 
     def of(mark: str, text: Column, n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-        return F.transform(places, lambda i: F.concat(F.lit(mark), F.substr(text, i, F.lit(n))))
+        # a look-ahead finds all n-grams in one pass, however long the url is
+        cut = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        return F.transform(F.when(F.length(text) < n, F.array(text)).otherwise(cut), lambda g: F.concat(F.lit(mark), g))
 
     marked = [(mark, F.concat(F.lit("^"), text, F.lit("$"))) for mark, text in (("h", host), ("p", path))]
     return F.concat(*[of(mark, text, n) for mark, text in marked for n in ORDERS])
@@ -56,12 +57,28 @@ def features(urls: DataFrame) -> DataFrame:
     return HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True).transform(urls.withColumn("grams", grams(F.col("host"), F.col("path")))).drop("grams")
 
 
+def least_distinct(rows: DataFrame, n: int) -> DataFrame:
+    """The n distinct rows of (host, path, label) of the least hashes.
+
+    Rows above a hash that some 4n distinct ones lie below are left out before
+    anything is shuffled; should too few be below it, all rows are sorted.
+    """
+    keyed = rows.withColumn("_h", F.xxhash64("host", "path"))
+    seen = keyed.agg(F.approx_count_distinct("_h")).first()[0]
+    order = ["_h", "host", "path", "label"]
+    if seen > 8 * n:
+        few = keyed.where(F.col("_h") <= -(1 << 63) + (1 << 64) * 4 * n // seen).distinct().orderBy(*order).limit(n)
+        if few.count() == n:
+            return few.drop("_h")
+    return keyed.distinct().orderBy(*order).limit(n).drop("_h")
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> LogisticRegressionModel | None:
     """Model of P(block) from (host, path, label 0 or 1); None if a class is missing.
 
     At most `sample` distinct urls are used, in order of their hash.
     """
-    rows = labelled.select("host", "path", "label").where("label is not null").distinct().orderBy(F.xxhash64("host", "path"), "host", "path").limit(sample)
+    rows = least_distinct(labelled.where("label is not null").select("host", "path", "label"), sample)
     rows = features(rows).select("features", F.col("label").cast("double")).repartition(8).cache()
     try:
         if rows.select("label").distinct().count() < 2:
