@@ -189,15 +189,26 @@ def confirmed(family: str, words: list[bytes], least: float) -> bool:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Unknown windows come from at most `sample` documents in order of the text's hash.
+    """Unknown windows come from at most `sample` distinct texts in order of their hash; tasks cut the windows out, so
+    the driver gets hashes and windows.
 
     A sampled window that holds some template whole is left out, since it may be a notice.
     """
-    texts = docs.where("text is not null").select("text").orderBy(F.xxhash64("text"), "text").limit(sample).collect()
-    unknown = []
-    for r in texts:
-        own = sorted((ws[cut] for ws in paragraphs(r.text) for cut in windows(ws)), key=lambda ws: xxhash.xxh3_64_intdigest(b" ".join(ws)))[:PER_DOC]
-        unknown += [ws for ws in own if not any(confirmed(f, ws, 1.0) for f in FAMILIES)]
+    keyed = docs.where("text is not null").select(F.xxhash64("text").alias("h"), "text")
+    first = [r.h for r in keyed.select("h").distinct().orderBy("h").limit(sample).collect()]  # numbers alone
+    if not first:
+        return fit_local([])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = [ws[cut] for ws in paragraphs(text.as_py()) for cut in windows(ws)]
+                own = sorted({b" ".join(ws) for ws in own}, key=lambda x: (xxhash.xxh3_64_intdigest(x), x))[:PER_DOC]
+                yield pa.RecordBatch.from_pydict({"h": pa.array([h] * len(own), pa.int64()), "window": pa.array(own, pa.binary())})
+
+    some = keyed.where(F.col("h") <= first[-1]).mapInArrow(pick, "h long, window binary").distinct()
+    unknown = [bytes(r.window).split() for r in some.orderBy("h", "window").collect()]  # at most PER_DOC windows of WINDOW words each
+    unknown = [ws for ws in unknown if not any(confirmed(f, ws, 1.0) for f in FAMILIES)]
     return fit_local(unknown)
 
 
