@@ -14,7 +14,7 @@ precision, on the vectors as they are.
 
 Equal vectors (by 128 bits of hash of label and components) are one class before
 the join. Pairs are counted where they meet and never leave the task: what leaves
-is link counts and a spanning forest. A cell beyond `cell_rows` rows is dealt out
+is link counts and a spanning forest. A cell beyond 4 * `cell_rows` rows is dealt out
 as pairs of its parts.
 """
 
@@ -191,7 +191,7 @@ def class_links(classes: DataFrame, least: float, width: int, cell_rows: int) ->
     met = stored(met)
     key = ["label", "dim", "block", "cell"]
     crowded = met.groupBy(*key).agg(F.count("*").alias("rows"), F.count_if("home").alias("homes")).where("homes > 0")
-    crowded = stored(crowded.where("rows > 1").select(*key, F.ceil(F.col("rows") / cell_rows).cast("int").alias("parts")))
+    crowded = stored(crowded.where("rows > 1").select(*key, F.ceil(F.col("rows") / (4 * cell_rows)).cast("int").alias("parts")))
     rows = met.join(broadcast_within(crowded, 2_000_000), key)
     part = F.pmod(F.hash("k", F.lit(1)), F.col("parts"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
