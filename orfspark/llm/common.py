@@ -43,7 +43,28 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/orfspark/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._orfspark_path = path
+    working_tables(spark).append(path)
+    return out
+
+
+def working_tables(spark: SparkSession) -> list[str]:
+    """Paths of the session's tables in the shared folder."""
+    context = spark.sparkContext
+    if not hasattr(context, "_orfspark_tables"):
+        context._orfspark_tables = []
+    return context._orfspark_tables
+
+
+def drop_stored(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; without tables, all of the session's (after its results are written)."""
+    paths = [t._orfspark_path for t in tables] if tables else list(working_tables(spark))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        working_tables(spark).remove(path)
 
 
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
@@ -64,6 +85,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     Hubs stay splittable: both sides of every join are read from storage and
     dealt anew. Null ends and loops are ignored; no edges give an empty table.
     """
+    spark = edges.sparkSession
     edges = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     edges = stored(edges.where("u is not null and v is not null and u <> v").distinct())
 
@@ -75,7 +97,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         else:
             moved = near.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             out = moved.union(low.select("u", F.col("m").alias("v")))
-        return stored(out.where("u <> v").distinct())
+        out = stored(out.where("u <> v").distinct())
+        drop_stored(spark, of, low)
+        return out
 
     def mark(of: DataFrame) -> tuple:
         return tuple(of.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())

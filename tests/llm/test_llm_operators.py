@@ -350,6 +350,79 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def url_parts(url):
+    import re
+
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    return (brute.ascii_lower(m[1]), m[2]) if m else ("", "")
+
+
+def test_urls_equal_a_plain_reading_and_hold_out(spark):
+    """Host, path and rule of many urls by a plain reader; what the model says about rule urls it was not fitted on."""
+    rng = np.random.default_rng(2)
+    pick = lambda *xs: xs[rng.integers(len(xs))]
+    rows = [(i, pick("http://", "https://", "", "x://y://", "HTTP://") + pick("example.org", "a.Example.ORG", "b.com", "c.com", "d.net", "org", "notexample.org", "") + pick("/", "/es/", "/en/1", "/en/12/x", "/fr/", "/de/a", "/de", "", "?q=/de/", "#/fr/") + str(rng.integers(50))) for i in range(1500)] + [(9000, None), (9001, ""), (9001, "")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == len(rows)
+    of = dict(rows)
+    for r in got:
+        host, path = url_parts(of[r.page_id])
+        fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        _, rule, verdict = max(fits, default=(0, None, None))
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or ("block" if r.p_block >= 0.5 else "allow"))
+    known = [(h, p, int(v == "block")) for r in got if r.rule for h, p, v in [(r.host, r.path, r.verdict)]]
+    train = spark.createDataFrame([x for i, x in enumerate(sorted(set(known))) if i % 3], "host string, path string, label int")
+    held = [x for i, x in enumerate(sorted(set(known))) if i % 3 == 0]
+    model = urls.fit(train)
+    scored = model.transform(urls.features(spark.createDataFrame(held, "host string, path string, label int"))).select("label", "prediction").collect()
+    assert len(held) > 50 and np.mean([x.label == x.prediction for x in scored]) > 0.95
+
+
+def test_urls_sample_is_of_the_least_hashes(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("h"), F.col("id") % 1500).alias("host"), F.lit("/").alias("path"), F.lit(1).alias("label"))
+    want = {r.host for r in rows.distinct().orderBy(F.xxhash64("host", "path")).limit(100).collect()}
+    assert {r.host for r in urls.least_distinct(rows, 100).collect()} == want
+    assert urls.least_distinct(rows.limit(0), 100).count() == 0
+
+
+def test_licences_equal_a_plain_scan(spark, docs):
+    """Every window of every paragraph scored alone, by the same model."""
+    names = ["Licensed under the Apache License, Version 2.0.", "MIT License", "see the BSD license", "the general public", "GPL version 2 or CC BY-SA 4.0"]
+    rows = [(i, prose(i, 7 * i) + "\n \n" * (i % 2) + " " + names[i % 5] + " " + prose(i + 50, 5 * (i % 7))) for i in range(25)] + [(30, None), (31, "x " * 30_000 + "MIT License")]
+    model = licences.fit(spark.createDataFrame(docs, DOCS))
+    got = {r.doc_id: (r.n_paragraphs, r.licences, r.unconfirmed) for r in licences.scan(spark.createDataFrame(rows, DOCS), model).collect()}
+    for doc, text in rows:
+        sure, maybe, n = set(), set(), 0
+        for ws in licences.paragraphs(text):
+            n += 1
+            for cut in licences.windows(ws):
+                own = ws[cut]
+                z = licences.logits(model, licences.hashes(own), np.array([len(own)]))[0] / model.temperature
+                p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+                each = 1 / (1 + np.exp(z[licences.UNKNOWN] - z[: licences.UNKNOWN]))
+                best = int(z[: licences.UNKNOWN].argmax())
+                sure |= {f for i, f in enumerate(licences.FAMILIES) if each[i] >= 0.5 and licences.confirmed(f, own, 0.8)}
+                if p[best] >= 0.5 and each.max() >= 0.5:
+                    maybe.add(licences.FAMILIES[best])
+        assert got[doc] == (n, sorted(sure), sorted(maybe - sure)), doc
+    assert got[31][1] == ["mit"]
+
+
+def test_licences_fit_sends_no_texts_to_the_driver(spark, monkeypatch):
+    sent, collect = [], type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: (sent.append(self.columns), collect(self))[1])
+    licences.fit(spark.createDataFrame([(i, prose(i, 60)) for i in range(30)] + [(99, None), (7, prose(7, 60))], DOCS), sample=10)
+    assert sent == [["h"], ["h", "window"]]
+
+
+def test_working_tables_can_be_dropped(spark):
+    one, two = common.stored(spark.range(3)), common.stored(spark.range(4))
+    common.drop_stored(spark, one)
+    assert two.count() == 4 and one._orfspark_path not in common.working_tables(spark)
+    with pytest.raises(Exception):
+        one.count()
+
+
 def test_licences(spark, docs):
     rows = [*docs[:10], (50, prose(1, 30) + "\nReleased under the MIT License.\n" + prose(2, 30)), (51, "This work is licensed under the GNU General Public License, version 3."), (52, "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0."), (53, None), (54, " \n"), (55, "the general public may see the film")]
     got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, DOCS).withColumn("licences", F.lit("clash"))).collect()}
@@ -460,3 +533,65 @@ def test_pipeline(spark, tmp_path):
     assert set(seen["decontamination"]) == {d for d, w in hit.items() if not w[-1]} and 303 not in seen["decontamination"]
     packed = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
     assert {r.doc_id for r in packed} == set(seen["decontamination"])
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """One text of some MB beside short ones."""
+    long = prose(5, 200_000)
+    return spark.createDataFrame([(1, long), (2, "short text"), (3, long[:1_000_000] + " tail"), (4, None), (5, "x" * 1_000_000)], DOCS).repartition(2)
+
+
+def test_long_texts_decontaminate(spark, long_docs):
+    items = spark.createDataFrame([(1, prose(5, 40)), (2, "x" * 1_000_000)], "item_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.scan(long_docs, items).select("doc_id", "n_words", "n_hit").collect()}
+    assert found[1][0] == 200_000 and found[1][1] >= 40 and found[5] == (1, 1) and found[2] == (2, 0)
+
+
+def test_long_texts_simhash_and_substrings(spark, long_docs):
+    same = {r.doc_id: r.component_id for r in simhash.near_duplicates(long_docs).collect()}
+    assert len(same) == 5 and same[1] == 1
+    cut = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.dedup(long_docs).select("doc_id", "n_words", "n_removed").collect()}
+    assert cut[1][0] == 200_000 and cut[3][1] >= cut[3][0] - 2 and cut[4] == (0, 0) and cut[5] == (1, 0)
+
+
+def test_long_texts_classifiers(spark, long_docs):
+    assert {r.doc_id: r.licences for r in licences.scan(long_docs).collect()}[1] == []
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (5, 1)], "doc_id long, toxic int")
+    assert toxicity.score(long_docs, labels).where("score between 0 and 1").count() == 5
+    good = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    judged = {r.doc_id: r.n_words for r in quality.judge(long_docs.withColumn("lang", F.lit("en")), good).collect()}
+    assert judged[1] == 200_000 and judged[5] == 1 and judged[4] == 0
+
+
+def test_long_texts_chat_and_urls(spark):
+    talk = spark.createDataFrame([(1, 0, "user", prose(5, 200_000)), (1, 1, "assistant", "x" * 1_000_000)], "conv_id long, turn long, role string, text string")
+    assert [(r.n_turns, r.loss_chars) for r in chat.digest(chat.windows(talk)).collect()] == [(2, 1_000_000)]
+    pages = spark.createDataFrame([(1, "http://a.org/" + "y" * 1_000_000), (2, "http://a.net/" + "y" * 1_000_000), (3, "http://a.com/de/1")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages).select("page_id", "rule", "verdict").collect()}
+    assert got[1] == ("org/", "allow") and got[2][0] is None and got[3] == ("com/de/", "block")
+
+
+def test_null_ids_and_repeated_rows_elsewhere(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (8, "MIT License")]
+    df = spark.createDataFrame(rows, DOCS)
+    ids = lambda out: sorted(r.doc_id or 0 for r in out.collect())
+    assert ids(licences.scan(df)) == ids(toxicity.score(df, spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int"))) == [0, 0, 7, 7, 8]
+    assert ids(quality.judge(df.withColumn("lang", F.lit("en")), spark.createDataFrame([(7, 1)], "doc_id long, quality int"))) == [0, 0, 7, 7, 8]
+    assert ids(simhash.near_duplicates(df)) == [0, 0, 7, 7, 8]
+
+
+def test_pipeline_on_empty_tables_null_ids_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = "doc_id long, text string, lang string, source string, n_chars long, score double, _hash string"
+    def written(name, rows):
+        for table, data, schema in (("documents", rows, docs), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [], "item_id long, text string")):
+            spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        return f"{tmp_path}/{name}"
+
+    assert corpus_pipeline.run(spark, written("empty", [])).count() == 0
+    rows = [(None, "no id " + prose(1, 20), None, None, None, 1.0, "h"), (1, prose(2, 20), "en", "s", 3, 1.0, "h"), (1, prose(2, 20), "en", "s", 3, 1.0, "h"), (2, None, None, None, None, None, None), (3, "", "en", "s", 0, None, None)]
+    out = corpus_pipeline.run(spark, written("odd", rows)).collect()
+    assert {r.doc_id for r in out} == {None, 1, 2}  # 2 and 3 are empty texts, hence copies
+    assert len({(r.doc_id, r.start) for r in out if r.doc_id == 1}) == sum(r.doc_id == 1 for r in out)
