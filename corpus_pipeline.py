@@ -1,4 +1,13 @@
-"""The corpus pipeline: toxicity, near-dedup, substring dedup, decontamination, packing."""
+"""The corpus pipeline: toxicity, near-dedup, substring dedup, decontamination, packing.
+
+Every stage works on all rows that its predecessor kept, stored between stages.
+All but the last return the columns of documents; further columns are dropped. A
+null or empty text is not toxic, links with other empty texts, has no words to
+remove and packs as the end id alone. Rows without doc_id stay in every stage.
+Of a group of near copies the row with the least doc_id stays (of several rows
+with that doc_id the one with the least hash of its text, once). An empty table
+gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +21,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose predicted class is 0, by a model fitted on this stage's own labelled documents."""
     return toxicity.keep_clean(docs, read_table(spark, sf_dir, "labels")).select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component."""
     return simhash.keep_first(docs).select(COLUMNS)
 
 
@@ -26,10 +37,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of which less than a twentieth of the words stand in benchmark windows."""
     return decontaminate.scan(docs, read_table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per power-of-two piece, with its token ids."""
     return packing.pack(docs)
 
 
