@@ -131,7 +131,7 @@ def assign_lfdr(psm: DataFrame, width: float = 0.01) -> DataFrame:
     return binned.where(~F.col("is_decoy")).join(F.broadcast(rate), ["charge_class", "bin"])  # 2 / width rows at most
 
 
-def fit_mixture(hist: DataFrame, cycles: int = 300, tolerance: float = 1e-6, offset: float = 0.3) -> dict[int, dict[str, float]]:
+def fit_mixture(hist: DataFrame, cycles: int = 300, tolerance: float = 1e-6) -> dict[int, dict[str, float]]:
     """Per class a gamma (false) and a normal (true) component fitted to the score histogram by EM.
 
     The histogram is a few hundred bins whatever the input; it is gathered once,
@@ -141,7 +141,11 @@ def fit_mixture(hist: DataFrame, cycles: int = 300, tolerance: float = 1e-6, off
     rows = hist.select("charge_class", (F.col("bin") / 10).alias("x"), F.col("hits").cast("double").alias("n")).where("n > 0").collect()
     for c in sorted({r.charge_class for r in rows}):
         own = [(r.x, r.n) for r in rows if r.charge_class == c]
-        mt, vt, mf, vf, prior = 4.48, 1.50, 0.19, 0.17, 0.25  # fixed values: the starting point
+        low, high = min(x for x, _ in own), max(x for x, _ in own)
+        reach = max(high - low, 1e-3)
+        # fixed values: the starting point, a quarter inside the range's ends, a tenth of it as variance, a prior of 0.1
+        mf, mt, vf, vt, prior = low + reach / 4, high - reach / 4, reach / 10, reach / 10, 0.1
+        offset = 0.0 if 0 <= low <= 0.1 else -low  # the gamma begins where the scores do
         total = sum(n for _, n in own)
         for _ in range(cycles):
             shape, scale = (mf + offset) ** 2 / vf, vf / (mf + offset)
@@ -203,12 +207,13 @@ def searched_scans(psm: DataFrame) -> DataFrame:
 def discovery_curve(psm: DataFrame, order: list[str]) -> DataFrame:
     """Per spectrum file the peptides first seen in it and the running sum, files in the given order.
 
-    The running sum is over one row per file.
+    The running sum is over one row per file, dealt by ranges of the order.
     """
     first = psm.groupBy("aminos").agg(F.min(F.struct(*order)).alias("o"))
     new = first.groupBy("o").agg(F.count("*").alias("new_peptides")).select("o.*", "new_peptides")
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return new.withColumn("seen", F.sum("new_peptides").over(w))
+    rows = ranges.carried(ranges.placed(new, [], order), [], _before=(F.sum("new_peptides"), F.sum))
+    here = F.sum("new_peptides").over(ranges.inside([], order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("seen", here + F.coalesce("_before", F.lit(0))).select(*order, "new_peptides", "seen")
 
 
 def engine_consensus(psm: DataFrame, k: int = 2) -> DataFrame:

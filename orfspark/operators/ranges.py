@@ -227,7 +227,9 @@ def split_disjoint(intervals: DataFrame, keys: list[str], start: str, stop: str,
 def bin_spine(df: DataFrame, keys: list[str], bin_col: str) -> DataFrame:
     """Every bin between the least and the largest of each key."""
     ends = df.groupBy(*keys).agg(F.min(bin_col).alias("_a"), F.max(bin_col).alias("_z")) if keys else df.agg(F.min(bin_col).alias("_a"), F.max(bin_col).alias("_z"))
-    return ends.where("_a is not null").select(*keys, F.explode(F.sequence("_a", "_z")).alias(bin_col))
+    # in two steps, so that a far outlier makes many rows and not one endless array
+    steps = ends.where("_a is not null").select(*keys, F.explode(F.sequence(F.col("_a"), F.col("_z"), F.lit(100_000).cast("long"))).alias("_s"), "_z")
+    return steps.select(*keys, F.explode(F.sequence("_s", F.least(F.col("_s") + 99_999, F.col("_z")))).alias(bin_col))
 
 
 def histogram(df: DataFrame, value: str | Column, width: float, keys: list[str] | None = None, origin: float = 0.0) -> DataFrame:

@@ -67,7 +67,7 @@ def mass_sql(text: str) -> str:
 
 
 add("x16_fragment_ions", lambda s, d: words(s, d).select("conv_id", "turn", "pos", F.explode(X.fragment_ions(F.col("t"))).alias("i")).select("conv_id", "turn", "pos", "i.series", F.col("i.n").cast("long").alias("n"), F.round(F.col("i.mz") * 1_000_000).cast("long").alias("mz_e6")),
-    f"""WITH {WORD}, c AS (SELECT conv_id, turn, pos, t, unnest(range(1, length(t))) AS n FROM w), m AS (SELECT conv_id, turn, pos, n, length(t) - n AS k, {mass_sql("t[1:n]")} AS b, {mass_sql("t[n + 1:]")} AS y FROM c)
+    f"""WITH {WORD}, c AS (SELECT conv_id, turn, pos, t, unnest(range(1, length(t))) AS n FROM w), m AS (SELECT conv_id, turn, pos, n, length(t) - n AS k, CAST({mass_sql("t[1:n]")} AS DOUBLE) AS b, CAST({mass_sql("t[n + 1:]")} AS DOUBLE) AS y FROM c)
  SELECT conv_id, turn, pos, unnest(['b', 'y', 'a', 'b-h2o', 'b-nh3', 'y-h2o', 'y-nh3']) AS series, unnest([n, k, n, n, n, k, k]) AS n,
  CAST(round(1000000 * unnest([b + {X.PROTON}, y + {X.WATER} + {X.PROTON}, b + {X.PROTON} - 27.9949, b + {X.PROTON} - {X.WATER}, b + {X.PROTON} - 17.0265, y + {X.PROTON}, y + {X.WATER} + {X.PROTON} - 17.0265])) AS BIGINT) AS mz_e6 FROM m""")
 add("x18_alternate_sites", lambda s, d: words(s, d).select("conv_id", "turn", "pos", F.array_join(F.transform(X.alternate_sites(F.col("t"), 2), lambda x: F.array_join(x.cast("array<string>"), "-")), ",").alias("sites")),
