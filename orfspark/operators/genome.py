@@ -204,15 +204,23 @@ def free_pairs(orfs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def call_structure(orfs: DataFrame, located: DataFrame) -> DataFrame:
-    """NOVEL without a protein; UNDERPREDICTED if the first unique peptide starts more than 3 nt upstream of
-    the protein, or at its start without M; else OK."""
+    """(orf_name, protein_id, ahead, call): NOVEL without a protein; UNDERPREDICTED if the first unique peptide starts
+    more than 3 nt upstream of the protein, or at its start without M; else OK, also without a unique peptide; NO EVIDENCE
+    without any peptide."""
     first = first_peptide(located, True).select("orf_name", F.col("aminos").alias("p_aminos"), F.col("start").alias("p_start"), F.col("stop").alias("p_stop"))
-    rows = orfs.join(first, "orf_name")
+    seen = located.select("orf_name").distinct().withColumn("seen", F.lit(True))
+    rows = orfs.join(first, "orf_name", "left").join(seen, "orf_name", "left")
     ahead = F.when(F.col("strand") == "-", F.col("p_stop") - F.col("protein_stop")).otherwise(F.col("protein_start") - F.col("p_start"))
-    call = F.when(F.col("protein_id").isNull(), "NOVEL").when((ahead > 3) | ((ahead == 0) & ~F.col("p_aminos").startswith("M")), "UNDERPREDICTED").otherwise("OK")
+    call = F.when(F.col("seen").isNull(), "NO EVIDENCE").when(F.col("protein_id").isNull(), "NOVEL").when((ahead > 3) | ((ahead == 0) & ~F.col("p_aminos").startswith("M")), "UNDERPREDICTED").otherwise("OK")
     return rows.select("orf_name", "protein_id", ahead.alias("ahead"), call.alias("call"))
 
 
+def short_proteins(orfs: DataFrame, longest: int = 100) -> DataFrame:
+    """(orf_name, protein_id, residues) of ORFs with a protein of at most `longest` residues (its stop codon is none)."""
+    residues = F.floor((F.col("protein_stop") - F.col("protein_start") + 1) / 3) - 1
+    return orfs.where("protein_id is not null").select("orf_name", "protein_id", residues.alias("residues")).where(F.col("residues") <= longest)
+
+
 def upstream_starts(orfs: DataFrame) -> DataFrame:
     """(orf_name, at, codon) of in-frame ATG, GTG, TTG from the ORF's first base up to its first peptide.
 
@@ -231,13 +239,16 @@ def corrected_starts(starts: DataFrame) -> DataFrame:
 
 
 def signal_peptides(rows: DataFrame) -> DataFrame:
-    """Decision 0-5 of (orf_name, prefix: residues ahead of the first peptide, tryptic_n).
+    """Decision 0-5 of (orf_name, prefix: residues from the protein's annotated start up to the first unique peptide,
+    tryptic_n).
 
-    0 tryptic, 1 shorter than 15, 2 longer than 50, 3 no hydrophobic patch, 4 patch, 5 patch, motif and basic residue.
+    0 tryptic, 1 shorter than 15, 2 longer than 50, 3 no hydrophobic patch, 4 patch, 5 patch, motif and a basic residue
+    before the patch (the first three residues of its first stretch of five included).
     """
     n, prefix = F.length("prefix"), F.col("prefix")
-    patch = X.hydrophobic_patch(X.hydropathy_plot(prefix)) >= 0
-    d = F.when(F.col("tryptic_n"), 0).when(n < 15, 1).when(n > 50, 2).when(~patch, 3).when(X.signal_motif(prefix) & X.has_basic(prefix, 0, 10), 5).otherwise(4)
+    at = X.hydrophobic_patch(X.hydropathy_plot(prefix))
+    patch, basic = at >= 0, F.substr(prefix, F.lit(1), at + 3).rlike("[KR]")
+    d = F.when(F.col("tryptic_n"), 0).when(n < 15, 1).when(n > 50, 2).when(~patch, 3).when(X.signal_motif(prefix) & basic, 5).otherwise(4)
     return rows.select("orf_name", d.alias("decision"))
 
 

@@ -223,18 +223,29 @@ def localized_sites(psm: DataFrame, certain: float = 13.0) -> DataFrame:
     return by.withColumn("certain", F.coalesce(F.col("best") >= certain, F.lit(False)))
 
 
-def gel_spots(psm: DataFrame, contaminants: list | None = None, top: int = 3) -> DataFrame:
-    """The `top` proteins of each spot by spectra; contaminants are flagged."""
-    n = psm.groupBy("spot", "protein").agg(F.count("*").alias("spectra"))
-    w = Window.partitionBy("spot").orderBy(F.desc("spectra"), "protein")
-    return n.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).withColumn("contaminant", F.col("protein").isin(contaminants or []))
+def gel_spots(psm: DataFrame, contaminants: list | None = None, top: int = 3, least: int = 2) -> DataFrame:
+    """(spot, place, protein, spectra, total, contaminating): the `top` proteins of each spot by spectra, with the
+    spot's spectra and those of contaminants, which take no place, nor do proteins of fewer than `least` spectra. A
+    number of spectra names one protein, of several the last by name."""
+    n = psm.groupBy("spot", "protein").agg(F.count("*").alias("spectra")).withColumn("bad", F.col("protein").isin(contaminants or []))
+    whole = n.groupBy("spot").agg(F.sum("spectra").alias("total"), F.sum(F.when(F.col("bad"), F.col("spectra")).otherwise(0)).alias("contaminating"))
+    named = n.where(~F.col("bad") & (F.col("spectra") >= least)).groupBy("spot", "spectra").agg(F.max("protein").alias("protein"))
+    place = F.row_number().over(Window.partitionBy("spot").orderBy(F.desc("spectra")))
+    return named.withColumn("place", place).where(F.col("place") <= top).join(whole, "spot").select("spot", "place", "protein", "spectra", "total", "contaminating")
 
 
-def gel_pairs(spots: DataFrame, least: int = 3) -> DataFrame:
-    """(major, minor, gels) of proteins that stand first and second in spots of at least `least` gels."""
-    one, two = spots.where("place = 1"), spots.where("place = 2")
-    pairs = one.select("gel", "spot", F.col("protein").alias("major")).join(two.select("gel", "spot", F.col("protein").alias("minor")), ["gel", "spot"])
-    return pairs.groupBy("major", "minor").agg(F.count_distinct("gel").alias("gels")).where(F.col("gels") >= least)
+def passing_proteins(psm: DataFrame, contaminants: list | None = None, least: int = 2) -> DataFrame:
+    """Psm counted as (gel, spot, protein, spectra) without contaminants and proteins of fewer spectra."""
+    n = psm.groupBy("gel", "spot", "protein").agg(F.count("*").alias("spectra"))
+    return n.where(~F.col("protein").isin(contaminants or []) & (F.col("spectra") >= least))
+
+
+def gel_pairs(passing: DataFrame, least: int = 3) -> DataFrame:
+    """(major, minor, gels, spots): the major protein of a spot with every other one that passes there (see
+    `passing_proteins`), on at least `least` gels. The major one has most spectra (ties: the lesser name)."""
+    best = passing.groupBy("gel", "spot").agg(F.min(F.struct((-F.col("spectra")).alias("n"), F.col("protein"))).alias("b")).select("gel", "spot", F.col("b.protein").alias("major"))
+    pairs = passing.join(best, ["gel", "spot"]).where("protein <> major")
+    return pairs.groupBy("major", F.col("protein").alias("minor")).agg(F.count_distinct("gel").alias("gels"), F.count("*").alias("spots")).where(F.col("gels") >= least)
 
 
 def spot_coverage(psm: DataFrame, spots: int = 2) -> DataFrame:
@@ -247,16 +258,21 @@ def spot_coverage(psm: DataFrame, spots: int = 2) -> DataFrame:
 
 
 def pair_weights(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """Pairs (major, minor) with the difference of their weights (protein, weight)."""
+    """Pairs (major, minor) with their weights (protein, weight) and the major's less the minor's."""
     w = lambda c: weights.select(F.col("protein").alias(c), F.col("weight").alias(f"{c}_weight"))
-    return pairs.join(w("major"), "major", "left").join(w("minor"), "minor", "left").withColumn("difference", F.abs(F.col("major_weight") - F.col("minor_weight")))
+    return pairs.join(w("major"), "major", "left").join(w("minor"), "minor", "left").withColumn("difference", F.col("major_weight") - F.col("minor_weight"))
 
 
-def sticky_proteins(spots: DataFrame, least: int = 2) -> DataFrame:
-    """(spot_no, protein) with `least` spectra in this spot and in the one before; spots are numbered in order."""
-    good = spots.where(F.col("spectra") >= least)
-    before = F.lag("spot_no").over(Window.partitionBy("protein").orderBy("spot_no"))
-    return good.withColumn("_b", before).where(F.col("_b") == F.col("spot_no") - 1).select("spot_no", "protein")
+def sticky_proteins(spots: DataFrame, contaminants: list | None = None, least: int = 2) -> DataFrame:
+    """(spot, protein) with `least` spectra in this spot and in the one picked before it, contaminants left out.
+
+    spots: (spot, protein, spectra); spots are picked in the order of their names, and one without a passing protein is
+    still the one before the next. Spots are dealt by ranges to find their successors.
+    """
+    good = spots.where(~F.col("protein").isin(contaminants or []) & (F.col("spectra") >= least)).select("spot", "protein")
+    order = ranges.following(ranges.placed(spots.select("spot").distinct(), [], ["spot"]), [], "spot", "next").where("next is not null")
+    carried = good.join(order.select("spot", "next"), "spot").select(F.col("next").alias("spot"), "protein")
+    return good.join(carried, ["spot", "protein"], "left_semi")
 
 
 def best_n(df: DataFrame, keys: list[str], order: list[Column | str], n: int = 3) -> DataFrame:

@@ -12,20 +12,35 @@ from pyspark.sql import functions as F
 from .ranges import running_above
 
 
+def order_statistics(df: DataFrame, column: str, places: list[int]) -> list[float | None]:
+    """Values at places (from 0) of a column in rising order, nulls left out: rows are counted by value, and the counts
+    run up over ranges of values, so no task sees all of them."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    up = running_above(counts.withColumn("_o", -F.col("x")), "_o", ["n"])
+    wanted = F.explode(F.array(*[F.lit(p) for p in places])).alias("place")
+    at = up.select("x", F.col("n_above").alias("lo"), (F.col("n_above") + F.col("n")).alias("hi"), wanted).where("place >= lo and place < hi")
+    found = {r.place: r.x for r in at.collect()}  # a row per place
+    return [found.get(p) for p in places]
+
+
 def scale_features(df: DataFrame, cols: list[str]) -> DataFrame:
-    """M1: (x - median) over the 2.5 to 97.5 percentile range, per column; constant columns become 0."""
-    stats = df.agg(*[F.percentile(c, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias(c) for c in cols]).first()
+    """M1: each column mapped so that its values at 2.5 and 97.5 percent of the rows, in rising order, become -1 and 1;
+    0 where they are equal."""
+    n = df.count()
+    place = lambda share: min(int(n * share + 0.5), max(n - 1, 0))
     out = df
     for c in cols:
-        lo, mid, hi = stats[c]
-        out = out.withColumn(c, (F.col(c) - mid) / (hi - lo) if hi > lo else F.lit(0.0))
+        lo, hi = order_statistics(df, c, [place(0.025), place(0.975)])
+        out = out.withColumn(c, (F.col(c) - lo) / ((hi - lo) / 2) - 1 if lo is not None and hi is not None and hi > lo else F.lit(0.0))
     return out
 
 
 def prior_false(df: DataFrame, database_ratio: float) -> float:
-    """M1: prior of false by the ratio of database sizes, at most 0.99."""
+    """M1: share of false rows, those among label 1 being as many as label 0 has times database_ratio (sizes of the true
+    to the false database); 0.99 where that leaves no true ones."""
     r = df.agg(F.count_if(F.col("label") == 0).alias("f"), F.count_if(F.col("label") == 1).alias("t")).first()
-    return min(0.99, database_ratio * r.f / max(r.t + r.f, 1))
+    hidden = r.f * database_ratio
+    return 0.99 if hidden >= r.t else (r.f + hidden) / (r.t + r.f)
 
 
 def assembled(df: DataFrame, cols: list[str]) -> DataFrame:

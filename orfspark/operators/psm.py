@@ -123,12 +123,13 @@ def assign_pvalue(scored: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def assign_lfdr(psm: DataFrame, width: float = 0.01) -> DataFrame:
-    """A5: forward hits with local_fdr of their p-value bin and class, and cumulative fdr up to the bin."""
+    """A5: forward hits with local_fdr of their p-value bin and class, and fdr, the rate of decoys in that bin and all
+    bins of larger p-values."""
     binned = psm.withColumn("charge_class", charge_class()).withColumn("bin", F.floor(F.col("p_value") / width))
     hist = binned.groupBy("charge_class", "bin").agg(F.count_if(~F.col("is_decoy")).alias("tp"), F.count_if("is_decoy").alias("fp"))
-    w = Window.partitionBy("charge_class").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("charge_class").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     rate = hist.select("charge_class", "bin", (F.col("fp") / (F.col("tp") + F.col("fp"))).alias("local_fdr"), (F.sum("fp").over(w) / (F.sum("tp").over(w) + F.sum("fp").over(w))).alias("fdr"))
-    return binned.where(~F.col("is_decoy")).join(F.broadcast(rate), ["charge_class", "bin"])  # 2 / width rows at most
+    return binned.where(~F.col("is_decoy")).join(ranges.small(rate), ["charge_class", "bin"])
 
 
 def fit_mixture(hist: DataFrame, cycles: int = 300, tolerance: float = 1e-6) -> dict[int, dict[str, float]]:

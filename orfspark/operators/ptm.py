@@ -39,12 +39,13 @@ def with_protein_coverage(features: DataFrame, coverage: DataFrame) -> DataFrame
 
 
 def peptide_features(psm: DataFrame, best: int = 100) -> DataFrame:
-    """Features of (annotation, charge) over its best spectra."""
+    """Features of (annotation, charge) over its best spectra; log_length_5 is null up to five residues."""
     w = Window.partitionBy("annotation", "charge").orderBy(F.desc("f_score"), "spectrum_file", "scan", "rank")
     top = psm.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= best)
     return top.groupBy("annotation", "charge").agg(
         F.max("f_score").alias("best_f"), F.max_by("delta", -F.col("_n")).alias("best_f_delta"), F.max("mq_score").alias("best_mq"),
         F.log(F.count("*")).alias("log_n"), F.log(F.count("*") + 1).alias("log_n1"), F.log(F.max("length")).alias("log_length"),
+        F.log(F.max("length") - 5).alias("log_length_5"),
     )
 
 
@@ -59,25 +60,29 @@ def ptm_counts(sites: DataFrame, fdr: float = 0.05) -> DataFrame:
     return kept.groupingSets([["mass"], ["mass", "residue"]], "mass", "residue").agg(F.count("*").alias("sites"), F.sum("spectra").alias("spectra"))
 
 
-#: Masses and residues (any where none is named) of modifications that handling is known to cause, and of
-#: known biological ones.
-ADDUCTS = [(57, ""), (-17, "NQ"), (16, "MW"), (32, "MW"), (-48, "M"), (58, "M"), (-57, "C"), (-18, "DEST"), (22, "DEST")]
-BIOLOGICAL = [(161, "Q"), (-43, "C"), (42, ""), (80, "STY"), (14, "KR"), (28, "KR")]
+#: Mass, residues (any where none is named) and kind of modifications that handling is known to cause and of
+#: known biological ones; the first that fits holds.
+KNOWN_MODS = [
+    (57, "", "adduct"), (-17, "NQ", "adduct"), (16, "MW", "adduct"), (32, "MW", "adduct"), (-48, "M", "adduct"), (58, "M", "adduct"),
+    (161, "Q", "biological"), (-43, "C", "biological"), (-57, "C", "adduct"), (-18, "DEST", "adduct"), (22, "DEST", "adduct"),
+    (38, "DEST", "adduct"), (80, "STY", "biological"), (160, "STY", "biological"), (42, "", "biological"), (72, "K", "biological"),
+    (55, "R", "biological"), (58, "K", "biological"), (43, "", "adduct"), (14, "HK", "biological"), (12, "W", "adduct"),
+    (28, "HK", "biological"), (28, "ST", "adduct"), (40, "Q", "adduct"), (4, "W", "biological"),
+]
 
 
-def classify_ptm_counts(counts: DataFrame, top: int = 25) -> tuple[DataFrame, DataFrame]:
-    """Counts by (mass, residue) as classes (class, kinds, sites, spectra): adduct, biological, unknown; and the
-    `top` unknown ones by sites."""
+def mod_kind(mass: Column, residue: Column) -> Column:
+    """Adduct, biological or unknown."""
+    fits = [(mass == m) & (residue.isin(*r) if r else F.lit(True)) for m, r, _ in KNOWN_MODS]
+    return F.coalesce(*[F.when(f, F.lit(kind)) for f, (_, _, kind) in zip(fits, KNOWN_MODS, strict=True)], F.lit("unknown"))
 
-    def among(table: list[tuple[int, str]]):
-        out = F.lit(False)
-        for mass, residues in table:
-            out = out | ((F.col("mass") == mass) & (F.col("residue").isin(*residues) if residues else F.lit(True)))
-        return out
 
-    named = counts.where("residue is not null").withColumn("class", F.when(among(ADDUCTS), "adduct").when(among(BIOLOGICAL), "biological").otherwise("unknown"))
+def classify_ptm_counts(counts: DataFrame, top: int = 25) -> tuple[DataFrame, DataFrame]:
+    """Counts by (mass, residue) as classes (class, kinds, sites, spectra): adduct, biological, unknown; and the
+    `top` unknown ones by sites, mass and residue, all falling."""
+    named = counts.where("residue is not null").withColumn("class", mod_kind(F.col("mass"), F.col("residue")))
     classes = named.groupBy("class").agg(F.count("*").alias("kinds"), F.sum("sites").alias("sites"), F.sum("spectra").alias("spectra"))
-    return classes, named.where("class = 'unknown'").orderBy(F.desc("sites"), "mass", "residue").limit(top).drop("class")
+    return classes, named.where("class = 'unknown'").orderBy(F.desc("sites"), F.desc("mass"), F.desc("residue")).limit(top).drop("class")
 
 
 def choose_known(sites: DataFrame, known: DataFrame, tolerance: float = 0.5) -> DataFrame:
@@ -90,12 +95,17 @@ def choose_known(sites: DataFrame, known: DataFrame, tolerance: float = 0.5) ->
     return rows.select("site", F.when(take, F.col("k.known_mass")).otherwise(F.col("mass")).alias("mass"), F.when(take, F.col("k.known_p")).otherwise(F.col("p")).alias("p"), take.alias("known"))
 
 
-def compare_ptm_rates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two samples (site, modified, total): rates, chi-square and a note (A, B: only there; C: both)."""
-    two = a.select("site", F.col("modified").alias("a_mod"), F.col("total").alias("a_all")).join(b.select("site", F.col("modified").alias("b_mod"), F.col("total").alias("b_all")), "site", "full_outer").na.fill(0)
+def compare_ptm_rates(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Two samples (keys, modified, total) as rates in percent, chi-square and a note: B where a has no spectra over
+    the site (also if neither has: the original's C for that is overwritten by its next test), A where b has none, else
+    empty; chi-square only where the note is empty."""
+    keys = keys or ["site"]
+    side = lambda df, m: df.select(*keys, F.col("modified").alias(f"{m}_mod"), F.col("total").alias(f"{m}_all"))
+    two = side(a, "a").join(side(b, "b"), keys, "full_outer").na.fill(0, ["a_mod", "a_all", "b_mod", "b_all"])
+    note = F.when(F.col("a_all") == 0, "B").when(F.col("b_all") == 0, "A").otherwise("")
     chi = X.chi2_2x2(F.col("a_mod"), F.col("a_all") - F.col("a_mod"), F.col("b_mod"), F.col("b_all") - F.col("b_mod"))
-    note = F.when((F.col("a_mod") > 0) & (F.col("b_mod") > 0), "C").when(F.col("a_mod") > 0, "A").when(F.col("b_mod") > 0, "B")
-    return two.withColumn("chi2", chi).withColumn("note", note)
+    rate = lambda m: 100 * F.col(f"{m}_mod") / F.greatest(f"{m}_all", F.lit(1))
+    return two.withColumn("a_rate", rate("a")).withColumn("b_rate", rate("b")).withColumn("chi2", F.when(note == "", chi)).withColumn("note", note)
 
 
 def chi2_p(chi2: DataFrame, column: str = "chi2") -> DataFrame:
@@ -112,11 +122,57 @@ def erfc(x: Column) -> Column:
     return 1 / F.pow(total, F.lit(16))
 
 
-def site_diff(a: DataFrame, b: DataFrame, ratio: float = 2, least: int = 2) -> DataFrame:
-    """Per site with `least` spectra in all: A or B where its rate is `ratio` times the other's, else Both."""
-    two = compare_ptm_rates(a, b).where(F.col("a_mod") + F.col("b_mod") >= least)
+def first_places(places: DataFrame) -> DataFrame:
+    """The first place of each peptide in a sequence, of (aminos, seq_id, pos)."""
+    return ranges.stored(places.groupBy("aminos", "seq_id").agg(F.min("pos").alias("pos")))
+
+
+def modified_residues(psm: DataFrame, first: DataFrame) -> DataFrame:
+    """(protein, pos from 1, mass, modified): spectra of modified residues by rounded mass (half away from zero); a
+    mod that rounds to 0 counts as none. psm: (aminos, mods array of (pos from 0, mass), spectra)."""
+    mods = psm.select("aminos", "spectra", F.explode("mods").alias("m")).groupBy("aminos", F.col("m.pos").alias("at"), F.round("m.mass").cast("int").alias("mass")).agg(F.sum("spectra").alias("spectra"))
+    return mods.where("mass <> 0").join(first, "aminos").groupBy(F.col("seq_id").alias("protein"), (F.col("pos") + F.col("at")).alias("pos"), "mass").agg(F.sum("spectra").alias("modified"))
+
+
+def residue_totals(psm: DataFrame, first: DataFrame, points: DataFrame) -> DataFrame:
+    """(protein, pos, total): spectra over each point (protein, pos), modified or not. Depths run up over the ends of
+    the peptides, dealt by ranges: no residue is exploded."""
+    seen = psm.groupBy("aminos").agg(F.sum("spectra").alias("spectra")).join(first, "aminos")
+    ends = seen.select(F.col("seq_id").alias("protein"), F.col("pos").alias("x"), F.col("spectra").alias("d")).union(seen.select("seq_id", F.col("pos") + F.length("aminos"), -F.col("spectra")))
+    ends = ends.groupBy("protein", "x").agg(F.sum("d").alias("d"))
+    rows = ends.select("protein", "x", "d", F.lit(False).alias("point")).unionByName(points.select("protein", F.col("pos").alias("x")).distinct().withColumn("d", F.lit(0).cast("long")).withColumn("point", F.lit(True)))
+    dealt = ranges.carried(ranges.placed(rows, ["protein"], ["x"]), ["protein"], _before=(F.sum("d"), F.sum))
+    depth = F.sum("d").over(ranges.inside(["protein"], ["x"]).rangeBetween(Window.unboundedPreceding, 0)) + F.coalesce("_before", F.lit(0))
+    return dealt.withColumn("total", depth).where("point").select("protein", F.col("x").alias("pos"), "total")
+
+
+def residue_mods(psm: DataFrame, places: DataFrame) -> DataFrame:
+    """(protein, pos, mass, modified, total): modified residues of each sequence with all spectra over them. places:
+    (aminos, seq_id, pos) as `ranges.map_peptides` finds them, of which a peptide counts at its first in a sequence."""
+    first = first_places(places)
+    spots = ranges.stored(modified_residues(psm, first))
+    return spots.join(residue_totals(psm, first, spots), ["protein", "pos"])
+
+
+def compare_residues(a: DataFrame, b: DataFrame, places: DataFrame, least: int = 5) -> DataFrame:
+    """`site_diff` of two samples of hits (aminos, mods, spectra) over the same sequences."""
+    first = first_places(places)
+    spots = [ranges.stored(modified_residues(x, first)) for x in (a, b)]
+    keys = ["protein", "pos", "mass"]
+    every = ranges.stored(spots[0].select(keys).union(spots[1].select(keys)).distinct())
+    full = [every.join(s, keys, "left").join(residue_totals(x, first, every), ["protein", "pos"], "left").na.fill(0, ["modified", "total"]) for s, x in zip(spots, (a, b), strict=True)]
+    return site_diff(*full, least=least)
+
+
+def site_diff(a: DataFrame, b: DataFrame, keys: list[str] | None = None, ratio: float = 2, least: int = 5) -> DataFrame:
+    """Sites (keys: protein, pos, mass) of two samples (keys, modified, total; see `residue_mods`) with at least
+    `least` modified spectra on one side: A or B where its rate is more than `ratio` times the other's, else Both; with
+    the lesser count and rate (percent)."""
+    keys = keys or ["protein", "pos", "mass"]
+    two = compare_ptm_rates(a, b, keys).where((F.col("a_mod") >= least) | (F.col("b_mod") >= least))
     ra, rb = F.col("a_mod") / F.greatest("a_all", F.lit(1)), F.col("b_mod") / F.greatest("b_all", F.lit(1))
-    return two.select("site", "a_mod", "a_all", "b_mod", "b_all", F.when(ra >= ratio * rb, "A").when(rb >= ratio * ra, "B").otherwise("Both").alias("call"))
+    call = F.when(ra > ratio * rb, "A").when(rb > ratio * ra, "B").otherwise("Both")
+    return two.select(*keys, "a_mod", "a_all", "b_mod", "b_all", call.alias("call"), F.least("a_mod", "b_mod").alias("min_count"), F.least("a_rate", "b_rate").alias("min_rate"))
 
 
 def explain_ptm(sites: DataFrame, mods: DataFrame, substitutions: DataFrame) -> DataFrame:
@@ -140,11 +196,13 @@ def explain_ptm(sites: DataFrame, mods: DataFrame, substitutions: DataFrame) ->
     return found.distinct().groupBy("site").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
 
 
-def ptm_mass(psm: DataFrame, trim: float = 0.5) -> DataFrame:
-    """Per site mean, deviation, modal isotope and the mean within `trim` of the mode."""
-    iso = F.round("delta_mass")
-    modal = psm.groupBy("site").agg(F.avg("delta_mass").alias("mean"), F.stddev_pop("delta_mass").alias("sd"), F.mode(iso, True).alias("isotope"))
-    near = psm.join(modal.select("site", "isotope"), "site").where(F.abs(F.col("delta_mass") - F.col("isotope")) <= trim).groupBy("site").agg(F.avg("delta_mass").alias("trimmed_mean"))
+def ptm_mass(psm: DataFrame, trim: float = 0.5, proton: float = 1.0078) -> DataFrame:
+    """Per site mean and deviation of its masses (less a proton), their modal isotope (ties: the least), and number,
+    mean and deviation of the masses within `trim` of it."""
+    rows = psm.select("site", (F.col("delta_mass") - proton).alias("m"))
+    modal = rows.groupBy("site").agg(F.count("*").alias("n"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("sd"), F.mode(F.round("m"), True).alias("isotope"))
+    near = rows.join(modal.select("site", "isotope"), "site").where(F.abs(F.col("m") - F.col("isotope")) <= trim)
+    near = near.groupBy("site").agg(F.count("*").alias("trimmed_n"), F.avg("m").alias("trimmed_mean"), F.stddev_pop("m").alias("trimmed_sd"))
     return modal.join(near, "site", "left")
 
 

@@ -25,9 +25,13 @@ def window_filter(peaks: DataFrame, width: float = 50.0, k: int = 6) -> DataFram
 
 
 def spectrum_quality(peaks: DataFrame, least: int = 10) -> DataFrame:
-    """(spectrum, peaks, signal_to_noise = the fifth strongest over the median, good)."""
-    by = peaks.groupBy("spectrum").agg(F.count("*").alias("peaks"), F.median("intensity").alias("noise"), F.try_element_at(F.sort_array(F.collect_list("intensity"), False), F.lit(5)).alias("signal"))
-    return by.select("spectrum", "peaks", (F.col("signal") / F.col("noise")).alias("signal_to_noise"), (F.col("peaks") > least).alias("good"))
+    """(spectrum, peaks, signal_to_noise, good). Signal is the third strongest of five peaks or more, of fewer the
+    one at half their number from the top (rounded up); noise is the median, the upper one of two; null without noise."""
+    by = peaks.groupBy("spectrum").agg(F.count("*").alias("peaks"), F.sort_array(F.collect_list("intensity"), False).alias("i"))
+    n = F.size("i")
+    signal = F.get("i", F.ceil(F.least(n, F.lit(5)) / 2).cast("int") - 1)
+    noise = F.get("i", n - 1 - F.floor(n / 2).cast("int"))
+    return by.select("spectrum", "peaks", F.try_divide(signal, noise).alias("signal_to_noise"), (F.col("peaks") > least).alias("good"))
 
 
 def most_intense(peaks: DataFrame, fraction: float = 0.5) -> DataFrame:
@@ -37,13 +41,17 @@ def most_intense(peaks: DataFrame, fraction: float = 0.5) -> DataFrame:
     return total.withColumn("place", F.percent_rank().over(w)).where(F.col("place") < fraction).select("spectrum", "charge", "total")
 
 
-def pair_scans(scans: DataFrame) -> DataFrame:
-    """Partner scan of each level-2 scan: inside a run of level-2 scans odd members pair with the next, others stand alone."""
+def pair_scans(scans: DataFrame, mass_tol: float | None = None) -> DataFrame:
+    """Partner scan of each level-2 scan: inside a run of level-2 scans odd members pair with the next, others stand
+    alone. With mass_tol both need the same parent_mass within it, or each stands alone."""
     w = Window.partitionBy("spectrum_file").orderBy("scan")
     runs = scans.withColumn("_run", F.sum((F.col("ms_level") != 2).cast("int")).over(w)).where("ms_level = 2")
     r = Window.partitionBy("spectrum_file", "_run").orderBy("scan")
-    no = F.row_number().over(r)
-    return runs.select("spectrum_file", "scan", F.when(no % 2 == 1, F.coalesce(F.lead("scan").over(r), F.col("scan"))).otherwise(F.lag("scan").over(r)).alias("partner"))
+    other = lambda c: F.when(F.row_number().over(r) % 2 == 1, F.lead(c).over(r)).otherwise(F.lag(c).over(r))
+    partner = other("scan")
+    if mass_tol is not None:
+        partner = F.when(F.abs(other("parent_mass") - F.col("parent_mass")) <= mass_tol, partner)
+    return runs.select("spectrum_file", "scan", F.coalesce(partner, F.col("scan")).alias("partner"))
 
 
 def count_scans(peaks: DataFrame, least: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -181,18 +181,40 @@ def best_category(hits: DataFrame) -> DataFrame:
     return best.groupBy("spectrum").agg((F.min("_b") % 99).alias("category"), F.count_if(F.col("_k") == F.col("_b")).alias("ties"))
 
 
-def evaluate_signal(pred: DataFrame, observed: DataFrame) -> DataFrame:
-    """(score, accepted, rejected, unseen) of predicted cleavage places against observed first residues."""
-    both = pred.join(observed, "protein", "left")
-    state = F.when(F.col("first_pos").isNull(), "unseen").when(F.col("first_pos") == F.col("cut_pos"), "accepted").when(F.col("first_pos") < F.col("cut_pos"), "rejected").otherwise("unseen")
-    rows = both.select(F.round("score", 2).alias("score"), state.alias("state"))
-    return rows.groupBy("score").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("accepted", "rejected", "unseen")])
+def evaluate_signal(pred: DataFrame, cleaved: DataFrame, observed: DataFrame, slack: int = 3) -> DataFrame:
+    """(score, predicted, accepted, rejected) of predictions (protein, score, cut_pos) by score to two decimals.
+
+    Accepted: the protein is in the set of observed signal cleavages (cleaved: protein); rejected: it is not, and its
+    first observed residue (observed: protein, first_pos) lies more than `slack` before the predicted place.
+    """
+    sure = cleaved.select("protein").distinct().withColumn("sure", F.lit(True))
+    rows = pred.join(sure, "protein", "left").join(observed.groupBy("protein").agg(F.min("first_pos").alias("first_pos")), "protein", "left")
+    accepted = F.coalesce("sure", F.lit(False))
+    rejected = ~accepted & F.coalesce(F.col("cut_pos") - F.col("first_pos") > slack, F.lit(False))
+    return rows.groupBy(F.round("score", 2).alias("score")).agg(F.count("*").alias("predicted"), F.count_if(accepted).alias("accepted"), F.count_if(rejected).alias("rejected"))
+
+
+def observed_column(row: Column, offset: Column) -> Column:
+    """Column from 0 of the residue at `offset` (from 0) behind an aligned row's leading gaps; a row of gaps alone
+    counts as if its last one were a residue; null for an empty row."""
+    lead = F.length(F.regexp_extract(row, "^(-*)", 1))
+    return F.when(F.length(row) > 0, F.least(lead, F.length(row) - 1) + offset)
 
 
 def ortholog_start_check(alignments: DataFrame, observed: DataFrame) -> DataFrame:
-    """Members of an observed cluster whose aligned row holds only gaps up to the observed column."""
-    rows = alignments.join(observed.select("cluster", "column"), "cluster")
-    return rows.select("cluster", "genome", "column", F.substr(F.col("row"), F.lit(1), F.col("column") - 1).rlike("^-*$").alias("suspect"))
+    """(cluster, target, column, genome, state) of every aligned row (cluster, genome, row) of clusters in which a
+    target's first observed residue is known (observed: cluster, target, offset).
+
+    state: suspect if the row has a gap in that column and only gaps before it, short if the row ends before the column,
+    else ok. Targets whose own row is missing or empty give no rows.
+    """
+    own = alignments.select("cluster", F.col("genome").alias("target"), F.col("row").alias("own"))
+    at = observed.join(own, ["cluster", "target"]).select("cluster", "target", observed_column(F.col("own"), F.col("offset")).cast("int").alias("column")).where("column is not null")
+    rows = alignments.join(at, "cluster")
+    letter = F.substr(F.col("row"), F.col("column") + 1, F.lit(1))
+    ahead = F.substr(F.col("row"), F.lit(1), F.col("column"))
+    state = F.when(F.col("column") >= F.length("row"), "short").when((letter == "-") & ahead.rlike("^-*$"), "suspect").otherwise("ok")
+    return rows.select("cluster", "target", "column", "genome", state.alias("state"))
 
 
 def missing_genomes(alignments: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ add("a4_assign_pvalue", a4, f"""{BASE} SELECT spectrum_file, scan, rank, s.charg
 add("a5_local_fdr", lambda s, d: r6(P.assign_lfdr(V.psm(s, d)), "local_fdr", "fdr").select("spectrum_file", "scan", "rank", "charge_class", "bin", "local_fdr", "fdr"),
     f"""WITH {V.PSM}, b AS (SELECT *, {CLASS} AS charge_class, CAST(floor(p_value / 0.01) AS BIGINT) AS bin FROM psm),
  h AS (SELECT charge_class, bin, count(*) FILTER (NOT is_decoy) AS tp, count(*) FILTER (is_decoy) AS fp FROM b GROUP BY ALL),
- r AS (SELECT charge_class, bin, fp / (tp + fp) AS local_fdr, sum(fp) OVER w / (sum(tp) OVER w + sum(fp) OVER w) AS fdr FROM h WINDOW w AS (PARTITION BY charge_class ORDER BY bin))
+ r AS (SELECT charge_class, bin, fp / (tp + fp) AS local_fdr, sum(fp) OVER w / (sum(tp) OVER w + sum(fp) OVER w) AS fdr FROM h WINDOW w AS (PARTITION BY charge_class ORDER BY bin DESC))
  SELECT spectrum_file, scan, rank, b.charge_class, b.bin, round(local_fdr, 6) AS local_fdr, round(fdr, 6) AS fdr FROM b JOIN r ON r.charge_class = b.charge_class AND r.bin = b.bin WHERE NOT is_decoy""")
 
 
@@ -152,12 +152,21 @@ add("a28_modified_overlap", lambda s, d: inference.modified_overlap(V.psm(s, d))
 add("a29_nonredundant", lambda s, d: r6(inference.nonredundant(V.psm(s, d)), "mq_score"),
     f"WITH {V.PSM}, n AS (SELECT aminos, count(DISTINCT protein) > 1 AS several FROM psm GROUP BY 1), b AS (SELECT * FROM psm QUALIFY row_number() OVER (PARTITION BY aminos ORDER BY mq_score DESC, {KEY}) = 1) SELECT aminos, spectrum_file, scan, round(mq_score, 6) AS mq_score, several FROM b JOIN n USING (aminos)")
 SPOTS = "g AS (SELECT aminos % 40 AS spot, protein, count(*) AS spectra FROM psm GROUP BY 1, 2)"
+GEL = "gs AS (SELECT aminos % 400 AS spot, aminos % 20 AS gel, protein, count(*) AS spectra FROM psm WHERE protein NOT IN (1, 2) GROUP BY 1, 2, 3 HAVING count(*) >= 2)"
+
+
+def gel_psm(s, d):
+    return V.psm(s, d).withColumn("spot", F.col("aminos") % 400).withColumn("gel", F.col("aminos") % 20)
+
+
 add("a35_gel_spots", lambda s, d: inference.gel_spots(V.psm(s, d).withColumn("spot", F.col("aminos") % 40), [1, 2]),
-    f"WITH {V.PSM}, {SPOTS} SELECT spot, protein, spectra, row_number() OVER (PARTITION BY spot ORDER BY spectra DESC, protein) AS place, protein IN (1, 2) AS contaminant FROM g QUALIFY place <= 3")
-add("a36_gel_pairs", lambda s, d: inference.gel_pairs(inference.gel_spots(V.psm(s, d).withColumn("spot", F.col("aminos") % 400)).withColumn("gel", F.col("spot") % 20), 1),
-    f"WITH {V.PSM}, g AS (SELECT aminos % 400 AS spot, protein, count(*) AS spectra FROM psm GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY spot ORDER BY spectra DESC, protein) AS place FROM g) SELECT a.protein AS major, b.protein AS minor, count(DISTINCT a.spot % 20) AS gels FROM t a JOIN t b ON a.spot = b.spot AND a.place = 1 AND b.place = 2 GROUP BY 1, 2")
-add("w10_sticky_proteins", lambda s, d: inference.sticky_proteins(V.psm(s, d).groupBy((F.col("aminos") % 40).alias("spot_no"), "protein").agg(F.count("*").alias("spectra"))),
-    f"WITH {V.PSM}, {SPOTS}, k AS (SELECT * FROM g WHERE spectra >= 2) SELECT a.spot AS spot_no, a.protein FROM k a JOIN k b ON a.protein = b.protein AND b.spot = a.spot - 1")
+    f"""WITH {V.PSM}, {SPOTS}, t AS (SELECT spot, CAST(sum(spectra) AS BIGINT) AS total, CAST(coalesce(sum(spectra) FILTER (protein IN (1, 2)), 0) AS BIGINT) AS contaminating FROM g GROUP BY 1),
+ n AS (SELECT spot, spectra, max(protein) AS protein FROM g WHERE protein NOT IN (1, 2) AND spectra >= 2 GROUP BY 1, 2)
+ SELECT spot, row_number() OVER (PARTITION BY spot ORDER BY spectra DESC) AS place, protein, spectra, total, contaminating FROM n JOIN t USING (spot) QUALIFY place <= 3""")
+PAIRED_GEL = "m AS (SELECT spot, gel, first(protein ORDER BY spectra DESC, protein) AS major FROM gs GROUP BY 1, 2), gp AS (SELECT major, protein AS minor, count(DISTINCT gel) AS gels, count(*) AS spots FROM gs JOIN m USING (spot, gel) WHERE protein <> major GROUP BY 1, 2)"
+add("a36_gel_pairs", lambda s, d: inference.gel_pairs(inference.passing_proteins(gel_psm(s, d), [1, 2]), 1), f"WITH {V.PSM}, {GEL}, {PAIRED_GEL} SELECT major, minor, gels, spots FROM gp")
+add("w10_sticky_proteins", lambda s, d: inference.sticky_proteins(V.psm(s, d).groupBy((F.col("aminos") % 40 * 3).alias("spot"), "protein").agg(F.count("*").alias("spectra")), [1, 2]),
+    f"WITH {V.PSM}, {SPOTS}, o AS (SELECT spot, lag(spot) OVER (ORDER BY spot) AS before FROM (SELECT DISTINCT spot FROM g)), k AS (SELECT * FROM g WHERE spectra >= 2 AND protein NOT IN (1, 2)) SELECT a.spot * 3 AS spot, a.protein FROM k a JOIN o USING (spot) JOIN k b ON a.protein = b.protein AND b.spot = before")
 add("a38_candidate_summary", lambda s, d: r6(inference.candidate_summary(V.psm(s, d)), "score"),
     f"WITH {V.PSM}, x AS (SELECT protein, aminos, min(p_value) AS p FROM psm GROUP BY 1, 2), b AS (SELECT protein, min(p) AS p, count(*) AS n FROM x GROUP BY 1) SELECT protein, n AS peptides, round(-ln(greatest(p, 1e-10)) * list_sum([1 / (i + 1) FOR i IN range(1, n + 1)]), 6) AS score FROM b")
 add("s15_peptidome_report", lambda s, d: __import__("orfspark.sources.tables", fromlist=["x"]).peptidome_report(V.psm(s, d)),
@@ -191,14 +200,13 @@ def sites_of(s, d, x):
 
 CHI = "CASE WHEN (am + ad) * (bm + bd) * (am + bm) * (ad + bd) > 0 THEN (am + ad + bm + bd) * (am * bd - ad * bm) * (am * bd - ad * bm) / ((am + ad) * (bm + bd) * (am + bm) * (ad + bd)) END"
 TWO = f"two AS (SELECT site, coalesce(a.m, 0)::DOUBLE AS am, (coalesce(a.n, 0) - coalesce(a.m, 0))::DOUBLE AS ad, coalesce(b.m, 0)::DOUBLE AS bm, (coalesce(b.n, 0) - coalesce(b.m, 0))::DOUBLE AS bd FROM {SITE.format('O')} a FULL JOIN {SITE.format('F')} b USING (site))"
-add("a21_compare_ptm_rates", lambda s, d: ptm.compare_ptm_rates(sites_of(s, d, "O"), sites_of(s, d, "F")).select("site", "a_mod", "b_mod", F.round("chi2", 4).alias("chi2"), "note"),
-    f"WITH {V.PSM}, {TWO} SELECT site, am::BIGINT AS a_mod, bm::BIGINT AS b_mod, round({CHI}, 4) AS chi2, CASE WHEN am > 0 AND bm > 0 THEN 'C' WHEN am > 0 THEN 'A' WHEN bm > 0 THEN 'B' END AS note FROM two")
-add("a22_site_diff", lambda s, d: ptm.site_diff(sites_of(s, d, "O"), sites_of(s, d, "F")),
-    f"WITH {V.PSM}, {TWO}, r AS (SELECT *, am / greatest(am + ad, 1) AS ra, bm / greatest(bm + bd, 1) AS rb FROM two WHERE am + bm >= 2) SELECT site, am::BIGINT AS a_mod, (am + ad)::BIGINT AS a_all, bm::BIGINT AS b_mod, (bm + bd)::BIGINT AS b_all, CASE WHEN ra >= 2 * rb THEN 'A' WHEN rb >= 2 * ra THEN 'B' ELSE 'Both' END AS call FROM r")
-add("a30_ptm_mass", lambda s, d: r6(ptm.ptm_mass(V.psm(s, d).select(F.col("aminos").alias("site"), F.col("mq_score").alias("delta_mass"))), "mean", "sd", "trimmed_mean"),
-    f"""WITH {V.PSM}, c AS (SELECT aminos AS site, round(mq_score) AS i, count(*) AS n FROM psm GROUP BY 1, 2), m AS (SELECT site, i AS isotope FROM c QUALIFY row_number() OVER (PARTITION BY site ORDER BY n DESC, i) = 1),
- t AS (SELECT aminos AS site, avg(mq_score) AS tm FROM psm JOIN m ON m.site = aminos WHERE abs(mq_score - isotope) <= 0.5 GROUP BY 1)
- SELECT site, round(avg(mq_score), 6) AS mean, round(stddev_pop(mq_score), 6) AS sd, any_value(isotope) AS isotope, round(any_value(tm), 6) AS trimmed_mean FROM psm JOIN m ON m.site = aminos LEFT JOIN t USING (site) GROUP BY 1""")
+add("a21_compare_ptm_rates", lambda s, d: r6(ptm.compare_ptm_rates(sites_of(s, d, "O"), sites_of(s, d, "F")).select("site", "a_mod", "b_mod", "a_rate", "b_rate", F.round("chi2", 4).alias("chi2"), "note"), "a_rate", "b_rate"),
+    f"""WITH {V.PSM}, {TWO} SELECT site, am::BIGINT AS a_mod, bm::BIGINT AS b_mod, round(100 * am / greatest(am + ad, 1), 6) AS a_rate, round(100 * bm / greatest(bm + bd, 1), 6) AS b_rate,
+ CASE WHEN am + ad > 0 AND bm + bd > 0 THEN round({CHI}, 4) END AS chi2, CASE WHEN am + ad = 0 THEN 'B' WHEN bm + bd = 0 THEN 'A' ELSE '' END AS note FROM two""")
+add("a30_ptm_mass", lambda s, d: r6(ptm.ptm_mass(V.psm(s, d).select(F.col("aminos").alias("site"), F.col("mq_score").alias("delta_mass"))), "mean", "sd", "trimmed_mean", "trimmed_sd"),
+    f"""WITH {V.PSM}, x AS (SELECT aminos AS site, mq_score - 1.0078 AS m FROM psm), c AS (SELECT site, round(m) AS i, count(*) AS n FROM x GROUP BY 1, 2), o AS (SELECT site, i AS isotope FROM c QUALIFY row_number() OVER (PARTITION BY site ORDER BY n DESC, i) = 1),
+ t AS (SELECT site, count(*) AS tn, avg(m) AS tm, stddev_pop(m) AS ts FROM x JOIN o USING (site) WHERE abs(m - isotope) <= 0.5 GROUP BY 1)
+ SELECT site, count(*) AS n, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS sd, any_value(isotope) AS isotope, any_value(tn) AS trimmed_n, round(any_value(tm), 6) AS trimmed_mean, round(any_value(ts), 6) AS trimmed_sd FROM x JOIN o USING (site) LEFT JOIN t USING (site) GROUP BY 1""")
 add("j19_merge_species", lambda s, d: ptm.merge_species(*[V.psm(s, d).where(F.col("sample") == x).groupBy(F.col("aminos").alias("annotation"), "charge").agg(F.count("*").alias("spectra"), F.max("mq_score").alias("best_score"), F.max_by("delta", "mq_score").alias("best_delta")) for x in "OF"]).select("annotation", "charge", "spectra", F.round("best_score", 6).alias("best_score")),
     f"WITH {V.PSM} SELECT aminos AS annotation, charge, count(*) AS spectra, round(max(mq_score), 6) AS best_score FROM psm GROUP BY 1, 2")
 
@@ -311,7 +319,7 @@ add("g4_digest", lambda s, d: genome.digest(V.sequences(s, d), 0, 6, 40).groupBy
 PK = f"WITH {V.PEAKS}"
 add("w7_rank_peaks", lambda s, d: spectra.rank_peaks(V.peaks(s, d)).select("spectrum", "mz", "intensity_rank"), f"{PK} SELECT spectrum, mz, row_number() OVER (PARTITION BY spectrum ORDER BY intensity DESC, mz) AS intensity_rank FROM peaks")
 add("w6_window_filter", lambda s, d: spectra.window_filter(V.peaks(s, d), 10, 3).select("spectrum", "mz"), f"{PK} SELECT a.spectrum, a.mz FROM peaks a JOIN peaks b ON a.spectrum = b.spectrum AND abs(a.mz - b.mz) <= 5 GROUP BY a.spectrum, a.mz, a.intensity HAVING count(*) FILTER (b.intensity > a.intensity OR (b.intensity = a.intensity AND b.mz < a.mz)) < 3")
-add("f12_spectrum_quality", lambda s, d: r6(spectra.spectrum_quality(V.peaks(s, d)), "signal_to_noise"), f"{PK} SELECT spectrum, count(*) AS peaks, round(list_sort(list(intensity), 'DESC')[5] / median(intensity), 6) AS signal_to_noise, count(*) > 10 AS good FROM peaks GROUP BY 1")
+add("f12_spectrum_quality", lambda s, d: r6(spectra.spectrum_quality(V.peaks(s, d)), "signal_to_noise"), f"{PK} SELECT spectrum, count(*) AS peaks, round(list_sort(list(intensity), 'DESC')[CAST(ceil(least(count(*), 5) / 2) AS INT)] / list_sort(list(intensity))[count(*) // 2 + 1], 6) AS signal_to_noise, count(*) > 10 AS good FROM peaks GROUP BY 1")
 add("o5_most_intense", lambda s, d: r6(spectra.most_intense(V.peaks(s, d)), "total"), f"{PK}, t AS (SELECT spectrum, charge, sum(intensity) AS total FROM peaks GROUP BY 1, 2) SELECT spectrum, charge, round(total, 6) AS total FROM t QUALIFY percent_rank() OVER (PARTITION BY charge ORDER BY total DESC, spectrum) < 0.5")
 SIM = "s AS (SELECT vec_id AS a, vec_id + 1 AS b FROM embeddings WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings))"
 
@@ -347,7 +355,10 @@ add("a31_mutual_information", lambda s, d: r6(ml.mutual_information(V.psm(s, d).
  c AS (SELECT a, b, x, y, count(*)::DOUBLE AS n FROM j GROUP BY ALL), p AS (SELECT a, b, n / sum(n) OVER (PARTITION BY a, b) AS p, sum(n) OVER (PARTITION BY a, b, x) / sum(n) OVER (PARTITION BY a, b) AS px, sum(n) OVER (PARTITION BY a, b, y) / sum(n) OVER (PARTITION BY a, b) AS py FROM c),
  r AS (SELECT a, b, -sum(p * ln(px)) AS h_a, -sum(p * ln(py)) AS h_b, sum(p * ln(p / (px * py))) AS mi FROM p GROUP BY 1, 2) SELECT a, b, round(h_a, 6) AS h_a, round(h_b, 6) AS h_b, round(mi, 6) AS mi, round(2 * mi / (h_a + h_b), 6) AS su FROM r""")
 add("m1_scale_features", lambda s, d: r6(ml.scale_features(labelled(s, d).select(*key, *FEATS), FEATS), *FEATS),
-    f"WITH {V.PSM}, q AS (SELECT {', '.join(f'quantile_cont({c}, [0.025, 0.5, 0.975]) AS q_{c}' for c in FEATS)} FROM psm) SELECT {KEY}, {', '.join(f'round(({c} - q_{c}[2]) / (q_{c}[3] - q_{c}[1]), 6) AS {c}' for c in FEATS)} FROM psm, q")
+    f"""WITH {V.PSM}, c AS (SELECT count(*) AS n FROM psm), q AS (SELECT {', '.join(f"list_sort(list({c}))[least(CAST(floor(n * 0.025 + 0.5) AS BIGINT), n - 1) + 1] AS lo_{c}, list_sort(list({c}))[least(CAST(floor(n * 0.975 + 0.5) AS BIGINT), n - 1) + 1] AS hi_{c}" for c in FEATS)} FROM psm, c GROUP BY n)
+ SELECT {KEY}, {', '.join(f'round(CASE WHEN hi_{c} > lo_{c} THEN ({c} - lo_{c}) / ((hi_{c} - lo_{c}) / 2) - 1 ELSE 0 END, 6) AS {c}' for c in FEATS)} FROM psm, q""")
+PRIOR = "WITH {0}, n AS (SELECT count(*) FILTER (is_decoy) AS f, count(*) FILTER (NOT is_decoy) AS t FROM psm) SELECT r AS ratio, round(CASE WHEN f * r >= t THEN 0.99 ELSE (f + f * r) / (f + t) END, 6) AS prior FROM n, (VALUES (0.25), (1.0), (5.0)) v(r)"
+add("m1_prior_false", lambda s, d: s.createDataFrame([(r, round(ml.prior_false(labelled(s, d), r), 6)) for r in (0.25, 1.0, 5.0)], "ratio double, prior double"), PRIOR.format(V.PSM).replace("r AS ratio", "CAST(r AS DOUBLE) AS ratio"))
 
 
 def m2(s, d):

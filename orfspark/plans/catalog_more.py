@@ -127,9 +127,18 @@ add("j15_explain_ptm", lambda s, d: ptm.explain_ptm(V.psm(s, d).select(F.concat_
     f"""WITH {V.PSM}, s AS (SELECT concat_ws('-', spectrum_file, scan, rank) AS site, CAST(aminos % 20 AS VARCHAR) AS residue, floor(length) AS mass FROM psm),
  m AS (SELECT CAST(p_size AS DOUBLE) AS mass, CAST(p_partkey % 20 AS VARCHAR) AS residue, min(p_brand) AS name FROM part GROUP BY 1, 2), e AS (SELECT site, name FROM s JOIN m USING (mass, residue) UNION SELECT site, CAST(n_nationkey % 20 AS VARCHAR) || '->' || n_name FROM s JOIN nation ON CAST(n_nationkey % 20 AS VARCHAR) = residue AND abs(mass - n_nationkey) < 1)
  SELECT site, string_agg(name, ',' ORDER BY name) AS names FROM e GROUP BY 1""")
-PRED = "p AS (SELECT c_custkey AS protein, round(abs(c_acctbal) / 10000, 2) AS score, c_custkey % 40 AS cut FROM customer), o AS (SELECT o_custkey AS protein, min(o_orderkey % 60) AS f FROM orders GROUP BY 1)"
-add("j16_evaluate_signal", lambda s, d: splice.evaluate_signal(V.table(s, d, "customer").select(F.col("c_custkey").alias("protein"), F.round(F.abs("c_acctbal") / 10000, 2).alias("score"), (F.col("c_custkey") % 40).alias("cut_pos")), V.table(s, d, "orders").groupBy(F.col("o_custkey").alias("protein")).agg(F.min(F.col("o_orderkey") % 60).alias("first_pos"))),
-    f"WITH {PRED} SELECT score, count(*) FILTER (f = cut) AS accepted, count(*) FILTER (f < cut) AS rejected, count(*) FILTER (f IS NULL OR f > cut) AS unseen FROM p LEFT JOIN o USING (protein) GROUP BY 1")
+PRED = "p AS (SELECT c_custkey AS protein, round(abs(c_acctbal) / 10000, 2) AS score, c_custkey % 40 AS cut FROM customer), o AS (SELECT o_custkey AS protein, min(o_orderkey % 60) AS f FROM orders GROUP BY 1), k AS (SELECT DISTINCT o_custkey AS protein FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000)"
+
+
+def signal_views(s, d):
+    orders = V.table(s, d, "orders")
+    pred = V.table(s, d, "customer").select(F.col("c_custkey").alias("protein"), F.round(F.abs("c_acctbal") / 10000, 2).alias("score"), (F.col("c_custkey") % 40).alias("cut_pos"))
+    cleaved = orders.where("o_orderpriority = '1-URGENT' and o_totalprice > 200000").select(F.col("o_custkey").alias("protein"))
+    return pred, cleaved, orders.select(F.col("o_custkey").alias("protein"), (F.col("o_orderkey") % 60).alias("first_pos"))
+
+
+add("j16_evaluate_signal", lambda s, d: splice.evaluate_signal(*signal_views(s, d)),
+    f"WITH {PRED} SELECT score, count(*) AS predicted, count(*) FILTER (k.protein IS NOT NULL) AS accepted, count(*) FILTER (k.protein IS NULL AND cut - f > 3) AS rejected FROM p LEFT JOIN o USING (protein) LEFT JOIN k ON k.protein = p.protein GROUP BY 1")
 EX = "e AS (SELECT event_type AS chrom, '+' AS strand, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(floor(epoch(ts)) AS BIGINT) + 60 AS stop, event_id FROM events)"
 
 
@@ -151,9 +160,9 @@ add("a40_snp_evidence", lambda s, d: r6(splice.snp_evidence(V.features(s, d).sel
  FROM features s JOIN features f ON s.strand = f.strand AND s.start BETWEEN f.start AND f.stop GROUP BY 1""")
 add("a41_annotation_level", lambda s, d: splice.annotation_level_coverage(V.table(s, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("hypothetical "), "p_name")).otherwise(F.col("p_name")).alias("product"), (F.col("p_size") % 4).alias("peptides"))),
     "WITH g AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'hypothetical ' || p_name ELSE p_name END AS product, p_size % 4 AS n FROM part) SELECT CASE WHEN contains(lower(product), 'hypothetical') THEN 'hypothetical' WHEN contains(lower(product), 'putative') THEN 'putative' ELSE 'named' END AS level, count(*) AS genes, count(*) FILTER (n > 0) AS with_evidence, CAST(sum(n) AS BIGINT) AS peptides FROM g GROUP BY 1")
-add("a19_peptide_features", lambda s, d: r6(ptm.peptide_features(P.with_f_score(V.psm(s, d)).withColumn("annotation", F.col("aminos"))), "best_f", "best_f_delta", "best_mq", "log_n", "log_n1", "log_length"),
+add("a19_peptide_features", lambda s, d: r6(ptm.peptide_features(P.with_f_score(V.psm(s, d)).withColumn("annotation", F.col("aminos"))), "best_f", "best_f_delta", "best_mq", "log_n", "log_n1", "log_length", "log_length_5"),
     f"""{BASE_SCORED}, f AS (SELECT aminos AS annotation, charge, 0.3 * mq_score + 1.5 * delta / mean_delta AS f, mq_score, delta, length, row_number() OVER (PARTITION BY aminos, charge ORDER BY 0.3 * mq_score + 1.5 * delta / mean_delta DESC, spectrum_file, scan, rank) AS n FROM psm JOIN md ON {CLASS} = md.charge_class)
- SELECT annotation, charge, round(max(f), 6) AS best_f, round(arg_min(delta, n), 6) AS best_f_delta, round(max(mq_score), 6) AS best_mq, round(ln(count(*)), 6) AS log_n, round(ln(count(*) + 1), 6) AS log_n1, round(ln(max(length)), 6) AS log_length FROM f WHERE n <= 100 GROUP BY 1, 2""")
+ SELECT annotation, charge, round(max(f), 6) AS best_f, round(arg_min(delta, n), 6) AS best_f_delta, round(max(mq_score), 6) AS best_mq, round(ln(count(*)), 6) AS log_n, round(ln(count(*) + 1), 6) AS log_n1, round(ln(max(length)), 6) AS log_length, CASE WHEN max(length) > 5 THEN round(ln(max(length) - 5), 6) END AS log_length_5 FROM f WHERE n <= 100 GROUP BY 1, 2""")
 add("a20_ptm_counts", lambda s, d: ptm.ptm_counts(V.psm(s, d).select(F.col("aminos").alias("db_pos"), F.col("charge").alias("mass"), (F.col("aminos") % 5).alias("residue"), F.col("p_value").alias("p"), F.lit(1).alias("spectra"), (F.col("is_decoy") & (F.col("scan") % 5 == 0)).alias("is_decoy")), 0.1),
     f"""WITH {V.PSM}, s AS (SELECT charge AS mass, aminos % 5 AS residue, p_value AS p, is_decoy AND scan % 5 = 0 AS d FROM psm), b AS (SELECT p, count(*) FILTER (d) AS d, count(*) AS n FROM s GROUP BY 1), w AS (SELECT p, sum(d) OVER (ORDER BY p) / sum(n) OVER (ORDER BY p) AS r FROM b), c AS (SELECT max(p) AS c FROM w WHERE r <= 0.1)
  SELECT mass, residue, count(*) AS sites, count(*) AS spectra FROM s, c WHERE p <= c AND NOT d GROUP BY GROUPING SETS ((mass), (mass, residue))""")
@@ -173,8 +182,21 @@ FLAGGED = f"""fl AS (SELECT *, start % 2 = 0 AS is_unique, start % 3 = 0 AS tryp
  k AS (SELECT * FROM n WHERE NOT (coalesce(b > 5000, true) AND coalesce(a > 5000, true))), g AS (SELECT orf_name, count(DISTINCT aminos) AS p, bool_or(is_unique) AS u, bool_or(tryptic) AS t FROM k GROUP BY 1)"""
 add("p1_filter_orfs", lambda s, d: genome.filter_orfs(located(s, d).withColumn("aminos", F.concat(F.lit("PEPTIDESK"), "aminos")).withColumn("is_unique", F.col("start") % 2 == 0).withColumn("tryptic_n", F.col("start") % 3 == 0).withColumn("tryptic_c", F.lit(True)), 2, 5000),
     f"""WITH {V.FEATURES}, {LOCATED.replace("event_id AS aminos", "'PEPTIDESK' || event_id AS aminos")}, {FLAGGED} SELECT o.orf_name, CASE WHEN p IS NULL THEN 'distance' WHEN NOT u THEN 'unique' WHEN NOT t THEN 'tryptic' WHEN p < 2 THEN 'min_peptides' END AS killed_by, coalesce(p, 0) AS peptides FROM (SELECT DISTINCT orf_name FROM loc) o LEFT JOIN g USING (orf_name)""")
-add("p3_call_structure", lambda s, d: genome.call_structure(genome.link_orfs_to_cds(plus_orfs(s, d), cds(s, d)), plus_orfs(s, d).select("orf_name", F.lit("PEPTIDE").alias("aminos"), "start", "stop", "strand", F.lit(True).alias("is_unique"))).select("orf_name", "call"),
-    f"WITH {V.FEATURES}, {CDS}, b AS (SELECT chrom, stop, min(protein_id) AS protein_id, arg_min(start, protein_id) AS ps FROM cds GROUP BY 1, 2) SELECT orf_name, CASE WHEN protein_id IS NULL THEN 'NOVEL' WHEN ps - po.start > 3 OR ps - po.start = 0 THEN 'UNDERPREDICTED' ELSE 'OK' END AS call FROM po LEFT JOIN b ON b.chrom = po.chrom AND b.stop = po.stop")
+CALLED = "b AS (SELECT chrom, stop, min(protein_id) AS protein_id, arg_min(start, protein_id) AS ps, arg_min(stop, protein_id) AS pe FROM cds GROUP BY 1, 2)"
+
+
+def called(s, d):
+    """ORFs with peptides of their own, of which a third is not unique and a fifth has none."""
+    orfs_ = plus_orfs(s, d)
+    peptides = orfs_.where("orf_name % 5 <> 0").select("orf_name", F.lit("PEPTIDE").alias("aminos"), "start", "stop", "strand", (F.col("orf_name") % 3 != 0).alias("is_unique"))
+    return genome.link_orfs_to_cds(orfs_, cds(s, d)), peptides
+
+
+add("p3_call_structure", lambda s, d: genome.call_structure(*called(s, d)).select("orf_name", "call"),
+    f"""WITH {V.FEATURES}, {CDS}, {CALLED} SELECT orf_name, CASE WHEN orf_name % 5 = 0 THEN 'NO EVIDENCE' WHEN protein_id IS NULL THEN 'NOVEL' WHEN orf_name % 3 <> 0 AND (ps - po.start > 3 OR ps - po.start = 0) THEN 'UNDERPREDICTED' ELSE 'OK' END AS call
+ FROM po LEFT JOIN b ON b.chrom = po.chrom AND b.stop = po.stop""")
+add("p3_short_proteins", lambda s, d: genome.short_proteins(called(s, d)[0], 20).select("orf_name", "residues"),
+    f"WITH {V.FEATURES}, {CDS}, {CALLED} SELECT orf_name, CAST(floor((pe - ps + 1) / 3) - 1 AS BIGINT) AS residues FROM po JOIN b ON b.chrom = po.chrom AND b.stop = po.stop WHERE floor((pe - ps + 1) / 3) - 1 <= 20")
 PIECES = "src AS (SELECT doc_id || '.' || i AS id, seq FROM (SELECT doc_id, unnest(range(len(x))) AS i, upper(regexp_replace(unnest(x), '[^A-Za-z]', '', 'g')) AS seq FROM (SELECT doc_id, string_split_regex(text, '[.\\n]') AS x FROM documents)))"
 
 
@@ -186,7 +208,7 @@ def pieces(s, d):
 
 add("p4_signal_peptides", lambda s, d: genome.signal_peptides(pieces(s, d).withColumn("tryptic_n", F.col("prefix").rlike("[KR]$"))),
     f"""WITH {PIECES}, {PATCH} SELECT src.id AS orf_name, CASE WHEN regexp_matches(seq, '[KR]$') THEN 0 WHEN length(seq) < 15 THEN 1 WHEN length(seq) > 50 THEN 2 WHEN found IS NULL THEN 3
- WHEN regexp_matches(seq, '[ILVAGS].[AGS]$') AND regexp_matches(seq[1:10], '[KR]') THEN 5 ELSE 4 END AS decision FROM src LEFT JOIN patch ON patch.id = src.id""")
+ WHEN regexp_matches(seq, '[ILVAGS].[AGS]$') AND regexp_matches(seq[1:found + 3], '[KR]') THEN 5 ELSE 4 END AS decision FROM src LEFT JOIN patch ON patch.id = src.id""")
 
 
 def mapped_probes(s, d):
@@ -200,6 +222,27 @@ add("p5_n_terminal", lambda s, d: genome.n_terminal(mapped_probes(s, d), 1),
     f"{SEQ}, {PROBES}, {MAPPED} SELECT seq_id, CAST(min(pos) AS INT) AS first_pos, count(DISTINCT aminos) AS peptides, min(pos) = 2 AND coalesce(arg_min(prefix, pos) = 'M', false) AS after_met FROM mq GROUP BY 1")
 add("p5_n_terminal_evidence", lambda s, d: genome.n_terminal_evidence(mapped_probes(s, d), V.sequences(s, d), 1).select("seq_id", "first_pos", "start_met", "area", "motif"),
     f"{SEQ}, {PROBES}, {MAPPED}, f AS (SELECT seq_id, min(pos) AS p FROM mq GROUP BY 1) SELECT seq_id, CAST(p AS INT) AS first_pos, p = 1 AND seq[1] = 'M' AS start_met, seq[greatest(p - 5, 1):p - 1] || ':' || seq[p:p + 4] AS area, regexp_matches(CASE WHEN p > 1 THEN seq[1:p - 1] ELSE '' END, '[ILVAGS].[AGS]$') AS motif FROM f JOIN sequences USING (seq_id)")
+def mod_hits(s, d, sample):
+    """Each probe as hits with and without a modification, in numbers by its length and the sample."""
+    n = F.length("aminos")
+    k, bare, step = ((n % 7 + 1, n % 5, 3), (n % 11 + 1, n % 3 + 1, 2))[sample == "B"]
+    mod = F.array(F.struct((n % 4).alias("pos"), (16.0 + n % step).alias("mass")))
+    rows = probes(s, d)
+    return rows.select("aminos", mod.alias("mods"), k.cast("long").alias("spectra")).union(rows.select("aminos", F.filter(mod, lambda m: F.lit(False)), bare.cast("long")))
+
+
+HITS = "h{0} AS (SELECT aminos, length(aminos) % 4 AS a, 16 + length(aminos) % {3} AS mass, {1} AS k, {1} + {2} AS n FROM pb)"
+HITS_A = HITS.format("a", "(length(aminos) % 7 + 1)", "length(aminos) % 5", 3)
+HITS_B = HITS.format("b", "(length(aminos) % 11 + 1)", "length(aminos) % 3 + 1", 2)
+FIRSTS = "fp AS (SELECT aminos, seq_id, min(pos) AS pos FROM mq GROUP BY 1, 2)"
+SPOT7 = "s{0} AS (SELECT seq_id AS protein, pos + a AS pos, mass, sum(k) AS m FROM h{0} JOIN fp USING (aminos) GROUP BY 1, 2, 3)"
+TOTAL7 = "t{0} AS (SELECT p.protein, p.pos, coalesce(sum(n), 0) AS t FROM {1} p LEFT JOIN fp ON fp.seq_id = p.protein AND fp.pos <= p.pos AND p.pos < fp.pos + length(fp.aminos) LEFT JOIN h{0} h ON h.aminos = fp.aminos GROUP BY 1, 2)"
+add("g7_residue_mods", lambda s, d: ptm.residue_mods(mod_hits(s, d, "A"), mapped_probes(s, d)).select("protein", "pos", "mass", "modified", "total"),
+    f"{SEQ}, {PROBES}, {MAPPED}, {FIRSTS}, {HITS_A}, {SPOT7.format('a')}, pp AS (SELECT DISTINCT protein, pos FROM sa), {TOTAL7.format('a', 'pp')} SELECT protein, CAST(pos AS INT) AS pos, CAST(mass AS INT) AS mass, CAST(m AS BIGINT) AS modified, CAST(t AS BIGINT) AS total FROM sa JOIN ta USING (protein, pos)")
+add("a22_site_diff", lambda s, d: r6(ptm.compare_residues(mod_hits(s, d, "A"), mod_hits(s, d, "B"), mapped_probes(s, d)), "min_rate"),
+    f"""{SEQ}, {PROBES}, {MAPPED}, {FIRSTS}, {HITS_A}, {HITS_B}, {SPOT7.format('a')}, {SPOT7.format('b')}, ks AS (SELECT protein, pos, mass FROM sa UNION SELECT protein, pos, mass FROM sb), pp AS (SELECT DISTINCT protein, pos FROM ks), {TOTAL7.format('a', 'pp')}, {TOTAL7.format('b', 'pp')},
+ r AS (SELECT ks.*, coalesce(sa.m, 0) AS am, coalesce(sb.m, 0) AS bm, ta.t AS n_a, tb.t AS n_b, coalesce(sa.m, 0) / greatest(ta.t, 1) AS ra, coalesce(sb.m, 0) / greatest(tb.t, 1) AS rb FROM ks LEFT JOIN sa USING (protein, pos, mass) LEFT JOIN sb USING (protein, pos, mass) JOIN ta USING (protein, pos) JOIN tb USING (protein, pos))
+ SELECT protein, CAST(pos AS INT) AS pos, CAST(mass AS INT) AS mass, CAST(am AS BIGINT) AS a_mod, CAST(n_a AS BIGINT) AS a_all, CAST(bm AS BIGINT) AS b_mod, CAST(n_b AS BIGINT) AS b_all, CASE WHEN ra > 2 * rb THEN 'A' WHEN rb > 2 * ra THEN 'B' ELSE 'Both' END AS call, CAST(least(am, bm) AS BIGINT) AS min_count, round(least(100 * ra, 100 * rb), 6) AS min_rate FROM r WHERE am >= 5 OR bm >= 5""")
 CUTS6 = """u AS (SELECT seq_id, pos, pos + length(aminos) AS e, prefix, suffix, aminos FROM mq WHERE is_unique), ct AS (SELECT seq_id, pos, count(*) AS cuts, max(b) AS before, max(a) AS behind FROM (SELECT seq_id, pos, prefix AS b, aminos[1] AS a FROM u UNION ALL SELECT seq_id, e, aminos[-1], suffix FROM u) GROUP BY 1, 2),
  cv AS (SELECT ct.seq_id, ct.pos, cuts, before, behind, count(*) FILTER (u.pos < ct.pos AND ct.pos < e) AS over, count(*) FILTER (u.pos <= ct.pos - 1 AND ct.pos - 1 < e) AS cover_n, count(*) FILTER (u.pos <= ct.pos AND ct.pos < e) AS cover_c FROM ct JOIN u ON u.seq_id = ct.seq_id GROUP BY 1, 2, 3, 4, 5)"""
 

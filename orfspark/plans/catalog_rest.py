@@ -12,7 +12,7 @@ from ..sources import tables as S
 from ..streaming import incremental as I
 from . import adapters as V
 from . import pipelines
-from .catalog import ENGINES, EXONS, GENES, INTRONS, LOCATED, PROBES, SEQ, SPOTS, add, engines, exons, genes, key, labelled, located, orfs, probes, r6
+from .catalog import ENGINES, EXONS, GEL, GENES, INTRONS, LOCATED, PAIRED_GEL, PROBES, SEQ, SPOTS, add, engines, exons, gel_psm, genes, key, labelled, located, orfs, probes, r6
 from .catalog_more import MAPPED, mapped_probes, mass_sql, simple_exons, starts, words
 
 # --- sources: tables of the driver, written in a format and read back ---------------------------------------------
@@ -151,8 +151,8 @@ add("a24_merge_listed", lambda s, d: inference.merge_listed(inference.list_pepti
 add("a29_localized_sites", lambda s, d: r6(inference.localized_sites(V.psm(s, d).withColumn("localization", F.col("mq_score") * 5)), "best"), f"WITH {V.PSM} SELECT protein, db_pos, count(DISTINCT aminos) AS peptides, round(max(mq_score * 5), 6) AS best, max(mq_score * 5) >= 13 AS certain FROM psm WHERE is_modified GROUP BY 1, 2")
 add("a35_spot_coverage", lambda s, d: inference.spot_coverage(V.psm(s, d).select("protein", (F.col("aminos") % 7).alias("spot"), F.col("scan").alias("start"), (F.col("scan") + F.col("db_pos")).alias("stop"))),
     f"WITH {V.PSM}, x AS (SELECT protein, aminos % 7 AS spot, scan AS a, scan + db_pos AS z FROM psm), k AS (SELECT protein FROM x GROUP BY 1 HAVING count(DISTINCT spot) >= 2), r AS (SELECT DISTINCT protein, spot, unnest(range(a, z + 1)) AS r FROM x JOIN k USING (protein)) SELECT protein, spot, min(r) AS first, max(r) AS last, count(*) AS covered FROM r GROUP BY 1, 2")
-add("a36_pair_weights", lambda s, d: r6(inference.pair_weights(inference.gel_pairs(inference.gel_spots(V.psm(s, d).withColumn("spot", F.col("aminos") % 400)).withColumn("gel", F.col("spot") % 20), 1), V.table(s, d, "supplier").select(F.col("s_suppkey").alias("protein"), F.col("s_acctbal").alias("weight"))).select("major", "minor", "gels", "difference"), "difference"),
-    f"WITH {V.PSM}, g AS (SELECT aminos % 400 AS spot, protein, count(*) AS spectra FROM psm GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY spot ORDER BY spectra DESC, protein) AS place FROM g), p AS (SELECT a.protein AS major, b.protein AS minor, count(DISTINCT a.spot % 20) AS gels FROM t a JOIN t b ON a.spot = b.spot AND a.place = 1 AND b.place = 2 GROUP BY 1, 2) SELECT major, minor, gels, round(abs(x.s_acctbal - y.s_acctbal), 6) AS difference FROM p LEFT JOIN supplier x ON x.s_suppkey = major LEFT JOIN supplier y ON y.s_suppkey = minor")
+add("a36_pair_weights", lambda s, d: r6(inference.pair_weights(inference.gel_pairs(inference.passing_proteins(gel_psm(s, d), [1, 2]), 1), V.table(s, d, "supplier").select(F.col("s_suppkey").alias("protein"), F.col("s_acctbal").alias("weight"))).select("major", "minor", "gels", "difference"), "difference"),
+    f"WITH {V.PSM}, {GEL}, {PAIRED_GEL} SELECT major, minor, gels, round(x.s_acctbal - y.s_acctbal, 6) AS difference FROM gp LEFT JOIN supplier x ON x.s_suppkey = major LEFT JOIN supplier y ON y.s_suppkey = minor")
 add("a38_runner_up_chains", lambda s, d: inference.runner_up_chains(V.psm(s, d)),
     f"WITH {V.PSM}, q AS (SELECT DISTINCT aminos, protein FROM psm), z AS (SELECT protein, count(*) AS n FROM q GROUP BY 1), h AS (SELECT aminos, first(protein ORDER BY n DESC, protein) AS head FROM q JOIN z USING (protein) GROUP BY 1), c AS (SELECT protein, head, count(*) AS k FROM q JOIN h USING (aminos) WHERE protein <> head GROUP BY 1, 2), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY protein ORDER BY k DESC, head) = 1) SELECT z.protein, head AS behind, coalesce(k, 0) AS peptides FROM z LEFT JOIN b USING (protein)")
 add("a38_merge_half_overlaps", lambda s, d: inference.merge_half_overlaps(V.features(s, d).select(F.col("strand").alias("chrom"), F.col("event_id").alias("name"), (F.col("start") - 900).alias("start"), (F.col("stop") + 900).alias("stop"))),
@@ -163,19 +163,18 @@ add("a38_merge_half_overlaps", lambda s, d: inference.merge_half_overlaps(V.feat
 
 add("a18_protein_coverage", lambda s, d: r6(ptm.with_protein_coverage(ptm.ptm_features(V.psm(s, d).withColumn("annotation", F.concat_ws("+", "aminos", "sample"))).withColumn("protein", F.col("aminos") % 100 + 1), V.table(s, d, "supplier").select(F.col("s_suppkey").alias("protein"), F.abs("s_acctbal").alias("percent"))), "best_score").select("annotation", "charge", "best_score", "protein_coverage"),
     f"WITH {V.PSM}, o AS (SELECT aminos || '+' || sample AS annotation, charge, aminos, max(mq_score) AS b FROM psm GROUP BY ALL) SELECT annotation, charge, round(b, 6) AS best_score, coalesce(abs(s_acctbal), 0.0) AS protein_coverage FROM o LEFT JOIN supplier ON s_suppkey = aminos % 100 + 1")
-MASSES = "(VALUES (57, NULL), (-17, 'N'), (-17, 'Q'), (16, 'M'), (16, 'W'), (32, 'M'), (32, 'W'), (-48, 'M'), (58, 'M'), (-57, 'C'), (-18, 'D'), (-18, 'E'), (-18, 'S'), (-18, 'T'), (22, 'D'), (22, 'E'), (22, 'S'), (22, 'T')) a(m, r)"
-COUNTED = "ct AS (SELECT CAST(l_quantity AS BIGINT) AS mass, chr(CAST(65 + l_partkey % 26 AS INT)) AS residue, count(DISTINCT l_partkey) AS sites, count(*) AS spectra FROM lineitem GROUP BY 1, 2)"
-BIO = "(VALUES (161, 'Q'), (-43, 'C'), (42, NULL), (80, 'S'), (80, 'T'), (80, 'Y'), (14, 'K'), (14, 'R'), (28, 'K'), (28, 'R')) b(m, r)"
-CLASSED = f"cl AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM {MASSES} WHERE m = mass AND (r IS NULL OR r = residue)) THEN 'adduct' WHEN EXISTS (SELECT 1 FROM {BIO} WHERE m = mass AND (r IS NULL OR r = residue)) THEN 'biological' ELSE 'unknown' END AS class FROM ct)"
+COUNTED = "ct AS (SELECT CAST(l_quantity AS BIGINT) + l_partkey % 40 AS mass, chr(CAST(65 + l_partkey % 26 AS INT)) AS residue, count(DISTINCT l_partkey) AS sites, count(*) AS spectra FROM lineitem GROUP BY 1, 2)"
+KIND = "CASE " + " ".join(f"WHEN mass = {m}" + (f" AND residue IN ({', '.join(repr(c) for c in r)})" if r else "") + f" THEN '{k}'" for m, r, k in ptm.KNOWN_MODS) + " ELSE 'unknown' END"
+CLASSED = f"cl AS (SELECT *, {KIND} AS class FROM ct)"
 
 
 def counted(s, d):
     li = V.table(s, d, "lineitem")
-    return li.groupBy(F.col("l_quantity").cast("long").alias("mass"), F.char((65 + F.col("l_partkey") % 26)).alias("residue")).agg(F.count_distinct("l_partkey").alias("sites"), F.count("*").alias("spectra"))
+    return li.groupBy((F.col("l_quantity").cast("long") + F.col("l_partkey") % 40).alias("mass"), F.char((65 + F.col("l_partkey") % 26)).alias("residue")).agg(F.count_distinct("l_partkey").alias("sites"), F.count("*").alias("spectra"))
 
 
 add("a20_ptm_classes", lambda s, d: ptm.classify_ptm_counts(counted(s, d))[0], f"WITH {COUNTED}, {CLASSED} SELECT class, count(*) AS kinds, CAST(sum(sites) AS BIGINT) AS sites, CAST(sum(spectra) AS BIGINT) AS spectra FROM cl GROUP BY 1")
-add("a20_top_unknown", lambda s, d: ptm.classify_ptm_counts(counted(s, d))[1], f"WITH {COUNTED}, {CLASSED} SELECT mass, residue, sites, spectra FROM cl WHERE class = 'unknown' ORDER BY sites DESC, mass, residue LIMIT 25")
+add("a20_top_unknown", lambda s, d: ptm.classify_ptm_counts(counted(s, d))[1], f"WITH {COUNTED}, {CLASSED} SELECT mass, residue, sites, spectra FROM cl WHERE class = 'unknown' ORDER BY sites DESC, mass DESC, residue DESC LIMIT 25")
 
 
 def species_points(s, d, prefix="l_quantity"):
@@ -241,14 +240,20 @@ def exon_hits(s, d):
 
 
 add("p7_categories", lambda s, d: splice.categorize_hits(exon_hits(s, d), simple_exons(s, d).withColumn("gene_id", F.col("event_id"))))
-ALIGNED = "al AS (SELECT p_size AS cluster, p_brand AS genome, regexp_replace(lower(p_name), '[aeiou ]', '-', 'g') AS row, p_partkey FROM part), ob AS (SELECT DISTINCT p_size AS cluster, p_size % 4 + 1 AS \"column\" FROM part)"
+ALIGNED = "al AS (SELECT DISTINCT p_size AS cluster, p_brand AS genome, first(regexp_replace(lower(p_name), '[aeiou ]', '-', 'g') ORDER BY p_name) OVER (PARTITION BY p_size, p_brand) AS row FROM part)"
+TARGETS = "ob AS (SELECT DISTINCT p_size AS cluster, p_brand AS target, p_size % 9 AS o FROM part WHERE p_brand LIKE 'Brand#_1'), co AS (SELECT ob.cluster, target, least(length(regexp_extract(row, '^-*')), length(row) - 1) + o AS c FROM ob JOIN al ON al.cluster = ob.cluster AND al.genome = target WHERE length(row) > 0)"
 
 
 def aligned(s, d):
-    return V.table(s, d, "part").select(F.col("p_size").alias("cluster"), F.col("p_brand").alias("genome"), F.regexp_replace(F.lower("p_name"), "[aeiou ]", "-").alias("row"))
+    return V.table(s, d, "part").groupBy(F.col("p_size").alias("cluster"), F.col("p_brand").alias("genome")).agg(F.regexp_replace(F.lower(F.min("p_name")), "[aeiou ]", "-").alias("row"))
 
 
-add("j17_ortholog_starts", lambda s, d: splice.ortholog_start_check(aligned(s, d), aligned(s, d).select("cluster", (F.col("cluster") % 4 + 1).alias("column")).distinct()), f"WITH {ALIGNED} SELECT cluster, genome, \"column\", regexp_matches(row[1:\"column\" - 1], '^-*$') AS suspect FROM al JOIN ob USING (cluster)")
+def targets(s, d):
+    return V.table(s, d, "part").where("p_brand like 'Brand#_1'").select(F.col("p_size").alias("cluster"), F.col("p_brand").alias("target"), (F.col("p_size") % 9).alias("offset")).distinct()
+
+
+add("j17_ortholog_starts", lambda s, d: splice.ortholog_start_check(aligned(s, d), targets(s, d)),
+    f"""WITH {ALIGNED}, {TARGETS} SELECT al.cluster, target, CAST(c AS INT) AS "column", genome, CASE WHEN c >= length(row) THEN 'short' WHEN row[c + 1] = '-' AND regexp_full_match(row[1:c], '-*') THEN 'suspect' ELSE 'ok' END AS state FROM al JOIN co USING (cluster)""")
 add("j17_missing_genomes", lambda s, d: splice.missing_genomes(aligned(s, d)), f"WITH {ALIGNED} SELECT DISTINCT a.cluster, b.genome FROM al a, (SELECT DISTINCT genome FROM al) b WHERE NOT EXISTS (SELECT 1 FROM al c WHERE c.cluster = a.cluster AND c.genome = b.genome)")
 
 # --- spectra -------------------------------------------------------------------------------------------------------

@@ -68,8 +68,14 @@ def run_all(contigs: DataFrame, psm: DataFrame, cds: DataFrame, p: float = 1e-2,
     seen = held.groupBy("orf_name").agg(F.count("*").alias("spectra"), F.min("start").alias("seen_start"), F.max("stop").alias("seen_stop"))
     linked = genome.link_orfs_to_cds(orfs.select("orf_name", "chrom", "strand", "start", "stop"), cds).join(seen, "orf_name", "left")
     supported = inference.stored(linked.where("spectra is not null or protein_id is not null").withColumn("spectra", F.coalesce("spectra", F.lit(0))).withColumn("named", F.col("protein_id").isNotNull()))
-    first = genome.first_peptide(held).join(orfs.select("orf_name", "seq"), "orf_name").join(held.select("orf_name", "aminos", "aa_offset", "tryptic_n"), ["orf_name", "aminos"])
-    signal = genome.signal_peptides(first.select("orf_name", F.substr(F.col("seq"), F.lit(1), F.col("aa_offset")).alias("prefix"), "tryptic_n"))
+    # residues between the annotated start of an ORF's protein and its first unique peptide
+    minus = F.col("strand") == "-"
+    offset = F.when(minus, F.col("stop") - F.col("protein_stop")).otherwise(F.col("protein_start") - F.col("start")) / 3
+    proteins = supported.where("protein_id is not null").select("orf_name", F.floor(offset).cast("int").alias("protein_offset"))
+    first = genome.first_peptide(held, True).select("orf_name", "aminos").join(proteins, "orf_name").join(orfs.select("orf_name", "seq"), "orf_name")
+    first = first.join(held.groupBy("orf_name", "aminos").agg(F.min("aa_offset").alias("aa_offset"), F.min("tryptic_n").alias("tryptic_n")), ["orf_name", "aminos"])
+    ahead = F.greatest(F.col("aa_offset") - F.col("protein_offset"), F.lit(0))
+    signal = genome.signal_peptides(first.select("orf_name", F.substr(F.col("seq"), F.col("protein_offset") + 1, ahead).alias("prefix"), "tryptic_n"))
     calls = genome.call_structure(supported, held)
     return {"orfs": supported, "located": held, "conflicts": genome.conflicts(supported), "calls": calls, "signal": signal, "report": run_report(psm, held, calls, signal)}
 

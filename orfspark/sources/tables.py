@@ -116,19 +116,23 @@ def read_ms2(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mzxml(spark: SparkSession, path: str) -> DataFrame:
-    """Peaks are base64 pairs of 32-bit floats in network order."""
+    """(spectrum_file, scan, ms_level, precursor_mz, peaks) of scans; peaks are base64 pairs of 32-bit floats in the
+    byteOrder that their element names (little, little-endian, or else network). A file may break off: a scan without
+    the end of its peaks keeps the whole pairs it has."""
     @F.pandas_udf("array<struct<mz:double,intensity:double>>")
-    def decode(data: pd.Series) -> pd.Series:
-        def one(b):
-            x = np.frombuffer(bytes(b)[: len(b) // 8 * 8], dtype=">f4").astype(float).reshape(-1, 2) if b else np.zeros((0, 2))
+    def decode(data: pd.Series, little: pd.Series) -> pd.Series:
+        def one(b, order):
+            x = np.frombuffer(bytes(b)[: len(b) // 8 * 8], dtype="<f4" if order else ">f4").astype(float).reshape(-1, 2) if b else np.zeros((0, 2))
             return [{"mz": float(m), "intensity": float(i)} for m, i in x]
 
-        return data.map(one)
+        return pd.Series([one(b, order) for b, order in zip(data, little, strict=True)])
 
     rows = spark.read.option("lineSep", "<scan ").text(path).where(F.col("value").rlike(r"^\s*num=")).select("value", F.col("_metadata.file_path").alias("spectrum_file"))
     mz = F.regexp_extract("value", r"<precursorMz[^>]*>([0-9.]+)", 1).try_cast("double")
-    data = F.unbase64(F.regexp_replace(F.regexp_extract("value", r"(?s)<peaks[^>]*>([A-Za-z0-9+/=\s]*)", 1), r"\s", ""))
-    return rows.select("spectrum_file", F.regexp_extract("value", r'num="(\d+)"', 1).cast("int").alias("scan"), F.regexp_extract("value", r'msLevel="(\d+)"', 1).try_cast("int").alias("ms_level"), mz.alias("precursor_mz"), decode(data).alias("peaks"))
+    signs = F.regexp_replace(F.regexp_extract("value", r"(?s)<peaks[^>]*>([A-Za-z0-9+/=\s]*)", 1), r"\s", "")
+    data = F.unbase64(F.substr(signs, F.lit(1), (F.floor(F.length(signs) / 4) * 4).cast("int")))  # whole groups of four
+    little = F.regexp_extract("value", r'<peaks[^>]*byteOrder="([^"]*)"', 1).isin("little", "little-endian")
+    return rows.select("spectrum_file", F.regexp_extract("value", r'num="(\d+)"', 1).cast("int").alias("scan"), F.regexp_extract("value", r'msLevel="(\d+)"', 1).try_cast("int").alias("ms_level"), mz.alias("precursor_mz"), decode(data, little).alias("peaks"))
 
 
 def read_pepxml(spark: SparkSession, path: str, scans: DataFrame | None = None) -> DataFrame:
