@@ -2,81 +2,92 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranges
+from .graph import components
 from .ranges import small, stored
 
 
-def cover_in_order(pairs: pd.DataFrame, min_peptides: int) -> list[tuple]:
-    """(protein, aminos, place) of the greedy cover of a bounded number of pairs, one protein at a time."""
-    of, within, spectra = defaultdict(set), defaultdict(set), {}
-    for a, p, n in zip(pairs["aminos"], pairs["protein"], pairs["spectra"], strict=True):
-        of[p].add(a)
-        within[a].add(p)
-        spectra[p, a] = n
-    total = {p: sum(spectra[p, a] for a in own) for p, own in of.items()}
-    heap = [(-len(own), -total[p], p) for p, own in of.items()]
-    heapq.heapify(heap)
-    out, place = [], 0
-    while heap:
-        n, t, p = heapq.heappop(heap)
-        if (n, t) != (-len(of[p]), -total[p]):  # it has lost peptides since
-            if of[p]:
-                heapq.heappush(heap, (-len(of[p]), -total[p], p))
-            continue
-        if -n < max(min_peptides, 1):
-            break
-        own = sorted(of[p])
-        out += [(p, a, place) for a in own]
-        place += 1
-        for a in own:
-            for q in within.pop(a):
-                of[q].discard(a)
-                total[q] -= spectra[q, a]
-    return out
-
-
-def select_proteins(pep_protein: DataFrame, min_peptides: int = 1, local_pairs: int = 2_000_000) -> DataFrame:
+def cover_rounds(pairs: pd.DataFrame, min_peptides: int, first: int) -> pd.DataFrame:
+    """(protein, aminos, round) of some components' pairs (aminos, protein, spectra): the rounds of `select_proteins`."""
+    proteins, p = np.unique(pairs["protein"].to_numpy(), return_inverse=True)
+    peptides, a = np.unique(pairs["aminos"].to_numpy(), return_inverse=True)
+    spectra, number, out = pairs["spectra"].to_numpy(np.float64), first, []
+    while len(p):
+        n, total = np.bincount(p, minlength=len(proteins)), np.bincount(p, spectra, minlength=len(proteins))
+        keep = n[p] >= max(min_peptides, 1)
+        p, a, spectra = p[keep], a[keep], spectra[keep]
+        place = np.empty(len(proteins), dtype=np.int64)
+        place[np.lexsort((np.arange(len(proteins)), -total, -n))] = np.arange(len(proteins))
+        best = np.full(len(peptides), len(proteins))
+        np.minimum.at(best, a, place[p])
+        beaten = np.bincount(p, place[p] != best[a], minlength=len(proteins)) > 0
+        taken = ~beaten[p]
+        out.append(pd.DataFrame({"protein": proteins[p[taken]], "aminos": peptides[a[taken]], "round": number}))
+        gone = np.zeros(len(peptides), dtype=bool)
+        gone[a[taken]] = True
+        left = ~gone[a]
+        p, a, spectra, number = p[left], a[left], spectra[left], number + 1
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"protein": proteins[:0], "aminos": peptides[:0], "round": []})
+
+
+def covering(min_peptides: int, first: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pairs: cover_rounds(pairs, min_peptides, first)
+
+
+def best_around(left: DataFrame, min_peptides: int, number: int) -> tuple[DataFrame, DataFrame]:
+    """One round of `select_proteins` on Spark: the pairs taken, and what is left of the pairs."""
+    size = left.groupBy("protein").agg(F.count("*").alias("peptides"), F.sum("spectra").alias("total")).where(F.col("peptides") >= min_peptides)
+    # larger is better; the protein's name decides ties
+    scored = stored(left.join(size, "protein").select("aminos", "protein", "spectra", F.struct(-F.col("peptides"), -F.col("total"), F.col("protein")).alias("key")))
+    best = scored.groupBy("aminos").agg(F.min("key").alias("best"))
+    wins = scored.join(best, "aminos").groupBy("protein").agg(F.every(F.col("key") == F.col("best")).alias("wins")).where("wins").select("protein")
+    taken = stored(scored.join(wins, "protein", "left_semi").select("protein", "aminos", F.lit(number).cast("long").alias("round")))
+    return taken, stored(scored.join(taken.select("aminos").distinct(), "aminos", "left_anti").select("aminos", "protein", "spectra"))
+
+
+def select_proteins(pep_protein: DataFrame, min_peptides: int = 1, task_pairs: int = 200_000, rounds: int = 3) -> DataFrame:
     """Parsimonious proteins by greedy cover: (protein, aminos, round); each peptide has one owner.
 
     pep_protein: (aminos, protein, spectra). The order is (peptides, spectra)
-    descending, then protein. Each round on Spark takes every protein that no
-    better protein shares a peptide with, which is what taking the best one at a
-    time comes to; rounds shrink the pairs, and what is left at `local_pairs` or
-    fewer is finished one at a time in a task (as a broadcast, behind a check of
-    its size; rounds go on in its numbers). Peptides count once per protein.
+    descending, then protein. A round takes every protein that no better one
+    shares a peptide with, which is what taking the best one at a time comes to;
+    the number of a protein's round depends on its own component of the
+    peptide-protein graph alone. Components of up to `task_pairs` pairs are dealt
+    over tasks, some to a task; larger ones go through `rounds` rounds on Spark and
+    then come apart into components anew. Peptides count once per protein; rows
+    without aminos or protein are left out.
     """
-    left = stored(pep_protein.groupBy("aminos", "protein").agg(F.max("spectra").alias("spectra")))
-    chosen, number, before = None, 0, None
+    left = stored(pep_protein.where("aminos is not null and protein is not null").groupBy("aminos", "protein").agg(F.max("spectra").alias("spectra")))
     kinds = dict(left.dtypes)
     shape = f"protein {kinds['protein']}, aminos {kinds['aminos']}, round long"
-    while (n := left.count()) != before:
-        before = n
-        if n <= local_pairs:
-
-            def finish(batches, first=number):
-                pairs = pd.concat(list(batches), ignore_index=True)
-                rows = cover_in_order(pairs, min_peptides)
-                yield pd.DataFrame(rows, columns=["protein", "aminos", "round"]).assign(round=lambda x: x["round"] + first)
-
-            taken = left.coalesce(1).mapInPandas(finish, shape) if n else left.select("protein", "aminos", F.lit(0).cast("long").alias("round"))
-            return taken if chosen is None else chosen.union(taken)
-        size = left.groupBy("protein").agg(F.count("*").alias("peptides"), F.sum("spectra").alias("total")).where(F.col("peptides") >= min_peptides)
-        # larger is better; the protein's name decides ties
-        scored = stored(left.join(size, "protein").select("aminos", "protein", F.struct(-F.col("peptides"), -F.col("total"), F.col("protein")).alias("key")))
-        best = scored.groupBy("aminos").agg(F.min("key").alias("best"))
-        wins = scored.join(best, "aminos").groupBy("protein").agg(F.every(F.col("key") == F.col("best")).alias("wins")).where("wins").select("protein")
-        taken = stored(left.join(wins, "protein", "left_semi").select("protein", "aminos", F.lit(number).cast("long").alias("round")))
-        chosen = taken if chosen is None else chosen.union(taken)
-        left = stored(left.join(taken.select("aminos").distinct(), "aminos", "left_anti"))
-        number += 1
-    return chosen
+    chosen, number = [], 0
+    while True:
+        # two proteins with one hash share a component: more than needed, never less
+        node = F.xxhash64("protein")
+        heads = left.groupBy("aminos").agg(F.min(node).alias("b"))
+        parts = components(left.join(heads, "aminos").select(node.alias("a"), "b"))
+        named = stored(left.withColumn("node", node).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node"))
+        sizes = stored(named.groupBy("component").agg(F.count("*").alias("pairs")))
+        fit = sizes.where(F.col("pairs") <= task_pairs)
+        tasks = int((fit.agg(F.sum("pairs")).first()[0] or 0) // task_pairs) + 1
+        dealt = named.join(small(fit.select("component")), "component", "left_semi").withColumn("task", F.pmod("component", F.lit(tasks)))
+
+        chosen.append(dealt.groupBy("task").applyInPandas(covering(min_peptides, number), shape))
+        large = sizes.where(F.col("pairs") > task_pairs)
+        if not large.limit(1).count():
+            return union_all(*chosen)
+        left = stored(named.join(large, "component", "left_semi").select("aminos", "protein", "spectra"))
+        for _ in range(rounds):
+            taken, left = best_around(left, min_peptides, number)
+            chosen.append(taken)
+            number += 1
 
 
 def indistinguishable(pep_protein: DataFrame, least: int = 2) -> DataFrame:
@@ -317,18 +328,74 @@ def gap_summary(gaps: DataFrame, width: int = 10) -> tuple[DataFrame, DataFrame]
     return largest, gaps.where("gap is not null").groupBy(F.floor(F.col("gap") / width).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def runner_up_chains(psm: DataFrame) -> DataFrame:
-    """(protein, behind, peptides): each protein with the better one that has most of its peptides.
+def ranked_hits(psm: DataFrame) -> DataFrame:
+    """(spectrum_file, scan, place, aminos, protein, p_value) of the hits with a score of 0 or more, each peptide once
+    a spectrum, where it comes first; place counts from 1."""
+    good = psm.where("mq_score >= 0").groupBy("spectrum_file", "scan", "aminos").agg(F.min(F.struct("rank", "protein", "p_value")).alias("h"))
+    w = Window.partitionBy("spectrum_file", "scan").orderBy("h.rank", "aminos")
+    return good.select("spectrum_file", "scan", F.row_number().over(w).alias("place"), "aminos", "h.protein", "h.p_value", "h.rank")
+
 
-    Better: more peptides, then the lesser name. A protein that heads its peptides has null.
+def candidate_summary(psm: DataFrame, floor: float = 1e-5) -> DataFrame:
+    """(aminos, protein, top_hits, runners_up, best_p, score) per peptide: protein of its first hit, the spectra in
+    which it comes first and those in which it does not, the best p-value of the first (1 without any), and the sum over
+    these, i from 1, of -ln(best p) / i, the best p (at least `floor`) standing in every term."""
+    top = F.col("place") == 1
+    by = ranked_hits(psm).groupBy("aminos").agg(
+        F.min(F.struct("spectrum_file", "scan", "rank", "protein")).alias("first"), F.count_if(top).alias("top_hits"), F.count_if(~top).alias("runners_up"), F.min(F.when(top, F.col("p_value"))).alias("p")
+    )
+    best = F.least(F.coalesce("p", F.lit(1.0)), F.lit(1.0))
+    # the harmonic number: exact up to 64, beyond that by its series, whose next term is below 1e-14
+    n = F.col("top_hits").cast("double")
+    series = F.log(n) + 0.5772156649015329 + 1 / (2 * n) - 1 / (12 * n * n) + 1 / (120 * F.pow(n, F.lit(4)))
+    exact = F.aggregate(F.sequence(F.lit(1), F.least(F.col("top_hits"), F.lit(64)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / i)
+    terms = F.when(F.col("top_hits") == 0, 0.0).when(F.col("top_hits") <= 64, exact).otherwise(series)
+    return by.select("aminos", F.col("first.protein").alias("protein"), "top_hits", "runners_up", best.alias("best_p"), (-F.log(F.greatest(best, F.lit(floor))) * terms).alias("score"))
+
+
+def runner_up_chains(psm: DataFrame) -> DataFrame:
+    """(spectrum_file, scan, place, aminos, better, worse): each hit of a spectrum with the spectrum's first peptide
+    (null for itself) and the next one down (null for the last)."""
+    w = Window.partitionBy("spectrum_file", "scan").orderBy("place")
+    rows = ranked_hits(psm)
+    better = F.when(F.col("place") > 1, F.first("aminos").over(w))
+    return rows.select("spectrum_file", "scan", "place", "aminos", better.alias("better"), F.lead("aminos").over(w).alias("worse"))
+
+
+def half_overlap(a: Column, b: Column, reach: int = 20) -> Column:
+    """Whether the second or the first half of a stands in b (at its first place) and fits on from the half point,
+    back or forth, up to the end of either; a fit that `reach` residues do not decide is none."""
+    n, m = F.length(a), F.length(b)
+    half = F.floor(n / 2).cast("int")
+    at = F.instr(b, F.substr(a, half + 1)) - 1
+    back = F.least(half, at) + 1  # residues at and before the half point
+    lead = (at >= 0) & (back < reach) & (F.substr(a, half - back + 2, back) == F.substr(b, at - back + 2, back))
+    to = F.instr(b, F.substr(a, F.lit(1), half)) - 1
+    on = F.least(n - half, m - to - half)
+    follow = (to >= 0) & (on < reach) & (F.substr(a, half + 1, on) == F.substr(b, to + half + 1, on))
+    return lead | follow
+
+
+def kings(candidates: DataFrame, least: float = 0.0, k: int = 3) -> DataFrame:
+    """(protein, aminos, king) of candidates (protein, aminos, score) above `least`: the candidate of the same
+    protein with the least score above its own (ties: by name) that it overlaps by half; candidates without one are
+    left out.
+
+    A half meets candidates of its protein that hold its first letters (`k`, or all of a shorter half), so no protein's
+    candidates are paired off.
     """
-    pairs = stored(psm.select("aminos", "protein").distinct())
-    size = stored(pairs.groupBy("protein").agg(F.count("*").alias("n")))
-    ranked = pairs.join(small(size), "protein")
-    best = ranked.groupBy("aminos").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("protein"))).alias("top")).select("aminos", F.col("top.protein").alias("head"))
-    met = pairs.join(best, "aminos").where("protein <> head").groupBy("protein", "head").agg(F.count("*").alias("peptides"))
-    behind = met.groupBy("protein").agg(F.min(F.struct((-F.col("peptides")).alias("n"), F.col("head"))).alias("b"))
-    return size.select("protein").join(behind, "protein", "left").select("protein", F.col("b.head").alias("behind"), F.coalesce(-F.col("b.n"), F.lit(0)).alias("peptides"))
+    rows = candidates.where((F.col("score") > least) & (F.length("aminos") > 0)).select("protein", "aminos", "score").distinct()
+    rows = stored(rows)
+    half = F.floor(F.length("aminos") / 2).cast("int")
+    halves = rows.select("protein", F.col("aminos").alias("a"), F.col("score").alias("a_score"), F.explode(F.array(F.substr(F.col("aminos"), half + 1), F.substr(F.col("aminos"), F.lit(1), half))).alias("h"))
+    met = None
+    for size in range(k + 1):
+        asked = halves.where(F.length("h") == size if size < k else F.length("h") >= size).withColumn("kmer", F.substr(F.col("h"), F.lit(1), F.lit(size))).drop("h")
+        held = ranges.kmers(rows, "aminos", size, ["protein", "aminos", "score"]).drop("pos") if size else rows.withColumn("kmer", F.lit(""))
+        found = asked.join(held.distinct(), ["protein", "kmer"]).where(F.struct("a_score", "a") < F.struct("score", "aminos")).drop("kmer")
+        met = found if met is None else met.unionByName(found)
+    pairs = met.where(half_overlap(F.col("a"), F.col("aminos")))
+    return pairs.groupBy("protein", "a").agg(F.min(F.struct("score", "aminos")).alias("b")).select("protein", F.col("a").alias("aminos"), F.col("b.aminos").alias("king"))
 
 
 def merge_half_overlaps(candidates: DataFrame, share: float = 0.5) -> DataFrame:
@@ -347,11 +414,3 @@ def merge_half_overlaps(candidates: DataFrame, share: float = 0.5) -> DataFrame:
     dealt = ranges.carried(ranges.placed(rows, ["chrom"], ["start"]), ["chrom"], _heads=(F.sum("head"), F.sum))
     region = F.sum("head").over(ranges.inside(["chrom"], order).rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_heads", F.lit(0))
     return dealt.withColumn("region", region).groupBy("chrom", "region").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n"))
-
-
-def candidate_summary(psm: DataFrame) -> DataFrame:
-    """Per protein the score sum(-ln(best p) / (i + 1)) over its peptides; the best p stands in every term."""
-    per = psm.groupBy("protein", "aminos").agg(F.min("p_value").alias("p"))
-    best = per.groupBy("protein").agg(F.min("p").alias("p"), F.count("*").alias("n"))
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda s, i: s + 1 / (i + 1))
-    return best.select("protein", F.col("n").alias("peptides"), (-F.log(F.greatest("p", F.lit(1e-10))) * harmonic).alias("score"))

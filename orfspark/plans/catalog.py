@@ -130,7 +130,11 @@ def pep_protein(s, d):
     return V.psm(s, d).groupBy("aminos", "protein").agg(F.count("*").alias("spectra"))
 
 
-add("a8_select_proteins", lambda s, d: inference.select_proteins(pep_protein(s, d)).groupBy("protein", "round").agg(F.count("*").alias("peptides")))
+COVER = """rec AS (SELECT CAST(0 AS BIGINT) AS round, aminos, protein, spectra, false AS taken FROM pp UNION ALL
+ SELECT CASE WHEN w THEN round ELSE round + 1 END, aminos, protein, spectra, w FROM (SELECT *, bool_or(w) OVER (PARTITION BY aminos) AS gone FROM (SELECT *, bool_and(k = b) OVER (PARTITION BY protein) AS w FROM (SELECT *, min(k) OVER (PARTITION BY aminos) AS b FROM
+ (SELECT round, aminos, protein, spectra, (-count(*) OVER (PARTITION BY protein), -sum(spectra) OVER (PARTITION BY protein), protein) AS k FROM rec WHERE NOT taken)))) WHERE w OR NOT gone)"""
+add("a8_select_proteins", lambda s, d: inference.select_proteins(pep_protein(s, d)).groupBy("protein", "round").agg(F.count("*").alias("peptides")),
+    f"WITH RECURSIVE {V.PSM}, {PP}, {COVER} SELECT protein, round, count(*) AS peptides FROM rec WHERE taken GROUP BY 1, 2")
 add("a9_indistinguishable", lambda s, d: inference.indistinguishable(V.psm(s, d).select((F.col("aminos") % 7).alias("aminos"), F.col("scan").alias("protein"))),
     f"WITH {V.PSM}, q AS (SELECT scan AS protein, list_sort(list(DISTINCT aminos % 7)) AS s FROM psm GROUP BY 1), g AS (SELECT *, min(protein) OVER (PARTITION BY s) AS set_of, count(*) OVER (PARTITION BY s) AS n_proteins FROM q WHERE len(s) >= 2) SELECT protein, set_of, n_proteins, CAST(len(s) AS BIGINT) AS n_peptides FROM g WHERE n_proteins > 1")
 add("a10_protein_report", lambda s, d: inference.protein_report(pep_protein(s, d)), f"WITH {V.PSM}, {PP}, n AS (SELECT aminos, count(DISTINCT protein) AS n FROM pp GROUP BY 1) SELECT protein, count(*) FILTER (n = 1) AS unique_peptides, count(*) FILTER (n > 1) AS shared_peptides, CAST(sum(spectra) AS BIGINT) AS spectra FROM pp JOIN n USING (aminos) GROUP BY 1")
@@ -167,8 +171,10 @@ PAIRED_GEL = "m AS (SELECT spot, gel, first(protein ORDER BY spectra DESC, prote
 add("a36_gel_pairs", lambda s, d: inference.gel_pairs(inference.passing_proteins(gel_psm(s, d), [1, 2]), 1), f"WITH {V.PSM}, {GEL}, {PAIRED_GEL} SELECT major, minor, gels, spots FROM gp")
 add("w10_sticky_proteins", lambda s, d: inference.sticky_proteins(V.psm(s, d).groupBy((F.col("aminos") % 40 * 3).alias("spot"), "protein").agg(F.count("*").alias("spectra")), [1, 2]),
     f"WITH {V.PSM}, {SPOTS}, o AS (SELECT spot, lag(spot) OVER (ORDER BY spot) AS before FROM (SELECT DISTINCT spot FROM g)), k AS (SELECT * FROM g WHERE spectra >= 2 AND protein NOT IN (1, 2)) SELECT a.spot * 3 AS spot, a.protein FROM k a JOIN o USING (spot) JOIN k b ON a.protein = b.protein AND b.spot = before")
-add("a38_candidate_summary", lambda s, d: r6(inference.candidate_summary(V.psm(s, d)), "score"),
-    f"WITH {V.PSM}, x AS (SELECT protein, aminos, min(p_value) AS p FROM psm GROUP BY 1, 2), b AS (SELECT protein, min(p) AS p, count(*) AS n FROM x GROUP BY 1) SELECT protein, n AS peptides, round(-ln(greatest(p, 1e-10)) * list_sum([1 / (i + 1) FOR i IN range(1, n + 1)]), 6) AS score FROM b")
+RANKED = "q AS (SELECT spectrum_file, scan, aminos, min(rank) AS r FROM psm WHERE mq_score >= 0 GROUP BY 1, 2, 3), rk AS (SELECT q.spectrum_file, q.scan, q.aminos, q.r, protein, p_value, row_number() OVER (PARTITION BY q.spectrum_file, q.scan ORDER BY r, q.aminos) AS place FROM q JOIN psm ON psm.spectrum_file = q.spectrum_file AND psm.scan = q.scan AND psm.rank = r)"
+add("a38_candidate_summary", lambda s, d: r6(inference.candidate_summary(V.psm(s, d)), "best_p", "score"),
+    f"""WITH {V.PSM}, {RANKED}, b AS (SELECT aminos, first(protein ORDER BY spectrum_file, scan, r) AS protein, count(*) FILTER (place = 1) AS top_hits, count(*) FILTER (place > 1) AS runners_up, least(coalesce(min(p_value) FILTER (place = 1), 1.0), 1.0) AS p FROM rk GROUP BY 1)
+ SELECT aminos, protein, top_hits, runners_up, round(p, 6) AS best_p, round(-ln(greatest(p, 1e-5)) * coalesce(list_sum([1 / i FOR i IN range(1, top_hits + 1)]), 0), 6) AS score FROM b""")
 add("s15_peptidome_report", lambda s, d: __import__("orfspark.sources.tables", fromlist=["x"]).peptidome_report(V.psm(s, d)),
     f"WITH {V.PSM} SELECT protein, aminos, count(*) AS spectra, array_to_string(list_sort(list(DISTINCT spectrum_file || ':' || scan)), ',') AS places FROM psm GROUP BY 1, 2")
 add("u5_peptide_sets", lambda s, d: V.psm(s, d).where("sample = 'O'").select("aminos").intersect(V.psm(s, d).where("sample = 'F'").select("aminos")), f"WITH {V.PSM} SELECT aminos FROM psm WHERE sample = 'O' INTERSECT SELECT aminos FROM psm WHERE sample = 'F'")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -12,8 +13,8 @@ from ..sources import tables as S
 from ..streaming import incremental as I
 from . import adapters as V
 from . import pipelines
-from .catalog import ENGINES, EXONS, GEL, GENES, INTRONS, LOCATED, PAIRED_GEL, PROBES, SEQ, SPOTS, add, engines, exons, gel_psm, genes, key, labelled, located, orfs, probes, r6
-from .catalog_more import MAPPED, mapped_probes, mass_sql, simple_exons, starts, words
+from .catalog import ENGINES, EXONS, GEL, GENES, INTRONS, LOCATED, PAIRED_GEL, PROBES, RANKED, SEQ, SPOTS, add, engines, exons, gel_psm, genes, key, labelled, located, orfs, probes, r6
+from .catalog_more import MAPPED, WORD, mapped_probes, mass_sql, simple_exons, starts, words
 
 # --- sources: tables of the driver, written in a format and read back ---------------------------------------------
 
@@ -154,7 +155,22 @@ add("a35_spot_coverage", lambda s, d: inference.spot_coverage(V.psm(s, d).select
 add("a36_pair_weights", lambda s, d: r6(inference.pair_weights(inference.gel_pairs(inference.passing_proteins(gel_psm(s, d), [1, 2]), 1), V.table(s, d, "supplier").select(F.col("s_suppkey").alias("protein"), F.col("s_acctbal").alias("weight"))).select("major", "minor", "gels", "difference"), "difference"),
     f"WITH {V.PSM}, {GEL}, {PAIRED_GEL} SELECT major, minor, gels, round(x.s_acctbal - y.s_acctbal, 6) AS difference FROM gp LEFT JOIN supplier x ON x.s_suppkey = major LEFT JOIN supplier y ON y.s_suppkey = minor")
 add("a38_runner_up_chains", lambda s, d: inference.runner_up_chains(V.psm(s, d)),
-    f"WITH {V.PSM}, q AS (SELECT DISTINCT aminos, protein FROM psm), z AS (SELECT protein, count(*) AS n FROM q GROUP BY 1), h AS (SELECT aminos, first(protein ORDER BY n DESC, protein) AS head FROM q JOIN z USING (protein) GROUP BY 1), c AS (SELECT protein, head, count(*) AS k FROM q JOIN h USING (aminos) WHERE protein <> head GROUP BY 1, 2), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY protein ORDER BY k DESC, head) = 1) SELECT z.protein, head AS behind, coalesce(k, 0) AS peptides FROM z LEFT JOIN b USING (protein)")
+    f"WITH {V.PSM}, {RANKED} SELECT spectrum_file, scan, place, aminos, CASE WHEN place > 1 THEN first(aminos) OVER w END AS better, lead(aminos) OVER w AS worse FROM rk WINDOW w AS (PARTITION BY spectrum_file, scan ORDER BY place)")
+JOINED = "cd AS (SELECT DISTINCT conv_id AS protein, t AS aminos, CAST((length(t) * 7 + ascii(t)) % 31 AS DOUBLE) AS score FROM (SELECT conv_id, t FROM w UNION ALL SELECT conv_id, t || lead(t) OVER (PARTITION BY conv_id, turn ORDER BY pos) FROM w) WHERE t IS NOT NULL)"
+
+
+def overlapping_words(s, d):
+    """Words of a conversation, and neighbours written as one, as candidates of one protein."""
+    w = words(s, d)
+    pairs = w.withColumn("t", F.concat("t", F.lead("t").over(Window.partitionBy("conv_id", "turn").orderBy("pos")))).where("t is not null")
+    both = w.select("conv_id", "t").unionByName(pairs.select("conv_id", "t"))
+    return both.select(F.col("conv_id").alias("protein"), F.col("t").alias("aminos"), ((F.length("t") * 7 + F.ascii("t")) % 31).cast("double").alias("score")).distinct()
+
+
+OVERLAP = """(instr(b.aminos, a.aminos[a.h + 1:]) > 0 AND least(a.h, instr(b.aminos, a.aminos[a.h + 1:]) - 1) + 1 < 20 AND a.aminos[a.h - least(a.h, instr(b.aminos, a.aminos[a.h + 1:]) - 1) + 1:a.h + 1] = b.aminos[instr(b.aminos, a.aminos[a.h + 1:]) - least(a.h, instr(b.aminos, a.aminos[a.h + 1:]) - 1):instr(b.aminos, a.aminos[a.h + 1:])])
+ OR (instr(b.aminos, a.aminos[1:a.h]) > 0 AND least(a.n - a.h, length(b.aminos) - instr(b.aminos, a.aminos[1:a.h]) + 1 - a.h) < 20 AND a.aminos[a.h + 1:a.h + least(a.n - a.h, length(b.aminos) - instr(b.aminos, a.aminos[1:a.h]) + 1 - a.h)] = b.aminos[instr(b.aminos, a.aminos[1:a.h]) + a.h:instr(b.aminos, a.aminos[1:a.h]) + a.h - 1 + least(a.n - a.h, length(b.aminos) - instr(b.aminos, a.aminos[1:a.h]) + 1 - a.h)])"""
+add("a38_kings", lambda s, d: inference.kings(overlapping_words(s, d), 2.0),
+    f"WITH {WORD}, {JOINED}, x AS (SELECT *, length(aminos) // 2 AS h, length(aminos) AS n FROM cd WHERE score > 2) SELECT a.protein, a.aminos, first(b.aminos ORDER BY b.score, b.aminos) AS king FROM x a JOIN x b ON a.protein = b.protein AND (a.score, a.aminos) < (b.score, b.aminos) AND ({OVERLAP}) GROUP BY 1, 2")
 add("a38_merge_half_overlaps", lambda s, d: inference.merge_half_overlaps(V.features(s, d).select(F.col("strand").alias("chrom"), F.col("event_id").alias("name"), (F.col("start") - 900).alias("start"), (F.col("stop") + 900).alias("stop"))),
     f"""WITH {V.FEATURES}, c AS (SELECT strand AS chrom, event_id AS name, start - 900 AS start, stop + 900 AS stop FROM features), j AS (SELECT a.chrom, a.name, bool_or(b.name IS NOT NULL) AS joins FROM c a LEFT JOIN c b ON a.chrom = b.chrom AND b.start <= a.stop AND a.start <= b.stop AND (b.start, b.stop, b.name) < (a.start, a.stop, a.name) AND least(a.stop, b.stop) - greatest(a.start, b.start) + 1 >= 0.5 * (least(a.stop - a.start, b.stop - b.start) + 1) GROUP BY 1, 2),
  r AS (SELECT c.*, CAST(sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY c.chrom ORDER BY start, stop, c.name) AS BIGINT) AS region FROM c JOIN j ON j.chrom = c.chrom AND j.name = c.name) SELECT chrom, region, min(start) AS start, max(stop) AS stop, count(*) AS n FROM r GROUP BY 1, 2""")
