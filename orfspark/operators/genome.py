@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,46 +13,95 @@ from ..functions import expr as X
 from . import ranges
 
 
-def six_frame(contigs: DataFrame, min_aa: int = 7) -> DataFrame:
+def chunked(contigs: DataFrame, size: int = 30_000) -> DataFrame:
+    """(chrom, n, at from 0, seq): (chrom, seq) in chunks of `size` bases (a multiple of 3), each with the two bases that
+    follow, dealt over tasks, so that a contig is no task of its own. One pass cuts a contig up."""
+    parts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    rows = contigs.where("seq <> ''").select("chrom", F.length("seq").cast("long").alias("n"), parts.alias("parts"))
+    tail = F.transform("parts", lambda c, i: F.concat(c, F.coalesce(F.left(F.get("parts", i + 1), F.lit(2)), F.lit(""))))
+    rows = rows.select("chrom", "n", F.posexplode(tail).alias("k", "seq")).select("chrom", "n", (F.col("k").cast("long") * size).alias("at"), "seq")
+    return rows.repartition("chrom", "at")
+
+
+def codon_letters() -> np.ndarray:
+    """Residue of each code 16a + 4b + c of three bases A, C, G, T; a stop for all above."""
+    table = np.full(65, ord("*"), dtype=np.uint8)
+    for codon, letter in zip(X.CODONS, X.CODE, strict=True):
+        a, b, c = ("ACGT".index(x) for x in codon)
+        table[16 * a + 4 * b + c] = ord(letter)
+    return table
+
+
+def base_numbers(seq: str) -> np.ndarray:
+    """0 to 3 for A, C, G, T; 64 for any other letter, one per code point."""
+    table = np.full(256, 64, dtype=np.int64)
+    for i, b in enumerate("ACGT"):
+        table[ord(b)] = i
+    codes = np.frombuffer(seq.encode("utf-32-le"), dtype=np.uint32)
+    return table[np.minimum(codes, 255)]
+
+
+def chunk_frames(seq: str, at: int, n: int, size: int, min_aa: int) -> Iterator[tuple[str, int, int, int, str, bool, bool]]:
+    """(strand, offset, first codon, last codon, residues, open left, open right) of the stretches between stops of a
+    chunk's six frames: places of codons on the plus strand from 0, residues along the strand; open where the stretch may
+    go on in the chunk before or behind. Closed ones have `min_aa` residues at least."""
+    letters, b = codon_letters(), base_numbers(seq)
+    for offset in range(3):
+        m = min(len(b) - offset, size - offset + 2) // 3
+        if m <= 0:
+            continue
+        codons = b[offset : offset + 3 * m].reshape(-1, 3)
+        plus = np.minimum(codons @ np.array([16, 4, 1]), 64)
+        minus = np.minimum((3 - codons[:, ::-1]) @ np.array([16, 4, 1]), 64)
+        bad = (codons > 3).any(axis=1)
+        for strand, code in (("+", plus), ("-", minus)):
+            residues = letters[np.where(bad, 64, code)]
+            stops = np.flatnonzero(residues == ord("*"))
+            begins, ends = np.append(0, stops + 1), np.append(stops, m)
+            text, last = residues.tobytes().decode("ascii"), len(begins) - 1
+            long = ends - begins >= max(min_aa, 1)
+            long[0] |= at > 0
+            long[last] |= at + size < n
+            for k in np.flatnonzero(long).tolist():
+                x, y, left, right = int(begins[k]), int(ends[k]), k == 0 and at > 0, k == last and at + size < n
+                own = text[x:y]
+                yield strand, offset, at + offset + 3 * x, at + offset + 3 * (y - 1), own if strand == "+" else own[::-1], left, right
+
+
+def six_frame(contigs: DataFrame, min_aa: int = 7, size: int = 30_000) -> DataFrame:
     """G1: stop-to-stop ORFs (chrom, strand, frame, start_nuc, length, seq) of (chrom, seq).
 
-    Both strands and three frames of each; start_nuc is the first base of the
-    first codon, counted on the plus strand from 1. An unknown codon is a stop.
-    """
-    both = contigs.select("chrom", F.length("seq").alias("n"), F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("dna")), F.struct(F.lit("-").alias("strand"), X.reverse_complement(F.col("seq")).alias("dna")))).alias("s")).select("chrom", "n", "s.strand", "s.dna")
-    frames = both.select("chrom", "n", "strand", "dna", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("frame"))
-    aa = frames.select("chrom", "n", "strand", "frame", F.split(X.translate_dna(F.substr("dna", F.col("frame"))), r"\*").alias("parts"))
-    # residues ahead of each part, its stop included: a running sum inside the row
-    ahead = F.aggregate(
-        F.transform("parts", lambda p: F.length(p) + 1),
-        F.struct(F.lit(0).alias("to"), F.array().cast("array<int>").alias("at")),
-        lambda s, n: F.struct((s["to"] + n).alias("to"), F.concat(s["at"], F.array(s["to"])).alias("at")),
-    )["at"]
-    rows = aa.select("chrom", "n", "strand", "frame", F.explode(F.filter(F.arrays_zip(ahead.alias("at"), F.col("parts").alias("seq")), lambda x: F.length(x["seq"]) >= min_aa)).alias("x"))
-    start = F.col("frame") + 3 * F.col("x.at")
-    return rows.select("chrom", "strand", "frame", F.when(F.col("strand") == "+", start).otherwise(F.col("n") - start + 1).alias("start_nuc"), F.length("x.seq").alias("length"), F.col("x.seq").alias("seq"))
-
-
-def six_frame_chunked(chunks: DataFrame, min_aa: int = 7) -> DataFrame:
-    """G1 on long contigs given as overlapping chunks (chrom, n, at from 0, seq): plus-strand and minus-strand ORF
-    coordinates without any whole-contig string.
-
-    Each chunk carries two bases of the next one. Stops are rows; an ORF is the
-    stretch between neighbouring stops of a frame.
+    Both strands and three frames of each; start_nuc is the first base of the first codon, counted on the plus strand
+    from 1. An unknown codon is a stop. Contigs are translated chunk by chunk, wherever the chunks are; only the open
+    ends of chunks, two per frame at most, meet again to be joined, in the order of their places.
     """
-    codes = X.literal_map(dict(zip(X.CODONS, X.CODE, strict=True)))
-    places = chunks.where(F.length("seq") >= 3).select("chrom", "n", "at", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 3)).alias("i"))
-    codon = F.substr(F.col("seq"), F.col("i") + 1, F.lit(3))
-    both = places.select("chrom", "n", (F.col("at") + F.col("i")).alias("p"), F.explode(F.array(F.struct(F.lit("+").alias("strand"), codon.alias("c")), F.struct(F.lit("-").alias("strand"), X.reverse_complement(codon).alias("c")))).alias("s"))
-    stops = both.where(F.coalesce(F.try_element_at(codes, F.col("s.c")), F.lit("*")) == "*").select("chrom", "n", "s.strand", "p")
-    frame = F.when(F.col("strand") == "+", F.col("p") % 3 + 1).otherwise((F.col("n") - F.col("p") - 3) % 3 + 1)
-    stops = stops.select("chrom", "n", "strand", frame.cast("int").alias("frame"), F.when(F.col("strand") == "+", F.col("p")).otherwise(F.col("n") - F.col("p") - 3).alias("q"))
-    ends = chunks.select("chrom", "n").distinct().select("chrom", "n", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("frame"))
-    ends = ends.select("chrom", "n", "strand", "frame", (F.col("frame") - 1 + 3 * F.floor((F.col("n") - F.col("frame") + 1) / 3)).alias("q"))
-    w = Window.partitionBy("chrom", "strand", "frame").orderBy("q")
-    rows = stops.union(ends).withColumn("begin", F.coalesce(F.lag("q").over(w) + 3, F.col("frame") - 1)).withColumn("length", F.floor((F.col("q") - F.col("begin")) / 3))
-    start = F.when(F.col("strand") == "+", F.col("begin") + 1).otherwise(F.col("n") - F.col("begin"))
-    return rows.where(F.col("length") >= min_aa).select("chrom", "strand", "frame", start.alias("start_nuc"), "length")
+    kind = dict(contigs.dtypes)["chrom"]
+    shape = f"chrom {kind}, n long, at long, strand string, off int, lo long, hi long, seq string, open_left boolean, open_right boolean"
+
+    def translated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(9)]
+            for row, (n, at, seq) in enumerate(zip(batch.column("n").to_pylist(), batch.column("at").to_pylist(), batch.column("seq").to_pylist(), strict=True)):
+                for strand, off, lo, hi, own, left, right in chunk_frames(seq, at, n, size, min_aa):
+                    for c, x in zip(out, (row, n, at, strand, off, lo, hi, own, (left, right)), strict=True):
+                        c.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            cells = [pa.array(x, k) for x, k in zip(out[1:8], kinds, strict=True)]
+            ends = [pa.array([e[i] for e in out[8]], pa.bool_()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("chrom").take(pa.array(out[0], pa.int64())), *cells, *ends], ["chrom", "n", "at", "strand", "off", "lo", "hi", "seq", "open_left", "open_right"])
+
+    pieces = ranges.stored(chunked(contigs, size).mapInArrow(translated, shape))
+    whole = pieces.where("not open_left and not open_right").select("chrom", "n", "strand", "lo", "hi", "seq")
+    # a stretch begins where the left is closed and ends where the right is; those between are of chunks without a stop
+    ends = pieces.where("open_left or open_right")
+    begun = F.sum((~F.col("open_left")).cast("long")).over(Window.partitionBy("chrom", "strand", "off").orderBy("at", "open_right"))
+    parts = ends.withColumn("orf", begun).groupBy("chrom", "n", "strand", "off", "orf").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(F.collect_list(F.struct("at", "seq"))).alias("p"))
+    texts = F.transform("p", lambda x: x["seq"])
+    joined = parts.select("chrom", "n", "strand", "lo", "hi", F.array_join(F.when(F.col("strand") == "+", texts).otherwise(F.reverse(texts)), "").alias("seq"))
+    rows = whole.unionByName(joined.where(F.length("seq") >= min_aa))
+    minus = F.col("strand") == "-"
+    frame = F.when(minus, (F.col("n") - F.col("lo") - 3) % 3).otherwise(F.col("lo") % 3) + 1
+    return rows.select("chrom", "strand", frame.cast("int").alias("frame"), F.when(minus, F.col("hi") + 3).otherwise(F.col("lo") + 1).alias("start_nuc"), F.length("seq").alias("length"), "seq")
 
 
 def decoys(seqs: DataFrame, mode: str = "shuffle", copies: int = 1, avoid_k: int | None = None, tries: int = 10) -> DataFrame:
@@ -78,14 +131,20 @@ def decoys(seqs: DataFrame, mode: str = "shuffle", copies: int = 1, avoid_k: int
 
 
 def digest(seqs: DataFrame, missed: int = 1, shortest: int = 6, longest: int = 40) -> DataFrame:
-    """Tryptic peptides (seq_id, pos from 1, aminos) with up to `missed` uncut sites."""
-    parts = F.filter(F.split("seq", r"(?<=[KR])(?!P)"), lambda p: p != "")
-    ahead = F.aggregate("p", F.struct(F.lit(1).alias("to"), F.array().cast("array<int>").alias("at")), lambda s, x: F.struct((s["to"] + F.length(x)).alias("to"), F.concat(s["at"], F.array(s["to"])).alias("at")))["at"]
-    rows = seqs.select("seq_id", parts.alias("p")).where(F.size("p") > 0).withColumn("at", ahead)
-    of = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(missed + 1), F.size("p") - i)), lambda n: F.struct(F.get("at", i).alias("pos"), F.array_join(F.slice("p", i + 1, n), "").alias("aminos")))
-    cut = F.flatten(F.transform(F.sequence(F.lit(0), F.size("p") - 1), of))
-    fit = F.filter(cut, lambda x: F.length(x["aminos"]).between(shortest, longest))
-    return rows.select("seq_id", F.explode(fit).alias("x")).select("seq_id", "x.pos", "x.aminos")
+    """Tryptic peptides (seq_id, pos from 1, aminos) with up to `missed` uncut sites.
+
+    A piece ends behind K or R that no P follows; its place is the number of residues ahead of it, a running sum over
+    the sequence's pieces, of which only those up to `longest` residues and the `missed` ones behind them are joined.
+    """
+    cut = F.posexplode(F.filter(F.split("seq", r"(?<=[KR])(?!P)"), lambda p: p != "")).alias("i", "piece")
+    rows = seqs.select("seq_id", cut)
+    w = Window.partitionBy("seq_id").orderBy("i")
+    before = F.coalesce(F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = F.collect_list("piece").over(w.rowsBetween(0, missed))
+    rows = rows.select("seq_id", (before + 1).cast("int").alias("pos"), ahead.alias("p"))
+    joined = F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.array_join(F.slice("p", F.lit(1), n), ""))
+    fit = F.filter(joined, lambda x: F.length(x).between(shortest, longest))
+    return rows.select("seq_id", "pos", F.explode(fit).alias("aminos"))
 
 
 def fabricate(seqs: DataFrame, n: int = 20_000, shortest: int = 100, longest: int = 1000, suppressed: dict[str, float] | None = None) -> DataFrame:

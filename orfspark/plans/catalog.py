@@ -295,13 +295,13 @@ add("x14_mean_hydropathy", lambda s, d: V.sequences(s, d).where("seq <> ''").sel
     f"{SEQ} SELECT seq_id, round(({' + '.join(f'({m}) * (length(seq) - length(replace(seq, {chr(39)}{c}{chr(39)}, {chr(39)}{chr(39)})))' for c, m in X.HYDROPATHY.items())}) / length(seq), 6) AS hydropathy FROM sequences WHERE seq <> ''")
 add("x12_signal_motif", lambda s, d: V.sequences(s, d).select("seq_id", X.signal_motif(F.col("seq")).alias("motif"), X.has_basic(F.col("seq"), 0, 10).alias("basic")), f"{SEQ} SELECT seq_id, regexp_matches(seq, '[ILVAGS].[AGS]$') AS motif, regexp_matches(substring(seq, 1, 10), '[KR]') AS basic FROM sequences")
 add("g3_reverse_decoys", lambda s, d: genome.decoys(V.sequences(s, d).withColumn("name", F.col("seq_id").cast("string")), "reverse").select("seq_id", "name", F.md5("seq").alias("digest")), f"{SEQ} SELECT seq_id, 'XXX.' || seq_id AS name, md5(reverse(seq)) AS digest FROM sequences")
-add("g1_six_frame", lambda s, d: genome.six_frame(V.contigs(s, d), 20).select("chrom", "strand", "frame", "start_nuc", "length", F.md5("seq").alias("digest")),
-    f"""WITH {V.CONTIGS}, b AS (SELECT chrom, length(seq) AS n, '+' AS strand, seq AS dna FROM contigs UNION ALL SELECT chrom, length(seq), '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM contigs),
+SIX_FRAMES = f"""WITH {V.CONTIGS}, b AS (SELECT chrom, length(seq) AS n, '+' AS strand, seq AS dna FROM contigs UNION ALL SELECT chrom, length(seq), '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM contigs),
  f AS (SELECT chrom, n, strand, frame, dna[frame:] AS x FROM b, (VALUES (1), (2), (3)) t(frame)),
  p AS (SELECT chrom, n, strand, frame, string_split(list_aggregate(list_concat([''], [{CODON_MAP}[x[3 * i + 1:3 * i + 3]] FOR i IN range(length(x) // 3)]), 'string_agg', ''), '*') AS parts FROM f),
  r AS (SELECT chrom, n, strand, frame, unnest(parts) AS seq, unnest(range(len(parts))) AS i FROM p),
  o AS (SELECT *, coalesce(sum(length(seq) + 1) OVER (PARTITION BY chrom, strand, frame ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k0 FROM r)
- SELECT chrom, strand, frame, CAST(CASE WHEN strand = '+' THEN frame + 3 * k0 ELSE n - (frame + 3 * k0) + 1 END AS BIGINT) AS start_nuc, length(seq) AS length, md5(seq) AS digest FROM o WHERE length(seq) >= 20""")
+ SELECT chrom, strand, frame, CAST(CASE WHEN strand = '+' THEN frame + 3 * k0 ELSE n - (frame + 3 * k0) + 1 END AS BIGINT) AS start_nuc, length(seq) AS length, md5(seq) AS digest FROM o WHERE length(seq) >= 20"""
+add("g1_six_frame", lambda s, d: genome.six_frame(V.contigs(s, d), 20).select("chrom", "strand", "frame", "start_nuc", "length", F.md5("seq").alias("digest")), SIX_FRAMES)
 
 
 def letters_of(s, d, name, key_):

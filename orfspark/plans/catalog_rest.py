@@ -13,7 +13,7 @@ from ..sources import tables as S
 from ..streaming import incremental as I
 from . import adapters as V
 from . import pipelines
-from .catalog import ENGINES, EXONS, GEL, GENES, INTRONS, LOCATED, PAIRED_GEL, PROBES, RANKED, SEQ, SPOTS, add, engines, exons, gel_psm, genes, key, labelled, located, orfs, probes, r6
+from .catalog import ENGINES, EXONS, GEL, GENES, INTRONS, LOCATED, PAIRED_GEL, PROBES, RANKED, SEQ, SIX_FRAMES, SPOTS, add, engines, exons, gel_psm, genes, key, labelled, located, orfs, probes, r6
 from .catalog_more import MAPPED, WORD, mapped_probes, mass_sql, simple_exons, starts, words
 
 # --- sources: tables of the driver, written in a format and read back ---------------------------------------------
@@ -222,8 +222,11 @@ add("x6_strip_needless_mod", lambda s, d: ptm.strip_needless_mod(mapped_probes(s
 
 add("a32_context_codons", lambda s, d: r6(genome.context_codons(V.contigs(s, d).select(F.when(F.col("chrom") % 4 == 0, "Novel").when(F.col("chrom") % 4 == 1, "Extension").otherwise("Unchanged").alias("context"), F.col("seq").alias("dna"))), "share"),
     f"WITH {V.CONTIGS}, c AS (SELECT CASE WHEN chrom % 4 = 0 THEN 'Novel' WHEN chrom % 4 = 1 THEN 'Extension' ELSE 'Unchanged' END AS context, seq, unnest(range(length(seq) // 3)) AS i FROM contigs), n AS (SELECT context, seq[3 * i + 1:3 * i + 3] AS codon, count(*) AS n FROM c GROUP BY 1, 2) SELECT context, codon, n, round(n / sum(n) OVER (PARTITION BY context), 6) AS share FROM n")
-add("g1_six_frame_chunked", lambda s, d: genome.six_frame_chunked(V.contigs(s, d).where("seq <> ''").select("chrom", F.length("seq").cast("long").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 3000).cast("int")), lambda k: F.substr(F.col("seq"), k * 3000 + 1, F.lit(3002)))).alias("k", "part")).select("chrom", "n", (F.col("k") * 3000).cast("long").alias("at"), F.col("part").alias("seq")), 20).select("chrom", "strand", "frame", "start_nuc", "length"))
-add("g4_missed_cleavages", lambda s, d: genome.digest(V.sequences(s, d), 2, 6, 40).groupBy("seq_id").agg(F.count("*").alias("peptides"), F.sum(F.length("aminos")).alias("residues"), F.sum("pos").alias("places")))
+add("g1_six_frame_chunked", lambda s, d: genome.six_frame(V.contigs(s, d), 20, 300).select("chrom", "strand", "frame", "start_nuc", "length", F.md5("seq").alias("digest")), SIX_FRAMES)
+add("g4_missed_cleavages", lambda s, d: genome.digest(V.sequences(s, d), 2, 6, 40).groupBy("seq_id").agg(F.count("*").alias("peptides"), F.sum(F.length("aminos")).alias("residues"), F.sum("pos").alias("places")),
+    f"""{SEQ}, p AS (SELECT seq_id, unnest(x) AS a, unnest(range(len(x))) AS i FROM (SELECT seq_id, string_split(regexp_replace(regexp_replace(seq, '([KR])([^P])', '\\1|\\2', 'g'), '([KR])([^P|])', '\\1|\\2', 'g'), '|') AS x FROM sequences)), q AS (SELECT * FROM p WHERE a <> ''),
+ o AS (SELECT seq_id, a, coalesce(lead(a, 1) OVER w, '') AS b, coalesce(lead(a, 2) OVER w, '') AS c, 1 + coalesce(sum(length(a)) OVER (PARTITION BY seq_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM q WINDOW w AS (PARTITION BY seq_id ORDER BY i)),
+ m AS (SELECT seq_id, pos, length(a) AS n FROM o UNION ALL SELECT seq_id, pos, length(a || b) FROM o WHERE b <> '' UNION ALL SELECT seq_id, pos, length(a || b || c) FROM o WHERE c <> '') SELECT seq_id, count(*) AS peptides, CAST(sum(n) AS BIGINT) AS residues, CAST(sum(pos) AS BIGINT) AS places FROM m WHERE n BETWEEN 6 AND 40 GROUP BY 1""")
 add("g5_fabricate", lambda s, d: genome.fabricate(V.sequences(s, d), 200, suppressed={"K": 0.5}).select("seq_id", F.length("seq").alias("n")))
 add("g3_decoy_copies", lambda s, d: genome.decoys(V.sequences(s, d).where("seq <> ''").withColumn("name", F.col("seq_id").cast("string")), copies=2).select("seq_id", "name", "copy", F.length("seq").cast("long").alias("n")), f"{SEQ} SELECT seq_id, 'XXX.' || c || '.' || seq_id AS name, CAST(c AS INT) AS copy, length(seq) AS n FROM sequences, (VALUES (1), (2)) t(c) WHERE seq <> ''")
 JUNCTIONS = "a AS (SELECT gene_id AS al, transcript_id AS chrom, start // 86400 AS start, start // 86400 AS stop FROM ex), j AS (SELECT chrom, stop AS donor, acceptor, count(*) AS n FROM (SELECT *, lead(start) OVER (PARTITION BY al, chrom ORDER BY start, stop) AS acceptor FROM a) WHERE acceptor > stop GROUP BY 1, 2, 3)"
