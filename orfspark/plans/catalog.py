@@ -379,4 +379,4 @@ add("m5_score_to_p", lambda s, d: r6(ml.score_to_p(labelled(s, d).withColumn("sc
 add("m7_feature_stats", lambda s, d: r6(ml.feature_stats(labelled(s, d), FEATS), "mean", "sd", "low", "high"),
     f"WITH {V.PSM}, l AS (SELECT CAST(NOT is_decoy AS INT) AS label, unnest([{', '.join(f'{chr(39)}{c}{chr(39)}' for c in FEATS)}]) AS feature, unnest([mq_score, delta, length]) AS x FROM psm) SELECT feature, label, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, round(min(x), 6) AS low, round(max(x), 6) AS high FROM l GROUP BY 1, 2")
 
-from . import catalog_more, catalog_rest  # noqa: E402,F401  the rest of the registrations
+from . import catalog_more, catalog_rest, catalog_sources  # noqa: E402,F401  the rest of the registrations

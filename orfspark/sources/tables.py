@@ -67,8 +67,10 @@ def read_trie(spark: SparkSession, trie: str, index: str) -> DataFrame:
     # numbers within each block of the file, and the blocks' sizes before it (a row per block)
     before = seqs.groupBy("p").agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
     numbered = seqs.join(F.broadcast(before), "p").withColumn("seq_id", F.col("b") + F.row_number().over(Window.partitionBy("p").orderBy("i")) - 1)
-    records = spark.read.format("binaryFile").load(index).select(F.explode(F.sequence(F.lit(0), (F.length("content") / 92).cast("int") - 1)).alias("seq_id"), "content")
-    name = F.regexp_extract(F.decode(F.substr("content", F.col("seq_id") * 92 + 13, F.lit(80)), "ISO-8859-1"), "^([^\\x00]*)", 1)
+    # fixed-length records, read by offset and split like any file; their order is the sequences'
+    records = spark.sparkContext.binaryRecords(index, 92).zipWithIndex().map(lambda r: (r[1], bytes(r[0][12:92])))
+    records = spark.createDataFrame(records, "seq_id long, raw binary")
+    name = F.regexp_extract(F.decode("raw", "ISO-8859-1"), "^([^\\x00]*)", 1)
     return numbered.join(records.select("seq_id", name.alias("name")), "seq_id").select("seq_id", "name", F.col("value").alias("seq"))
 
 
@@ -135,12 +137,26 @@ def read_mzxml(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("spectrum_file", F.regexp_extract("value", r'num="(\d+)"', 1).cast("int").alias("scan"), F.regexp_extract("value", r'msLevel="(\d+)"', 1).try_cast("int").alias("ms_level"), mz.alias("precursor_mz"), decode(data, little).alias("peaks"))
 
 
+def xml_attribute(element: Column, name: str) -> Column:
+    """An attribute of an element's text, its entities replaced; null where it has none."""
+    found = F.nullif(F.regexp_extract(element, rf'\s{name}="([^"]*)"', 1), F.lit(""))
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        found = F.replace(found, F.lit(entity), F.lit(sign))
+    return found
+
+
 def read_pepxml(spark: SparkSession, path: str, scans: DataFrame | None = None) -> DataFrame:
-    """First-rank hits; scan numbers through (title, scan) if given."""
-    rows = spark.read.format("xml").option("rowTag", "spectrum_query").load(path)
-    hit = F.col("search_result.search_hit")
-    first = F.filter(hit, lambda h: h["_hit_rank"] == 1)[0] if str(rows.select(hit).schema[0].dataType).startswith("Array") else hit
-    out = rows.select(F.col("_spectrum").alias("title"), F.col("_start_scan").cast("int").alias("start_scan"), F.col("_assumed_charge").cast("int").alias("charge"), first["_peptide"].alias("aminos"), first["_protein"].alias("protein"), first["_peptide_prev_aa"].alias("prefix"), first["_peptide_next_aa"].alias("suffix"))
+    """(title, charge, aminos, protein, prefix, suffix, scan) of queries with a first-rank hit; scan numbers through
+    (title, scan) if given, else where a query's scans start. Queries are cut out of the text, so a file may be split, and
+    one that breaks off keeps the queries whose hit it has."""
+    rows = spark.read.option("lineSep", "<spectrum_query").text(path).where(F.col("value").rlike(r"^\s"))
+    query = F.concat(F.lit(" "), F.substring_index("value", ">", 1))
+    hit = F.element_at(F.filter(F.concat(F.regexp_extract_all("value", F.lit(r"(<search_hit\s[^>]*>)"), F.lit(1)), F.array(F.lit(None).cast("string"))), lambda h: h.isNull() | h.rlike(r'\shit_rank="1"')), 1)
+    rows = rows.select(query.alias("q"), hit.alias("h")).where("h is not null")
+    out = rows.select(
+        xml_attribute(F.col("q"), "spectrum").alias("title"), xml_attribute(F.col("q"), "start_scan").try_cast("int").alias("start_scan"), xml_attribute(F.col("q"), "assumed_charge").try_cast("int").alias("charge"),
+        *[xml_attribute(F.col("h"), a).alias(n) for a, n in (("peptide", "aminos"), ("protein", "protein"), ("peptide_prev_aa", "prefix"), ("peptide_next_aa", "suffix"))],
+    )
     if scans is None:
         return out.withColumnRenamed("start_scan", "scan")
     return out.join(scans, "title", "left").withColumn("scan", F.coalesce("scan", "start_scan")).drop("start_scan")
