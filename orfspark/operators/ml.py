@@ -9,7 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import running_above
+from .psm import fit_mixture, models_table, odds_true
+from .ranges import bin_spine, following, placed, running_above, stored
 
 
 def order_statistics(df: DataFrame, column: str, places: list[int]) -> list[float | None]:
@@ -96,40 +97,72 @@ def predict_svm(model, df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def score_to_p(df: DataFrame, width: float = 0.1) -> DataFrame:
-    """M5: (bin, p): share of false rows at or above each bin, empty bins taking the value of the next one above."""
+    """M5: (bin, p): share of false rows at or above each bin, empty bins taking the value of the next one above. The sums
+    run up over ranges of bins."""
     hist = df.groupBy(F.floor(F.col("score") / width).alias("bin")).agg(F.count_if(F.col("label") == 0).alias("f"), F.count("*").alias("n"))
-    ends = hist.agg(F.min("bin").alias("a"), F.max("bin").alias("z")).select(F.explode(F.sequence("a", "z")).alias("bin"))
-    w = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # a row per bin
-    full = ends.join(hist, "bin", "left").na.fill(0)
-    return full.select("bin", (F.sum("f").over(w) / F.greatest(F.sum("n").over(w), F.lit(1))).alias("p"))
+    up = running_above(bin_spine(hist, [], "bin").join(hist, "bin", "left").na.fill(0), "bin", ["f", "n"])
+    return up.select("bin", ((F.col("f_above") + F.col("f")) / F.greatest(F.col("n_above") + F.col("n"), F.lit(1))).alias("p"))
 
 
 def interpolated_p(df: DataFrame, prior: float, width: float = 0.1, least: float = 1e-4) -> DataFrame:
     """M5: (bin, p) for every bin between the ends: P(false | score at or above), by Bayes' theorem from the prior, at
     least `least`; bins without rows lie on the line between their neighbours.
 
-    The sums are over one row per bin.
+    Sums and neighbours are of bins dealt by ranges.
     """
     hist = df.groupBy(F.round(F.col("score") / width).cast("long").alias("bin")).agg(F.count_if(F.col("label") == 0).alias("f"), F.count("*").alias("n"))
     above = running_above(hist, "bin", ["f", "n"])
     total = hist.agg(F.sum("f").alias("all_f"), F.sum("n").alias("all_n"))
     ratio = (F.col("f_above") + F.col("f")) * F.col("all_n") / (F.greatest("all_f", F.lit(1)) * (F.col("n_above") + F.col("n")))
     known = above.join(F.broadcast(total)).select("bin", F.greatest(ratio * prior, F.lit(least)).alias("p"))  # one row
-    w = Window.orderBy("bin")  # a row per bin
-    nxt = known.withColumn("to", F.lead("bin").over(w)).withColumn("to_p", F.lead("p").over(w))
-    rows = nxt.select("bin", "p", "to", "to_p", F.explode(F.sequence(F.col("bin"), F.coalesce(F.col("to") - 1, F.col("bin")))).alias("b"))
+    # the next bin with rows: bins are dealt by ranges; stretches of empty bins are cut in two steps, not one array
+    nxt = following(placed(known, [], ["bin"]), [], "bin", "to")
+    after = known.select(F.col("bin").alias("to"), F.col("p").alias("to_p"))
+    nxt = nxt.select("bin", "p", "to").join(after, "to", "left")
+    last = F.coalesce(F.col("to") - 1, F.col("bin"))
+    rows = nxt.select("bin", "p", "to", "to_p", last.alias("last"), F.explode(F.sequence(F.col("bin"), last, F.lit(100_000).cast("long"))).alias("s"))
+    rows = rows.select("bin", "p", "to", "to_p", F.explode(F.sequence(F.col("s"), F.least(F.col("s") + 99_999, F.col("last")))).alias("b"))
     return rows.select(F.col("b").alias("bin"), F.when(F.col("b") == F.col("bin"), F.col("p")).otherwise(F.col("p") + (F.col("to_p") - F.col("p")) * (F.col("b") - F.col("bin")) / (F.col("to") - F.col("bin"))).alias("p"))
 
 
-def fit_paired(df: DataFrame, cols: list[str], share: float = 0.2):
-    """M6: per kind (constitutive, facultative) a model trained on the top and bottom share of the given score."""
-    models = {}
-    for kind in ("constitutive", "facultative"):
-        own = df.where(F.col("kind") == kind)
-        place = own.withColumn("_p", F.percent_rank().over(Window.partitionBy("kind").orderBy("seed")))
-        chunk = place.where((F.col("_p") <= share) | (F.col("_p") >= 1 - share)).withColumn("label", (F.col("_p") >= 1 - share).cast("int"))
-        models[kind] = fit_logit(chunk, cols)
-    return models
+def mixture_p(df: DataFrame, width: float = 0.1, score: str = "score", cycles: int = 300, tolerance: float = 1e-6) -> DataFrame:
+    """M5, the other way: df with p_value, one less the odds of being true by a mixture fitted to the scores (see
+    `psm.fit_mixture`), which does not look at labels."""
+    bins = df.where(F.col(score).isNotNull()).groupBy(F.lit(0).alias("charge_class"), F.round(F.col(score) / width).cast("long").alias("bin")).agg(F.count("*").alias("hits"))
+    models = fit_mixture(bins, cycles, tolerance, width)
+    if not models:
+        return df.withColumn("p_value", F.lit(None).cast("double"))
+    model = models_table(df.sparkSession, models).select(F.col("model").alias("_model"))
+    return df.join(F.broadcast(model)).withColumn("p_value", 1 - odds_true(F.col(score), F.col("_model"))).drop("_model")  # one row
+
+
+def extremes(df: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
+    """M6: df's lowest and highest scored rows as label 0 and 1: a quarter of the rows each, `most` at most; ties by keys."""
+    chunk = min(df.count() // 4, most)
+    low = df.orderBy("score", *keys).limit(chunk).withColumn("label", F.lit(0))
+    return low.unionByName(df.orderBy(F.desc("score"), *[F.desc(k) for k in keys]).limit(chunk).withColumn("label", F.lit(1)))
+
+
+def fit_paired(df: DataFrame, cols: list[str], facultative: list[str], constitutive: list[str], keys: list[str], rounds: int = 1):
+    """M6: models of constitutive ("always") and facultative ("sometimes") modifications: (models, df with score).
+
+    df: label and is_facultative. A model of all rows scores all; the ends of the facultative ones by that score (see
+    `extremes`) are the labels of a model of their own, whose scores may choose the ends again for `rounds` rounds, until
+    the same rows come out; the constitutive rows have theirs from their labels. The rows chosen are stored each round.
+    """
+    everything = stored(predict_logit(fit_logit(df, cols), df, cols))
+    fac = everything.where("is_facultative")
+    con = df.where(~F.col("is_facultative"))
+    seen = None
+    for _ in range(rounds):
+        chosen = stored(extremes(fac, keys).select(*keys, *facultative, "label"))
+        mark = chosen.agg(F.expr(f"bit_xor(xxhash64({', '.join(keys)}, label))")).first()[0]
+        if mark == seen:
+            break
+        seen, model = mark, fit_logit(chosen, facultative)
+        fac = stored(predict_logit(model, df.where("is_facultative"), facultative))
+    models = {"facultative": model, "constitutive": fit_logit(con, constitutive)}
+    return models, fac.unionByName(predict_logit(models["constitutive"], con, constitutive), allowMissingColumns=True)
 
 
 def ranked(df: DataFrame, score: str = "score") -> DataFrame:

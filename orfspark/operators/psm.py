@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ranges
@@ -132,44 +132,90 @@ def assign_lfdr(psm: DataFrame, width: float = 0.01) -> DataFrame:
     return binned.where(~F.col("is_decoy")).join(ranges.small(rate), ["charge_class", "bin"])
 
 
-def fit_mixture(hist: DataFrame, cycles: int = 300, tolerance: float = 1e-6) -> dict[int, dict[str, float]]:
-    """Per class a gamma (false) and a normal (true) component fitted to the score histogram by EM.
+#: A mixture of false scores (gamma, moved by an offset) and true ones (normal), per class.
+Mixture = dict[str, float]
 
-    The histogram is a few hundred bins whatever the input; it is gathered once,
-    and the cycles run on it. Guards keep the true mean above the false one.
+
+def mixture_start(first_bin: int, last_bin: int, width: float = 0.1) -> Mixture:
+    """Means a quarter inside the range, variances a tenth of it, a true share of a tenth; the gamma begins where the
+    scores do, unless they begin between 0 and 0.1."""
+    low, high = first_bin * width, (last_bin + 1) * width
+    reach = high - low
+    return {"mean_true": high - reach / 4, "var_true": reach / 10, "mean_false": low + reach / 4, "var_false": reach / 10, "prior": 0.1, "offset": 0.0 if 0 <= low <= 0.1 else -low}
+
+
+def odds_true(score: Column, model: Column) -> Column:
+    """Probability that a hit of this score is true, by a struct of a mixture's parameters. Far below the true mean
+    the gamma, and far above it the normal, is held at 0.001 at least."""
+    m = lambda name: model[name]
+    theta = m("var_false") / (m("mean_false") + m("offset"))
+    normal = F.exp(-(score - m("mean_true")) * (score - m("mean_true")) / (2 * m("var_true"))) / F.sqrt(2 * math.pi * m("var_true"))
+    g = F.greatest(score + m("offset"), F.lit(0.01))
+    gamma = F.exp((m("shape") - 1) * F.log(g) - g / theta - m("shape") * F.log(theta) - m("log_gamma"))
+    gamma = F.when(score < m("mean_true") - m("var_true"), F.greatest(gamma, F.lit(0.001))).otherwise(gamma)
+    normal = F.when(score > m("mean_true") + m("var_true"), F.greatest(normal, F.lit(0.001))).otherwise(normal)
+    return F.coalesce(F.try_divide(normal * m("prior"), normal * m("prior") + gamma * (1 - m("prior"))), F.lit(0.0))
+
+
+def models_table(spark: SparkSession, models: dict[int, Mixture]) -> DataFrame:
+    """(charge_class, model), a row per class. Parameters as rows, not as code, so that all cycles share compiled code."""
+    rows = []
+    for c, m in models.items():
+        shape = (m["mean_false"] + m["offset"]) ** 2 / m["var_false"]
+        given = {**m, "shape": shape, "log_gamma": math.lgamma(shape)}
+        rows.append(f"({c}, named_struct({', '.join(f"'{n}', {float(v)!r}D" for n, v in given.items())}))")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS m(charge_class, model)")
+
+
+def mixture_step(bins: DataFrame, models: dict[int, Mixture], width: float = 0.1) -> DataFrame:
+    """A6, one step as one aggregate: (charge_class, n, sx, sxx, t, tx, txx), sums over all hits of 1, x and x squared, and
+    the same weighted by the odds of being true, x being a bin's score.
+
+    bins: (charge_class, bin, hits), every bin between the ends. A bin below 0 has odds of 1 / -bin at most, one at the
+    true mean or above those of the best bin so far at least.
     """
-    out = {}
-    rows = hist.select("charge_class", (F.col("bin") / 10).alias("x"), F.col("hits").cast("double").alias("n")).where("n > 0").collect()
-    for c in sorted({r.charge_class for r in rows}):
-        own = [(r.x, r.n) for r in rows if r.charge_class == c]
-        low, high = min(x for x, _ in own), max(x for x, _ in own)
-        reach = max(high - low, 1e-3)
-        # fixed values: the starting point, a quarter inside the range's ends, a tenth of it as variance, a prior of 0.1
-        mf, mt, vf, vt, prior = low + reach / 4, high - reach / 4, reach / 10, reach / 10, 0.1
-        offset = 0.0 if 0 <= low <= 0.1 else -low  # the gamma begins where the scores do
-        total = sum(n for _, n in own)
-        for _ in range(cycles):
-            shape, scale = (mf + offset) ** 2 / vf, vf / (mf + offset)
-            weights = []
-            for x, _ in own:
-                true = prior * math.exp(-((x - mt) ** 2) / (2 * vt)) / math.sqrt(2 * math.pi * vt)
-                g = max(x + offset, 1e-2)
-                false = (1 - prior) * math.exp((shape - 1) * math.log(g) - g / scale - shape * math.log(scale) - math.lgamma(shape))
-                weights.append(1.0 if x > mt else 0.0 if x < mf else true / max(true + false, 1e-300))
-            wt = sum(n * w for (_, n), w in zip(own, weights, strict=True))
-            wf = total - wt
-            if min(wt, wf) < 1e-9:
-                break
-            new = sum(x * n * w for (x, n), w in zip(own, weights, strict=True)) / wt
-            shift, mt = abs(new - mt), new
-            vt = max(sum((x - mt) ** 2 * n * w for (x, n), w in zip(own, weights, strict=True)) / wt, 1e-3)
-            mf = min(sum(x * n * (1 - w) for (x, n), w in zip(own, weights, strict=True)) / wf, mt - 1e-3)
-            vf = max(sum((x - mf) ** 2 * n * (1 - w) for (x, n), w in zip(own, weights, strict=True)) / wf, 1e-3)
-            mf, prior = max(mf, 1e-2 - offset), wt / total
-            if shift < tolerance:
-                break
-        out[c] = {"mean_true": mt, "var_true": vt, "mean_false": mf, "var_false": vf, "prior": prior}
-    return out
+    x = F.col("bin") * width
+    raw = odds_true(x, F.col("model"))
+    rows = bins.join(F.broadcast(models_table(bins.sparkSession, models)), "charge_class")  # a row per class
+    rows = rows.select("charge_class", "bin", F.col("model.mean_true").alias("mean"), x.alias("x"), F.col("hits").cast("double").alias("n"), F.when(F.col("bin") < 0, F.least(raw, F.try_divide(F.lit(-1.0), F.col("bin")))).otherwise(raw).alias("w"))
+    best = F.max("w").over(Window.partitionBy("charge_class").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))  # a row per bin
+    rows = rows.withColumn("w", F.when(F.col("x") >= F.col("mean"), best).otherwise(F.col("w")))
+    powers = {"n": F.lit(1.0), "sx": F.col("x"), "sxx": F.col("x") * F.col("x")}
+    sums = [F.sum(F.col("n") * v).alias(k) for k, v in powers.items()] + [F.sum(F.col("n") * F.col("w") * v).alias(k.replace("s", "t") if k != "n" else "t") for k, v in powers.items()]
+    return rows.groupBy("charge_class").agg(*sums)
+
+
+def next_mixture(row, model: Mixture) -> Mixture | None:
+    """The parameters after a step; None where one kind has no hits or no spread left."""
+    t, f = row.t, row.n - row.t
+    if t <= 0 or f <= 0:
+        return None
+    mt, mf = row.tx / t, (row.sx - row.tx) / f
+    vt, vf = row.txx / t - mt * mt, (row.sxx - row.txx) / f - mf * mf
+    if vt <= 0 or vf <= 0:
+        return None
+    offset = model["offset"] + (0.5 if mf + model["offset"] < 0.1 else 0.0)
+    return {"mean_true": mt, "var_true": vt, "mean_false": mf, "var_false": vf, "prior": t / row.n, "offset": offset} if mf + offset > 0 else None
+
+
+def fit_mixture(hist: DataFrame, cycles: int = 300, tolerance: float = 1e-6, width: float = 0.1) -> dict[int, Mixture]:
+    """Per class a gamma (false) and a normal (true) component fitted to the histogram (charge_class, bin, hits) by
+    EM. Every cycle is one aggregate over the bins of all classes, however many; a row per class goes to the driver. A
+    class stops when no parameter moves by more than `tolerance`, or where a component vanishes."""
+    full = ranges.bin_spine(hist, ["charge_class"], "bin").join(hist.select("charge_class", "bin", "hits"), ["charge_class", "bin"], "left").na.fill(0, ["hits"])
+    full = ranges.stored(full)
+    ends = full.groupBy("charge_class").agg(F.min("bin").alias("a"), F.max("bin").alias("z")).collect()  # a row per class
+    models = {r.charge_class: mixture_start(r.a, r.z, width) for r in ends}
+    going = set(models)
+    for _ in range(cycles):
+        if not going:
+            break
+        for row in mixture_step(full, {c: models[c] for c in going}, width).collect():
+            new = next_mixture(row, models[row.charge_class])
+            if new is None or max(abs(new[k] - models[row.charge_class][k]) for k in new) < tolerance:
+                going.discard(row.charge_class)
+            models[row.charge_class] = new or models[row.charge_class]
+    return models
 
 
 def rollup_peptides(psm: DataFrame) -> DataFrame:

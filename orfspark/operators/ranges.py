@@ -224,6 +224,22 @@ def split_disjoint(intervals: DataFrame, keys: list[str], start: str, stop: str,
     return rows.withColumn("piece", piece.cast("long")).select(*keys, "start", "stop", "n", "piece", F.when(F.col("_next") == F.col("stop") + 1, F.col("piece") + 1).alias("next_piece"))
 
 
+def relink(pieces: DataFrame, intervals: DataFrame, links: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
+    """U4: (keys, from_piece, to_piece, kind, links): links between intervals handed on to their pieces (`split_disjoint`):
+    what led into an interval leads into its first piece, what led out of it leaves its last, equal ones being added up;
+    and a link of kind adjacent from each piece to the one that begins where it ends.
+
+    intervals: id and place; links: (from_id, to_id) of intervals of one key. Every step is an equality join.
+    """
+    place = lambda of, at, name: intervals.select(F.col("id").alias(of), *keys, F.col(at).alias(name))
+    ends = links.join(place("from_id", stop, "_leaves"), "from_id").join(place("to_id", start, "_enters").drop(*keys), "to_id")
+    last = pieces.select(*keys, F.col("stop").alias("_leaves"), F.col("piece").alias("from_piece"))
+    first = pieces.select(*keys, F.col("start").alias("_enters"), F.col("piece").alias("to_piece"))
+    moved = ends.join(last, [*keys, "_leaves"]).join(first, [*keys, "_enters"]).groupBy(*keys, "from_piece", "to_piece").agg(F.count("*").alias("links"))
+    beside = pieces.where("next_piece is not null").select(*keys, F.col("piece").alias("from_piece"), F.col("next_piece").alias("to_piece"), F.lit(0).cast("long").alias("links"))
+    return moved.withColumn("kind", F.lit("link")).unionByName(beside.withColumn("kind", F.lit("adjacent"))).select(*keys, "from_piece", "to_piece", "kind", "links")
+
+
 def bin_spine(df: DataFrame, keys: list[str], bin_col: str) -> DataFrame:
     """Every bin between the least and the largest of each key."""
     ends = df.groupBy(*keys).agg(F.min(bin_col).alias("_a"), F.max(bin_col).alias("_z")) if keys else df.agg(F.min(bin_col).alias("_a"), F.max(bin_col).alias("_z"))

@@ -144,15 +144,11 @@ def consensus(bins: DataFrame, reach: int = 3, width: float = 0.1, sizes: DataFr
     return out.drop("near")
 
 
-def crosslink_candidates(peptides: DataFrame, spectra: DataFrame, linker: float, top: int = 5) -> DataFrame:
-    """(scan, a, b) of peptide pairs whose masses and the linker meet the precursor within 1 Da at charge 2 or 3;
-    the `top` per scan by the smaller abundance. Peptides: id, mass, abundance; spectra: scan, mz.
+def linked_pairs(want: DataFrame, peptides: DataFrame) -> DataFrame:
+    """(scan, a, b, least) of peptide pairs, a <= b, within 1 Da of a scan's target mass; least is the smaller abundance.
 
-    Whole daltons meet first: a target's bin and a first peptide's bin leave four
-    bins for the second. Bins are as many as the mass range has daltons.
+    Whole daltons meet first: a target's bin and a first peptide's bin leave four bins for the second.
     """
-    want = spectra.select("scan", F.explode(F.array(F.lit(2), F.lit(3))).alias("z"), "mz").select("scan", (X.parent_mass(F.col("mz"), F.col("z")) - linker).alias("target"))
-    want = want.withColumn("t", F.floor("target"))
     bins = peptides.select("id", "mass", "abundance", F.floor("mass").alias("bin"))
     firsts = bins.select(F.col("bin").alias("i")).distinct()
     # a target's first peptide weighs less than the target: daltons of the mass range, as a range of bins and not a product
@@ -162,8 +158,31 @@ def crosslink_candidates(peptides: DataFrame, spectra: DataFrame, linker: float,
     first = bins.select(F.col("id").alias("a"), F.col("mass").alias("am"), F.col("abundance").alias("aa"), F.col("bin").alias("i"))
     second = bins.select(F.col("id").alias("b"), F.col("mass").alias("bm"), F.col("abundance").alias("ba"), F.col("bin").alias("j"))
     met = combos.join(want, "t").join(first, "i").join(second, "j").where((F.abs(F.col("am") + F.col("bm") - F.col("target")) <= 1) & (F.col("a") <= F.col("b")))
+    return met.select("scan", "a", "b", F.least("aa", "ba").alias("least")).distinct()
+
+
+def crosslink_candidates(peptides: DataFrame, spectra: DataFrame, linker: float, top: int = 5, shares: tuple = (1 / 64, 1 / 16, 1 / 4)) -> DataFrame:
+    """(scan, a, b, least, place) of peptide pairs whose masses and the linker meet the precursor within 1 Da at charge
+    2 or 3; the `top` per scan by the smaller abundance (ties: a, b). Peptides: id, mass, abundance; spectra: scan, mz.
+
+    A pair of two peptides above some abundance comes before any other, so pairs are sought among the most abundant
+    64th of the peptides first, then among the 16th, the fourth and all: a scan with `top` pairs leaves, and only
+    scans that are still short meet more peptides. Where the cuts lie is of no matter for the result.
+    """
+    want = spectra.select("scan", F.explode(F.array(F.lit(2), F.lit(3))).alias("z"), "mz").select("scan", (X.parent_mass(F.col("mz"), F.col("z")) - linker).alias("target"))
+    want = ranges.stored(want.withColumn("t", F.floor("target")))
+    cuts = peptides.agg(F.percentile_approx("abundance", F.array(*[F.lit(1 - x) for x in shares])).alias("c")).first().c or []
     w = Window.partitionBy("scan").orderBy(F.desc("least"), "a", "b")
-    return met.select("scan", "a", "b", F.least("aa", "ba").alias("least")).distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    out = None
+    for cut in [*sorted(set(cuts), reverse=True), None]:
+        some = peptides if cut is None else peptides.where(F.col("abundance") >= cut)
+        found = linked_pairs(want, some).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+        found = ranges.stored(found)
+        full = found if cut is None else found.join(found.where(F.col("place") == top).select("scan"), "scan", "left_semi")
+        out = full if out is None else out.unionByName(full)
+        if cut is not None:
+            want = ranges.stored(want.join(full.select("scan").distinct(), "scan", "left_anti"))
+    return out
 
 
 def search_spectra(precursors: DataFrame, peaks: DataFrame, peptides: DataFrame, tol: float = 2.5, peak_tol: float = 0.5, k: int = 3) -> DataFrame:

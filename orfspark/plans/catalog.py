@@ -75,11 +75,28 @@ add("a5_local_fdr", lambda s, d: r6(P.assign_lfdr(V.psm(s, d)), "local_fdr", "fd
 
 
 def a6(spark, d):
-    fitted = P.fit_mixture(hist(spark, d))
-    return spark.createDataFrame([(c, *(round(v, 6) for v in m.values())) for c, m in sorted(fitted.items())], "charge_class int, mean_true double, var_true double, mean_false double, var_false double, prior double")
-
-
+    fitted = P.fit_mixture(hist(spark, d), 60)
+    names = ["mean_true", "var_true", "mean_false", "var_false", "prior", "offset"]
+    return spark.createDataFrame([(c, *(round(m[n], 4) for n in names)) for c, m in sorted(fitted.items())], "charge_class int, " + ", ".join(f"{n} double" for n in names))
+
+
+def a6_step(spark, d):
+    """The sums of the first cycle."""
+    h = hist(spark, d)
+    bins = ranges.stored(ranges.bin_spine(h, ["charge_class"], "bin").join(h, ["charge_class", "bin"], "left").na.fill(0))
+    ends = bins.groupBy("charge_class").agg(F.min("bin").alias("a"), F.max("bin").alias("z")).collect()
+    return r6(P.mixture_step(bins, {r.charge_class: P.mixture_start(r.a, r.z) for r in ends}), "n", "sx", "sxx", "t", "tx", "txx")
+
+
+STEP = """e AS (SELECT charge_class, min(bin) / 10.0::DOUBLE AS low, (max(bin) + 1) / 10.0::DOUBLE AS high FROM spine GROUP BY 1),
+ m AS (SELECT charge_class, high - (high - low) / 4 AS mt, (high - low) / 10 AS v, low + (high - low) / 4 AS mf, CASE WHEN low BETWEEN 0 AND 0.1 THEN 0 ELSE -low END AS o FROM e),
+ k AS (SELECT *, (mf + o) * (mf + o) / v AS k, v / (mf + o) AS th FROM m),
+ x AS (SELECT s.charge_class, s.bin, s.bin * 0.1::DOUBLE AS x, coalesce(hits, 0) AS n, k.* EXCLUDE (charge_class) FROM spine s JOIN k USING (charge_class) LEFT JOIN hist h ON h.charge_class = s.charge_class AND h.bin = s.bin),
+ y AS (SELECT *, CASE WHEN x > mt + v THEN greatest(nt, 0.001) ELSE nt END * 0.1 AS a, CASE WHEN x < mt - v THEN greatest(gt, 0.001) ELSE gt END * 0.9 AS b FROM (SELECT *, exp(-(x - mt) * (x - mt) / (2 * v)) / sqrt(2 * pi() * v) AS nt, exp((k - 1) * ln(greatest(x + o, 0.01)) - greatest(x + o, 0.01) / th - k * ln(th) - lgamma(k)) AS gt FROM x)),
+ z AS (SELECT *, CASE WHEN bin < 0 THEN least(a / (a + b), -1.0 / bin) ELSE a / (a + b) END AS w0 FROM y),
+ w AS (SELECT *, CASE WHEN x >= mt THEN max(w0) OVER (PARTITION BY charge_class ORDER BY bin) ELSE w0 END AS w FROM z)"""
 add("a6_mixture", a6)
+add("a6_mixture_step", a6_step, f"{BASE}, {STEP} SELECT charge_class, round(CAST(sum(n) AS DOUBLE), 6) AS n, round(sum(n * x), 6) AS sx, round(sum(n * x * x), 6) AS sxx, round(sum(n * w), 6) AS t, round(sum(n * w * x), 6) AS tx, round(sum(n * w * x * x), 6) AS txx FROM w GROUP BY 1")
 add("a7_rollup_peptides", lambda s, d: P.rollup_peptides(V.psm(s, d)).select("aminos", "is_decoy", F.round("best_p", 6).alias("best_p"), "spectra", F.size("sources").cast("long").alias("n_sources")),
     f"WITH {V.PSM} SELECT aminos, is_decoy, round(min(coalesce(lfdr, p_value)), 6) AS best_p, count(*) AS spectra, count(DISTINCT (spectrum_file, scan)) AS n_sources FROM psm GROUP BY ALL")
 add("w13_running_fdr", lambda s, d: P.running_fdr(hist(s, d)), f"{BASE} SELECT charge_class, bin, hits, decoy_hits, CAST(sum(hits) OVER w AS BIGINT) AS cum_hits, CAST(sum(decoy_hits) OVER w AS BIGINT) AS cum_decoys FROM hist WINDOW w AS (PARTITION BY charge_class ORDER BY bin DESC)")

@@ -112,6 +112,20 @@ add("t3_stream_discovery", lambda s, d: ended(s, I.stream_discovery(streamed(s,
 add("u1_union_all", lambda s, d: inference.union_all(V.table(s, d, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")), V.table(s, d, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"))), "SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, s_acctbal, NULL FROM supplier")
 add("u4_piece_members", lambda s, d: ranges.split_disjoint(V.features(s, d), ["strand"], "start", "stop", ["event_id"]),
     f"WITH {V.FEATURES}, p AS (SELECT DISTINCT strand, start AS a FROM features UNION SELECT strand, stop + 1 FROM features), c AS (SELECT strand, a AS start, lead(a) OVER (PARTITION BY strand ORDER BY a) - 1 AS stop FROM p) SELECT c.strand, c.start, c.stop, event_id FROM c JOIN features f ON f.strand = c.strand AND f.start <= c.start AND f.stop >= c.stop")
+PIECES4 = """p AS (SELECT DISTINCT strand, start AS a FROM features UNION SELECT strand, stop + 1 FROM features), c AS (SELECT strand, a AS start, lead(a) OVER (PARTITION BY strand ORDER BY a) - 1 AS stop FROM p),
+ pc AS (SELECT DISTINCT c.strand, c.start, c.stop FROM c JOIN features f ON f.strand = c.strand AND f.start <= c.start AND f.stop >= c.stop WHERE c.stop IS NOT NULL), pn AS (SELECT *, row_number() OVER (PARTITION BY strand ORDER BY start) AS piece, lead(start) OVER (PARTITION BY strand ORDER BY start) AS nxt FROM pc)"""
+
+
+def next_links(s, d):
+    """Each event linked with the next but two of its strand."""
+    f = V.features(s, d)
+    to = F.lead("event_id", 3).over(Window.partitionBy("strand").orderBy("start", "stop", "event_id"))
+    return f.select(F.col("event_id").alias("from_id"), to.alias("to_id")).where("to_id is not null")
+
+
+add("u4_piece_links", lambda s, d: ranges.relink(ranges.stored(ranges.split_disjoint(V.features(s, d), ["strand"], "start", "stop")), V.features(s, d).withColumn("id", F.col("event_id")), next_links(s, d), ["strand"], "start", "stop"),
+    f"""WITH {V.FEATURES}, {PIECES4}, l AS (SELECT strand, stop AS z, lead(start, 3) OVER (PARTITION BY strand ORDER BY start, stop, event_id) AS a FROM features)
+ SELECT l.strand, x.piece AS from_piece, y.piece AS to_piece, 'link' AS kind, count(*) AS links FROM l JOIN pn x ON x.strand = l.strand AND x.stop = z JOIN pn y ON y.strand = l.strand AND y.start = a GROUP BY 1, 2, 3 UNION ALL SELECT strand, piece, piece + 1, 'adjacent', 0 FROM pn WHERE nxt = stop + 1""")
 add("u5_peptide_sources", lambda s, d: inference.peptide_sets(V.psm(s, d).where("sample = 'O'"), V.psm(s, d).where("sample = 'F'")), f"WITH {V.PSM} SELECT aminos, bool_or(sample = 'O') AS in_a, bool_or(sample = 'F') AS in_b FROM psm GROUP BY 1")
 add("o1_genomic_sort", lambda s, d: genome.genomic_sort(V.features(s, d).select(F.col("strand").alias("chrom"), "start", "stop", "event_id")), f"WITH {V.FEATURES} SELECT strand AS chrom, start, stop, event_id FROM features ORDER BY 1, 2, 3")
 add("o4_report_order", lambda s, d: inference.report_order(V.psm(s, d).groupBy("protein").agg(F.count_distinct("aminos").alias("peptides"), F.count("*").alias("spectra"))), f"WITH {V.PSM} SELECT protein, count(DISTINCT aminos) AS peptides, count(*) AS spectra FROM psm GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1")
@@ -212,8 +226,8 @@ def ptm_run(s, d):
 
 add("p9_run_ptm", lambda s, d: ptm_run(s, d)["counts"])
 add("p9_ptm_classes", lambda s, d: ptm_run(s, d)["classes"])
-add("p9_choose_known", lambda s, d: ptm.choose_known(V.table(s, d, "part").select(F.col("p_partkey").alias("site"), F.col("p_size").alias("mass"), (F.col("p_retailprice") / 1e4).alias("p")), V.table(s, d, "lineitem").where("l_partkey > 100").select(F.col("l_partkey").alias("site"), F.col("l_quantity").cast("int").alias("known_mass"), (F.col("l_extendedprice") / 1e5).alias("known_p"))).select("site", "mass", F.round("p", 8).alias("p"), "known"),
-    "WITH k AS (SELECT l_partkey AS site, min((l_extendedprice / 1e5, CAST(l_quantity AS INT))) AS k FROM lineitem WHERE l_partkey > 100 GROUP BY 1), t AS (SELECT p_partkey AS site, p_size, p_retailprice / 1e4 AS p, k, coalesce(ln(k[1]) - ln(p_retailprice / 1e4) < 0.5, false) AS t FROM part LEFT JOIN k ON k.site = p_partkey) SELECT site, CASE WHEN t THEN k[2] ELSE p_size END AS mass, round(CASE WHEN t THEN k[1] ELSE p END, 8) AS p, t AS known FROM t")
+add("p9_choose_known", lambda s, d: ptm.choose_known(V.table(s, d, "part").select(F.col("p_partkey").alias("site"), F.col("p_size").alias("mass"), (F.col("p_retailprice") / 1e4).alias("p")), V.table(s, d, "lineitem").select((F.col("l_partkey") + F.col("l_suppkey") % 2 * 1_000_000).alias("site"), F.col("l_quantity").cast("int").alias("known_mass"), (F.col("l_extendedprice") / 1e5).alias("known_p"))).select("site", "mass", F.round("p", 8).alias("p"), "known"),
+    "WITH k AS (SELECT l_partkey + l_suppkey % 2 * 1000000 AS site, min((l_extendedprice / 1e5, CAST(l_quantity AS INT))) AS k FROM lineitem GROUP BY 1), t AS (SELECT p_partkey AS site, p_size, p_retailprice / 1e4 AS p, k, coalesce(ln(k[1]) - ln(p_retailprice / 1e4) < 0.5, false) AS t FROM part LEFT JOIN k ON k.site = p_partkey) SELECT site, CASE WHEN t THEN k[2] ELSE p_size END AS mass, round(CASE WHEN t THEN k[1] ELSE p END, 8) AS p, t AS known FROM t")
 add("x6_strip_needless_mod", lambda s, d: ptm.strip_needless_mod(mapped_probes(s, d).join(V.sequences(s, d), "seq_id").select("aminos", "seq_id", "pos", "seq", F.lit(0).alias("mod_pos"), (80.0 + F.length("aminos") * 5).alias("mod_mass"))).select("aminos", "seq_id", "pos", "new_aminos", "new_pos"),
     f"""{SEQ}, {PROBES}, {MAPPED}, c AS (SELECT aminos, seq_id, pos, 80.0 + length(aminos) * 5 AS mm, unnest([1, 2, 3]) AS k FROM mq), l AS (SELECT c.*, CASE WHEN pos > k THEN seq[pos - k:pos - 1] END AS x FROM c JOIN sequences USING (seq_id)), f AS (SELECT aminos, seq_id, pos, arg_min(x, k) AS x FROM l WHERE x IS NOT NULL AND abs({mass_sql("x")} - mm) <= 2 GROUP BY 1, 2, 3)
  SELECT mq.aminos, mq.seq_id, CAST(mq.pos AS INT) AS pos, x || mq.aminos AS new_aminos, CAST(mq.pos - length(x) AS INT) AS new_pos FROM mq LEFT JOIN f USING (aminos, seq_id, pos)""")
@@ -299,7 +313,15 @@ add("a25_attribute_histogram", lambda s, d: ranges.attribute_histogram(V.psm(s,
 add("m5_interpolated_p", lambda s, d: r6(ml.interpolated_p(labelled(s, d).withColumn("score", F.col("mq_score")), 0.3, 0.01), "p"),
     f"""WITH {V.PSM}, h AS (SELECT CAST(round(mq_score / 0.01) AS BIGINT) AS bin, count(*) FILTER (is_decoy) AS f, count(*) AS n FROM psm GROUP BY 1), k AS (SELECT bin, greatest(sum(f) OVER w * sum(n) OVER () / (greatest(sum(f) OVER (), 1) * sum(n) OVER w) * 0.3, 1e-4) AS p FROM h WINDOW w AS (ORDER BY bin DESC)), x AS (SELECT *, lead(bin) OVER (ORDER BY bin) AS nb, lead(p) OVER (ORDER BY bin) AS np FROM k), y AS (SELECT *, unnest(range(bin, coalesce(nb, bin + 1))) AS b FROM x)
  SELECT b AS bin, round(CASE WHEN b = bin THEN p ELSE p + (np - p) * (b - bin) / (nb - bin) END, 6) AS p FROM y""")
-add("m6_fit_paired", lambda s, d: (lambda rows: (lambda models: inference.union_all(*[ml.predict_logit(models[k], rows.where(F.col("kind") == k), ["delta", "length"]).select(*key, F.round("score", 3).alias("score")) for k in ("constitutive", "facultative")]))(ml.fit_paired(rows, ["delta", "length"])))(inference.stored(V.psm(s, d).withColumn("kind", F.when(F.col("is_modified"), "facultative").otherwise("constitutive")).withColumn("seed", F.col("mq_score")))))
+def paired(s, d):
+    rows = inference.stored(labelled(s, d).select(*key, "label", *["mq_score", "delta", "length"], F.col("is_modified").alias("is_facultative")))
+    return rows, ml.fit_paired(rows, ["mq_score", "delta", "length"], ["delta", "length"], ["mq_score", "length"], list(key))
+
+
+add("m6_fit_paired", lambda s, d: paired(s, d)[1][1].select(*key, F.round("score", 3).alias("score")))
+add("m6_extremes", lambda s, d: ml.extremes(V.psm(s, d).where("is_modified").withColumn("score", F.col("mq_score")), list(key)).select(*key, "label"),
+    f"WITH {V.PSM}, f AS (SELECT *, count(*) OVER () AS c FROM psm WHERE is_modified), o AS (SELECT spectrum_file, scan, rank, least(c // 4, 1000) AS m, row_number() OVER (ORDER BY mq_score, spectrum_file, scan, rank) AS a, row_number() OVER (ORDER BY mq_score DESC, spectrum_file DESC, scan DESC, rank DESC) AS z FROM f) SELECT spectrum_file, scan, rank, 0 AS label FROM o WHERE a <= m UNION ALL SELECT spectrum_file, scan, rank, 1 FROM o WHERE z <= m")
+add("m5_mixture_p", lambda s, d: ml.mixture_p(labelled(s, d).withColumn("score", F.col("mq_score")), cycles=60, tolerance=1e-4).select(*key, F.round("p_value", 3).alias("p_value")))
 add("m8_peptide_model", lambda s, d: ml.fit_peptide_model(labelled(s, d), ["mq_score", "delta", "length"]).select(*key, F.round("score", 3).alias("score")))
 
 # --- whole runs ----------------------------------------------------------------------------------------------------
@@ -309,9 +331,10 @@ def genome_run(s, d):
     """P8 on the documents as contigs, with the line items as spectra of their tryptic peptides."""
     contigs = V.contigs(s, d)
     orfs_ = genome.six_frame(contigs, 40).withColumn("seq_id", F.concat_ws(".", "chrom", "strand", "frame", "start_nuc"))
-    bins = V.table(s, d, "part").count() + 1
-    peptides = genome.digest(orfs_, 0, 9, 30).select("aminos").distinct().groupBy(F.pmod(F.xxhash64("aminos"), F.lit(bins)).alias("k")).agg(F.min("aminos").alias("peptide"))
-    psm = V.psm(s, d).join(peptides, F.col("aminos") == F.col("k")).drop("aminos", "k").withColumnRenamed("peptide", "aminos").withColumn("length", F.length("aminos").cast("double"))
+    parts = V.table(s, d, "part").count()
+    peptides = genome.digest(orfs_, 0, 9, 30).select("aminos").distinct().select(F.col("aminos").alias("peptide"), (F.pmod(F.xxhash64("aminos"), F.lit(parts)) + 1).alias("aminos"))
+    again = F.row_number().over(Window.partitionBy("spectrum_file", "scan").orderBy("rank", "peptide"))
+    psm = V.psm(s, d).join(peptides, "aminos").withColumn("rank", again).drop("aminos").withColumnRenamed("peptide", "aminos").withColumn("length", F.length("aminos").cast("double"))
     cds = orfs_.where("length > 60").select("chrom", "strand", F.when(F.col("strand") == "+", F.col("start_nuc") + 30).otherwise(F.col("start_nuc") - 3 * F.col("length") - 2).alias("start"), F.when(F.col("strand") == "+", F.col("start_nuc") + 3 * F.col("length") + 2).otherwise(F.col("start_nuc") - 30).alias("stop"), F.col("seq_id").alias("protein_id"))
     return pipelines.run_all(contigs, psm, cds, 0.5)
 
