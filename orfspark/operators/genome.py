@@ -23,6 +23,63 @@ def chunked(contigs: DataFrame, size: int = 30_000) -> DataFrame:
     return rows.repartition("chrom", "at")
 
 
+def cut_out(segments: DataFrame, chunks: DataFrame, keys: list[str], size: int = 30_000) -> DataFrame:
+    """(keys, dna): the bases of each segment (keys, chrom, start, stop, from 1, both ends in) of contigs in chunks (see
+    `chunked`). A segment meets the chunks it lies in by equality; its parts are joined in their order, so it may cross any
+    number of borders. Bases beyond a contig are missing; a segment without any gives no row.
+    """
+    touched = F.sequence(F.floor((F.greatest("start", F.lit(1)) - 1) / size), F.floor((F.col("stop") - 1) / size))
+    rows = segments.where((F.col("start") <= F.col("stop")) & (F.col("stop") >= 1)).select(*keys, F.col("chrom").alias("_c"), "start", "stop", F.explode(touched).alias("_k"))
+    met = rows.join(chunks.select(F.col("chrom").alias("_c"), (F.col("at") / size).cast("long").alias("_k"), "at", "seq"), ["_c", "_k"])
+    a = F.greatest(F.col("start") - 1 - F.col("at"), F.lit(0))
+    z = F.least(F.col("stop") - F.col("at"), F.lit(size))
+    part = F.substr("seq", (a + 1).cast("int"), (z - a).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct("at", part.alias("p"))))
+    return met.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["p"]), "").alias("dna")).where("dna <> ''")
+
+
+def genome_match(hits: DataFrame, chunks: DataFrame, size: int = 30_000) -> DataFrame:
+    """(hit, genome_aminos, mismatches) of hits (hit, chrom, strand, aminos, segments array of (start, stop)): the
+    segments' bases in their order, along the strand, translated and compared with the peptide. Sequences of unlike
+    length count as many mismatches as the peptide has residues, or none if the genome's holds it."""
+    seg = hits.select("hit", "chrom", F.posexplode("segments").alias("no", "s")).select("hit", "chrom", "no", F.col("s.start").alias("start"), F.col("s.stop").alias("stop"))
+    dna = cut_out(seg, chunks, ["hit", "no"], size).groupBy("hit").agg(F.array_sort(F.collect_list(F.struct("no", "dna"))).alias("p"))
+    whole = F.upper(F.array_join(F.transform("p", lambda x: x["dna"]), ""))
+    rows = hits.select("hit", "strand", "aminos").join(dna.select("hit", whole.alias("dna")), "hit", "left").withColumn("dna", F.coalesce("dna", F.lit("")))
+    rows = rows.withColumn("genome_aminos", X.translate_dna(F.when(F.col("strand") == "-", X.reverse_complement(F.col("dna"))).otherwise(F.col("dna"))))
+    unlike = F.size(F.filter(F.zip_with(F.split("aminos", ""), F.split("genome_aminos", ""), lambda x, y: x != y), lambda d: d))
+    same = F.length("aminos") == F.length("genome_aminos")
+    return rows.select("hit", "genome_aminos", F.when(same, unlike).when(F.contains("genome_aminos", "aminos"), 0).otherwise(F.length("aminos")).alias("mismatches"))
+
+
+def protein_match(hits: DataFrame, exons: DataFrame, proteins: DataFrame) -> DataFrame:
+    """(hit, in_protein, terminus) of hits (as in `genome_match`): whether a gene with an exon around one of the hit's
+    segments (exons: gene_id, chrom, strand, start, stop) has a protein (gene_id, seq) that holds the peptide, and if that
+    stands at its first (N) or last (C) residue; of several genes the least decides the terminus."""
+    seg = hits.select("hit", "chrom", "strand", F.explode("segments").alias("s")).select("hit", "chrom", "strand", F.col("s.start").alias("s_start"), F.col("s.stop").alias("s_stop"))
+    genes = ranges.contained_in(seg, exons.select("chrom", "strand", "start", "stop", "gene_id"), ["chrom", "strand"], ("s_start", "s_stop"), ("start", "stop")).select("hit", "gene_id").distinct()
+    held = genes.join(proteins.select("gene_id", "seq"), "gene_id").join(hits.select("hit", "aminos"), "hit").where(F.contains("seq", "aminos"))
+    end = F.when(F.startswith("seq", "aminos"), "N").when(F.instr("seq", F.col("aminos")) + F.length("aminos") - 1 == F.length("seq"), "C").otherwise("")
+    best = held.groupBy("hit").agg(F.min_by(end, "gene_id").alias("terminus"))
+    return hits.select("hit").join(best, "hit", "left").select("hit", F.col("terminus").isNotNull().alias("in_protein"), F.coalesce("terminus", F.lit("")).alias("terminus"))
+
+
+def junction_signals(junctions: DataFrame, chunks: DataFrame, size: int = 30_000) -> DataFrame:
+    """Junctions (chrom, strand, donor: last base of a block, acceptor: first of the next, from 1) with their signal of
+    13 bases along the strand: three bases of the block and six of the intron, three of the intron and one of the block
+    behind it; null where the contig lacks bases."""
+    minus = F.col("strand") == "-"
+    one = F.struct(F.when(minus, F.col("donor")).otherwise(F.col("donor") - 2).alias("a"), F.when(minus, F.col("donor") + 3).otherwise(F.col("donor") + 6).alias("z"))
+    two = F.struct(F.when(minus, F.col("acceptor") - 6).otherwise(F.col("acceptor") - 3).alias("a"), F.when(minus, F.col("acceptor") + 2).otherwise(F.col("acceptor")).alias("z"))
+    keys = ["chrom", "strand", "donor", "acceptor"]
+    seg = junctions.select(*keys, F.posexplode(F.array(one, two)).alias("no", "s")).select(*[F.col(k).alias(f"j_{k}") for k in keys], "no", "chrom", F.col("s.a").alias("start"), F.col("s.z").alias("stop"))
+    named = [f"j_{k}" for k in keys]
+    dna = cut_out(seg.where("start >= 1"), chunks, [*named, "no"], size).groupBy(*named).agg(F.array_sort(F.collect_list(F.struct("no", "dna"))).alias("p"))
+    whole = F.upper(F.array_join(F.transform("p", lambda x: x["dna"]), ""))
+    dna = dna.select(*[F.col(n).alias(k) for n, k in zip(named, keys, strict=True)], whole.alias("w")).where(F.length("w") == 13)
+    return junctions.join(dna, keys, "left").withColumn("signal", F.when(minus, X.reverse_complement(F.col("w"))).otherwise(F.col("w"))).drop("w")
+
+
 def codon_letters() -> np.ndarray:
     """Residue of each code 16a + 4b + c of three bases A, C, G, T; a stop for all above."""
     table = np.full(65, ord("*"), dtype=np.uint8)

@@ -173,12 +173,17 @@ def categorize_hits(hits: DataFrame, exons: DataFrame) -> DataFrame:
     return j.select("hit", c.alias("category"))
 
 
+#: Rank of each category; the higher one wins a spectrum, and 0 is not worth reporting.
+CATEGORY_RANK = {0: 0, 8: 1, 9: 1, 7: 2, 3: 3, 6: 3, 2: 4, 5: 4, 1: 5, 4: 5}
+
+
 def best_category(hits: DataFrame) -> DataFrame:
-    """Per spectrum the least category above zero (0 if none) and the hits that have it."""
-    key = F.when(F.col("category") == 0, 99).otherwise(F.col("category"))
-    w = Window.partitionBy("spectrum")
-    best = hits.withColumn("_k", key).withColumn("_b", F.min("_k").over(w))
-    return best.groupBy("spectrum").agg((F.min("_b") % 99).alias("category"), F.count_if(F.col("_k") == F.col("_b")).alias("ties"))
+    """(spectrum, rank, category, ties): the best rank among a spectrum's hits, the least category that has it, and the
+    hits of that rank. Spectra with hits of category 0 alone are left out."""
+    rank = F.coalesce(*[F.when(F.col("category") == c, F.lit(r)) for c, r in CATEGORY_RANK.items()], F.lit(0))
+    by = hits.withColumn("rank", rank).groupBy("spectrum", "rank").agg(F.min("category").alias("category"), F.count("*").alias("ties"))
+    best = by.groupBy("spectrum").agg(F.max(F.struct("rank", "category", "ties")).alias("b"))
+    return best.where("b.rank > 0").select("spectrum", "b.*")
 
 
 def evaluate_signal(pred: DataFrame, cleaved: DataFrame, observed: DataFrame, slack: int = 3) -> DataFrame:

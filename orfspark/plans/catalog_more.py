@@ -96,8 +96,9 @@ add("g3_shuffle_decoys", lambda s, d: genome.decoys(V.sequences(s, d).where("seq
 CUTS = "cuts AS (SELECT strand AS seq_id, start // 3600 AS pos, count(*) AS cuts FROM features GROUP BY 1, 2)"
 add("w11_neighbour_counts", lambda s, d: genome.neighbour_counts(V.features(s, d).groupBy(F.col("strand").alias("seq_id"), F.floor(F.col("start") / 3600).alias("pos")).agg(F.count("*").alias("cuts"))),
     f"WITH {V.FEATURES}, {CUTS}, n AS (SELECT *, coalesce(CASE WHEN lag(pos) OVER w = pos - 1 THEN lag(cuts) OVER w END, 0) AS before, coalesce(CASE WHEN lead(pos) OVER w = pos + 1 THEN lead(cuts) OVER w END, 0) AS after FROM cuts WINDOW w AS (PARTITION BY seq_id ORDER BY pos)) SELECT seq_id, pos, cuts, before, after, before > cuts OR after > cuts AS decay FROM n")
-add("w14_best_category", lambda s, d: splice.best_category(V.psm(s, d).select(F.col("scan").alias("spectrum"), (F.col("aminos") % 10).alias("category"))),
-    f"WITH {V.PSM}, c AS (SELECT scan AS spectrum, CASE WHEN aminos % 10 = 0 THEN 99 ELSE aminos % 10 END AS k FROM psm), m AS (SELECT *, min(k) OVER (PARTITION BY spectrum) AS b FROM c) SELECT spectrum, min(b) % 99 AS category, count(*) FILTER (k = b) AS ties FROM m GROUP BY 1")
+RANKS = "CASE " + " ".join(f"WHEN category = {c} THEN {r}" for c, r in splice.CATEGORY_RANK.items()) + " END"
+add("w14_best_category", lambda s, d: splice.best_category(V.psm(s, d).select(F.col("scan").alias("spectrum"), (F.col("aminos") % 10).cast("int").alias("category"))),
+    f"WITH {V.PSM}, c AS (SELECT scan AS spectrum, CAST(aminos % 10 AS INT) AS category FROM psm), k AS (SELECT *, {RANKS} AS rank FROM c), m AS (SELECT *, max(rank) OVER (PARTITION BY spectrum) AS b FROM k) SELECT spectrum, CAST(b AS INT) AS rank, min(category) AS category, count(*) AS ties FROM m WHERE rank = b AND b > 0 GROUP BY 1, 2")
 
 # --- joins -------------------------------------------------------------------------------------------------------
 

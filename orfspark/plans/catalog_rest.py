@@ -13,8 +13,8 @@ from ..sources import tables as S
 from ..streaming import incremental as I
 from . import adapters as V
 from . import pipelines
-from .catalog import ENGINES, EXONS, GEL, GENES, INTRONS, LOCATED, PAIRED_GEL, PROBES, RANKED, SEQ, SIX_FRAMES, SPOTS, add, engines, exons, gel_psm, genes, key, labelled, located, orfs, probes, r6
-from .catalog_more import MAPPED, WORD, mapped_probes, mass_sql, simple_exons, starts, words
+from .catalog import CODON_MAP, ENGINES, EXONS, GEL, GENES, INTRONS, LOCATED, PAIRED_GEL, PROBES, RANKED, SEQ, SIX_FRAMES, SPOTS, add, engines, exons, gel_psm, genes, key, labelled, located, orfs, probes, r6
+from .catalog_more import MAPPED, TERMS, WORD, mapped_probes, mass_sql, simple_exons, starts, words
 
 # --- sources: tables of the driver, written in a format and read back ---------------------------------------------
 
@@ -105,6 +105,19 @@ def ended(s, stream, mode="append"):
 add("t1_stream_results", lambda s, d: ended(s, streamed(s, d, "events").select("event_id", "event_type", "user_id")), "SELECT event_id, event_type, user_id FROM events")
 add("t2_stream_histogram", lambda s, d: r6(ended(s, I.stream_histogram(streamed(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", 5000.0), "complete").groupBy("l_returnflag", "bin").agg(F.max("n").alias("n"), F.max_by("total", "batch").alias("total")).withColumn("total", F.round("total", 2)), "total"),
     "SELECT l_returnflag, CAST(floor(l_extendedprice / 5000.0) AS BIGINT) AS bin, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1, 2")
+
+
+def consensus_stream(s, d):
+    """The embeddings as spectra of their label, run to the end twice from one checkpoint."""
+    out, state = folder(s), folder(s)
+    peak = F.transform("embedding", lambda x, i: F.struct(i.cast("double").alias("mz"), F.abs(x.cast("double")).alias("intensity")))
+    for _ in range(2):  # the second run finds the state and nothing new
+        I.run_updates(I.stream_consensus(streamed(s, d, "embeddings").select(F.col("label").alias("key"), peak.alias("peaks")), 2.0), out, state)
+    return I.consensus_state(I.latest(s, out, ["key", "bin"]))
+
+
+add("t2_stream_consensus", lambda s, d: r6(consensus_stream(s, d), "intensity"),
+    f"WITH {V.PEAKS}, x AS (SELECT charge AS key, spectrum, mz, intensity / sum(intensity) OVER (PARTITION BY charge, spectrum) AS v FROM peaks), o AS (SELECT key, CAST(round(mz / 2.0) AS BIGINT) AS bin, sum(v) AS v, count(DISTINCT spectrum) AS spectra, count(*) AS n FROM x GROUP BY 1, 2) SELECT o.key, o.bin, round(o.v, 6) AS intensity, o.spectra, CAST(sum(q.n) AS BIGINT) AS near FROM o JOIN o q ON q.key = o.key AND q.bin BETWEEN o.bin - 2 AND o.bin + 2 GROUP BY 1, 2, o.v, o.spectra")
 add("t3_stream_discovery", lambda s, d: ended(s, I.stream_discovery(streamed(s, d, "events"), "user_id", late="3650 days"), "complete").groupBy("start").agg(F.max("new_keys").alias("n")).agg(F.sum("n").alias("keys")), "SELECT count(DISTINCT user_id) AS keys FROM events")
 
 # --- sets, order and reports ---------------------------------------------------------------------------------------
@@ -272,6 +285,38 @@ def exon_hits(s, d):
     return e.select(F.col("event_id").alias("hit"), "chrom", "strand", many.alias("segments"), (F.col("event_id") % 11 / 150).alias("p_value"), (F.col("event_id") % 13 + 4).alias("length"), (F.col("event_id") % 3).alias("mismatches"), (F.col("event_id") % 5 == 0).alias("in_protein"))
 
 
+LOOKED = "cg AS (SELECT chrom, seq, length(seq) AS n, CASE WHEN chrom % 2 = 0 THEN '-' ELSE '+' END AS strand FROM contigs WHERE length(seq) >= 120)"
+SPLIT = 90
+
+
+def contig_hits(s, d):
+    """A peptide of 20 residues on every contig, in two segments of 31 and 29 bases."""
+    c = V.contigs(s, d).where("length(seq) >= 120").select("chrom", F.length("seq").cast("long").alias("n"))
+    first, second = F.floor(F.col("n") / 3), F.floor(F.col("n") / 3) + 40
+    seg = lambda a, k: F.struct(a.alias("start"), (a + k - 1).alias("stop"))
+    return c.select(F.col("chrom").alias("hit"), "chrom", F.when(F.col("chrom") % 2 == 0, "-").otherwise("+").alias("strand"), F.array(seg(first, 31), seg(second, 29)).alias("segments"), F.lit("PEPTIDEPEPTIDEPEPTID").alias("aminos"))
+
+
+add("p7_genome_match", lambda s, d: genome.genome_match(contig_hits(s, d), genome.chunked(V.contigs(s, d), SPLIT), SPLIT),
+    f"""WITH {V.CONTIGS}, {LOOKED}, x AS (SELECT chrom, strand, seq[n // 3:n // 3 + 30] || seq[n // 3 + 40:n // 3 + 68] AS d FROM cg), y AS (SELECT chrom, CASE WHEN strand = '-' THEN reverse(translate(d, 'ACGT', 'TGCA')) ELSE d END AS d FROM x),
+ z AS (SELECT chrom, list_aggregate([{CODON_MAP}[d[3 * i + 1:3 * i + 3]] FOR i IN range(20)], 'string_agg', '') AS a FROM y) SELECT chrom AS hit, a AS genome_aminos, CAST(len([i FOR i IN range(1, 21) IF a[i] <> 'PEPTIDEPEPTIDEPEPTID'[i]]) AS INT) AS mismatches FROM z""")
+
+
+def contig_junctions(s, d):
+    """Two blocks of an alignment on every contig."""
+    c = V.contigs(s, d).where("length(seq) >= 120").select("chrom", F.length("seq").cast("long").alias("n"), F.when(F.col("chrom") % 2 == 0, "-").otherwise("+").alias("strand"))
+    blocks = F.explode(F.array(F.struct(F.lit(5).cast("long").alias("a"), F.floor(F.col("n") / 3).alias("z")), F.struct(F.floor(F.col("n") / 2).alias("a"), (F.col("n") - 3).alias("z")))).alias("b")
+    return splice.junctions_of(c.select(F.col("chrom").alias("alignment"), "chrom", "strand", blocks).select("alignment", "chrom", "strand", F.col("b.a").alias("start"), F.col("b.z").alias("stop")))
+
+
+add("g6_junction_signals", lambda s, d: splice.accept_junctions(genome.junction_signals(contig_junctions(s, d), genome.chunked(V.contigs(s, d), SPLIT), SPLIT), 2, -99.0).select("chrom", "strand", "donor", "acceptor", "n", "signal", F.round("score", 5).alias("score")),
+    f"""WITH {V.CONTIGS}, {LOOKED}, j AS (SELECT chrom, strand, n // 3 AS donor, n // 2 AS acceptor, seq FROM cg), w AS (SELECT *, CASE WHEN strand = '-' THEN reverse(translate(seq[donor:donor + 3] || seq[acceptor - 6:acceptor + 2], 'ACGT', 'TGCA')) ELSE seq[donor - 2:donor + 6] || seq[acceptor - 3:acceptor] END AS g FROM j)
+ SELECT chrom, strand, donor, acceptor, 1::BIGINT AS n, g AS signal, round({TERMS}, 5) AS score FROM w""")
+add("p7_protein_match", lambda s, d: genome.protein_match(words(s, d).select(F.concat_ws("-", "conv_id", "turn", "pos").alias("hit"), F.col("conv_id").alias("chrom"), F.lit("+").alias("strand"), F.col("t").alias("aminos"), F.array(F.struct((F.col("turn") * 100_000 + F.col("pos")).cast("long").alias("start"), (F.col("turn") * 100_000 + F.col("pos") + 3).cast("long").alias("stop"))).alias("segments")),
+    V.table(s, d, "conversations").select("conv_id", F.col("turn").alias("t")).distinct().select(F.concat_ws(":", "conv_id", "t").alias("gene_id"), F.col("conv_id").alias("chrom"), F.lit("+").alias("strand"), (F.col("t") * 100_000).cast("long").alias("start"), (F.col("t") * 100_000 + 10).cast("long").alias("stop")),
+    V.table(s, d, "conversations").groupBy(F.concat_ws(":", "conv_id", "turn").alias("gene_id")).agg(F.upper(F.regexp_replace(F.min("text"), "[^A-Za-z]", "")).alias("seq"))),
+    f"""WITH {WORD}, h AS (SELECT concat_ws('-', conv_id, turn, pos) AS hit, conv_id, turn, t, turn * 100000 + pos AS a FROM w), g AS (SELECT conv_id, turn, upper(regexp_replace(min(text), '[^A-Za-z]', '', 'g')) AS seq FROM conversations GROUP BY 1, 2)
+ SELECT h.hit, coalesce(a + 3 <= h.turn * 100000 + 10 AND contains(seq, t), false) AS in_protein, CASE WHEN a + 3 <= h.turn * 100000 + 10 AND contains(seq, t) THEN CASE WHEN starts_with(seq, t) THEN 'N' WHEN instr(seq, t) + length(t) - 1 = length(seq) THEN 'C' ELSE '' END ELSE '' END AS terminus FROM h LEFT JOIN g USING (conv_id, turn)""")
 add("p7_categories", lambda s, d: splice.categorize_hits(exon_hits(s, d), simple_exons(s, d).withColumn("gene_id", F.col("event_id"))))
 ALIGNED = "al AS (SELECT DISTINCT p_size AS cluster, p_brand AS genome, first(regexp_replace(lower(p_name), '[aeiou ]', '-', 'g') ORDER BY p_name) OVER (PARTITION BY p_size, p_brand) AS row FROM part)"
 TARGETS = "ob AS (SELECT DISTINCT p_size AS cluster, p_brand AS target, p_size % 9 AS o FROM part WHERE p_brand LIKE 'Brand#_1'), co AS (SELECT ob.cluster, target, least(length(regexp_extract(row, '^-*')), length(row) - 1) + o AS c FROM ob JOIN al ON al.cluster = ob.cluster AND al.genome = target WHERE length(row) > 0)"
