@@ -76,7 +76,7 @@ def select_proteins(pep_protein: DataFrame, min_peptides: int = 1, task_pairs: i
         named = stored(left.withColumn("node", node).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node"))
         sizes = stored(named.groupBy("component").agg(F.count("*").alias("pairs")))
         fit = sizes.where(F.col("pairs") <= task_pairs)
-        tasks = int((fit.agg(F.sum("pairs")).first()[0] or 0) // task_pairs) + 1
+        tasks = int((fit.agg(F.sum("pairs")).first()[0] or 0) // max(task_pairs, 1)) + 1
         dealt = named.join(small(fit.select("component")), "component", "left_semi").withColumn("task", F.pmod("component", F.lit(tasks)))
 
         chosen.append(dealt.groupBy("task").applyInPandas(covering(min_peptides, number), shape))

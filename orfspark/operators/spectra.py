@@ -193,25 +193,38 @@ def search_spectra(precursors: DataFrame, peaks: DataFrame, peptides: DataFrame,
     masses = peptides.select("aminos").distinct().withColumn("p_mass", X.parent_mass_of(F.col("aminos")))
     keyed = lambda df: df.withColumn("_one", F.lit(1))
     pairs = ranges.tolerance_join(keyed(precursors), keyed(masses), ["_one"], "mass", "p_mass", tol).select("spectrum", "aminos")
-    ions = peptides.select("aminos").distinct().select("aminos", F.explode(F.filter(X.fragment_ions(F.col("aminos")), lambda i: i["series"].isin("b", "y"))).alias("i")).select("aminos", F.col("i.mz").alias("ion"))
+    ions = peptides.select("aminos").distinct().select("aminos", F.explode(F.filter(X.fragment_ions(F.col("aminos")), lambda i: i["series"].isin("b", "y"))).alias("i")).select("aminos", "i.series", "i.n", F.col("i.mz").alias("ion"))
     asked = pairs.join(ions, "aminos")
     met = ranges.tolerance_join(asked, peaks.select("spectrum", "mz"), ["spectrum"], "ion", "mz", peak_tol)
-    shared = met.select("spectrum", "aminos", "ion").distinct().groupBy("spectrum", "aminos").agg(F.count("*").alias("shared"))
+    shared = met.select("spectrum", "aminos", "series", "n").distinct().groupBy("spectrum", "aminos").agg(F.count("*").alias("shared"))
     w = Window.partitionBy("spectrum").orderBy(F.desc("shared"), "aminos")
     return shared.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def fragment_index(peptides: DataFrame) -> DataFrame:
+    """Postings (space, v, aminos, p_mass, series, n) of each distinct peptide's b and y ions: at their mass (space 0),
+    and at their mass less the peptide's (space 1), where an ion that carries the whole difference between a spectrum and
+    a peptide stands beside the peak's mass less the spectrum's."""
+    masses = peptides.select("aminos").distinct().withColumn("p_mass", X.parent_mass_of(F.col("aminos")))
+    ions = masses.select("aminos", "p_mass", F.explode(F.filter(X.fragment_ions(F.col("aminos")), lambda i: i["series"].isin("b", "y"))).alias("i"))
+    both = F.explode(F.array(F.struct(F.lit(0).alias("space"), F.col("i.mz").alias("v")), F.struct(F.lit(1).alias("space"), (F.col("i.mz") - F.col("p_mass")).alias("v")))).alias("s")
+    return ions.select("aminos", "p_mass", F.col("i.series").alias("series"), F.col("i.n").alias("n"), both).select("s.*", "aminos", "p_mass", "series", "n")
+
+
 def open_search(precursors: DataFrame, peaks: DataFrame, peptides: DataFrame, widest: float = 200.0, peak_tol: float = 0.5, k: int = 3) -> DataFrame:
     """J21 with an open window: candidates whose mass differs by up to `widest`, the difference being one modification
     at any residue: (spectrum, aminos, delta_mass, shared, place). Peaks shared with the bare ions or with the same ions
-    moved by the difference count; an ion counts once."""
-    masses = peptides.select("aminos").distinct().withColumn("p_mass", X.parent_mass_of(F.col("aminos")))
-    keyed = lambda df: df.withColumn("_one", F.lit(1))
-    pairs = ranges.tolerance_join(keyed(precursors), keyed(masses), ["_one"], "mass", "p_mass", widest).select("spectrum", "aminos", (F.col("mass") - F.col("p_mass")).alias("delta_mass"))
-    ions = masses.select("aminos", F.explode(F.filter(X.fragment_ions(F.col("aminos")), lambda i: i["series"].isin("b", "y"))).alias("i")).select("aminos", F.col("i.series").alias("series"), F.col("i.n").alias("n"), F.col("i.mz").alias("ion"))
-    asked = pairs.join(ions, "aminos").select("spectrum", "aminos", "delta_mass", "series", "n", F.explode(F.array(F.col("ion"), F.col("ion") + F.col("delta_mass"))).alias("ion"))
-    met = ranges.tolerance_join(asked, peaks.select("spectrum", "mz"), ["spectrum"], "ion", "mz", peak_tol)
-    shared = met.select("spectrum", "aminos", "delta_mass", "series", "n").distinct().groupBy("spectrum", "aminos", "delta_mass").agg(F.count("*").alias("shared"))
+    moved by the difference count; an ion counts once.
+
+    Peaks meet the postings of a fragment index in bins of the tolerance; no spectrum is paired with the peptides of a
+    mass window, which only filters what met. Ions are counted per spectrum and peptide before the k best are taken.
+    """
+    asked = peaks.select("spectrum", "mz").join(precursors.select("spectrum", "mass"), "spectrum")
+    places = F.explode(F.array(F.struct(F.lit(0).alias("space"), F.col("mz").alias("q")), F.struct(F.lit(1).alias("space"), (F.col("mz") - F.col("mass")).alias("q")))).alias("s")
+    asked = asked.select("spectrum", "mass", places).select("spectrum", "mass", "s.*")
+    met = ranges.tolerance_join(fragment_index(peptides), asked, ["space"], "v", "q", peak_tol).withColumn("delta_mass", F.col("mass") - F.col("p_mass"))
+    ions = met.where(F.abs("delta_mass") <= widest).groupBy("spectrum", "aminos", "series", "n").agg(F.first("delta_mass").alias("delta_mass"))
+    shared = ions.groupBy("spectrum", "aminos").agg(F.first("delta_mass").alias("delta_mass"), F.count("*").alias("shared"))
     w = Window.partitionBy("spectrum").orderBy(F.desc("shared"), F.abs("delta_mass"), "aminos")
     return shared.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 

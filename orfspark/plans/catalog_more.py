@@ -9,7 +9,7 @@ from ..functions import expr as X
 from ..operators import genome, inference, ml, psm as P, ptm, ranges, spectra, splice
 from . import adapters as V
 from . import pipelines
-from .catalog import ALONG, CLASS, DELTA, LOCATED, ORFS, PAIRS, PROBES, SEQ, TOP, add, exons, key, labelled, located, orfs, probes, r6, sites_of
+from .catalog import ALONG, CLASS, COVER, DELTA, LOCATED, ORFS, PAIRS, PROBES, SEQ, TOP, add, exons, key, labelled, located, orfs, probes, r6, sites_of
 
 BASE_SCORED = f"WITH {V.PSM}, {TOP}, {DELTA}"
 
@@ -260,8 +260,20 @@ add("p6_classes", lambda s, d: genome.cleavage_classes(cuts6(s, d), 1).select("s
     f"""{SEQ}, {PROBES}, {MAPPED}, {CUTS6}, nb AS (SELECT *, coalesce(CASE WHEN lag(pos) OVER w = pos - 1 THEN lag(cuts) OVER w END, 0) AS b, coalesce(CASE WHEN lead(pos) OVER w = pos + 1 THEN lead(cuts) OVER w END, 0) AS a FROM cv WINDOW w AS (PARTITION BY seq_id ORDER BY pos))
  SELECT seq_id, pos, cuts, CASE WHEN before IN ('K', 'R') AND coalesce(behind, '*') <> 'P' THEN 'Tryptic' WHEN behind IS NULL OR behind IN ('X', '*') OR (behind IN ('U', 'O') AND cover_c < 5) THEN 'Stop' WHEN a > cuts OR b > cuts THEN 'Decay' WHEN cover_c < cover_n * 0.1 THEN 'Suffix' WHEN cover_n < cover_c * 0.1 THEN 'Prefix' ELSE 'Internal' END AS kind FROM nb""")
 add("p10_localize", lambda s, d: spectra.localize(words(s, d).select(F.col("conv_id").alias("spectrum"), F.col("t").alias("aminos"), F.lit(1).alias("n_sites")).distinct(), V.peaks(s, d).withColumn("mz", F.col("mz") * 20)).select("spectrum", "aminos", "found", F.round("score", 4).alias("score")))
-add("j21_search", lambda s, d: spectra.search_spectra(V.table(s, d, "embeddings").select(F.col("vec_id").alias("spectrum"), (400.0 + F.col("vec_id") % 900).alias("mass")), V.peaks(s, d).withColumn("mz", F.col("mz") * 15), words(s, d).select(F.col("t").alias("aminos"))))
-add("j21_open_search", lambda s, d: r6(spectra.open_search(V.table(s, d, "embeddings").select(F.col("vec_id").alias("spectrum"), (400.0 + F.col("vec_id") % 900).alias("mass")), V.peaks(s, d).withColumn("mz", F.col("mz") * 15), words(s, d).select(F.col("t").alias("aminos")), 20.0), "delta_mass"))
+FRAGMENTS = f"""pp AS (SELECT DISTINCT t FROM w), pm AS (SELECT t, {mass_sql("t")} + 19 AS pm FROM pp), c AS (SELECT t, pm, unnest(range(1, length(t))) AS i FROM pm),
+ io AS (SELECT t, pm, 2 * i AS k, {mass_sql("t[1:i]")} + {X.PROTON} AS ion FROM c UNION ALL SELECT t, pm, 2 * i + 1, {mass_sql("t[i + 1:]")} + {X.WATER} + {X.PROTON} FROM c), sp AS (SELECT vec_id AS spectrum, 400.0 + vec_id % 900 AS mass FROM embeddings)"""
+
+
+def searched(s, d):
+    return V.table(s, d, "embeddings").select(F.col("vec_id").alias("spectrum"), (400.0 + F.col("vec_id") % 900).alias("mass")), V.peaks(s, d).withColumn("mz", F.col("mz") * 15), words(s, d).select(F.col("t").alias("aminos"))
+
+
+add("j21_search", lambda s, d: spectra.search_spectra(*searched(s, d)),
+    f"""WITH {V.PEAKS}, {WORD}, {FRAGMENTS}, m AS (SELECT spectrum, t, count(DISTINCT k) AS shared FROM sp JOIN io ON abs(mass - pm) <= 2.5 JOIN peaks p USING (spectrum) WHERE abs(ion - p.mz * 15) <= 0.5 GROUP BY 1, 2)
+ SELECT spectrum, t AS aminos, shared, row_number() OVER (PARTITION BY spectrum ORDER BY shared DESC, t) AS place FROM m QUALIFY place <= 3""")
+add("j21_open_search", lambda s, d: r6(spectra.open_search(*searched(s, d), 20.0), "delta_mass"),
+    f"""WITH {V.PEAKS}, {WORD}, {FRAGMENTS}, m AS (SELECT spectrum, t, any_value(mass - pm) AS dm, count(DISTINCT k) AS shared FROM sp JOIN io ON abs(mass - pm) <= 20 JOIN peaks p USING (spectrum) WHERE abs(ion - p.mz * 15) <= 0.5 OR abs((ion - pm) - (p.mz * 15 - mass)) <= 0.5 GROUP BY 1, 2)
+ SELECT spectrum, t AS aminos, round(dm, 6) AS delta_mass, shared, row_number() OVER (PARTITION BY spectrum ORDER BY shared DESC, abs(dm), t) AS place FROM m QUALIFY place <= 3""")
 ROLES = """ow AS (SELECT upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS t FROM conversations WHERE role <> 'assistant'), nw AS (SELECT upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS t FROM conversations WHERE role = 'assistant'),
  o AS (SELECT DISTINCT translate(t, 'IQ', 'LK') AS c FROM ow), f AS (SELECT translate(t, 'IQ', 'LK') AS c, min(t) AS aminos FROM nw WHERE translate(t, 'IQ', 'LK') NOT IN (SELECT c FROM o) GROUP BY 1), h AS (SELECT aminos, c, greatest(length(c) // 2, 1) AS n FROM f)"""
 
@@ -279,8 +291,13 @@ def summarized(s, d):
     return pipelines.summary_report(rows.select("aminos", F.col("seq_id").alias("protein"), (F.col("pos") % 2 == 0).alias("is_modified")), rows, V.sequences(s, d))
 
 
-add("a37_summary_report", lambda s, d: summarized(s, d).select("protein", "peptides", "spectra", "modified_peptides", "covered", F.round("weight", 3).alias("weight")))
-add("a37_gene_subset", lambda s, d: pipelines.gene_subset(summarized(s, d), V.table(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("protein"))).select("protein", "peptides", "spectra"))
+REPORTED = f"""{SEQ}, {PROBES}, {MAPPED}, pp AS (SELECT aminos, seq_id AS protein, count(*) AS spectra FROM mq GROUP BY 1, 2), {COVER}, ow AS (SELECT DISTINCT protein, aminos FROM rec WHERE taken),
+ rr AS (SELECT mq.seq_id AS protein, mq.aminos, mq.pos FROM mq JOIN ow ON ow.protein = mq.seq_id AND ow.aminos = mq.aminos), ct AS (SELECT protein, count(DISTINCT aminos) AS peptides, count(*) AS spectra, count(DISTINCT CASE WHEN pos % 2 = 0 THEN aminos END) AS modified_peptides FROM rr GROUP BY 1),
+ cv AS (SELECT seq_id AS protein, count(DISTINCT r) AS covered FROM (SELECT seq_id, unnest(range(pos, pos + length(aminos))) AS r FROM mq) GROUP BY 1)"""
+add("a37_summary_report", lambda s, d: summarized(s, d).select("protein", "peptides", "spectra", "modified_peptides", "covered", F.round("weight", 3).alias("weight")),
+    f"{REPORTED.replace('WITH', 'WITH RECURSIVE', 1)} SELECT ct.protein, peptides, spectra, modified_peptides, covered, round({mass_sql('seq')} + 19, 3) AS weight FROM ct JOIN cv USING (protein) JOIN sequences ON seq_id = ct.protein")
+add("a37_gene_subset", lambda s, d: pipelines.gene_subset(summarized(s, d), V.table(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("protein"))).select("protein", "peptides", "spectra"),
+    f"{REPORTED.replace('WITH', 'WITH RECURSIVE', 1)} SELECT protein, peptides, spectra FROM ct WHERE protein IN (SELECT doc_id FROM labels WHERE quality = 1)")
 add("a37_unique_substrings", lambda s, d: pipelines.unique_substrings(probes(s, d), V.sequences(s, d)), f"{SEQ}, {PROBES}, {MAPPED} SELECT aminos, seq_id, CAST(pos AS INT) AS pos FROM mq WHERE is_unique")
 add("m4_svm", lambda s, d: ml.predict_svm(ml.fit_svm(labelled(s, d), ["mq_score", "delta"]), labelled(s, d), ["mq_score", "delta"]).select(*key, F.round("score", 3).alias("score")))
 add("m7_select_features", lambda s, d: s.createDataFrame([(i, c) for i, c in enumerate(ml.select_features(labelled(s, d), ["mq_score", "delta", "length"], 2))], "place int, feature string"))

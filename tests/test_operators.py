@@ -60,8 +60,7 @@ def test_six_frame_round_trip(spark):
         piece = dna[o.start_nuc - 1 : o.start_nuc - 1 + span] if o.strand == "+" else dna[o.start_nuc - span : o.start_nuc]
         back = spark.range(1).select(X.translate_dna(F.lit(piece) if o.strand == "+" else X.reverse_complement(F.lit(piece)))).first()[0] if o is found[0] or o is found[-1] else o.seq
         assert back == o.seq
-    chunks = [("c", len(dna), at, dna[at : at + 102]) for at in range(0, len(dna), 100)]
-    other = genome.six_frame_chunked(spark.createDataFrame(chunks, "chrom string, n long, at long, seq string"), 5)
+    other = genome.six_frame(spark.createDataFrame([("c", dna)], "chrom string, seq string"), 5, 99)
     assert rows(other.select("strand", "frame", "start_nuc", "length")) == sorted((o.strand, o.frame, o.start_nuc, o.length) for o in found)
 
 

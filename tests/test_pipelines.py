@@ -90,7 +90,7 @@ def test_ranges_hand_their_state_on(spark):
 def test_select_proteins_by_rounds_equals_one_at_a_time(spark):
     r = random.Random(6)
     pairs = spark.createDataFrame(sorted({(r.randint(0, 60), r.randint(0, 25), 1 + r.randint(0, 3)) for _ in range(260)}), "aminos long, protein long, spectra long")
-    owners = lambda n: {x.aminos: x.protein for x in inference.select_proteins(pairs, local_pairs=n).collect()}
+    owners = lambda n: {x.aminos: x.protein for x in inference.select_proteins(pairs, task_pairs=n).collect()}
     assert owners(0) == owners(10**6) == owners(100)
     assert inference.select_proteins(pairs.limit(0)).count() == 0
 
