@@ -62,7 +62,7 @@ def add_coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             names, at = np.unique(label[rows], return_inverse=True)
             sums = np.zeros((len(names), 2 * int(dim)))
             np.add.at(sums, at, np.hstack([turned, turned**2]))
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(np.full(len(names), dim, np.int32)), pa.array(np.bincount(at)), pa.array([x.tobytes() for x in sums], pa.binary())], names=["label", "dim", "n", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(np.full(len(names), dim, np.int32)), pa.array(np.bincount(at)), pa.array([x.tobytes() for x in sums], pa.binary())], names=["label", "dim", "n", "sums"])
 
 
 def choose_planes(width: int, cell_rows: int):
@@ -179,14 +179,14 @@ def with_planes(classes: DataFrame, width: int, cell_rows: int) -> DataFrame:
     """classes with order and at (see `choose_planes`) for labels of more than cell_rows classes, else null."""
     many = stored(classes.groupBy("label", "dim").agg(F.count("*").alias("_n")).where(F.col("_n") > cell_rows).select("label", "dim"))
     of = classes.join(broadcast_within(many, 100_000), ["label", "dim"], "left_semi").select("label", "dim", "v")
-    sums = of.mapInArrow(add_coordinates, "label int, dim int, n long, sums binary")
-    planes = stored(sums.groupBy("label", "dim").applyInArrow(choose_planes(width, cell_rows), "label int, dim int, order binary, at binary"))
+    sums = of.mapInArrow(add_coordinates, "label long, dim int, n long, sums binary")
+    planes = stored(sums.groupBy("label", "dim").applyInArrow(choose_planes(width, cell_rows), "label long, dim int, order binary, at binary"))
     return classes.join(broadcast_within(planes, 20_000), ["label", "dim"], "left")
 
 
 def class_links(classes: DataFrame, least: float, width: int, cell_rows: int) -> DataFrame:
     """(k, peer, n) over classes (k, m, label, dim, v)."""
-    shape = f"k long, m long, label int, dim int, v {classes.schema['v'].dataType.simpleString()}, block int, cell long, home boolean"
+    shape = f"k long, m long, label long, dim int, v {classes.schema['v'].dataType.simpleString()}, block int, cell long, home boolean"
     met = with_planes(classes, width, cell_rows).mapInArrow(meeting_cells(2 - 2 * least, width), shape)
     met = stored(met)
     key = ["label", "dim", "block", "cell"]
@@ -206,7 +206,8 @@ def class_links(classes: DataFrame, least: float, width: int, cell_rows: int) ->
 def near_duplicates(vectors: DataFrame, least: float = 0.98, width: int = BLOCK, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label).
 
-    Vectors link at cosine >= least if their labels are equal and not null.
+    Vectors link at cosine >= least if their labels, of any type, are equal and
+    not null (labels are told apart by 64 bits of hash).
     Vectors that are null, empty, zero, or hold null or non-finite components
     link with nothing (component_id is their own id); vectors of different
     lengths never link. A repeated row is a vector of its own. A row without
@@ -218,7 +219,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, width: int = BLOCK,
     v = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))  # -0 and 0 are one
     rows = vectors.select(F.col("vec_id").cast("long"), "label", v.alias("v"), usable.alias("usable"))
     rows = rows.select("vec_id", "label", "v", F.when(F.col("usable"), F.xxhash64("label", "v")).alias("k1"), F.xxhash64("v", F.lit(1), "label").alias("k2"))
-    classes = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.count("*").alias("m"), F.min("vec_id").alias("first"), F.first("label").cast("int").alias("label"), F.first("v").alias("v"))
+    classes = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.count("*").alias("m"), F.min("vec_id").alias("first"), F.first(F.xxhash64("label")).alias("label"), F.first("v").alias("v"))
     classes = stored(classes.withColumn("k", F.monotonically_increasing_id()))
     short_batches(vectors.sparkSession)
     found = stored(class_links(classes.select("k", "m", "label", F.size("v").alias("dim"), "v"), least, width, cell_rows))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orfspark.llm import fim, mtree, spelling
+from orfspark.llm import embeddings, fim, mtree, spelling
 
 DOCS = "doc_id long, text string"
 
@@ -176,3 +176,15 @@ def test_fim_edges(spark):
     one = fim.transform(spark.createDataFrame([("k", "some words here", 1)], "key string, body string, FIM int"), "key", "body", "fim", rate=100, spm=0, sentinels=("[1]", "[2]", "[3]")).first()
     assert one.fim.form == "psm" and one.fim.text.startswith("[1]")
     assert spark.createDataFrame([(None, "psm"), ("x", None)], "t string, f string").select(fim.restored(F.col("t"), F.col("f")).alias("r")).where("r is not null").count() == 0
+
+
+# --- labels of any kind --------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("labels", [("x", "y"), (2**40, 2**40 + 1), (-1.5, 2.5)])
+def test_near_duplicates_of_any_label(spark, labels):
+    rows = [(i, v, labels[i % 2]) for i, v in enumerate([[1.0, 0.0], [1.0, 0.0], [1.0, 0.01], [0.0, 1.0], [1.0, 0.02]])] + [(9, [1.0, 0.0], None)]
+    kind = {str: "string", int: "long", float: "double"}[type(labels[0])]
+    for limit in (2048, 2):
+        got = embeddings.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}"), cell_rows=limit)
+        assert rows_of(got, "vec_id", "n_links", "component_id") == [(0, 2, 0), (1, 0, 1), (2, 2, 0), (3, 0, 3), (4, 2, 0), (9, 0, 9)]
