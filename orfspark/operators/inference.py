@@ -52,7 +52,7 @@ def best_around(left: DataFrame, min_peptides: int, number: int) -> tuple[DataFr
     return taken, stored(scored.join(taken.select("aminos").distinct(), "aminos", "left_anti").select("aminos", "protein", "spectra"))
 
 
-def select_proteins(pep_protein: DataFrame, min_peptides: int = 1, task_pairs: int = 200_000, rounds: int = 3) -> DataFrame:
+def select_proteins(pep_protein: DataFrame, min_peptides: int = 1, task_pairs: int = 1_000_000, rounds: int = 8) -> DataFrame:
     """Parsimonious proteins by greedy cover: (protein, aminos, round); each peptide has one owner.
 
     pep_protein: (aminos, protein, spectra). The order is (peptides, spectra)
