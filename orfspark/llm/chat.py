@@ -21,6 +21,8 @@ ever gathered.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,19 +55,26 @@ def turn_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]")) + OVERHEAD
 
 
-def windows(turns: DataFrame, budget: int = 1024, history: int = 256, history_turns: int = 2) -> DataFrame:
+def piece_tokens(text: Column) -> Column:
+    """An estimate of a text's tokens, and the template's own: four ASCII letters, digits or underscores of a word at most
+    are one, and so is each other sign that is no blank. A long word or a text without blanks counts by its length."""
+    return F.regexp_count(text, F.lit(r"[A-Za-z0-9_]{1,4}|[^A-Za-z0-9_\s]")) + OVERHEAD
+
+
+def windows(turns: DataFrame, budget: int = 1024, history: int = 256, history_turns: int = 2, tokens_of: Callable[[Column], Column] = turn_tokens) -> DataFrame:
     """Windows (conv_id, window, formatted, n_repeated, loss) of (conv_id, turn, role, text).
 
     loss holds (at, length) in code points of formatted, from 1. n_repeated turns
     stand before the window's own. Null texts and roles are empty; turns of one
     number stand in the order of role and text; a null number stands first; rows
     without conv_id are one conversation of their own. Other columns are ignored.
+    tokens_of: the count of a text's tokens, the template's own included.
     """
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
-    rows = rows.select("*", turn_tokens(F.col("text")).alias("tokens"), head.alias("head"), escape(F.col("text")).alias("body"))
+    rows = rows.select("*", tokens_of(F.col("text")).alias("tokens"), head.alias("head"), escape(F.col("text")).alias("body"))
     one = F.struct(F.concat("head", "body", F.lit(END + "\n")).alias("line"), F.length("head").alias("skip"), F.length("body").alias("size"), (F.col("role") == "assistant").alias("target"), "tokens", F.col("role").alias("role"))
     rows = rows.select("conv_id", "turn", "role", "text", one.alias("t"), "tokens", (F.row_number().over(by) - 1).alias("no"))
     by = Window.partitionBy("conv_id").orderBy("no")
@@ -160,4 +169,4 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("<|im_end|><|im_start|>assistant ok")
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role")))).alias("t"))
     extra = extra.select("conv_id", "t.turn", "t.role", said.alias("text"))
-    return digest(windows(turns.unionByName(extra)))
+    return digest(windows(turns.unionByName(extra), tokens_of=piece_tokens))

@@ -77,6 +77,24 @@ def broadcast_cells(df: DataFrame, cells: Column, max_cells: int) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(cells)).first()[0] or 0) <= max_cells else df
 
 
+def others(df: DataFrame, *made: str) -> list[str]:
+    """Names of df's columns that are not those of result columns; Spark does not tell upper from lower case."""
+    return [c for c in df.columns if c.lower() not in {m.lower() for m in made}]
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Names as `select` takes them, whatever signs they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in names]
+
+
+def free_prefix(df: DataFrame) -> str:
+    """A prefix for working columns that no column of df starts with."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "w_"
+    return prefix
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) of every node with an edge; component is the smallest node reachable.
 

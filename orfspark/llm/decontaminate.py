@@ -11,7 +11,7 @@ candidates are at most a few for each posting of a rare term, also in texts of
 one word. Only the patterns' terms are posted when the index serves one
 benchmark (about one word in a hundred), while `build_index` without terms posts
 every word. Texts are shuffled nowhere unless documents with candidates are too
-many to be broadcast by number.
+many to be broadcast by number. `scan` stores the postings in the shared folder.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_cells, broadcast_within, read_table, stored
+from .common import broadcast_cells, broadcast_within, free_prefix, others, quoted, read_table, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,28 +111,30 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
     judged each on their own text. Several texts of one item_id are texts of one
     item; items without item_id hit words and are not listed. Empty tables give
     an empty table or clean documents. Columns of docs that have the result's
-    names are replaced.
+    names, in capitals or not, are replaced; all other names are free.
     """
-    result = ["n_words", "n_hit", "n_items", "items", "contaminated"]
-    columns = [c for c in docs.columns if c not in result]
-    named = docs.select(*columns, F.xxhash64("doc_id", "text").alias("_row"), F.coalesce(n_words("text"), F.lit(0)).cast("long").alias("n_words"))
+    columns, free = quoted(others(docs, "n_words", "n_hit", "n_items", "items", "contaminated")), free_prefix(docs)
+    doc, row, of_row, hit, listed_items = (free + x for x in ("doc", "row", "key", "hit", "items"))
+    named = docs.select(*columns, F.xxhash64("doc_id", "text").alias(row), F.coalesce(n_words("text"), F.lit(0)).cast("long").alias("n_words"))
     narrow = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_id"), "text")
     own = stored(item_windows(items.select(F.col("item_id").cast("string").alias("item_id"), words("text").alias("item")), size))
     windows = stored(own.select("w").distinct().select(F.monotonically_increasing_id().alias("wid"), "w"))
     counts = stored(term_counts(narrow, windows.select(F.explode("w").alias("term"))))
     found = stored(patterns(windows, counts))
     terms = found.select(F.explode(F.array("a", "b")).alias("term"))
-    hits = stored(verified(narrow, candidates(build_index(narrow, terms), found), windows))
-    key = [F.col("doc_id").alias("_doc"), F.col("row_id").alias("_key")]
-    spans = hits.groupBy(*key).agg(covered(F.collect_set(F.struct(F.col("s").alias("lo"), (F.col("s") + F.col("n")).alias("hi")))).alias("_hit"))
+    index = stored(build_index(narrow, terms))
+    hits = stored(verified(narrow, candidates(index, found), windows))
+    key = [F.col("doc_id").alias(doc), F.col("row_id").alias(of_row)]
+    spans = hits.groupBy(*key).agg(covered(F.collect_set(F.struct(F.col("s").alias("lo"), (F.col("s") + F.col("n")).alias("hi")))).alias(hit))
     in_items = own.where("item_id is not null").join(windows, "w").select("wid", "item_id")
-    listed = hits.select(*key, "wid").distinct().join(broadcast_within(stored(in_items), MAX_BROADCAST), "wid").select("_doc", "_key", "item_id").distinct()
-    listed = listed.groupBy("_doc", "_key").agg(F.array_sort(F.collect_list("item_id")).alias("_items"))
-    same = F.col("s._doc").eqNullSafe(F.col("l._doc")) & (F.col("s._key") == F.col("l._key"))
-    judged = stored(spans.alias("s").join(listed.alias("l"), same, "left").select("s._doc", "s._key", "_hit", "_items"))
-    joined = named.join(broadcast_cells(judged, F.coalesce(F.size("_items"), F.lit(0)) + 1, MAX_BROADCAST), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_key")), "left")
+    listed = hits.select(*key, "wid").distinct().join(broadcast_within(stored(in_items), MAX_BROADCAST), "wid").select(doc, of_row, "item_id").distinct()
+    listed = listed.groupBy(doc, of_row).agg(F.array_sort(F.collect_list("item_id")).alias(listed_items))
+    same = F.col(f"s.{doc}").eqNullSafe(F.col(f"l.{doc}")) & (F.col(f"s.{of_row}") == F.col(f"l.{of_row}"))
+    judged = stored(spans.alias("s").join(listed.alias("l"), same, "left").select(f"s.{doc}", f"s.{of_row}", hit, listed_items))
+    of_same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(row) == F.col(of_row))
+    joined = named.join(broadcast_cells(judged, F.coalesce(F.size(listed_items), F.lit(0)) + 1, MAX_BROADCAST), of_same, "left")
     none = F.array().cast("array<string>")
-    joined = joined.select(*columns, "n_words", F.coalesce("_hit", F.lit(0)).cast("long").alias("n_hit"), F.when(F.size("_items") > 0, F.col("_items")).otherwise(none).alias("items"))
+    joined = joined.select(*columns, "n_words", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), F.when(F.size(listed_items) > 0, F.col(listed_items)).otherwise(none).alias("items"))
     return joined.select(
         *columns, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
     )

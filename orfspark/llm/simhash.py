@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, read_table, short_batches, stored
+from .common import connected_components, free_prefix, read_table, short_batches, stored
 
 SEED = 42
 MAX_BITS = 4
@@ -263,13 +263,16 @@ def keep_first(docs: DataFrame, size: int = 4) -> DataFrame:
 
     Of several rows of a component with its smallest doc_id the one with the least
     hash of its text stays, once; texts of one doc_id in different components are
-    judged each; rows without doc_id stay.
+    judged each; rows without doc_id stay. Columns of any name are kept.
     """
+    free = free_prefix(docs)
+    hashed, first_id, first_hash = free + "hash", free + "id", free + "of"
     found = components(docs, size, BUCKET_LIMIT).where("doc_id = component_id")
-    first = stored(found.groupBy("doc_id", "root").agg(F.min("text_hash").alias("_hash")).select("doc_id", "_hash").distinct())
-    named = docs.where("doc_id is not null").withColumn("_hash", F.xxhash64("text"))
-    kept = named.join(first.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of")), (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_of")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash").unionByName(docs.where("doc_id is null"))
+    first = found.groupBy("doc_id", "root").agg(F.min("text_hash").alias("least"))
+    first = stored(first.select(F.col("doc_id").alias(first_id), F.col("least").alias(first_hash)).distinct())
+    named = docs.where("doc_id is not null").withColumn(hashed, F.xxhash64("text"))
+    kept = named.join(first, (F.col("doc_id") == F.col(first_id)) & (F.col(hashed) == F.col(first_hash)), "left_semi")
+    return kept.dropDuplicates(["doc_id", hashed]).drop(hashed).union(docs.where("doc_id is null"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

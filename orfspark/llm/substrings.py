@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, short_batches, stored
+from .common import others, quoted, read_table, short_batches, stored
 
 #: Odd multipliers of the rolling hashes and of the two sketch rows (arbitrary).
 ROLL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -360,7 +360,7 @@ def cut_words(columns: list[str], size: int, shards: int, schema: pa.Schema):
 
 
 def dedup(docs: DataFrame, size: int = 13, shard_bytes: int = SHARD_BYTES, least_shards: int = LEAST_SHARDS) -> DataFrame:
-    """All columns of docs, and kept_text, n_words, n_removed (columns of docs with these names are replaced).
+    """All columns of docs, and kept_text, n_words, n_removed (columns of docs with these names, in capitals or not, are replaced).
 
     A word goes if some window over it also starts in a document with a smaller
     doc_id. Words are separated by ASCII blanks and otherwise unchanged; kept
@@ -372,9 +372,10 @@ def dedup(docs: DataFrame, size: int = 13, shard_bytes: int = SHARD_BYTES, least
     from pyspark.sql.pandas.types import to_arrow_schema
 
     short_batches(docs.sparkSession)
-    columns = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")]
-    docs = docs.select(*columns)
-    blocks = stored(docs.mapInArrow(to_blocks, "block long, bytes long, payload binary"))
+    columns = others(docs, "kept_text", "n_words", "n_removed")
+    docs = docs.select(*quoted(columns))
+    plain = [c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(columns)]  # mapInArrow takes no dots in names
+    blocks = stored(docs.toDF(*plain).mapInArrow(to_blocks, "block long, bytes long, payload binary"))
     shards = max(least_shards, -(-(blocks.agg(F.sum("bytes")).first()[0] or 0) // shard_bytes))
     blocks = blocks.select("block", "payload")
     sketch = blocks.mapInArrow(sketches(size, shards), "shard int, block long, codes binary")
@@ -382,7 +383,7 @@ def dedup(docs: DataFrame, size: int = 13, shard_bytes: int = SHARD_BYTES, least
     asked = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(repeated_windows(size, shards), "shard int, block long, k1 binary, k2 binary, base long, low binary")
     told = told.unionByName(stored(asked.groupBy("shard").applyInArrow(group_windows, ANSWERS)))
     schema = docs.schema.add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut_words(columns, size, shards, to_arrow_schema(schema)), schema)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut_words(plain, size, shards, to_arrow_schema(schema)), schema)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Operator 6, toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Fit: a bounded, hash-ordered sample of labelled documents of each class
-(`sample` rows of each) gives, per hashed n-gram, the document counts of both
+Fit: a bounded, hash-ordered sample of the distinct labelled texts of each class
+(`sample` of each) gives, per hashed n-gram, the document counts of both
 classes; the `features` n-grams with the largest log-count ratios (weighted by
 support) are kept, a document's feature is presence times ratio, and a logistic
 regression with L2 penalty is fitted on those. The n-grams are hashed in tasks
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, short_batches, stored
+from .common import others, quoted, read_table, short_batches, stored
 
 ORDERS = (3, 4, 5, 6)
 HASH_BITS = 22
@@ -196,17 +196,18 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
-    """Fit on at most 2 * sample rows of (text, label 0 or 1), in order of the text's hash.
+    """Fit on at most `sample` distinct texts of each class of (text, label 0 or 1), in order of the text's hash.
 
-    Rows whose text is null or whose label is neither do not count. One class
-    alone (or no row) gives a model that scores everything with that class's share.
+    Rows whose text is null or whose label is neither do not count; a text that
+    is repeated counts once a class, so copies crowd nothing out. One class alone
+    (or no row) gives a model that scores everything with that class's share.
     """
     spark = labelled.sparkSession
     short_batches(spark)
-    rows = labelled.where("text is not null and label in (0, 1)").select("text", F.col("label").cast("int").alias("label"))
-    rows = stored(rows.select("text", "label", F.xxhash64("text").alias("place"), F.monotonically_increasing_id().alias("row")))
-    first = rows.select("place", "label", "row").orderBy("place", "label", "row").limit(2 * sample)
-    rows = rows.join(F.broadcast(first.select("row")), "row", "left_semi")  # at most 2 * sample numbers
+    rows = labelled.where("text is not null and label in (0, 1)").select("text", F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("place"))
+    first = least_places(rows.select("label", "place").distinct(), sample)
+    rows = rows.join(F.broadcast(first), ["label", "place"], "left_semi")  # at most 2 * sample rows
+    rows = stored(rows.groupBy("label", "place").agg(F.first("text").alias("text")))
     n = dict(rows.groupBy("label").agg(F.count("*")).collect())
     slot = np.full(1 << HASH_BITS, -1, dtype=np.int32)
     if len(n) < 2:
@@ -257,28 +258,36 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Labels (doc_id, toxic) are learnt only from rows whose crc32 of doc_id is not
     divisible by 5; only the text is an input of the score. A null text scores as
     an empty one; repeated documents score alike; without usable labels every
-    score is next to 0. Columns of docs with the result's names are replaced.
+    score is next to 0. Columns of docs with the result's names, in capitals or
+    not, are replaced; all other names are free.
     """
-    columns = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label")).where("label is not null").where(~held_out(F.col("_id")))
-    few = bounded_labels(known, SAMPLE)
-    sampled = docs.join(F.broadcast(few), docs.doc_id == few._id).select("text", "label")  # at most 2 * SAMPLE ids
-    scored = scorer(docs.sparkSession, fit(sampled))
+    columns = quoted(others(docs, "held_out", "score", "predicted"))
+    scored = scorer(docs.sparkSession, fit(labelled_sample(docs.select("doc_id", "text"), labels, SAMPLE)))
     return docs.select(*columns, held_out(F.col("doc_id")).alias("held_out"), scored("text").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def bounded_labels(known: DataFrame, sample: int) -> DataFrame:
-    """At most `sample` labelled ids of each class, in order of the id's hash."""
-    few = None
-    for c in (0, 1):
-        own = known.where(F.col("label") == c).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
-        few = own if few is None else few.union(own)
-    return few
+def least_places(distinct: DataFrame, sample: int) -> DataFrame:
+    """The `sample` rows of the least place for each label, 0 and 1."""
+    one, other = (distinct.where(F.col("label") == c).orderBy("place").limit(sample) for c in (0, 1))
+    return one.union(other)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(text, label): the rows of docs (doc_id, text) behind at most `sample` distinct labelled texts of each class, in order
+    of the text's hash. Only labels that may be learnt and whose document is there count; ids and hashes are shuffled, no
+    text."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label in (0, 1)").where(~held_out(F.col("doc_id")))
+    keyed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("place"))
+    few = keyed.join(known, "doc_id").groupBy("label", "place").agg(F.min("doc_id").alias("_id"))
+    few = least_places(few, sample)
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("place"))
+    return docs.join(F.broadcast(few), same).select("text", "label")  # at most 2 * sample rows
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with their own columns."""
-    return score(docs, labels).where("predicted = 0").select(*docs.columns)
+    """The documents that are not predicted toxic, with their own columns, whatever their names."""
+    own = F.struct(*quoted(docs.columns)).alias("own")
+    return score(docs.select("doc_id", "text", own), labels).where("predicted = 0").select("own.*")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import free_prefix, others, quoted, read_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
@@ -53,8 +53,9 @@ def grams(host: Column, path: Column) -> Column:
     return F.concat(*[of(mark, text, n) for mark, text in marked for n in ORDERS])
 
 
-def features(urls: DataFrame) -> DataFrame:
-    return HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True).transform(urls.withColumn("grams", grams(F.col("host"), F.col("path")))).drop("grams")
+def features(urls: DataFrame, name: str = "features") -> DataFrame:
+    cut = urls.withColumn(name + "_grams", grams(F.col("host"), F.col("path")))
+    return HashingTF(inputCol=name + "_grams", outputCol=name, numFeatures=FEATURES, binary=True).transform(cut).drop(name + "_grams")
 
 
 def least_distinct(rows: DataFrame, n: int) -> DataFrame:
@@ -96,23 +97,24 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, sam
     null or has no ``://`` has neither. Of the rules that fit, the longest
     decides; else the model's p_block (block at 0.5 or more). If the rules label
     one class only, or nothing, other urls are allowed (p_block 0). Columns of
-    pages with the result's names are replaced.
+    pages with the result's names, in capitals or not, are replaced; all other
+    names are free.
     """
     rules = RULES if rules is None else rules
-    made = ("host", "path", "rule", "verdict", "p_block", "features")
-    columns = [c for c in pages.columns if c not in made]
+    columns, free = quoted(others(pages, "host", "path", "rule", "verdict", "p_block")), free_prefix(pages)
+    ruled, inputs, p = free + "rule", free + "features", free + "p"
     parts = pages.select(*columns, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    parts = parts.withColumn("_r", best_rule(F.col("host"), F.col("path"), rules))
-    model = fit(parts.where("_r is not null").select("host", "path", (F.col("_r.verdict") == "block").cast("int").alias("label")), sample)
+    parts = parts.withColumn(ruled, best_rule(F.col("host"), F.col("path"), rules))
+    model = fit(parts.where(F.col(ruled).isNotNull()).select("host", "path", (F.col(ruled)["verdict"] == "block").cast("int").alias("label")), sample)
     if model is None:
         scored = parts.withColumn("p_block", F.lit(0.0))
     else:
         from pyspark.ml.functions import vector_to_array
 
-        model.setFeaturesCol("features").setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("")
-        scored = model.transform(features(parts)).withColumn("p_block", vector_to_array("_p")[1])
+        model.setFeaturesCol(inputs).setProbabilityCol(p).setRawPredictionCol("").setPredictionCol("")
+        scored = model.transform(features(parts, inputs)).withColumn("p_block", vector_to_array(p)[1])
     learnt = F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")
-    return scored.select(*columns, "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", learnt).alias("verdict"), "p_block")
+    return scored.select(*columns, "host", "path", F.col(ruled)["rule"].alias("rule"), F.coalesce(F.col(ruled)["verdict"], learnt).alias("verdict"), "p_block")
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
