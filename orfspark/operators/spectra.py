@@ -234,8 +234,8 @@ def localize(psm: DataFrame, peaks: DataFrame, tol: float = 0.3) -> DataFrame:
     sites = F.when(F.col("n_sites") == 1, X.alternate_sites(F.col("aminos"), 1)).otherwise(X.alternate_sites(F.col("aminos"), 2))
     alt = psm.select("spectrum", "aminos", F.explode(sites).alias("sites"))
     mods = F.transform("sites", lambda p: F.struct(p.alias("pos"), F.lit(79.96633).alias("mass")))
-    ions = alt.select("spectrum", "aminos", "sites", F.explode(F.filter(X.fragment_ions(F.col("aminos"), mods), lambda i: i["series"].isin("b", "y"))).alias("i")).select("spectrum", "aminos", "sites", F.col("i.mz").alias("ion"))
-    met = ranges.tolerance_join(ions, peaks.select("spectrum", "mz"), ["spectrum"], "ion", "mz", tol).select("spectrum", "aminos", "sites", "ion").distinct()
+    ions = alt.select("spectrum", "aminos", "sites", F.explode(F.filter(X.fragment_ions(F.col("aminos"), mods), lambda i: i["series"].isin("b", "y"))).alias("i")).select("spectrum", "aminos", "sites", "i.series", "i.n", F.col("i.mz").alias("ion"))
+    met = ranges.tolerance_join(ions, peaks.select("spectrum", "mz"), ["spectrum"], "ion", "mz", tol).select("spectrum", "aminos", "sites", "series", "n").distinct()
     n = ions.groupBy("spectrum", "aminos", "sites").agg(F.count("*").alias("n")).join(met.groupBy("spectrum", "aminos", "sites").agg(F.count("*").alias("found")), ["spectrum", "aminos", "sites"], "left").na.fill(0, ["found"])
     w = Window.partitionBy("spectrum", "aminos").orderBy(F.desc("found"), "sites")
     best = n.withColumn("place", F.row_number().over(w)).withColumn("second", F.lead("found").over(w)).where("place = 1")

@@ -358,7 +358,16 @@ add("j8_nearest_peak", lambda s, d: r6(ranges.nearest_peak(V.table(s, d, "embedd
     f"{PK}, t AS (SELECT vec_id AS spectrum, unnest([10.4::DOUBLE, 20.6::DOUBLE, 99.0::DOUBLE]) AS target FROM embeddings) SELECT t.spectrum, target, round(coalesce(arg_min(intensity, abs(mz - target)), 0.0), 6) AS intensity FROM t LEFT JOIN peaks p ON p.spectrum = t.spectrum AND abs(mz - target) <= 0.5 GROUP BY 1, 2")
 add("a27_consensus_bins", lambda s, d: r6(spectra.consensus_bins(V.peaks(s, d).withColumn("key", F.col("charge")), 2.0), "intensity").select("key", "bin", "intensity", "spectra", "near"),
     f"{PK}, x AS (SELECT charge AS key, spectrum, mz, intensity / sum(intensity) OVER (PARTITION BY charge, spectrum) AS v FROM peaks) SELECT o.key, o.bin, round(v, 6) AS intensity, spectra, CAST(sum(q.n) AS BIGINT) AS near FROM (SELECT key, CAST(round(mz / 2.0) AS BIGINT) AS bin, sum(v) AS v, count(DISTINCT spectrum) AS spectra FROM x GROUP BY 1, 2) o JOIN (SELECT key, CAST(round(mz / 2.0) AS BIGINT) AS bin, count(*) AS n FROM x GROUP BY 1, 2) q ON q.key = o.key AND q.bin BETWEEN o.bin - 2 AND o.bin + 2 GROUP BY 1, 2, 3, 4")
-add("a27_consensus", lambda s, d: spectra.consensus(spectra.consensus_bins(V.peaks(s, d).withColumn("key", F.col("charge")), 1.0), 2, 1.0))
+# bins in order of intensity; one not yet absorbed absorbs those within two bins that are left
+ABSORBED = f"""WITH RECURSIVE {V.PEAKS}, x AS (SELECT charge AS key, spectrum, CAST(round(mz) AS BIGINT) AS bin, intensity / sum(intensity) OVER (PARTITION BY charge, spectrum) AS v FROM peaks),
+ o AS (SELECT key, bin, sum(v) AS v, count(DISTINCT spectrum) AS spectra, count(*) AS peaks FROM x GROUP BY 1, 2), q AS (SELECT o.key, o.bin, o.v, o.spectra, CAST(sum(m.peaks) AS BIGINT) AS near FROM o JOIN o m ON m.key = o.key AND abs(m.bin - o.bin) <= 2 GROUP BY ALL),
+ b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY v DESC, bin) AS r FROM q), l AS (SELECT key, list(bin) AS bins FROM b GROUP BY 1),
+ st(key, r, used, bin, own) AS (SELECT key, 0::BIGINT, []::BIGINT[], NULL::BIGINT, []::BIGINT[] FROM l
+  UNION ALL SELECT st.key, b.r, list_concat(used, a.own), b.bin, a.own FROM st JOIN l ON l.key = st.key JOIN b ON b.key = st.key AND b.r = st.r + 1,
+   LATERAL (SELECT CASE WHEN list_contains(st.used, b.bin) THEN [] ELSE [y FOR y IN range(b.bin - 2, b.bin + 3) IF list_contains(l.bins, y) AND NOT list_contains(st.used, y)] END AS own) a),
+ c AS (SELECT st.key, st.bin, sum(b.v) AS v, max(b.spectra) AS spectra, any_value(m.near) AS near FROM st JOIN b ON b.key = st.key AND list_contains(st.own, b.bin) JOIN b m ON m.key = st.key AND m.bin = st.bin GROUP BY 1, 2)"""
+add("a27_consensus", lambda s, d: r6(spectra.consensus(spectra.consensus_bins(V.peaks(s, d).withColumn("key", F.col("charge")), 1.0), 2, 1.0), "intensity"),
+    f"{ABSORBED} SELECT key, CAST(bin AS DOUBLE) AS mz, round(v, 6) AS intensity, spectra FROM c")
 
 # --- models ------------------------------------------------------------------------------------------------------
 
@@ -386,10 +395,18 @@ add("m1_prior_false", lambda s, d: s.createDataFrame([(r, round(ml.prior_false(l
 
 def m2(s, d):
     w, k = ml.fit_lda(labelled(s, d), FEATS)
-    return ml.apply_linear(labelled(s, d), FEATS, w, k).select(*key, F.round("score", 6).alias("score"))
-
-
-add("m2_lda", m2)
+    return ml.apply_linear(labelled(s, d), FEATS, w, k).select(*key, F.round("score", 5).alias("score"))
+
+
+add("m2_lda", m2,  # the pooled covariance of three features inverted by cofactors
+    f"""WITH {V.PSM}, f AS (SELECT {KEY}, NOT is_decoy AS t, mq_score AS a, delta AS b, length AS c FROM psm),
+ g AS (SELECT t, count(*) AS n, avg(a) AS a, avg(b) AS b, avg(c) AS c, {', '.join(f"covar_pop({x}, {y}) AS {x}{y}" for x, y in ("aa", "ab", "ac", "bb", "bc", "cc"))} FROM f GROUP BY 1),
+ p AS (SELECT {', '.join(f"sum({x} * n) / sum(n) AS {x}" for x in ("aa", "ab", "ac", "bb", "bc", "cc"))} FROM g),
+ i AS (SELECT (bb * cc - bc * bc) / e AS aa, (ac * bc - ab * cc) / e AS ab, (ab * bc - ac * bb) / e AS ac, (aa * cc - ac * ac) / e AS bb, (ab * ac - aa * bc) / e AS bc, (aa * bb - ab * ab) / e AS cc
+  FROM (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS e FROM p)),
+ s AS (SELECT t, i.aa * a + i.ab * b + i.ac * c AS u, i.ab * a + i.bb * b + i.bc * c AS v, i.ac * a + i.bc * b + i.cc * c AS w, a, b, c FROM g, i),
+ w AS (SELECT y.u - z.u AS u, y.v - z.v AS v, y.w - z.w AS w, -(y.u * y.a + y.v * y.b + y.w * y.c - z.u * z.a - z.v * z.b - z.w * z.c) / 2 AS k FROM s y, s z WHERE y.t AND NOT z.t)
+ SELECT {KEY}, round(f.a * u + f.b * v + f.c * w.w + k, 5) + 0.0 AS score FROM f, w""")
 add("m3_logit", lambda s, d: ml.predict_logit(ml.fit_logit(labelled(s, d), FEATS, 20), labelled(s, d), FEATS).select(*key, F.round("score", 4).alias("score")))
 add("m5_score_to_p", lambda s, d: r6(ml.score_to_p(labelled(s, d).withColumn("score", F.col("mq_score"))), "p"),
     f"WITH {V.PSM}, h AS (SELECT CAST(floor(mq_score / 0.1) AS BIGINT) AS bin, count(*) FILTER (is_decoy) AS f, count(*) AS n FROM psm GROUP BY 1), e AS (SELECT unnest(range(min(bin), max(bin) + 1)) AS bin FROM h) SELECT e.bin, round(sum(coalesce(f, 0)) OVER w / greatest(sum(coalesce(n, 0)) OVER w, 1), 6) AS p FROM e LEFT JOIN h USING (bin) WINDOW w AS (ORDER BY e.bin DESC)")

@@ -9,7 +9,7 @@ from ..functions import expr as X
 from ..operators import genome, inference, ml, psm as P, ptm, ranges, spectra, splice
 from . import adapters as V
 from . import pipelines
-from .catalog import ALONG, CLASS, COVER, DELTA, LOCATED, ORFS, PAIRS, PROBES, SEQ, TOP, add, exons, key, labelled, located, orfs, probes, r6, sites_of
+from .catalog import ALONG, CHI, CLASS, COVER, DELTA, LOCATED, ORFS, PAIRS, PROBES, SEQ, TOP, TWO, add, exons, key, labelled, located, orfs, probes, r6, sites_of
 
 BASE_SCORED = f"WITH {V.PSM}, {TOP}, {DELTA}"
 
@@ -74,7 +74,10 @@ add("x18_alternate_sites", lambda s, d: words(s, d).select("conv_id", "turn", "p
     f"""WITH {WORD}, p AS (SELECT conv_id, turn, pos, [i FOR i IN range(length(t)) IF t[i + 1] IN ('S', 'T', 'Y')] AS a FROM w), q AS (SELECT conv_id, turn, pos, a, unnest(a) AS i FROM p), r AS (SELECT conv_id, turn, pos, i, unnest([j FOR j IN a IF j > i]) AS j FROM q),
  g AS (SELECT conv_id, turn, pos, string_agg(i || '-' || j, ',' ORDER BY i, j) AS sites FROM r GROUP BY 1, 2, 3) SELECT p.conv_id, p.turn, p.pos, coalesce(sites, '') AS sites FROM p LEFT JOIN g USING (conv_id, turn, pos)""")
 add("x19_parent_mass", lambda s, d: r6(V.psm(s, d).select(*key, X.parent_mass(F.col("mq_score") * 100, F.col("charge")).alias("mass")), "mass"), f"WITH {V.PSM} SELECT spectrum_file, scan, rank, round(mq_score * 100 * charge - (charge - 1) * {X.PROTON}, 6) AS mass FROM psm")
-add("x20_chi2_p", lambda s, d: ptm.chi2_p(ptm.compare_ptm_rates(sites_of(s, d, "O"), sites_of(s, d, "F"))).select("site", F.round("p", 3).alias("p")))
+add("x20_chi2_p", lambda s, d: ptm.chi2_p(ptm.compare_ptm_rates(sites_of(s, d, "O"), sites_of(s, d, "F"))).select("site", F.round("p", 3).alias("p")),
+    # the tail of the normal distribution by Simpson's rule in 200 steps
+    f"""WITH {V.PSM}, {TWO}, z AS (SELECT site, CASE WHEN am + ad > 0 AND bm + bd > 0 THEN sqrt({CHI} / 2) END AS z FROM two)
+ SELECT site, CASE WHEN z IS NOT NULL THEN round(1 - 2 / sqrt(pi()) * z / 600 * list_sum([CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(z * i / 200) * (z * i / 200)) FOR i IN range(201)]), 3) + 0.0 END AS p FROM z""")
 add("x23_bp_overlap", lambda s, d: genome.overlaps(orfs(s, d)).join(V.features(s, d).select(F.col("event_id").alias("a"), F.col("start").alias("s1"), F.col("stop").alias("e1")), "a").join(V.features(s, d).select(F.col("event_id").alias("b"), F.col("start").alias("s2"), F.col("stop").alias("e2")), "b").select("a", "b", X.bp_overlap(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")).alias("o")).select("a", "b", "o.start", "o.stop"),
     f"WITH {V.FEATURES}, {ORFS}, {PAIRS} SELECT a, b, lo AS start, hi AS stop FROM pr")
 add("f6_forward_only", lambda s, d: genome.decoys(V.sequences(s, d).withColumn("name", F.col("seq_id").cast("string")), "reverse").select("name").unionByName(V.sequences(s, d).select(F.col("seq_id").cast("string").alias("name"))).where(~X.is_decoy(F.col("name"))), f"{SEQ} SELECT CAST(seq_id AS VARCHAR) AS name FROM sequences")
@@ -259,7 +262,13 @@ add("p6_endpoints", lambda s, d: r6(genome.categorized_endpoints(cuts6(s, d), 0.
 add("p6_classes", lambda s, d: genome.cleavage_classes(cuts6(s, d), 1).select("seq_id", "pos", "cuts", "kind"),
     f"""{SEQ}, {PROBES}, {MAPPED}, {CUTS6}, nb AS (SELECT *, coalesce(CASE WHEN lag(pos) OVER w = pos - 1 THEN lag(cuts) OVER w END, 0) AS b, coalesce(CASE WHEN lead(pos) OVER w = pos + 1 THEN lead(cuts) OVER w END, 0) AS a FROM cv WINDOW w AS (PARTITION BY seq_id ORDER BY pos))
  SELECT seq_id, pos, cuts, CASE WHEN before IN ('K', 'R') AND coalesce(behind, '*') <> 'P' THEN 'Tryptic' WHEN behind IS NULL OR behind IN ('X', '*') OR (behind IN ('U', 'O') AND cover_c < 5) THEN 'Stop' WHEN a > cuts OR b > cuts THEN 'Decay' WHEN cover_c < cover_n * 0.1 THEN 'Suffix' WHEN cover_n < cover_c * 0.1 THEN 'Prefix' ELSE 'Internal' END AS kind FROM nb""")
-add("p10_localize", lambda s, d: spectra.localize(words(s, d).select(F.col("conv_id").alias("spectrum"), F.col("t").alias("aminos"), F.lit(1).alias("n_sites")).distinct(), V.peaks(s, d).withColumn("mz", F.col("mz") * 20)).select("spectrum", "aminos", "found", F.round("score", 4).alias("score")))
+TAIL = "list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.12) + (n - i) * ln(0.88)) FOR i IN range({0}, n + 1)])"
+add("p10_localize", lambda s, d: spectra.localize(words(s, d).select(F.col("conv_id").alias("spectrum"), F.col("t").alias("aminos"), F.lit(1).alias("n_sites")).distinct(), V.peaks(s, d).withColumn("mz", F.col("mz") * 20)).select("spectrum", "aminos", F.element_at("sites", 1).alias("site"), "found", F.round("score", 4).alias("score")),
+    f"""WITH {V.PEAKS}, {WORD}, pp AS (SELECT DISTINCT conv_id AS spectrum, t FROM w), a AS (SELECT spectrum, t, unnest([i FOR i IN range(length(t)) IF t[i + 1] IN ('S', 'T', 'Y')]) AS site FROM pp), c AS (SELECT *, unnest(range(1, length(t))) AS i FROM a),
+ io AS (SELECT spectrum, t, site, {mass_sql("t[1:i]")} + {X.PROTON} + CASE WHEN site < i THEN 79.96633 ELSE 0 END AS ion FROM c UNION ALL SELECT spectrum, t, site, {mass_sql("t[i + 1:]")} + {X.WATER} + {X.PROTON} + CASE WHEN site >= i THEN 79.96633 ELSE 0 END FROM c),
+ n AS (SELECT spectrum, t, site, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM peaks p WHERE p.spectrum = io.spectrum AND abs(p.mz * 20 - ion) <= 0.3)) AS found FROM io GROUP BY 1, 2, 3),
+ r AS (SELECT *, row_number() OVER v AS place, coalesce(lead(found) OVER v, 0) AS second FROM n WINDOW v AS (PARTITION BY spectrum, t ORDER BY found DESC, site)),
+ s AS (SELECT *, {TAIL.format("found")} AS one, {TAIL.format("second")} AS two FROM r WHERE place = 1) SELECT spectrum, t AS aminos, CAST(site AS INT) AS site, found, round(10 * log10(two) - 10 * log10(one), 4) + 0.0 AS score FROM s""")
 FRAGMENTS = f"""pp AS (SELECT DISTINCT t FROM w), pm AS (SELECT t, {mass_sql("t")} + 19 AS pm FROM pp), c AS (SELECT t, pm, unnest(range(1, length(t))) AS i FROM pm),
  io AS (SELECT t, pm, 2 * i AS k, {mass_sql("t[1:i]")} + {X.PROTON} AS ion FROM c UNION ALL SELECT t, pm, 2 * i + 1, {mass_sql("t[i + 1:]")} + {X.WATER} + {X.PROTON} FROM c), sp AS (SELECT vec_id AS spectrum, 400.0 + vec_id % 900 AS mass FROM embeddings)"""
 

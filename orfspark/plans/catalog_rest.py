@@ -13,7 +13,7 @@ from ..sources import tables as S
 from ..streaming import incremental as I
 from . import adapters as V
 from . import pipelines
-from .catalog import CODON_MAP, ENGINES, EXONS, GEL, GENES, INTRONS, LOCATED, PAIRED_GEL, PROBES, RANKED, SEQ, SIX_FRAMES, SPOTS, add, engines, exons, gel_psm, genes, key, labelled, located, orfs, probes, r6
+from .catalog import ABSORBED, CODON_MAP, ENGINES, EXONS, GEL, GENES, INTRONS, LOCATED, PAIRED_GEL, PROBES, RANKED, SEQ, SIX_FRAMES, SPOTS, add, engines, exons, gel_psm, genes, key, labelled, located, orfs, probes, r6
 from .catalog_more import MAPPED, TERMS, WORD, mapped_probes, mass_sql, simple_exons, starts, words
 
 # --- sources: tables of the driver, written in a format and read back ---------------------------------------------
@@ -317,7 +317,14 @@ add("p7_protein_match", lambda s, d: genome.protein_match(words(s, d).select(F.c
     V.table(s, d, "conversations").groupBy(F.concat_ws(":", "conv_id", "turn").alias("gene_id")).agg(F.upper(F.regexp_replace(F.min("text"), "[^A-Za-z]", "")).alias("seq"))),
     f"""WITH {WORD}, h AS (SELECT concat_ws('-', conv_id, turn, pos) AS hit, conv_id, turn, t, turn * 100000 + pos AS a FROM w), g AS (SELECT conv_id, turn, upper(regexp_replace(min(text), '[^A-Za-z]', '', 'g')) AS seq FROM conversations GROUP BY 1, 2)
  SELECT h.hit, coalesce(a + 3 <= h.turn * 100000 + 10 AND contains(seq, t), false) AS in_protein, CASE WHEN a + 3 <= h.turn * 100000 + 10 AND contains(seq, t) THEN CASE WHEN starts_with(seq, t) THEN 'N' WHEN instr(seq, t) + length(t) - 1 = length(seq) THEN 'C' ELSE '' END ELSE '' END AS terminus FROM h LEFT JOIN g USING (conv_id, turn)""")
-add("p7_categories", lambda s, d: splice.categorize_hits(exon_hits(s, d), simple_exons(s, d).withColumn("gene_id", F.col("event_id"))))
+add("p7_categories", lambda s, d: splice.categorize_hits(exon_hits(s, d), simple_exons(s, d).withColumn("gene_id", F.col("event_id"))),
+    """WITH x AS (SELECT event_id, event_type AS chrom, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(floor(epoch(ts)) AS BIGINT) + 60 AS stop FROM events),
+ sg AS (SELECT event_id AS hit, chrom, event_id % 4 + 1 AS n, k AS no, start + k * 3600 AS a, stop + k * 3600 - CASE WHEN event_id % 2 = 0 THEN 5 ELSE 0 END AS z FROM x, (SELECT unnest(range(4)) AS k) WHERE k <= event_id % 4),
+ fit AS (SELECT hit, n, g.event_id AS gene, count(DISTINCT no) AS fits, count(DISTINCT no) FILTER (no < n - 1 AND z = g.stop) + count(DISTINCT no) FILTER (no > 0 AND a = g.start) AS edges FROM sg JOIN x g ON g.chrom = sg.chrom AND g.start <= a AND g.stop >= z GROUP BY 1, 2, 3),
+ be AS (SELECT hit, max(fits) AS fits, bool_or(fits = n AND edges = 2 * n - 2) AS both, bool_or(edges > 0) AS edge FROM fit GROUP BY 1),
+ j AS (SELECT event_id AS hit, event_id % 4 + 1 AS n, event_id % 11 / 150 AS p, event_id % 13 + 4 AS len, event_id % 3 AS mm, event_id % 5 = 0 AS inp, coalesce(fits, 0) AS fits, coalesce(be.both, false) AS every, coalesce(edge, false) AS edge FROM x LEFT JOIN be ON be.hit = event_id)
+ SELECT hit, CASE WHEN p > 0.05 OR len < 8 THEN 0 WHEN n > 3 THEN 9 WHEN n = 1 AND fits > 0 THEN CASE WHEN inp THEN 1 ELSE 2 END WHEN n = 1 THEN CASE WHEN mm > 1 THEN 8 WHEN inp THEN 1 ELSE 3 END
+  WHEN inp AND (every OR edge) THEN 4 WHEN every THEN 5 WHEN edge THEN 6 WHEN mm > 1 THEN 8 ELSE 7 END AS category FROM j""")
 ALIGNED = "al AS (SELECT DISTINCT p_size AS cluster, p_brand AS genome, first(regexp_replace(lower(p_name), '[aeiou ]', '-', 'g') ORDER BY p_name) OVER (PARTITION BY p_size, p_brand) AS row FROM part)"
 TARGETS = "ob AS (SELECT DISTINCT p_size AS cluster, p_brand AS target, p_size % 9 AS o FROM part WHERE p_brand LIKE 'Brand#_1'), co AS (SELECT ob.cluster, target, least(length(regexp_extract(row, '^-*')), length(row) - 1) + o AS c FROM ob JOIN al ON al.cluster = ob.cluster AND al.genome = target WHERE length(row) > 0)"
 
@@ -346,11 +353,18 @@ def next_to(s, d):
 
 add("p11_correlation", lambda s, d: r6(spectra.correlation(V.peaks(s, d), next_to(s, d), 4.0), "score"),
     f"WITH {V.PEAKS}, {PAIRED}, v AS (SELECT spectrum, CAST(round(mz / 4) AS BIGINT) AS bin, sum(intensity) AS v FROM peaks GROUP BY 1, 2), r AS (SELECT a, b, unnest(range(0, 17)) AS bin FROM s) SELECT r.a, r.b, round(corr(coalesce(x.v, 0), coalesce(y.v, 0)), 6) AS score FROM r LEFT JOIN v x ON x.spectrum = a AND x.bin = r.bin LEFT JOIN v y ON y.spectrum = b AND y.bin = r.bin GROUP BY 1, 2")
-add("p11_shifted_peaks", lambda s, d: (lambda w: spectra.shifted_peaks(V.peaks(s, d).withColumn("mz", F.col("mz") * 15), w).groupBy("spectrum").agg(F.round(F.sum("mz"), 3).alias("mz"), F.count("*").alias("n")))(words(s, d).where("length(t) > 1").groupBy(F.col("conv_id").alias("spectrum")).agg(F.min("t").alias("aminos")).withColumn("mod_pos", F.lit(0)).withColumn("mod_mass", F.lit(16.0))))
+add("p11_shifted_peaks", lambda s, d: (lambda w: spectra.shifted_peaks(V.peaks(s, d).withColumn("mz", F.col("mz") * 15), w).groupBy("spectrum").agg(F.round(F.sum("mz"), 3).alias("mz"), F.count("*").alias("n")))(words(s, d).select(F.col("conv_id").alias("spectrum"), F.col("t").alias("aminos"), F.lit(0).alias("mod_pos"), F.lit(16.0).alias("mod_mass")).distinct()),
+    f"""WITH {V.PEAKS}, {WORD}, c AS (SELECT conv_id AS spectrum, t, unnest(range(1, length(t))) AS i FROM (SELECT DISTINCT conv_id, t FROM w)), io AS (SELECT spectrum, {mass_sql("t[1:i]")} + 16 + {X.PROTON} - unnest([0, 27.9949, {X.WATER}, 17.0265]) AS ion FROM c)
+ SELECT spectrum, round(sum(mz * 15 - CASE WHEN EXISTS (SELECT 1 FROM io WHERE io.spectrum = p.spectrum AND abs(ion - mz * 15) <= 0.5) THEN 16 ELSE 0 END), 3) AS mz, count(*) AS n FROM peaks p GROUP BY 1""")
 add("j9_crosslinks", lambda s, d: spectra.crosslink_candidates(V.table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (500.0 + F.abs("s_acctbal") / 10).alias("mass"), F.col("s_nationkey").cast("double").alias("abundance")), V.table(s, d, "embeddings").select(F.col("vec_id").alias("scan"), (600.0 + F.col("vec_id") % 700).alias("mz")), 138.0).select("scan", "a", "b", "place"),
     f"WITH p AS (SELECT s_suppkey AS id, 500 + abs(s_acctbal) / 10 AS m, CAST(s_nationkey AS DOUBLE) AS n FROM supplier), t AS (SELECT vec_id AS scan, (600.0 + vec_id % 700) * z - (z - 1) * {X.PROTON} - 138 AS t FROM embeddings, (VALUES (2), (3)) z(z)), c AS (SELECT DISTINCT scan, a.id AS a, b.id AS b, least(a.n, b.n) AS least FROM t JOIN p a ON true JOIN p b ON a.id <= b.id AND abs(a.m + b.m - t) <= 1) SELECT scan, a, b, row_number() OVER (PARTITION BY scan ORDER BY least DESC, a, b) AS place FROM c QUALIFY place <= 5")
-add("m9_pick_offsets", lambda s, d: r6(spectra.pick_offsets(V.peaks(s, d), V.table(s, d, "embeddings").select(F.col("vec_id").alias("spectrum"), (F.col("vec_id") % 64).cast("double").alias("anchor")), 3, 10.0), "intensity"))
-add("a27_presence", lambda s, d: (lambda p: spectra.consensus(spectra.consensus_bins(p, 1.0), 2, 1.0, p.groupBy("key").agg(F.count_distinct("spectrum").alias("size"))).select("key", "mz", F.round("intensity", 6).alias("intensity"), "spectra"))(V.peaks(s, d).withColumn("key", F.col("charge"))))
+PICK = "o{0} AS (SELECT {0} AS place, bin, count(*) AS n, sum(v) AS intensity FROM (SELECT unnest(range(b - 2, b + 3)) AS bin, v FROM l{0}) GROUP BY bin ORDER BY round(count(*) / (SELECT count(*) FROM l{0}) + sum(v) / (SELECT sum(v) FROM l{0}), 9) DESC, bin LIMIT 1), l{1} AS (SELECT * FROM l{0} WHERE abs(b - (SELECT bin FROM o{0})) > 2)"
+add("m9_pick_offsets", lambda s, d: r6(spectra.pick_offsets(V.peaks(s, d), V.table(s, d, "embeddings").select(F.col("vec_id").alias("spectrum"), (F.col("vec_id") % 64).cast("double").alias("anchor")), 3, 10.0), "intensity"),
+    f"""WITH {V.PEAKS}, l1 AS (SELECT CAST(round(mz - spectrum % 64) AS BIGINT) AS b, v FROM (SELECT spectrum, mz, intensity / greatest(sum(intensity) OVER (PARTITION BY spectrum), 1e-4) AS v FROM peaks) WHERE abs(mz - spectrum % 64) BETWEEN 0.001 AND 10),
+ {', '.join(PICK.format(k, k + 1) for k in (1, 2, 3))}
+ SELECT place, bin, n, round(intensity, 6) AS intensity FROM (FROM o1 UNION ALL FROM o2 UNION ALL FROM o3)""")
+add("a27_presence", lambda s, d: (lambda p: spectra.consensus(spectra.consensus_bins(p, 1.0), 2, 1.0, p.groupBy("key").agg(F.count_distinct("spectrum").alias("size"))).select("key", "mz", F.round("intensity", 6).alias("intensity"), "spectra"))(V.peaks(s, d).withColumn("key", F.col("charge"))),
+    f"{ABSORBED} SELECT c.key, CAST(bin AS DOUBLE) AS mz, round(v * CASE WHEN size > 4 THEN least(near / size, 1.0) ELSE 1 END, 6) AS intensity, spectra FROM c JOIN (SELECT charge AS key, count(DISTINCT spectrum) AS size FROM peaks GROUP BY 1) z ON z.key = c.key")
 
 # --- models --------------------------------------------------------------------------------------------------------
 
