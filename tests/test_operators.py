@@ -142,6 +142,14 @@ def test_search_finds_the_peptide(spark):
     assert (best.aminos, best.shared) == (target, len(set(ions)))
 
 
+def test_localize_counts_ions_of_equal_mass(spark):
+    """O has no mass here, so cuts before and behind it give two ions of one mass: four ions, all met by two peaks."""
+    phospho, serine, lysine = 79.96633, X.RESIDUE_MASS["S"], X.RESIDUE_MASS["K"]
+    peaks = spark.createDataFrame([(1, serine + phospho + X.PROTON), (1, lysine + X.WATER + X.PROTON)], "spectrum long, mz double")
+    got = spectra.localize(spark.createDataFrame([(1, "SOK", 1)], "spectrum long, aminos string, n_sites int"), peaks).first()
+    assert (got.sites, got.found) == ([0], 4)
+
+
 def test_localize(spark):
     ions = [i.mz for i in spark.range(1).select(X.fragment_ions(F.lit("ASTYK"), F.array(F.struct(F.lit(2).alias("pos"), F.lit(79.96633).alias("mass")))).alias("i")).first().i if i.series in ("b", "y")]
     peaks = spark.createDataFrame([(1, mz, 1.0) for mz in ions], "spectrum long, mz double, intensity double")
