@@ -15,9 +15,9 @@ from .catalog import add
 from .catalog_rest import folder
 
 
-def written(df: DataFrame, value, spark) -> str:
+def written(df: DataFrame, value, spark, packed: str = "none") -> str:
     path = folder(spark)
-    df.select(value.alias("value")).write.text(path)
+    df.select(value.alias("value")).write.option("compression", packed).option("maxRecordsPerFile", 100_000 if packed != "none" else 0).text(path)  # packed files are read whole
     return path
 
 
@@ -87,18 +87,22 @@ add("s8_read_mzxml_little", lambda s, d: mzxml(s, d, "little"), MZXML)
 # --- search results in XML -----------------------------------------------------------------------------------------
 
 
-def written_pepxml(s, d):
-    p = V.psm(s, d)
+def written_pepxml(s, p):
+    """Hits as queries. A spectrum of one row is written where it is; rows of the others, known by a second rank, meet."""
     hit = text('<search_hit hit_rank="', F.col("rank"), '" peptide="PEP', F.col("aminos"), '" protein="P', F.col("protein"), '" peptide_prev_aa="K" peptide_next_aa="', F.when(F.col("is_decoy"), "-").otherwise("R"), '"/>')
-    by = p.select("spectrum_file", "scan", "rank", F.when(F.col("rank") == 1, F.col("charge")).alias("z"), hit.alias("hit")).groupBy("spectrum_file", "scan")
+    rows = p.select("spectrum_file", "scan", "rank", "several", F.when(F.col("rank") == 1, F.col("charge")).alias("z"), hit.alias("hit"))
+    by = rows.where("several").groupBy("spectrum_file", "scan")
     by = by.agg(F.max("z").alias("z"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "hit"))), lambda h: h["hit"]), "").alias("hits"))
+    by = by.unionByName(rows.where("not several").select("spectrum_file", "scan", "z", F.col("hit").alias("hits")))
     title = text("f", F.col("spectrum_file"), ".", F.col("scan"))
-    return written(by, text('<spectrum_query spectrum="', title, '" start_scan="0" end_scan="0" assumed_charge="', F.col("z"), '"><search_result>', F.col("hits"), "</search_result></spectrum_query>"), s)
+    return written(by, text('<spectrum_query spectrum="', title, '" start_scan="0" end_scan="0" assumed_charge="', F.col("z"), '"><search_result>', F.col("hits"), "</search_result></spectrum_query>"), s, "gzip")
 
 
 def pepxml(s, d):
-    scans = V.psm(s, d).select(F.concat(F.lit("f"), F.col("spectrum_file").cast("string"), F.lit("."), F.col("scan").cast("string")).alias("title"), F.col("scan").cast("int").alias("scan")).distinct()
-    return S.read_pepxml(s, written_pepxml(s, d), scans).select("title", "scan", "charge", "aminos", "protein", "prefix", "suffix")
+    p = V.ranked(V.table(s, d, "lineitem"))
+    # a scan of each spectrum: its first row's
+    scans = p.where("rank = 1").select(F.concat(F.lit("f"), F.col("spectrum_file").cast("string"), F.lit("."), F.col("scan").cast("string")).alias("title"), F.col("scan").cast("int").alias("scan"))
+    return S.read_pepxml(s, written_pepxml(s, p), scans).select("title", "scan", "charge", "aminos", "protein", "prefix", "suffix")
 
 
 add("s9_read_pepxml", pepxml,
